@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafwright.llm import bpe
+from leafwright.llm import bpe, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +20,13 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_read(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in windows of 2048 tokens, filled with lexical neighbours."""
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op5_bpe": op5_bpe}
+    return {"op5_bpe": op5_bpe, "op7_packing": op7_packing}
 
 
 def oracle_sql() -> dict[str, str]:
