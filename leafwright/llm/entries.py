@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafwright.llm import bpe, packing
+from leafwright.llm import bpe, langid, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,16 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text by naive Bayes over character n-grams."""
+    return langid.language_of_documents(_read(spark, sf_dir, "documents"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text by the n-gram classifier."""
+    return quality.quality_of_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text by the backtracking encoder, and their decoding, as digests."""
     return bpe.token_digests(_read(spark, sf_dir, "documents"))
@@ -26,7 +36,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op5_bpe": op5_bpe, "op7_packing": op7_packing}
+    return {"op1_language": op1_language, "op2_quality": op2_quality, "op5_bpe": op5_bpe, "op7_packing": op7_packing}
 
 
 def oracle_sql() -> dict[str, str]:
