@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafwright.llm import bpe, langid, packing, quality
+from leafwright.llm import bpe, hyperminhash, langid, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,8 +35,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of documents at a Jaccard similarity of 0.85."""
+    found = hyperminhash.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_language": op1_language, "op2_quality": op2_quality, "op5_bpe": op5_bpe, "op7_packing": op7_packing}
+    return {"op1_language": op1_language, "op2_quality": op2_quality, "op5_bpe": op5_bpe, "op7_packing": op7_packing, "op10_hyperminhash": op10_hyperminhash}
 
 
 def oracle_sql() -> dict[str, str]:
