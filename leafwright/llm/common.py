@@ -106,6 +106,15 @@ def map_batches(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def by_group(function):
+    """A plain function for ``applyInArrow``, which looks at a function's own signature."""
+
+    def run(group):
+        return function(group)
+
+    return run
+
+
 def _as_array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()

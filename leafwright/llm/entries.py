@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafwright.llm import bpe, hyperminhash, langid, packing, quality
+from leafwright.llm import bpe, egojoin, hyperminhash, langid, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_of_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op3_egojoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of embeddings at a cosine of 0.93 within a label."""
+    return egojoin.epsilon_components(_read(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text by the backtracking encoder, and their decoding, as digests."""
     return bpe.token_digests(_read(spark, sf_dir, "documents"))
@@ -42,7 +47,7 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_language": op1_language, "op2_quality": op2_quality, "op5_bpe": op5_bpe, "op7_packing": op7_packing, "op10_hyperminhash": op10_hyperminhash}
+    return {"op1_language": op1_language, "op2_quality": op2_quality, "op3_egojoin": op3_egojoin, "op5_bpe": op5_bpe, "op7_packing": op7_packing, "op10_hyperminhash": op10_hyperminhash}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafwright.llm.common import map_batches, ship, table
+from leafwright.llm.common import by_group, map_batches, ship, table
 from leafwright.llm.components import components
 
 _EMPTY = np.uint16(0xFFFF)
@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: i
         spread = many.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
         spread = spread.select("band", "cid", "comp", "block", F.least("block", "j").alias("i"), F.greatest("block", "j").alias("j"))
         spread = spread.join(heads, "cid")
-        likely = likely.unionByName(spread.groupBy("band", "i", "j").applyInArrow(_Blocks(cutoff), "a long, b long").distinct())
+        likely = likely.unionByName(spread.groupBy("band", "i", "j").applyInArrow(by_group(_Blocks(cutoff)), "a long, b long").distinct())
     more = table(_verified(likely.distinct(), texts, words, percent), "links")
     roots = components(links.unionByName(more))
 
