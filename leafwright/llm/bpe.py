@@ -15,9 +15,12 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +29,11 @@ from pyspark.sql import types as T
 from leafwright.llm.common import map_batches, process_state, vocabulary_path
 
 _WORD_END = "</w>"
-#: Entries the word cache may hold before it is emptied.
-_CACHE = 1_000_000
+#: Entries the word cache may hold before it is emptied; the cache of words with punctuation holds a quarter.
+_CACHE = 1_200_000
 #: White space on which str.split() and the tokenizer's pattern may disagree, or that needs care.
-_ODD_SPACE = regex.compile(r"[\x1c-\x1f\x85]")
+_TRAILING = r"(\pL)([.,!%$#&*|;:?]+)(\s|$)"  # a run of punctuation between a letter and white space is a word of its own
+_ODD_SPACE = "\x1c\x1d\x1e\x1f\x85"
 
 
 def _byte_letters() -> list[str]:
@@ -55,12 +59,14 @@ class WordBpe:
         letters = _byte_letters()
         self._byte_of = {c: b for b, c in enumerate(letters)}
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        self._made: dict[int, tuple[int, int, int]] = {}  # the merge that makes an entry: its order, left and right
         by_name = self.vocab
         for order, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             joined = by_name.get(left + right)
             if joined is not None:
                 self.rank[by_name[left], by_name[right]] = (order, joined)
+                self._made.setdefault(joined, (order, by_name[left], by_name[right]))
         # Symbols 0..255 are bytes inside a word, 256..511 bytes that end one; as letters for the automaton.
         self.symbol = [by_name[c] for c in letters] + [by_name[c + _WORD_END] for c in letters]
         self.spelling: dict[int, str] = {}
@@ -75,8 +81,12 @@ class WordBpe:
         reachable = {i for i, s in self.spelling.items() if self._merge([self.symbol[ord(c)] for c in s]) == [i]}
         self._automaton = ahocorasick.Automaton()
         for ident in reachable:
-            self._automaton.add_word(self.spelling[ident], (len(self.spelling[ident]), ident))
+            self._automaton.add_word(self.spelling[ident], ident)
         self._automaton.make_automaton()
+        # The number of symbols of each entry, and the longest other entry that it starts with (-1: none).
+        self._symbols = {i: len(self.spelling[i]) for i in reachable}
+        by_text = {self.spelling[i]: i for i in reachable}
+        self._shorter = {i: next((by_text[s[:k]] for k in range(len(s) - 1, 0, -1) if s[:k] in by_text), -1) for s, i in by_text.items()}
         self._compatible: dict[tuple[int, int], bool] = {}
         self._words: dict[str, bytes] = {}
         self._chunks: dict[str, bytes] = {}
@@ -112,48 +122,61 @@ class WordBpe:
         key = (left, right)
         known = self._compatible.get(key)
         if known is None:
-            text = self.spelling[left] + self.spelling[right]
-            known = self._merge([self.symbol[ord(c)] for c in text]) == [left, right]
+            known = self._stays(left, right)
             if len(self._compatible) >= _CACHE:
                 self._compatible.clear()
             self._compatible[key] = known
         return known
 
+    def _stays(self, left: int, right: int) -> bool:
+        """Undo the merges of both tokens, the latest first: no pair across the border may have merged before."""
+        made, rank, limit = self._made, self.rank, float("inf")
+        while True:
+            across = rank.get((left, right))
+            if across is not None and across[0] < limit:
+                return False
+            mine, other = made.get(left), made.get(right)
+            if mine and (not other or mine[0] > other[0]):
+                limit, left = mine[0], mine[2]
+            elif other:  # of equal merges the left one comes first, so a pair across wins against the right one
+                limit, right = other[0] + 1, other[1]
+            else:
+                return True
+
     def encode_word(self, data: bytes) -> list[int]:
         """Ids of one word's bytes."""
         text = data[:-1].decode("latin-1") + chr(data[-1] + 256)
-        n = len(text)
-        matches: list[list[int]] = [[] for _ in range(n)]  # by start; ends come in rising order, so lengths do too
-        for end, (length, ident) in self._automaton.iter(text):
-            matches[end + 1 - length].append(ident)
-        spelling, compatible = self.spelling, self.compatible
-        dead = bytearray(n + 1)
-        path: list[int] = []
-        choice: list[int] = []  # how many of its start's matches each token of the path has left to try
-        at, left = 0, len(matches[0])
-        while at < n:
-            here, before = matches[at], path[-1] if path else -1
-            while left:
-                left -= 1
-                ident = here[left]
-                after = at + len(spelling[ident])
-                if not dead[after] and (before < 0 or compatible(before, ident)):
-                    path.append(ident)
-                    choice.append(left)
-                    at, left = after, len(matches[after]) if after < n else 0
-                    break
+        known, compatible, length, shorter = self._compatible.get, self.compatible, self._symbols, self._shorter
+        greedy = [ident for _, ident in self._automaton.iter_long(text)]  # the longest match at each step, never given up
+        for k, pair in enumerate(zip(greedy, greedy[1:])):
+            if not (known(pair) or compatible(*pair)):
+                break
+        else:
+            return greedy
+        path, n, dead = greedy[: k + 1], len(text), set()
+        at, token = sum(map(length.__getitem__, path)), shorter[greedy[k + 1]]
+        while True:
+            before = path[-1] if path else -1
+            while token >= 0 and (at + length[token] in dead or before >= 0 and not (known((before, token)) or compatible(before, token))):
+                token = shorter[token]
+            if token >= 0:
+                path.append(token)
+                at += length[token]
+                if at == n:
+                    return path
+                token = next(self._automaton.iter_long(text, at))[1]
+            elif path:
+                dead.add(at)
+                token = path.pop()
+                at -= length[token]
+                token = shorter[token]
             else:
-                if not path:
-                    raise ValueError("the vocabulary lacks a byte")
-                dead[at] = 1
-                at -= len(spelling[path.pop()])
-                left = choice.pop()
-        return path
+                raise ValueError("the vocabulary lacks a byte")
 
     def _word(self, word: str) -> bytes:
         known = self._words.get(word)
         if known is None:
-            known = np.array(self.encode_word(word.encode("utf-8")), "<u4").tobytes()
+            known = array("I", self.encode_word(word.encode("utf-8"))).tobytes()
             if len(self._words) >= _CACHE:
                 self._words.clear()
             if len(word) <= 64:
@@ -162,39 +185,73 @@ class WordBpe:
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a run without white space; no word crosses white space, so runs are independent."""
-        ids = b"".join(map(self._word, self.pattern.findall(chunk)))
-        if len(self._chunks) >= _CACHE:
-            self._chunks.clear()
-        if len(chunk) <= 64:
-            self._chunks[chunk] = ids
-        return ids
+        if chunk.isalpha():
+            return self._word(chunk)
+        known = self._chunks.get(chunk)
+        if known is None:
+            if chunk[-1] in ".,;:" and chunk[:-1].isalpha():  # the commonest case of two words
+                known = self._word(chunk[:-1]) + self._word(chunk[-1])
+            else:
+                known = b"".join(map(self._word, self.pattern.findall(chunk)))
+            if len(self._chunks) >= _CACHE // 4:
+                self._chunks.clear()
+            if len(chunk) <= 32:
+                self._chunks[chunk] = known
+        return known
 
-    def _plain(self, text: str) -> bytes:
+    @staticmethod
+    def _normal(text: str) -> str:
+        """NFC and lower case, letter by letter: no rule for a final sigma."""
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
-            text = text.replace("Σ", "σ")  # letter by letter: no rule for a final sigma
-        text = text.lower()
-        if _ODD_SPACE.search(text):
-            return b"".join(map(self._word, self.pattern.findall(regex.sub(r"\s+", " ", text))))
-        chunks = text.split()
-        known = list(map(self._chunks.get, chunks))
-        if None in known:
-            known = [self._chunk(c) if k is None else k for c, k in zip(chunks, known)]
-        return b"".join(known)
-
-    def encode_bytes(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        if self._special is None or "<|" not in text or not self._special.search(text):
-            return self._plain(text)
+            text = text.replace("Σ", "σ")
+        return text.lower()
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self._word, self.pattern.findall(regex.sub(r"\s+", " ", self._normal(text)))))
+
+    def _odd(self, text: str) -> bool:
+        return (self._special is not None and "<|" in text and self._special.search(text) is not None) or any(c in text for c in _ODD_SPACE)
+
+    def encode_text(self, text: str) -> np.ndarray:
+        """Ids of a whole text as unsigned 32-bit integers."""
+        if self._special is None:
+            return np.frombuffer(self._plain(text), "<u4")
         out, at = [], 0
         for m in self._special.finditer(text):
             out += [self._plain(text[at : m.start()]), np.array([self.special[m[0]]], "<u4").tobytes()]
             at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
-
-    def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.encode_bytes(text), "<u4")
+        return np.frombuffer(b"".join([*out, self._plain(text[at:])]), "<u4")
+
+    def encode_all(self, texts: list[str | None], piece: int = 1 << 24) -> list[np.ndarray]:
+        """Ids of each text (null: none). Runs without white space are looked up once for many texts together."""
+        out: list[np.ndarray] = []
+        some, held = [], 0
+        for text in texts:
+            some.append(text or "")
+            held += len(some[-1])
+            if held >= piece:
+                out += self._encode_some(some)
+                some, held = [], 0
+        return out + self._encode_some(some)
+
+    def _encode_some(self, texts: list[str]) -> list[np.ndarray]:
+        odd = {k for k, t in enumerate(texts) if self._odd(t)}
+        rows = pa.array(["" if k in odd else self._normal(t) for k, t in enumerate(texts)], pa.string())
+        runs = pc.utf8_split_whitespace(pc.replace_substring_regex(rows, _TRAILING, r"\1 \2\3"))
+        coded = runs.flatten().dictionary_encode()
+        words = self._words.get
+        known = [words(c) or (self._chunk(c) if c else b"") for c in coded.dictionary.to_pylist()]
+        length = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids, start = np.frombuffer(b"".join(known), "<u4"), np.cumsum(length) - length
+        which = coded.indices.to_numpy()
+        n = length[which]
+        end = np.concatenate([[0], np.cumsum(n)])
+        index = np.repeat(start[which] - end[:-1], n)
+        index += np.arange(len(index))
+        ids, bound = ids[index], end[runs.offsets.to_numpy() - runs.offsets[0].as_py()]
+        return [self.encode_text(t) if k in odd else ids[bound[k] : bound[k + 1]] for k, t in enumerate(texts)]
 
     def decode_bytes(self, ids: np.ndarray, block: int = 1 << 18) -> bytes:
         """The entries' texts with a space between them, as the library joins them when a file has no decoder."""
@@ -224,11 +281,9 @@ class _Digests:
     def __call__(self, batch) -> dict:
         bpe = encoder(self.path)
         count, ids_sha, text_sha = [], [], []
-        for text in batch.column(1):
-            data = bpe.encode_bytes(text.as_py() or "")
-            ids = np.frombuffer(data, "<u4")
+        for ids in bpe.encode_all(batch.column(1).to_pylist()):
             count.append(len(ids))
-            ids_sha.append(hashlib.sha256(data).hexdigest())
+            ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
             text_sha.append(hashlib.sha256(bpe.decode_bytes(ids)).hexdigest())
         return {"doc_id": batch.column(0), "n_tokens": count, "ids_sha256": ids_sha, "decoded_sha256": text_sha}
 
@@ -239,7 +294,7 @@ class _Ids:
 
     def __call__(self, batch) -> dict:
         bpe = encoder(self.path)
-        ids = [bpe.encode(t.as_py() or "") for t in batch.column(1)]
+        ids = bpe.encode_all(batch.column(1).to_pylist())
         text = [bpe.decode_bytes(x).decode("utf-8", "replace") if self.with_text else None for x in ids]
         return {"doc_id": batch.column(0), "ids": ids, "decoded": text}
 

@@ -36,9 +36,7 @@ class _Encode:
         self.path, self.end, self.kind = path, np.array([end_id], kind).tobytes(), kind
 
     def __call__(self, batch) -> dict:
-        bpe, ids = encoder(self.path), []
-        for text in batch.column(1):
-            ids.append(bpe.encode(text.as_py() or "").astype(self.kind).tobytes() + self.end)
+        ids = [x.astype(self.kind).tobytes() + self.end for x in encoder(self.path).encode_all(batch.column(1).to_pylist())]
         width = np.dtype(self.kind).itemsize
         return {"doc_id": batch.column(0), "ids": pa.array(ids, pa.binary()), "n": np.array([len(x) // width for x in ids], np.int64)}
 
