@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafwright.llm import bpe, egojoin, hyperminhash, langid, packing, quality
+from leafwright.llm import bpe, egojoin, hyperminhash, jpegcol, langid, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_read(spark, sf_dir, "documents"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a progressive JPEG, read back and described."""
+    return jpegcol.media_digests(_read(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in windows of 2048 tokens, filled with lexical neighbours."""
     return packing.pack(_read(spark, sf_dir, "documents"))
@@ -47,7 +52,7 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_language": op1_language, "op2_quality": op2_quality, "op3_egojoin": op3_egojoin, "op5_bpe": op5_bpe, "op7_packing": op7_packing, "op10_hyperminhash": op10_hyperminhash}
+    return {"op1_language": op1_language, "op2_quality": op2_quality, "op3_egojoin": op3_egojoin, "op5_bpe": op5_bpe, "op6_media": op6_media, "op7_packing": op7_packing, "op10_hyperminhash": op10_hyperminhash}
 
 
 def oracle_sql() -> dict[str, str]:
