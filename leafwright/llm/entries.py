@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafwright.llm import bpe, egojoin, hyperminhash, jpegcol, langid, packing, quality
+from leafwright.llm import bpe, egojoin, htmlmain, hyperminhash, jpegcol, langid, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,11 @@ def op3_egojoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return egojoin.epsilon_components(_read(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return htmlmain.main_text(_read(spark, sf_dir, "pages"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text by the backtracking encoder, and their decoding, as digests."""
     return bpe.token_digests(_read(spark, sf_dir, "documents"))
@@ -52,7 +57,7 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_language": op1_language, "op2_quality": op2_quality, "op3_egojoin": op3_egojoin, "op5_bpe": op5_bpe, "op6_media": op6_media, "op7_packing": op7_packing, "op10_hyperminhash": op10_hyperminhash}
+    return {"op1_language": op1_language, "op2_quality": op2_quality, "op3_egojoin": op3_egojoin, "op4_html": op4_html, "op5_bpe": op5_bpe, "op6_media": op6_media, "op7_packing": op7_packing, "op10_hyperminhash": op10_hyperminhash}
 
 
 def oracle_sql() -> dict[str, str]:
