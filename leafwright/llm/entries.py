@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafwright.llm import bpe, egojoin, htmlmain, hyperminhash, jpegcol, langid, packing, quality
+from leafwright.llm import bpe, egojoin, htmlmain, hyperminhash, jpegcol, langid, packing, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text, less the false positives that the forest removes."""
+    return secrets.scan(_read(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
+
+
 def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of documents at a Jaccard similarity of 0.85."""
     found = hyperminhash.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
@@ -57,7 +62,7 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_language": op1_language, "op2_quality": op2_quality, "op3_egojoin": op3_egojoin, "op4_html": op4_html, "op5_bpe": op5_bpe, "op6_media": op6_media, "op7_packing": op7_packing, "op10_hyperminhash": op10_hyperminhash}
+    return {"op1_language": op1_language, "op2_quality": op2_quality, "op3_egojoin": op3_egojoin, "op4_html": op4_html, "op5_bpe": op5_bpe, "op6_media": op6_media, "op7_packing": op7_packing, "op8_secrets": op8_secrets, "op10_hyperminhash": op10_hyperminhash}
 
 
 def oracle_sql() -> dict[str, str]:
