@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafwright.llm import bpe, egojoin, htmlmain, hyperminhash, jpegcol, langid, packing, quality, secrets
+from leafwright.llm import bpe, egojoin, htmlmain, hyperminhash, jpegcol, langid, maskedlm, packing, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,11 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
 
 
+def op9_maskedlm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of every text under a network trained on all of them."""
+    return maskedlm.score(_read(spark, sf_dir, "documents"))
+
+
 def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of documents at a Jaccard similarity of 0.85."""
     found = hyperminhash.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
@@ -62,7 +67,7 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_language": op1_language, "op2_quality": op2_quality, "op3_egojoin": op3_egojoin, "op4_html": op4_html, "op5_bpe": op5_bpe, "op6_media": op6_media, "op7_packing": op7_packing, "op8_secrets": op8_secrets, "op10_hyperminhash": op10_hyperminhash}
+    return {"op1_language": op1_language, "op2_quality": op2_quality, "op3_egojoin": op3_egojoin, "op4_html": op4_html, "op5_bpe": op5_bpe, "op6_media": op6_media, "op7_packing": op7_packing, "op8_secrets": op8_secrets, "op9_maskedlm": op9_maskedlm, "op10_hyperminhash": op10_hyperminhash}
 
 
 def oracle_sql() -> dict[str, str]:
