@@ -123,6 +123,11 @@ class Network:
         z /= z.sum(axis=1, keepdims=True)
         return z
 
+    @staticmethod
+    def _log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+        z -= z.max(axis=1, keepdims=True)
+        return z[np.arange(len(z)), at] - np.log(np.exp(z).sum(axis=1))
+
     def by_class(self, target: np.ndarray):
         """Order of targets by class, and the slice of each class that occurs."""
         order = np.argsort((target // self.size).astype(np.uint16), kind="stable")
@@ -132,14 +137,13 @@ class Network:
     def log_probabilities(self, w: np.ndarray, target: np.ndarray, context: np.ndarray) -> np.ndarray:
         h = self.hidden(w, context)
         top, low = w[self.parts["class"]], w[self.parts["token"]]
-        p = self._softmax(h @ top[:, : self.dims].T + top[:, self.dims])
-        out = np.log(p[np.arange(len(target)), target // self.size] + 1e-30)
+        out = self._log_softmax(h @ top[:, : self.dims].T + top[:, self.dims], target // self.size)
         order, runs = self.by_class(target)
+        h, within, second = h[order], target[order] % self.size, np.empty(len(target), np.float32)
         for c, a, b in runs:
-            at = order[a:b]
             own = low[c * self.size : (c + 1) * self.size]
-            q = self._softmax(h[at] @ own[:, : self.dims].T + own[:, self.dims])
-            out[at] += np.log(q[np.arange(b - a), target[at] % self.size] + 1e-30)
+            second[a:b] = self._log_softmax(h[a:b] @ own[:, : self.dims].T + own[:, self.dims], within[a:b])
+        out[order] += second
         return out
 
     def step(self, w: np.ndarray, memory: np.ndarray, target: np.ndarray, context: np.ndarray, rate: float) -> None:
@@ -220,14 +224,14 @@ class _Score:
                 end += 1
             target, context = self.network.contexts(ids[at:end])
             doc = np.repeat(np.arange(at, end), size[at:end])
-            for k in range(0, len(target), 1 << 16):  # a long document in pieces, each token with its whole window
-                part = slice(k, k + (1 << 16))
+            for k in range(0, len(target), 1 << 13):  # each token with its whole window, wherever pieces end
+                part = slice(k, k + (1 << 13))
                 total += np.bincount(doc[part], weights=self.network.log_probabilities(self.weights.value, target[part], context[part]), minlength=len(ids))
             at = end
         return {"doc_id": batch.column(0), "n_tokens": size, "log_likelihood": np.round(total, 2), "mean_log_likelihood": np.where(size > 0, np.round(total / np.maximum(size, 1), 4), np.nan)}
 
 
-def score(docs: DataFrame, classes: int = 64, size: int = 64, buckets: int = 1024, dims: int = 16, window: int = 2, share: int = 4, batch: int = 2048, rate: float = 0.1) -> DataFrame:
+def score(docs: DataFrame, classes: int = 64, size: int = 64, buckets: int = 1024, dims: int = 16, window: int = 2, share: int = 4, batch: int = 2048, rate: float = 0.2) -> DataFrame:
     """``doc_id, n_tokens, log_likelihood, mean_log_likelihood`` for every row of ``doc_id, text``.
 
     ``classes`` x ``size`` is the vocabulary, of which ``buckets`` are hash buckets of rarer words; one in
