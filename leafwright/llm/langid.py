@@ -123,24 +123,25 @@ def train(docs: DataFrame, usable: Column, per_language: int = 3000, bits: int =
 
 
 class _Predict:
-    def __init__(self, model, names: list[str]):
-        self.model, self.names = model, names
+    def __init__(self, model, names: list[str], new: tuple[str, str]):
+        self.model, self.names, self.new = model, names, new
 
     def __call__(self, batch) -> dict:
         model = self.model.value
         guesses = [model.predict(t.as_py()) for t in batch.column(len(self.names))]
-        return {n: batch.column(k) for k, n in enumerate(self.names)} | {"lang_pred": [g[0] for g in guesses], "score": [g[1] for g in guesses]}
+        return {n: batch.column(k) for k, n in enumerate(self.names)} | {self.new[0]: [g[0] for g in guesses], self.new[1]: [g[1] for g in guesses]}
 
 
-def predict(rows: DataFrame, text: str, model: LanguageModel, carry: list[str]) -> DataFrame:
-    """``carry`` columns of ``rows`` with ``lang_pred`` and ``score`` of column ``text``, a row for each row.
+def predict(rows: DataFrame, text: str, model: LanguageModel, carry: list[str], new: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``carry`` columns of ``rows`` with the language and the score (``new``) of column ``text``, a row for each row.
 
     Null texts and texts without a letter are ``und`` with score 0. Equal texts get equal results; of languages
-    that are equally likely the first by name is taken. ``carry`` must not hold ``lang_pred`` or ``score``.
+    that are equally likely the first by name is taken. Columns of ``carry`` that are named like the new ones are left out.
     """
-    schema = T.StructType([rows.schema[c] for c in carry] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    carry = [c for c in carry if c not in new]
+    schema = T.StructType([rows.schema[c] for c in carry] + [T.StructField(new[0], T.StringType()), T.StructField(new[1], T.DoubleType())])
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    return map_batches(rows.select(*carry, F.col(text).cast("string").alias("_text")), _Predict(shared, carry), schema)
+    return map_batches(rows.select(*carry, F.col(text).cast("string").alias("_text")), _Predict(shared, carry, new), schema)
 
 
 def language_of_documents(docs: DataFrame, **settings) -> DataFrame:

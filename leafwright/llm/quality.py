@@ -123,19 +123,20 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 12_000, bits: int = 18
 
 
 class _Score:
-    def __init__(self, model, names: list[str]):
-        self.model, self.names = model, names
+    def __init__(self, model, names: list[str], new: str):
+        self.model, self.names, self.new = model, names, new
 
     def __call__(self, batch) -> dict:
         model = self.model.value
-        return {n: batch.column(k) for k, n in enumerate(self.names)} | {"score": np.array([model.score(t.as_py()) for t in batch.column(len(self.names))])}
+        return {n: batch.column(k) for k, n in enumerate(self.names)} | {self.new: np.array([model.score(t.as_py()) for t in batch.column(len(self.names))])}
 
 
-def score(rows: DataFrame, text: str, model: QualityModel, carry: list[str]) -> DataFrame:
-    """``carry`` columns of ``rows`` with the ``score`` of column ``text``; null and empty texts get the bias alone."""
-    schema = T.StructType([rows.schema[c] for c in carry] + [T.StructField("score", T.DoubleType())])
+def score(rows: DataFrame, text: str, model: QualityModel, carry: list[str], new: str = "score") -> DataFrame:
+    """``carry`` columns of ``rows`` (but one named ``new``) with the score of column ``text``; null and empty texts get the bias alone."""
+    carry = [c for c in carry if c != new]
+    schema = T.StructType([rows.schema[c] for c in carry] + [T.StructField(new, T.DoubleType())])
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    return map_batches(rows.select(*carry, F.col(text).cast("string").alias("_text")), _Score(shared, carry), schema)
+    return map_batches(rows.select(*carry, F.col(text).cast("string").alias("_text")), _Score(shared, carry, new), schema)
 
 
 def quality_of_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **settings) -> DataFrame:
