@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Column functions: text, replies and names. All are Catalyst expressions but the entity decoder."""
