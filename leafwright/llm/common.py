@@ -8,6 +8,7 @@ is kept in a machine-local folder and nothing is locally checkpointed.
 from __future__ import annotations
 
 import atexit
+import gc
 import io
 import os
 import tempfile
@@ -74,6 +75,12 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle files of finished steps, which it does once their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id's decimal text is a multiple of 5; rows without an id count as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))

@@ -62,7 +62,7 @@ def op9_maskedlm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of documents at a Jaccard similarity of 0.85."""
-    found = hyperminhash.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+    found = hyperminhash.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), percent=85, with_text=False)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
