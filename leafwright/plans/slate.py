@@ -1,19 +1,533 @@
-"""The registered queries of the document engine and their SQL counterparts."""
+"""The registered queries of the document engine and their SQL counterparts.
+
+The tables stand in for books: a ``source`` is a book, its documents in order are its text, a line is a
+paragraph, and a heading is put before every fifth document, on both sides alike.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from leafwright.functions import replies, text
+from leafwright.operators import coverage, planning, progress, render, search, segment, state
+from leafwright.plans import dialect as d
+from leafwright.sources import books, payloads
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def add(function: Query) -> Query:
+        _QUERIES[name] = function
+        if sql:
+            _SQL[name] = sql
+        return function
+
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    rows = docs.select(F.col("source").alias("book"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
+    return rows.select("book", "doc_id", (F.col("pos") + 1).cast("long").alias("line_no"), text.collapse(F.col("raw")).alias("text")).where(F.length("text") > 1)
+
+
+def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir).select("book", (F.col("doc_id") * 100000 + F.col("line_no")).alias("para_no"), "text")
+    docs = _read(spark, sf_dir, "documents").where(F.floor(F.col("doc_id") / 20) % 5 == 0)
+    heads = docs.select(F.col("source").alias("book"), (F.col("doc_id") * 100000).alias("para_no"), F.concat(F.lit("CHAPTER "), (F.floor(F.col("doc_id") / 100) + 1).cast("string")).alias("text"))
+    return lines.unionByName(heads)
+
+
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.book_units(_paragraphs(spark, sf_dir))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gap = (F.col("chapter_no") * 31 + F.col("unit_no")) % 7 == 0
+    return _units(spark, sf_dir).withColumn("translation", F.when(gap, " ").otherwise(F.concat(F.lit("ko: "), "unit")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """For every book its chapters, units, windows, glossary terms and fingerprint."""
+    units = _units(spark, sf_dir)
+    sizes = units.groupBy("book").agg(F.countDistinct("chapter_no").alias("n_chapters"), F.count(F.lit(1)).alias("n_units"))
+    windows = planning.windows(units).groupBy("book").agg(F.count(F.lit(1)).alias("n_windows"))
+    terms = planning.glossary(planning.term_counts(_lines(spark, sf_dir))).groupBy("book").agg(F.count(F.lit(1)).alias("n_glossary_terms"))
+    rows = sizes.join(windows, "book").join(terms, "book", "left").join(planning.fingerprint(units), "book")
+    return rows.select("book", "n_chapters", "n_units", "n_windows", F.coalesce("n_glossary_terms", F.lit(0)).alias("n_glossary_terms"), "source_hash")
+
+
+# -- segmentation
+
+
+@_query("q01_sentence_units", f"SELECT doc_id, unnest({d.sentences('t')}) AS unit, generate_subscripts({d.sentences('t')}, 1) AS unit_no FROM (SELECT doc_id, {d.collapse('text')} AS t FROM documents)")
+def _(spark, sf_dir):
+    rows = _read(spark, sf_dir, "documents").select("doc_id", text.collapse(F.col("text")).alias("text"))
+    return segment.units(rows, ["doc_id"])
+
+
+@_query("q02_paragraphs", rf"""SELECT doc_id, p AS text, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS para_no FROM (
+  SELECT doc_id, {d.collapse('unnest(b)')} AS p, generate_subscripts(b, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(replace(text, chr(10), chr(10) || ' ' || chr(10)), '\n[\s\pZ]*\n', chr(2), 'g'), chr(2)) AS b FROM documents)) WHERE length(p) > 1""")
+def _(spark, sf_dir):
+    spaced = F.replace("text", F.lit("\n"), F.lit("\n \n"))
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.paragraphs(spaced)).alias("pos", "text"))
+    return rows.select("doc_id", "text", (F.col("pos") + 1).cast("long").alias("para_no"))
+
+
+_FRAMED = ("Front\n*** START OF THE EBOOK {} ***\nProduced by A and B at pgdp.net\n", "\n*** END OF THE EBOOK {} ***\nLicence\n*** END OF IT ***")
+
+
+@_query("q03_boilerplate", f"""SELECT doc_id, {d.strip(f"regexp_replace(regexp_replace(regexp_replace('Front' || chr(10) || '*** START OF THE EBOOK ' || doc_id || ' ***' || chr(10) || 'Produced by A and B at pgdp.net' || chr(10) || text || chr(10) || '*** END OF THE EBOOK ' || doc_id || ' ***' || chr(10) || 'Licence' || chr(10) || '*** END OF IT ***', {d.START}, ''), {d.END}, ''), {d.quoted('(?im)' + text.CREDITS)}, '')")} AS text FROM documents""")
+def _(spark, sf_dir):
+    put = lambda frame: F.replace(F.lit(frame), F.lit("{}"), F.col("doc_id").cast("string"))
+    framed = F.concat(put(_FRAMED[0]), "text", put(_FRAMED[1]))
+    return _read(spark, sf_dir, "documents").select("doc_id", text.strip(text.without_boilerplate(framed)).alias("text"))
+
+
+@_query("q04_chapter_buckets", f"WITH {d.BUCKETS} SELECT book, chapter_no, title, para_no, text FROM chapters")
+def _(spark, sf_dir):
+    return segment.bucketed(_paragraphs(spark, sf_dir))
+
+
+@_query("q05_front_matter", f"WITH {d.MERGED} SELECT book, chapter_no, title, unit_no, unit FROM merged")
+def _(spark, sf_dir):
+    return segment.front_matter_merged(segment.chapter_units(segment.bucketed(_paragraphs(spark, sf_dir))))
+
+
+@_query("q06_oversize_split", f"WITH {d.FINAL} SELECT book, chapter_no, title, unit_no, unit FROM final")
+def _(spark, sf_dir):
+    return _units(spark, sf_dir)
+
+
+def _page_documents(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("book"), F.lit(1).alias("chapter_no"), F.lit("page.xhtml").alias("name"), "html")
+
+
+@_query("q07_page_headings", f"""SELECT page_id, substr({d.strip("regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g')")}, 1, 200) AS title FROM pages""")
+def _(spark, sf_dir):
+    rows = books.markup_paragraphs(_page_documents(spark, sf_dir)).groupBy("book").agg(F.first("title").alias("title"))
+    return rows.select(F.col("book").cast("long").alias("page_id"), "title")
+
+
+@_query("q08_page_paragraphs")
+def _(spark, sf_dir):
+    return books.markup_paragraphs(_page_documents(spark, sf_dir))
+
+
+# -- planning
+
+_TERMS = rf"""WITH {d.LINES}, pieces AS (SELECT book, unnest(string_split(regexp_replace(text, '([.!?])[\s\pZ]+', '\1' || chr(2), 'g'), chr(2))) AS s FROM lines),
+  plain AS (SELECT book, regexp_replace(regexp_replace(regexp_replace(s, '[\pZ]', ' ', 'g'), '[^\pL\pN\x00-\x7F]', '#', 'g'), '[^\x00-\x7F]', '_', 'g') AS s FROM pieces),
+  found AS (SELECT book, unnest(regexp_extract_all(s, '\b([A-Z][a-z]{{2,}}(?:\s+[A-Z][a-z]{{2,}}){{0,2}})\b', 1)) AS term FROM plain),
+  counts AS (SELECT book, term, count(*) AS n FROM found WHERE len(list_filter(string_split(term, ' '), lambda w: NOT list_contains({d.COMMON}, w))) > 0 GROUP BY 1, 2)"""
+
+
+@_query("q09_glossary_counts", f"{_TERMS} SELECT book, term, n FROM counts")
+def _(spark, sf_dir):
+    return planning.term_counts(_lines(spark, sf_dir))
+
+
+@_query("q10_glossary_top30", f"{_TERMS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY n DESC, term) AS rank FROM counts WHERE n >= 3) SELECT book, rank, term, n, '<CONSISTENT:' || term || '>' AS rendering FROM ranked WHERE rank <= 30")
+def _(spark, sf_dir):
+    return planning.glossary(planning.term_counts(_lines(spark, sf_dir)))
+
+
+@_query("q11_window_plan", f"WITH RECURSIVE {d.WINDOWS} SELECT w.book, w.chapter_no, w.start, w.n_units, w.n_chars, md5(string_agg(unit, chr(10) ORDER BY unit_no)) AS texts_md5 FROM windows w JOIN final f ON f.book = w.book AND f.chapter_no = w.chapter_no AND f.unit_no >= w.start AND f.unit_no < w.start + w.n_units GROUP BY 1, 2, 3, 4, 5")
+def _(spark, sf_dir):
+    rows = planning.windows(_units(spark, sf_dir))
+    return rows.select("book", "chapter_no", "start", "n_units", "n_chars", F.md5(F.array_join("texts", "\n")).alias("texts_md5"))
+
+
+@_query("q12_context_before", f"WITH {d.FINAL} SELECT book, chapter_no, unit_no, string_agg(unit, chr(10)) OVER (PARTITION BY book, chapter_no ORDER BY unit_no ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS context FROM final")
+def _(spark, sf_dir):
+    return planning.context_before(_units(spark, sf_dir)).withColumn("context", F.array_join("context", "\n"))
+
+
+@_query("q13_source_fingerprint", f"WITH {d.FINAL}, bodies AS (SELECT book, chapter_no, any_value(title) || chr(0) || string_agg(unit || chr(0), '' ORDER BY unit_no) AS body FROM final GROUP BY 1, 2) SELECT book, sha1(string_agg(body, '' ORDER BY chapter_no)) AS source_hash FROM bodies GROUP BY 1")
+def _(spark, sf_dir):
+    return planning.fingerprint(_units(spark, sf_dir))
+
+
+@_query("q14_resume_pairs", f"WITH {d.FINAL} SELECT book, chapter_no, title, unit_no, unit, CASE WHEN unit_no % 3 <> 0 AND chapter_no <> 2 AND book <> 'src1' THEN 'ko: ' || unit ELSE '' END AS translation FROM final")
+def _(spark, sf_dir):
+    units = _units(spark, sf_dir)
+    hashes = planning.fingerprint(units)
+    stored = units.where("unit_no % 3 <> 0").withColumn("translation", F.concat(F.lit("ko: "), "unit")).join(hashes, "book")
+    # One book's fingerprint is another's: its stored pairs are all ignored. One chapter is stored as blanks.
+    stored = stored.withColumn("source_hash", F.when(F.col("book") == "src1", F.lit("0" * 40)).otherwise(F.col("source_hash")))
+    stored = stored.withColumn("translation", F.when(F.col("chapter_no") == 2, F.lit("")).otherwise(F.col("translation")))
+    extra = stored.withColumn("unit_no", F.col("unit_no") + 1000)
+    stored = stored.unionByName(extra).select("book", "chapter_no", "unit_no", "translation", "source_hash")
+    return progress.resumed(units, stored, hashes)
+
+
+@_query("q15_remaining_windows", f"WITH RECURSIVE {d.WINDOWS} SELECT DISTINCT w.book, w.chapter_no, w.start, w.n_units FROM windows w JOIN final f ON f.book = w.book AND f.chapter_no = w.chapter_no AND f.unit_no >= w.start AND f.unit_no < w.start + w.n_units WHERE (f.chapter_no * 31 + f.unit_no) % 7 = 0 AND f.chapter_no % 2 = 0")
+def _(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir).withColumn("translation", F.when(F.col("chapter_no") % 2 == 1, "x").otherwise(F.col("translation")))
+    return progress.remaining(planning.windows(pairs), pairs).select("book", "chapter_no", "start", "n_units")
+
+
+@_query("q16_monotone_merge", f"WITH {d.PAIRS} SELECT book, chapter_no, unit_no, CASE WHEN unit_no % 2 = 0 THEN 'second ' || unit_no WHEN unit_no % 3 = 0 THEN 'first ' || unit_no ELSE translation END AS translation FROM pairs")
+def _(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    keys = ["book", "chapter_no", "unit_no"]
+    first = pairs.where("unit_no % 3 = 0").select(*keys, F.lit(1).alias("seq"), F.concat(F.lit("first "), F.col("unit_no").cast("string")).alias("translation"))
+    second = pairs.select(*keys, F.lit(2).alias("seq"), F.when(F.col("unit_no") % 2 == 0, F.concat(F.lit("second "), F.col("unit_no").cast("string"))).otherwise("\n ").alias("translation"))
+    return progress.merged(pairs, first.unionByName(second)).select(*keys, "translation")
+
+
+@_query("q17_completeness_gate", f"WITH {d.PAIRS}, sums AS (SELECT book, count(*) AS total, count(*) FILTER (WHERE translation <> ' ') AS done FROM pairs GROUP BY 1) SELECT book, total, done, done / total AS rate, CASE WHEN done / total < 0.5 THEN 'systemic' WHEN done < total THEN 'incomplete' ELSE 'complete' END AS status FROM sums")
+def _(spark, sf_dir):
+    return progress.gate(_pairs(spark, sf_dir))
+
+
+@_query("q18_missing_preview", f"""WITH {d.PAIRS}, gaps AS (SELECT book, 'ch' || chapter_no || ' unit' || unit_no AS label, row_number() OVER (PARTITION BY book ORDER BY chapter_no, unit_no) AS r FROM pairs WHERE translation = ' ')
+  SELECT book, count(*) AS missing, string_agg(label, ', ' ORDER BY r) FILTER (WHERE r <= 5) || CASE WHEN count(*) > 5 THEN ', +' || (count(*) - 5) || ' more' ELSE '' END AS preview FROM gaps GROUP BY 1""")
+def _(spark, sf_dir):
+    return progress.missing_preview(_pairs(spark, sf_dir))
+
+
+@_query("q19_slot_alignment", f"""WITH said AS (SELECT conv_id, turn, {d.collapse('text')} AS t, turn % 4 AS kind FROM conversations),
+  rows AS (SELECT conv_id, turn, kind, unnest([1, 2, 3]) AS slot_no, t FROM said)
+  SELECT conv_id, turn, slot_no, CASE WHEN kind = 0 THEN CASE slot_no WHEN 1 THEN t WHEN 2 THEN 'two' ELSE '' END
+    WHEN kind = 1 THEN CASE slot_no WHEN 3 THEN t ELSE '' END WHEN kind = 2 THEN CASE slot_no WHEN 1 THEN t WHEN 2 THEN 'b' ELSE '' END ELSE '' END AS text FROM rows""")
+def _(spark, sf_dir):
+    said = text.collapse(F.col("text"))
+    kind = F.col("turn") % 4
+    reply = (
+        F.when(kind == 0, F.concat(F.lit("[2] two\n[1]\n"), said, F.lit("\n[1] late\n[9] none")))
+        .when(kind == 1, F.concat(F.lit("  [3] "), said, F.lit(" ⟦P⟧\n")))
+        .when(kind == 2, F.concat(said, F.lit("\n⟦P⟧\nb⟦P⟧ ")))
+        .otherwise(said)
+    )
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(replies.slots(reply, F.lit(3))).alias("pos", "text"))
+    return rows.select("conv_id", "turn", (F.col("pos") + 1).alias("slot_no"), "text")
+
+
+@_query("q20_proofread_gate", f"WITH RECURSIVE {d.WINDOWS}, slots AS (SELECT w.book, w.chapter_no, w.start, f.unit_no - w.start AS slot_no, f.unit, CASE WHEN (f.unit_no + w.chapter_no) % 11 = 0 THEN '' ELSE lower(f.unit) END AS polished FROM windows w JOIN final f ON f.book = w.book AND f.chapter_no = w.chapter_no AND f.unit_no >= w.start AND f.unit_no < w.start + w.n_units) SELECT book, chapter_no, start, slot_no, CASE WHEN bool_and(polished <> '') OVER (PARTITION BY book, chapter_no, start) THEN polished ELSE unit END AS text FROM slots")
+def _(spark, sf_dir):
+    rows = planning.windows(_units(spark, sf_dir)).select("book", "chapter_no", "start", F.posexplode("texts").alias("pos", "draft"))
+    gap = (F.col("start") + F.col("pos") + F.col("chapter_no")) % 11 == 0
+    rows = rows.withColumn("slot_no", F.col("pos").cast("long")).withColumn("polished", F.when(gap, "").otherwise(F.lower("draft")))
+    return progress.proofread(rows, ["book", "chapter_no", "start"])
+
+
+@_query("q21_tag_stash", r"SELECT page_id, html AS restored, CAST(len(regexp_extract_all(html, '(?i)</?(?:i|b|em|strong|span|sup|sub|a\b[^>]*)\s*>')) AS INTEGER) AS n_tags, length(html) + sum_len AS stashed_chars FROM (SELECT page_id, html, coalesce(list_sum(list_transform(regexp_extract_all(html, '(?i)</?(?:i|b|em|strong|span|sup|sub|a\b[^>]*)\s*>'), lambda t, i: 5 + length(CAST(i - 1 AS VARCHAR)) - length(t))), 0) AS sum_len FROM pages)")
+def _(spark, sf_dir):
+    rows = _read(spark, sf_dir, "pages").select("page_id", "html", replies.inline_tags(F.col("html")).alias("tags"), replies.stash_tags(F.col("html")).alias("stashed"))
+    return rows.select("page_id", replies.restore_tags(F.col("stashed"), F.col("tags")).alias("restored"), F.size("tags").alias("n_tags"), F.length("stashed").cast("long").alias("stashed_chars"))
+
+
+# -- search
+
+_CANDIDATES = """candidates AS (SELECT p_type AS query, 0 AS source_rank, p_partkey AS pos, 'gutenberg' AS source, p_name AS title, p_brand AS author, CASE WHEN p_size % 2 = 0 THEN 'public domain' ELSE 'unknown' END AS rights FROM part
+  UNION ALL SELECT p_type, 1, -p_partkey, 'standard_ebooks', upper(p_name), p_brand, 'public domain' FROM part WHERE p_partkey % 3 = 0),
+  firsts AS (SELECT *, row_number() OVER (PARTITION BY query, source_rank ORDER BY pos) AS k FROM candidates),
+  owned AS (SELECT *, row_number() OVER (PARTITION BY query, substr(lower(title), 1, 120), substr(lower(author), 1, 80) ORDER BY source_rank, pos) AS o FROM firsts WHERE k <= 5),
+  found AS (SELECT query, source_rank, pos, source, title, author, rights FROM owned WHERE o = 1)"""
+
+
+def _candidates(spark, sf_dir):
+    part = _read(spark, sf_dir, "part")
+    same = ["p_type AS query", "p_brand AS author"]
+    one = part.selectExpr(*same, "0 AS source_rank", "p_partkey AS pos", "'gutenberg' AS source", "p_name AS title", "CASE WHEN p_size % 2 = 0 THEN 'public domain' ELSE 'unknown' END AS rights")
+    two = part.where("p_partkey % 3 = 0").selectExpr(*same, "1 AS source_rank", "-p_partkey AS pos", "'standard_ebooks' AS source", "upper(p_name) AS title", "'public domain' AS rights")
+    return search.merged(one.unionByName(two))
+
+
+@_query("q22_search_union", f"WITH {_CANDIDATES} SELECT * FROM found")
+def _(spark, sf_dir):
+    return _candidates(spark, sf_dir).select("query", "source_rank", "pos", "source", "title", "author", "rights")
+
+
+@_query("q23_route_query", f"""WITH asked AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN ' ANNAS: ' || p_name WHEN 1 THEN '/' || p_name WHEN 2 THEN 'Local:' || p_name WHEN 3 THEN '~' || p_name ELSE p_name || ' ' END AS q FROM part)
+  SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'gutenberg,standard_ebooks,annas_archive' WHEN 4 THEN 'gutenberg,standard_ebooks' ELSE 'local' END AS sources, CASE p_partkey % 5 WHEN 0 THEN {d.strip("substr(" + d.strip("q") + ", 7)")} WHEN 2 THEN {d.strip("substr(q, 7)")} ELSE {d.strip("q")} END AS query FROM asked""")
+def _(spark, sf_dir):
+    asked = F.expr("CASE p_partkey % 5 WHEN 0 THEN ' ANNAS: ' || p_name WHEN 1 THEN '/' || p_name WHEN 2 THEN 'Local:' || p_name WHEN 3 THEN '~' || p_name ELSE p_name || ' ' END")
+    rows = _read(spark, sf_dir, "part").select("p_partkey", search.route(asked).alias("r"))
+    return rows.select("p_partkey", F.array_join("r.sources", ",").alias("sources"), "r.query")
+
+
+@_query("q24_catalogue_pages", """SELECT query, row_number() OVER (PARTITION BY query ORDER BY p_partkey) AS pos, CAST(p_partkey AS VARCHAR) AS source_id, p_name AS title, p_brand || ', B' AS author, CASE WHEN p_size % 3 = 0 THEN 'fr' ELSE 'en' END AS language,
+  CASE p_size % 3 WHEN 0 THEN 'public domain' WHEN 1 THEN 'copyright' ELSE 'unknown' END AS rights, CASE p_size % 4 WHEN 0 THEN 'u' || p_partkey WHEN 1 THEN 'e' || p_partkey END AS fetch_url FROM (SELECT *, p_type AS query, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS r FROM part) WHERE r <= 8""")
+def _(spark, sf_dir):
+    part = _read(spark, sf_dir, "part")
+    formats = F.expr("CASE p_size % 4 WHEN 0 THEN map('text/plain; charset=utf-8', 'u' || p_partkey, 'application/epub+zip', 'e' || p_partkey) WHEN 1 THEN map('text/plain; charset=utf-8', '', 'application/epub+zip', 'e' || p_partkey) ELSE map('image/jpeg', 'c') END")
+    book = F.struct(
+        F.col("p_partkey").alias("id"), F.concat(F.lit(" "), "p_name").alias("title"), F.array(F.struct(F.col("p_brand").alias("name")), F.struct(F.lit("B").alias("name"))).alias("authors"),
+        F.when(F.col("p_size") % 3 == 0, F.array(F.lit("fr"), F.lit("en"))).alias("languages"), F.when(F.col("p_size") % 3 == 0, False).when(F.col("p_size") % 3 == 1, True).alias("copyright"), formats.alias("formats"),
+    )
+    rows = part.select(F.col("p_type").alias("query"), F.floor(F.col("p_partkey") / 50).alias("page_no"), "p_partkey", book.alias("b"))
+    bodies = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.to_json("b").alias("j")))), lambda x: x["j"]), ",")
+    pages = rows.groupBy("query", "page_no").agg(F.concat(F.lit('{"next":"x","results":['), bodies, F.lit("]}")).alias("body"))
+    return payloads.catalogue(pages).drop("source")
+
+
+@_query("q25_language", f"SELECT doc_id, {d.language_base('tag')} AS base, {d.language_name(d.language_base('tag'))} AS name FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN upper(lang) || '-XY' WHEN 1 THEN '' ELSE lang END AS tag FROM documents)")
+def _(spark, sf_dir):
+    tag = F.expr("CASE doc_id % 3 WHEN 0 THEN upper(lang) || '-XY' WHEN 1 THEN '' ELSE lang END")
+    base = text.language_base(tag)
+    return _read(spark, sf_dir, "documents").select("doc_id", base.alias("base"), text.language_name(base).alias("name"))
+
+
+@_query("q26_candidate_list", f"""WITH {_CANDIDATES}, numbered AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY source_rank, pos) AS i FROM found)
+  SELECT query, '🔍 ''' || query || ''' 검색 결과 (' || count(*) || '건)' || chr(10) || '번호를 답장으로 보내면 번역을 시작합니다.' || chr(10) || chr(10) || string_agg(i || '. [' || CASE source WHEN 'gutenberg' THEN 'GB' ELSE 'SE' END || '] ' || title || ' / ' || author || ' ' || CASE WHEN rights = 'unknown' THEN '' ELSE '[' || rights || ']' END, chr(10) ORDER BY i) FILTER (WHERE i <= 8) AS message FROM numbered GROUP BY query""")
+def _(spark, sf_dir):
+    return search.shown(_candidates(spark, sf_dir))
+
+
+# -- state
+
+_STATES = "[" + ", ".join(map(d.quoted, state.STATES)) + "]"
+_LOG = f"""log AS (SELECT user_id AS id, event_id AS seq, CASE WHEN event_id % 3 <> 0 THEN {_STATES}[CAST((event_id // 150) % 7 + 1 AS INTEGER)] END AS status, CASE WHEN event_id % 2 = 0 THEN value END AS value,
+  CASE WHEN event_type = 'error' THEN props END AS error, event_type = 'purchase' AS cleared FROM events)"""
+
+
+def _log(spark, sf_dir):
+    names = F.array(*map(F.lit, state.STATES))
+    status = F.when(F.col("event_id") % 3 != 0, F.get(names, (F.floor(F.col("event_id") / 150) % 7).cast("int")))
+    return _read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("id"), F.col("event_id").alias("seq"), status.alias("status"), F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("value"),
+        F.when(F.col("event_type") == "error", F.col("props")).alias("error"), F.when(F.col("event_type") == "purchase", F.array(F.lit("error"))).alias("cleared"),
+    )
+
+
+_CURRENT = f"WITH {_LOG}, state AS (SELECT id, min(seq) AS created_seq, max(seq) AS updated_seq, arg_max(status, seq) FILTER (WHERE status IS NOT NULL) AS status, arg_max(value, seq) FILTER (WHERE value IS NOT NULL) AS value, arg_max_null(error, seq) FILTER (WHERE error IS NOT NULL OR cleared) AS error FROM log GROUP BY 1)"
+
+
+@_query("q27_catalog_current", f"{_CURRENT} SELECT * FROM state")
+def _(spark, sf_dir):
+    return state.current(_log(spark, sf_dir), ["status", "value", "error"])
+
+
+@_query("q28_catalog_recent", f"{_CURRENT} SELECT * FROM state ORDER BY created_seq DESC LIMIT 20")
+def _(spark, sf_dir):
+    return state.recent(state.current(_log(spark, sf_dir), ["status", "value", "error"]), 20)
+
+
+_ALLOWED = " OR ".join(f"(before = {d.quoted(k)} AND status IN ({', '.join(map(d.quoted, v))}))" for k, v in state.NEXT_STATES.items() if v)
+
+
+@_query("q29_state_transitions", f"WITH {_LOG}, steps AS (SELECT id, seq, lag(status) OVER (PARTITION BY id ORDER BY seq) AS before, status FROM log WHERE status IS NOT NULL) SELECT *, CASE WHEN before IS NULL THEN status = 'requested' ELSE status = 'failed' OR status = before OR {_ALLOWED} END AS allowed FROM steps")
+def _(spark, sf_dir):
+    return state.transitions(_log(spark, sf_dir))
+
+
+@_query("q30_progress_pct", "SELECT event_id, CASE WHEN t = 0 THEN 0.0 ELSE round_even(100 * CAST(n AS DOUBLE) / t, 1) END AS pct FROM (SELECT event_id, CAST(event_id % 401 AS BIGINT) AS n, CAST(event_id % 401 + event_id % 5 * 100 AS BIGINT) AS t FROM events)")
+def _(spark, sf_dir):
+    done = F.col("event_id") % 401
+    return _read(spark, sf_dir, "events").select("event_id", text.percent(done, done + F.col("event_id") % 5 * 100).alias("pct"))
+
+
+_PROGRESS = "progress AS (SELECT user_id AS id, event_id AS seq, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS done, CAST(count(*) OVER (PARTITION BY user_id) AS BIGINT) AS total FROM events)"
+
+
+@_query("q31_progress_crossings", f"WITH {_PROGRESS}, b AS (SELECT *, 100 * done // total AS pct, (100 * done // total) // 20 AS bucket FROM progress), s AS (SELECT *, coalesce(max(CASE WHEN bucket > 0 THEN bucket END) OVER (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS seen FROM b) SELECT id, seq, done, total, pct, bucket FROM s WHERE bucket > seen AND bucket > 0")
+def _(spark, sf_dir):
+    own = W.partitionBy("user_id")
+    rows = _read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.row_number().over(own.orderBy("event_id")).cast("long").alias("done"), F.count(F.lit(1)).over(own).alias("total"))
+    return state.crossings(rows)
+
+
+_OPS = "ops AS (SELECT CAST(user_id AS VARCHAR) AS path, event_id AS seq, CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'remove' ELSE 'attempt' END ELSE 'attempt' END AS op, CASE WHEN event_type = 'signup' THEN 'Book ' || event_id END AS title FROM events)"
+_QUEUE = f"{_OPS}, begun AS (SELECT *, max(CASE WHEN op = 'enqueue' THEN seq END) OVER (PARTITION BY path) AS start FROM ops), queue AS (SELECT path, arg_max(title, seq) FILTER (WHERE op = 'enqueue') AS title, max(start) AS queued_seq, count(*) FILTER (WHERE op = 'attempt') AS attempts, max(CASE WHEN op = 'attempt' THEN seq END) AS last_attempt_seq FROM begun WHERE seq >= start GROUP BY path HAVING NOT bool_or(op = 'remove'))"
+
+
+def _ops(spark, sf_dir):
+    op = F.expr("CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'remove' ELSE 'attempt' END ELSE 'attempt' END")
+    return _read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("seq"), op.alias("op"), F.when(F.col("event_type") == "signup", F.concat(F.lit("Book "), F.col("event_id").cast("string"))).alias("title"))
+
+
+@_query("q32_queue_state", f"WITH {_QUEUE} SELECT * FROM queue")
+def _(spark, sf_dir):
+    return state.queue(_ops(spark, sf_dir))
+
+
+@_query("q33_drain_summary", f"""WITH {_QUEUE}, ticks AS (SELECT queued_seq % 4 AS tick, path, row_number() OVER (PARTITION BY queued_seq % 4 ORDER BY queued_seq) AS pos, CAST(path AS BIGINT) AS n FROM queue),
+  stops AS (SELECT *, min(CASE WHEN n % 5 <> 0 AND n % 4 <> 0 AND n % 7 = 0 THEN pos END) OVER (PARTITION BY tick) AS stop FROM ticks),
+  done AS (SELECT *, CASE WHEN pos > coalesce(stop, 1e15) THEN 'waiting' WHEN n % 5 = 0 THEN 'gone' WHEN n % 4 = 0 THEN 'pushed' ELSE 'failed' END AS result FROM stops)
+  SELECT tick, count(*) AS queued, count(*) FILTER (WHERE result = 'pushed') AS pushed, count(*) FILTER (WHERE result = 'failed') AS failed, count(*) FILTER (WHERE result IN ('failed', 'waiting')) AS "left" FROM done GROUP BY 1""")
+def _(spark, sf_dir):
+    queue = state.queue(_ops(spark, sf_dir)).withColumn("tick", F.col("queued_seq") % 4)
+    items = queue.select("tick", "path", F.row_number().over(W.partitionBy("tick").orderBy("queued_seq")).alias("pos"))
+    n = F.col("path").cast("long")
+    outcomes = queue.select("tick", "path", (n % 5 != 0).alias("exists"), (n % 4 == 0).alias("pushed"), (n % 7 == 0).alias("skipped"))
+    return state.drain_summary(state.drained(items, outcomes))
+
+
+# -- coverage, rendering, functions
+
+
+@_query("q34_code_points", "SELECT DISTINCT CAST(unicode(ch) AS BIGINT) AS cp FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' UNION SELECT * FROM range(32, 127) UNION SELECT 65533")
+def _(spark, sf_dir):
+    return coverage.code_points(_read(spark, sf_dir, "documents"))
+
+
+@_query("q35_coverage_lines", "WITH cps AS (SELECT DISTINCT CAST(unicode(ch) AS BIGINT) AS cp FROM (SELECT unnest(string_split(text, '')) AS ch FROM conversations) WHERE ch <> '' UNION SELECT * FROM range(32, 127) UNION SELECT 65533) SELECT row_number() OVER (ORDER BY cp) AS line_no, printf('0x%04X', cp) AS line FROM cps UNION ALL SELECT 0, '# ' || count(*) || ' codepoints (book-specific subset)' FROM cps")
+def _(spark, sf_dir):
+    return coverage.coverage_lines(coverage.code_points(_read(spark, sf_dir, "conversations")))
+
+
+def _escape_sql(x: str) -> str:
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        x = f"replace({x}, {d.quoted(raw)}, {d.quoted(entity)})"
+    return x
+
+
+@_query("q36_xml_escape", f"SELECT doc_id, {_escape_sql("text || ' <a & b> ' || chr(34)")} AS escaped FROM documents")
+def _(spark, sf_dir):
+    # Entities of several depths on the Spark side: they must come out as if the text had held the character.
+    nested = F.concat("text", F.lit(" &amp;lt;a &amp;amp;amp; b&gt; &quot;"))
+    return _read(spark, sf_dir, "documents").select("doc_id", text.xml_escape(nested).alias("escaped"))
+
+
+_XHTML = """'<?xml version="1.0" encoding="utf-8"?><!DOCTYPE html><html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><meta charset="utf-8"/><link rel="stylesheet" type="text/css" href="style.css"/><title>' || t || '</title></head><body><h1>' || t || '</h1>' || ps || '</body></html>'"""
+
+
+@_query("q37_chapter_xhtml", f"""WITH {d.PAIRS}, ps AS (SELECT book, chapter_no, any_value(title) AS title, {_escape_sql('any_value(title)')} AS t, string_agg('<p class="cp-original" xml:lang="en" style="line-height:1.55;">' || {_escape_sql('unit')} || '</p><p class="cp-translation" xml:lang="ko" style="line-height:1.65;">' || {_escape_sql('translation')} || '</p>', '' ORDER BY unit_no) AS ps FROM pairs GROUP BY 1, 2)
+  SELECT book, chapter_no, title, {_XHTML} AS xhtml FROM ps""")
+def _(spark, sf_dir):
+    return render.chapters(_pairs(spark, sf_dir))
+
+
+@_query("q38_navigation", f"""WITH {d.FINAL}, ts AS (SELECT book, chapter_no, {_escape_sql('any_value(title)')} AS t FROM final GROUP BY 1, 2)
+  SELECT book, string_agg('<li><a href="chapter' || chapter_no || '.xhtml">' || t || '</a></li>', chr(10) ORDER BY chapter_no) AS nav, string_agg('<navPoint id="navpoint-' || chapter_no || '" playOrder="' || chapter_no || '"><navLabel><text>' || t || '</text></navLabel><content src="chapter' || chapter_no || '.xhtml"/></navPoint>', chr(10) ORDER BY chapter_no) AS ncx FROM ts GROUP BY 1""")
+def _(spark, sf_dir):
+    return render.navigation(_units(spark, sf_dir).groupBy("book", "chapter_no").agg(F.first("title").alias("title")))
+
+
+@_query("q39_safe_filename", r"SELECT doc_id, coalesce(nullif(substr(regexp_replace(t, '[^\pL\pN _-]', '_', 'g'), 1, 80), ''), 'book') AS name FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE substr(text, 1, 100) END AS t FROM documents)")
+def _(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", text.safe_filename(F.expr("CASE WHEN doc_id % 10 = 0 THEN '' ELSE substr(text, 1, 100) END")).alias("name"))
+
+
+@_query("q40_library_upsert", "WITH log AS (SELECT 'Title ' || user_id AS title, 'f' || event_id AS path, CASE WHEN event_id % 2 = 0 THEN event_type END AS source, event_id AS seq FROM events), last AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY seq DESC) AS n FROM log) SELECT title, path, source, seq, substr(sha256(title), 1, 12) AS id, '/opds/book/' || substr(sha256(title), 1, 12) AS url, 'bilingual,korean' || CASE WHEN source IS NOT NULL THEN ',source:' || source ELSE '' END AS tags FROM last WHERE n = 1")
+def _(spark, sf_dir):
+    log = _read(spark, sf_dir, "events").selectExpr("'Title ' || user_id AS title", "'f' || event_id AS path", "CASE WHEN event_id % 2 = 0 THEN event_type END AS source", "event_id AS seq")
+    return state.published(log)
+
+
+@_query("q41_lenient_json", "SELECT event_id, CASE WHEN event_id % 5 <> 4 THEN json_extract_string(props, '$.k') END AS k FROM events")
+def _(spark, sf_dir):
+    reply = F.expr("CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN '```json\n' || props || '\n```' WHEN 2 THEN 'Here it is: ' || props || ' as asked.' WHEN 3 THEN '``` ' || props || ' ```' ELSE '[1, ' || props || ']' END")
+    return _read(spark, sf_dir, "events").select("event_id", F.try_element_at(replies.lenient_json(reply), F.lit("k")).alias("k"))
+
+
+@_query("q42_conversation_pairs", "WITH n AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, text AS original, next_text AS translation FROM n WHERE role = 'user' AND next_role = 'assistant'")
+def _(spark, sf_dir):
+    order = W.partitionBy("conv_id").orderBy("turn")
+    rows = _read(spark, sf_dir, "conversations").withColumn("next_role", F.lead("role").over(order)).withColumn("translation", F.lead("text").over(order))
+    return rows.where("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("original"), "translation")
+
+
+def _stub(request: str) -> str:
+    """A model that marks its answers, forgets every slot whose text begins with an S, and numbers its answers."""
+    import re
+
+    body = request.rsplit("--- End of context ---", 1)[-1]
+    parts = re.split(r"(?:^|\n\n)\[(\d+)\]\n", body)
+    if len(parts) < 3:
+        return "ko: " + body.rsplit("\n\n", 1)[-1]
+    return "\n".join(f"[{k}] ko: {t}" for k, t in zip(parts[1::2], parts[2::2]) if not t.startswith("S"))
+
+
+@_query("q43_translated_book", f"WITH {d.FINAL} SELECT book, chapter_no, unit_no, unit, 'ko: ' || unit AS translation FROM final WHERE book IN ('src0', 'src1')")
+def _(spark, sf_dir):
+    units = _units(spark, sf_dir).where(F.col("book").isin("src0", "src1"))
+    return progress.translated(units, _stub)
+
+
+# -- payloads and the rest
+
+
+@_query("q44_page_links", r"""SELECT page_id, pos - 1 AS pos, href[pos] AS href FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*[\x22\x27]([^\x22\x27]*)[\x22\x27][^>]*>(.*?)</a\s*>', 1) AS href, unnest(range(1, len(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*[\x22\x27]([^\x22\x27]*)[\x22\x27][^>]*>(.*?)</a\s*>', 1)) + 1)) AS pos FROM pages)""")
+def _(spark, sf_dir):
+    return payloads.links(_read(spark, sf_dir, "pages").select(F.col("page_id").alias("query"), "html")).select(F.col("query").alias("page_id"), "pos", "href")
+
+
+@_query("q45_book_links", "SELECT query, pos, source_id, title, author, fetch_url FROM (SELECT p_type AS query, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS pos, 'b-' || p_partkey AS source_id, p_name AS title, 'Jane Roe ' || p_size AS author, 'https://example.org/ebooks/jane-roe-' || p_size || '/b-' || p_partkey AS fetch_url FROM part WHERE p_partkey % 2 = 0) WHERE pos <= 8")
+def _(spark, sf_dir):
+    # Every second book has no text at first, and every odd one is an author's page; anchors repeat.
+    anchor = F.expr("""CASE WHEN p_partkey % 2 = 1 THEN '<a href="/ebooks/jane-roe-' || p_size || '">x</a>' ELSE '<a href="/ebooks/jane-roe-' || p_size || '/b-' || p_partkey || '?q=1"><img src="c"/></a><a class="t" href="https://example.org/ebooks/jane-roe-' || p_size || '/b-' || p_partkey || '"> <b>' || p_name || '</b></a><a href="/ebooks/jane-roe-' || p_size || '/b-' || p_partkey || '#top">again</a>' END""")
+    pages = _read(spark, sf_dir, "part").groupBy(F.col("p_type").alias("query")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", anchor.alias("a")))), lambda x: x["a"]), "\n").alias("html"))
+    return payloads.book_links(pages, "https://example.org").select("query", "pos", "source_id", "title", "author", "fetch_url")
+
+
+@_query("q46_search_hits", "SELECT event_id AS id, 1 AS pos, event_type AS title, '' AS link, CASE WHEN event_id % 3 = 2 THEN 'x' ELSE props END AS content FROM events")
+def _(spark, sf_dir):
+    hit = F.struct(F.col("event_type").alias("title"), F.when(F.col("event_id") % 3 == 2, "x").otherwise(F.col("props")).alias("content"))
+    body = F.when(F.col("event_id") % 3 == 0, F.to_json(F.array(hit))).when(F.col("event_id") % 3 == 1, F.to_json(F.struct(F.array(hit).alias("results")))).otherwise(F.concat(F.lit('"'), F.replace(F.to_json(F.struct(F.array(hit).alias("data"))), F.lit('"'), F.lit('\\"')), F.lit('"')))
+    return payloads.search_hits(_read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), body.alias("text")))
+
+
+@_query("q47_event_messages", "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS pos, props AS message FROM events")
+def _(spark, sf_dir):
+    stream = F.col("event_id") % 2 == 0
+    body = F.when(stream, F.concat(F.lit("event: m\ndata: {broken\r\ndata: "), "props", F.lit("\n\n"))).otherwise(F.col("props"))
+    return payloads.event_messages(_read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(stream, "text/event-stream; x").otherwise("application/json").alias("content_type"), body.alias("body")))
+
+
+@_query("q48_fonts_and_images", "SELECT doc_id, CASE WHEN l IN ('ja', 'zh') THEN 'cjk-serif' ELSE 'hangul-serif' END AS primary_font, CASE WHEN l IN ('ja', 'zh') THEN 'hangul-serif' END AS fallback, CASE doc_id % 4 WHEN 0 THEN '.png' WHEN 1 THEN '.gif' WHEN 2 THEN '.webp' ELSE '.jpg' END AS extension FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'ja' WHEN 1 THEN 'zh' ELSE lang END AS l FROM documents)")
+def _(spark, sf_dir):
+    font = coverage.font(F.expr("CASE doc_id % 3 WHEN 0 THEN 'ja-JP' WHEN 1 THEN 'ZH' ELSE lang END"))
+    image = text.image_type(F.expr("CASE doc_id % 4 WHEN 0 THEN X'89504E470D0A1A0A00' WHEN 1 THEN X'47494638396100' WHEN 2 THEN X'524946460000000057454250' ELSE X'00' END"))
+    rows = _read(spark, sf_dir, "documents").select("doc_id", font.alias("f"), image.alias("i"))
+    return rows.select("doc_id", F.col("f.primary").alias("primary_font"), F.col("f.fallback").alias("fallback"), F.col("i.extension").alias("extension"))
+
+
+@_query("q49_best_cover", "WITH o AS (SELECT user_id AS book, event_id AS rank, event_type AS url FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 1 AND value > 1.5) SELECT CAST(book AS VARCHAR) AS book, arg_min(url, rank) AS url FROM o GROUP BY 1")
+def _(spark, sf_dir):
+    e = F.col("event_id")
+    offers = _read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("book"), e.alias("rank"), F.when(e % 3 == 0, 404).otherwise(200).alias("status"), F.when(F.col("value") > 1.5, 2000).otherwise(100).alias("bytes"), F.when(e % 5 == 1, "text/html").otherwise("image/png").alias("content_type"), F.col("event_type").alias("url"))
+    return payloads.best_cover(offers)
+
+
+@_query("q50_full_text", f"WITH {d.FINAL}, bodies AS (SELECT book, chapter_no, any_value(title) || chr(10) || string_agg(unit, chr(10) ORDER BY unit_no) AS body FROM final GROUP BY 1, 2) SELECT book, md5(string_agg(body, chr(10) || chr(10) ORDER BY chapter_no)) AS text_md5 FROM bodies GROUP BY 1")
+def _(spark, sf_dir):
+    return planning.full_text(_units(spark, sf_dir)).select("book", F.md5("text").alias("text_md5"))
+
+
+@_query("q51_device_address", "SELECT '10.0.0.' || min(event_id) FILTER (WHERE event_id > 2 AND event_id % 3 = 1) AS ip, 'cache' AS source FROM events")
+def _(spark, sf_dir):
+    e = F.col("event_id")
+    found = _read(spark, sf_dir, "events").select(e.alias("rank"), F.when(e > 2, F.concat(F.lit("10.0.0."), e.cast("string"))).alias("ip"), F.lit("cache").alias("source"), F.when(e % 3 == 1, 1_000_000).otherwise(100).alias("discovered_ms"))
+    return state.device_address(found, 1_200_000)
+
+
+@_query("q52_glossary_enriched", f"{_TERMS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY n DESC, term) AS rank FROM counts WHERE n >= 3) SELECT book, rank, term, n, CASE WHEN rank % 2 = 0 AND rank <= 20 THEN 'K' || term ELSE '<CONSISTENT:' || term || '>' END AS rendering FROM ranked WHERE rank <= 30")
+def _(spark, sf_dir):
+    terms = planning.glossary(planning.term_counts(_lines(spark, sf_dir)))
+    answered = terms.where("rank % 2 = 0 and rank <= 20").groupBy("book").agg(F.map_from_entries(F.collect_list(F.struct("term", F.concat(F.lit("K"), "term")))).alias("m"))
+    said = answered.select("book", F.lit(0).cast("long").alias("chunk_no"), F.concat(F.lit("```json\n"), F.to_json("m"), F.lit("\n```")).alias("reply"))
+    return planning.enriched(terms, said)
+
+
+@_query("q53_epub_status", f"WITH {d.PAIRS} SELECT book, CASE WHEN book = 'src2' THEN 'refused' ELSE 'written' END AS status, count(DISTINCT chapter_no) AS n_chapters FROM pairs WHERE book IN ('src2', 'src3') GROUP BY 1")
+def _(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir).where(F.col("book").isin("src2", "src3")).withColumn("translation", F.when(F.col("book") == "src3", F.concat(F.lit("ko: "), "unit")).otherwise(F.col("translation")))
+    made = render.epubs(pairs, stamp="2024-01-01T00:00:00Z").select("book", "status")
+    return made.join(pairs.groupBy("book").agg(F.countDistinct("chapter_no").alias("n_chapters")), "book")
+
+
+@_query("q54_book_plan")
+def _(spark, sf_dir):
+    return flagship(spark, sf_dir)
