@@ -23,8 +23,9 @@ def code_points(texts: DataFrame, column: str = "text", always: bool = True) ->
 
 def json_texts(documents: DataFrame, column: str) -> DataFrame:
     """``text``: the string values, not the keys, of JSON documents at any depth."""
-    values = F.regexp_extract_all(F.col(column), F.lit(r'"((?:[^"\\]|\\.)*)"(?!\s*:)'), F.lit(1))
-    rows = documents.select(F.explode(values).alias("raw"))
+    string = F.lit(r'"((?:[^"\\]|\\.)*)"(\s*:)?')  # with a colon after it, it is a key
+    found = F.arrays_zip(F.regexp_extract_all(F.col(column), string, F.lit(1)).alias("raw"), F.regexp_extract_all(F.col(column), string, F.lit(2)).alias("colon"))
+    rows = documents.select(F.explode(F.filter(found, lambda x: x["colon"] == "")).alias("s")).select(F.col("s.raw").alias("raw"))
     return rows.select(F.from_json(F.concat(F.lit('{"x":"'), "raw", F.lit('"}')), "x string")["x"].alias("text"))
 
 
