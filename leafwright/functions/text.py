@@ -105,14 +105,6 @@ def xml_escape_once(c: Column) -> Column:
     return c
 
 
-def xml_unescape_basic(c: Column, depth: int = 4) -> Column:
-    """The five XML entities decoded ``depth`` times, for text that is known to hold no others."""
-    for _ in range(depth):
-        for entity, raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&amp;", "&")):
-            c = F.replace(c, F.lit(entity), F.lit(raw))
-    return c
-
-
 def xml_escape(c: Column) -> Column:
     """Entities decoded until nothing changes, then ``& < > "`` escaped once; null is empty.
 

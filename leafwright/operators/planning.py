@@ -75,22 +75,31 @@ def full_text(rows: DataFrame) -> DataFrame:
     return chapter.groupBy("book").agg(whole.alias("text"))
 
 
+_SENTENCE_GAP = r"(?U)(?<=[.!?])\s+"
+_TERM = r"(?U)\b([A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,}){0,2})\b"
+
+
+def _uncommon(stopwords: list[str] | None) -> Column:
+    common = F.array(*map(F.lit, STOPWORDS if stopwords is None else stopwords))
+    return ~F.forall(F.split("term", r"(?U)\s+", -1), lambda w: F.array_contains(common, w))
+
+
 def term_counts(rows: DataFrame, text: str = "text", stopwords: list[str] | None = None) -> DataFrame:
     """``book, term, n``: capitalised phrases of one to three words, sentence by sentence, unless all words are common."""
-    common = F.array(*map(F.lit, STOPWORDS if stopwords is None else stopwords))
-    pieces = rows.select("book", F.explode(F.split(F.col(text), r"(?U)(?<=[.!?])\s+", -1)).alias("sentence"))
-    terms = pieces.select("book", F.explode(F.regexp_extract_all("sentence", F.lit(r"(?U)\b([A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,}){0,2})\b"), F.lit(1))).alias("term"))
-    terms = terms.where(~F.forall(F.split("term", r"(?U)\s+", -1), lambda w: F.array_contains(common, w)))
-    return terms.groupBy("book", "term").agg(F.count(F.lit(1)).alias("n"))
+    pieces = rows.select("book", F.explode(F.split(F.col(text), _SENTENCE_GAP, -1)).alias("sentence"))
+    terms = pieces.select("book", F.explode(F.regexp_extract_all("sentence", F.lit(_TERM), F.lit(1))).alias("term"))
+    return terms.where(_uncommon(stopwords)).groupBy("book", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def first_contexts(rows: DataFrame, terms: DataFrame, text: str = "text", around: int = 30) -> DataFrame:
-    """``book, term, context``: a few characters around a term's first occurrence (``book, doc_id, text`` in order)."""
+def first_contexts(rows: DataFrame, order: list[str], text: str = "text", around: int = 30, stopwords: list[str] | None = None) -> DataFrame:
+    """``book, term, context``: a few characters around a term in the first sentence that has it, by ``order``."""
     from leafwright.functions.text import strip
 
-    found = rows.join(terms.select("book", "term"), "book").withColumn("at", F.expr(f"locate(term, {text})")).where("at > 0")
-    cut = strip(F.substr(F.col(text), F.greatest(F.col("at") - around, F.lit(1)), F.length("term") + around + F.least(F.col("at") - 1, F.lit(around))))
-    return found.groupBy("book", "term").agg(F.min_by(cut, "doc_id").alias("context"))
+    pieces = rows.select("book", *order, F.posexplode(F.split(F.col(text), _SENTENCE_GAP, -1)).alias("pos", "sentence"))
+    found = pieces.select("*", F.explode(F.array_distinct(F.regexp_extract_all("sentence", F.lit(_TERM), F.lit(1)))).alias("term")).where(_uncommon(stopwords))
+    at = F.expr("locate(term, sentence)")
+    cut = strip(F.substr("sentence", F.greatest(at - around, F.lit(1)), F.length("term") + around + F.least(at - 1, F.lit(around))))
+    return found.groupBy("book", "term").agg(F.min_by(cut, F.struct(*order, "pos")).alias("context"))
 
 
 def glossary(counts: DataFrame, least: int = LEAST_COUNT, most: int = MOST_TERMS) -> DataFrame:

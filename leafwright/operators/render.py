@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwright.functions.text import is_blank, xml_escape
+from leafwright.shipping import ship
 
 _HEAD = '<?xml version="1.0" encoding="utf-8"?>'
 _XHTML = '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops">'
@@ -102,4 +103,5 @@ def epubs(pairs: DataFrame, source: str = "en", target: str = "ko", stamp: str |
                 out.append(target_bytes.getvalue())
             yield frame[["book"]].assign(status=["refused" if b else "written" for b in frame["blank"]], epub=out)
 
+    ship(pairs.sparkSession)
     return rows.select("book", "chapters", "nav", "ncx", "opf", "blank", "cover").mapInPandas(build, "book string, status string, epub binary")

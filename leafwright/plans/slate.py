@@ -6,6 +6,8 @@ paragraph, and a heading is put before every fifth document, on both sides alike
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,7 @@ from leafwright.functions import replies, text
 from leafwright.operators import coverage, planning, progress, render, search, segment, state
 from leafwright.plans import dialect as d
 from leafwright.sources import books, payloads
+from leafwright.streaming import queue as queue_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -528,6 +531,27 @@ def _(spark, sf_dir):
     return made.join(pairs.groupBy("book").agg(F.countDistinct("chapter_no").alias("n_chapters")), "book")
 
 
+@_query("q55_queue_stream", f"WITH {_QUEUE} SELECT path, title, queued_seq, attempts + 1 AS attempts FROM queue")
+def _(spark, sf_dir):
+    # The log as a stream: one batch, in which every push fails once.
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafwright-queue-")
+    at = f"{base.rstrip('/')}/queue-{uuid.uuid4().hex[:12]}"
+    _ops(spark, sf_dir).write.parquet(f"{at}/events")
+    outcomes = lambda items: items.select("path", F.lit(True).alias("exists"), F.lit(False).alias("pushed"), F.lit(False).alias("skipped"))
+    queue_stream.run(spark, f"{at}/events", f"{at}/store", f"{at}/checkpoint", outcomes).awaitTermination()
+    return state.queue(queue_stream.stored_log(spark, f"{at}/store")).select("path", "title", "queued_seq", "attempts")
+
+
+@_query("q56_term_contexts", rf"""WITH {d.LINES}, pieces AS (SELECT book, doc_id, line_no, unnest(string_split(regexp_replace(text, '([.!?])[\s\pZ]+', '\1' || chr(2), 'g'), chr(2))) AS s, generate_subscripts(string_split(regexp_replace(text, '([.!?])[\s\pZ]+', '\1' || chr(2), 'g'), chr(2)), 1) AS k FROM lines),
+  masked AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(s, '[\pZ]', ' ', 'g'), '[^\pL\pN\x00-\x7F]', '#', 'g'), '[^\x00-\x7F]', '_', 'g') AS m FROM pieces),
+  found AS (SELECT book, doc_id, line_no, k, s, unnest(list_distinct(regexp_extract_all(m, '\b([A-Z][a-z]{{2,}}(?:\s+[A-Z][a-z]{{2,}}){{0,2}})\b', 1))) AS term FROM masked),
+  firsts AS (SELECT *, row_number() OVER (PARTITION BY book, term ORDER BY doc_id, line_no, k) AS r FROM found WHERE len(list_filter(string_split(term, ' '), lambda w: NOT list_contains({d.COMMON}, w))) > 0)
+  SELECT book, term, {d.strip("substr(s, greatest(instr(s, term) - 30, 1), length(term) + 30 + least(instr(s, term) - 1, 30))")} AS context FROM firsts WHERE r = 1""")
+def _(spark, sf_dir):
+    rows = _lines(spark, sf_dir)
+    return planning.first_contexts(rows, ["doc_id", "line_no"])
+
+
 @_query("q54_book_plan")
 def _(spark, sf_dir):
     return flagship(spark, sf_dir)

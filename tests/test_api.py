@@ -1,0 +1,74 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from leafwright import api
+from leafwright.__main__ import main
+
+TEXT = "CHAPTER I\n\n" + "\n\n".join(f"Sentence {k} of the first <i>part</i>. And Box again." for k in range(15)) + "\n\nCHAPTER II\n\n" + "\n\n".join(f"Other {k} here. Box too." for k in range(12))
+
+
+def paragraphs(spark):
+    rows = [("b", k, t) for k, t in enumerate(TEXT.split("\n\n"))]
+    return spark.createDataFrame(rows, "book string, para_no long, text string")
+
+
+def a_model():
+    def model(request):
+        import re
+
+        body = request.rsplit("--- End of context ---", 1)[-1]
+        parts = re.split(r"(?:^|\n\n)\[(\d+)\]\n", body)
+        return "\n".join(f"[{k}] ko {t}" for k, t in zip(parts[1::2], parts[2::2])) if len(parts) > 2 else "ko " + body.rsplit("\n\n", 1)[-1]
+
+    return model
+
+
+def test_interrupted_and_resumed_is_the_same(spark, tmp_path):
+    model = a_model()
+
+    def broken(request):
+        if "Other" in request:
+            raise RuntimeError("down")
+        return model(request)
+
+    whole = {(r["chapter_no"], r["unit_no"]): r["translation"] for r in api.build_book(paragraphs(spark), model).collect()}
+    assert whole and all(t.startswith("ko ") for t in whole.values())
+    api.build_book(paragraphs(spark), broken).write.parquet(str(tmp_path / "stored"))
+    stored = spark.read.parquet(str(tmp_path / "stored"))
+    assert 0 < stored.where("translation = ''").count() < len(whole)
+    again = api.build_book(paragraphs(spark), model, stored=stored)
+    assert {(r["chapter_no"], r["unit_no"]): r["translation"] for r in again.collect()} == whole
+    # A changed source makes what is stored void.
+    changed = paragraphs(spark).withColumn("text", F.when(F.col("para_no") == 3, "Changed text here.").otherwise(F.col("text")))
+    assert api.build_book(changed, lambda r: "", stored=stored).where("translation <> ''").count() == 0
+
+
+def test_search_books(spark):
+    good = lambda s, q: s.createDataFrame([(1, "Emma " + q, "Jane")], "pos long, title string, author string")
+
+    def bad(s, q):
+        raise OSError("no network")
+
+    readers = {"gutenberg": bad, "standard_ebooks": good, "local": good}
+    assert [(r["source"], r["title"]) for r in api.search_books(spark, " x ", readers).collect()] == [("standard_ebooks", "Emma x")]
+    assert api.search_books(spark, "local:y", {"local": bad}).count() == 0
+    with pytest.raises(KeyError):
+        api.search_books(spark, "annas: z", readers)
+
+
+def test_status(spark):
+    log = spark.createDataFrame([("a", 1, "requested"), ("b", 2, "requested"), ("a", 3, "selected")], "id string, seq long, status string")
+    assert api.get_status(log, "a").first()["status"] == "selected" and api.get_status(log, "zz").count() == 0
+    assert [r["id"] for r in api.list_recent(log, 1).collect()] == ["b"]
+
+
+def test_command_line(spark, tmp_path):
+    (tmp_path / "b.txt").write_text(TEXT)
+    for what in ("units", "glossary", "coverage", "candidates"):
+        assert main([what, str(tmp_path / "b.txt"), str(tmp_path / what)]) == 0
+    terms = [json.loads(x) for p in (tmp_path / "glossary").glob("part-*") for x in p.read_text().splitlines()]
+    assert "And Box" in {t["term"] for t in terms}
+    with pytest.raises(ValueError):
+        api.read_books(spark, "x.pdf")
