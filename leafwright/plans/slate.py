@@ -453,10 +453,9 @@ def _stub(request: str) -> str:
     return "\n".join(f"[{k}] ko: {t}" for k, t in zip(parts[1::2], parts[2::2]) if not t.startswith("S"))
 
 
-@_query("q43_translated_book", f"WITH {d.FINAL} SELECT book, chapter_no, unit_no, unit, 'ko: ' || unit AS translation FROM final WHERE book IN ('src0', 'src1')")
+@_query("q43_translated_book", f"WITH {d.FINAL} SELECT book, chapter_no, unit_no, unit, 'ko: ' || unit AS translation FROM final")
 def _(spark, sf_dir):
-    units = _units(spark, sf_dir).where(F.col("book").isin("src0", "src1"))
-    return progress.translated(units, _stub)
+    return progress.translated(_units(spark, sf_dir), _stub)
 
 
 # -- payloads and the rest
@@ -524,9 +523,10 @@ def _(spark, sf_dir):
     return planning.enriched(terms, said)
 
 
-@_query("q53_epub_status", f"WITH {d.PAIRS} SELECT book, CASE WHEN book = 'src2' THEN 'refused' ELSE 'written' END AS status, count(DISTINCT chapter_no) AS n_chapters FROM pairs WHERE book IN ('src2', 'src3') GROUP BY 1")
+@_query("q53_epub_status", f"WITH {d.PAIRS} SELECT book, CASE WHEN book = 'src2' THEN 'refused' ELSE 'written' END AS status, count(DISTINCT chapter_no) AS n_chapters FROM pairs GROUP BY 1")
 def _(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir).where(F.col("book").isin("src2", "src3")).withColumn("translation", F.when(F.col("book") == "src3", F.concat(F.lit("ko: "), "unit")).otherwise(F.col("translation")))
+    # All books are complete but one.
+    pairs = _pairs(spark, sf_dir).withColumn("translation", F.when(F.col("book") != "src2", F.concat(F.lit("ko: "), "unit")).otherwise(F.col("translation")))
     made = render.epubs(pairs, stamp="2024-01-01T00:00:00Z").select("book", "status")
     return made.join(pairs.groupBy("book").agg(F.countDistinct("chapter_no").alias("n_chapters")), "book")
 
