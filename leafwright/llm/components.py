@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwright.llm.common import ship, table
+from leafwright.llm.common import by_partition, ship, table
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,18 +45,20 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     ``root`` is the smallest node that can be reached. Loops and repeated edges do no harm; no edges, no rows.
     """
     ship(edges.sparkSession)
-    stars = table(edges.select("a", "b").where("a <> b").mapInArrow(_local_stars, "node long, root long"), "stars")
+    stars = table(edges.select("a", "b").where("a <> b").mapInArrow(by_partition(_local_stars), "node long, root long"), "stars")
     for _ in range(most_rounds):
         # Settled when each node has one root and no root is itself a node with a root.
         many = stars.groupBy("node").agg(F.countDistinct("root").alias("n")).where("n > 1").select("node")
         inner = stars.select(F.col("root").alias("node")).join(stars.select("node"), "node", "left_semi")
         if many.unionByName(inner).limit(1).count() == 0:
             return stars.distinct()
-        both = stars.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(stars.select(F.col("root").alias("u"), F.col("node").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("node"), F.col("m").alias("root")).unionByName(least.select(F.col("u").alias("node"), F.col("m").alias("root")))
-        stars = table(small.where("node <> root").distinct(), "stars")
+        # Large stars: a node's neighbours above it move to its least neighbour. All neighbours below a node are
+        # its roots, so the least one needs an aggregation by node only, of which there are few rows each; the hub
+        # of a large star is on the join's other side, where Spark can split it.
+        least = table(stars.groupBy("node").agg(F.min("root").alias("low")).select(F.col("node").alias("root"), "low"), "least")
+        large = stars.join(least, "root", "left").select("node", F.coalesce("low", "root").alias("root")).distinct()
+        # Small stars: a node and its roots move to the least of these.
+        low = large.groupBy("node").agg(F.min("root").alias("low"))
+        moved = large.join(low, "node").where("root <> low").select(F.col("root").alias("node"), F.col("low").alias("root"))
+        stars = table(moved.unionByName(low.select("node", F.col("low").alias("root"))).distinct(), "stars")
     raise RuntimeError("components did not settle")
