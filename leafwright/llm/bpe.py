@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafwright.llm.common import map_batches, process_state, vocabulary_path
+from leafwright.llm.common import Recent, map_batches, process_state, vocabulary_path
 
 _WORD_END = "</w>"
-#: Entries the word cache may hold before it is emptied; the cache of words with punctuation holds a quarter.
-_CACHE = 1_200_000
+#: Entries the word cache may hold by default; the cache of words with punctuation holds a quarter.
+_CACHE = 900_000
 #: White space on which str.split() and the tokenizer's pattern may disagree, or that needs care.
 _TRAILING = r"(\pL)([.,!%$#&*|;:?]+)(\s|$)"  # a run of punctuation between a letter and white space is a word of its own
 _ODD_SPACE = "\x1c\x1d\x1e\x1f\x85"
@@ -46,7 +46,8 @@ def _byte_letters() -> list[str]:
 class WordBpe:
     """Encoder and decoder for one vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int | None = None):
+        cache = cache or _CACHE
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -88,8 +89,8 @@ class WordBpe:
         by_text = {self.spelling[i]: i for i in reachable}
         self._shorter = {i: next((by_text[s[:k]] for k in range(len(s) - 1, 0, -1) if s[:k] in by_text), -1) for s, i in by_text.items()}
         self._compatible: dict[tuple[int, int], bool] = {}
-        self._words: dict[str, bytes] = {}
-        self._chunks: dict[str, bytes] = {}
+        self._words = Recent(cache)
+        self._chunks = Recent(cache // 4)
         # Offset table for decoding: entry i is blob[offset[i]:offset[i + 1]].
         names = {i: n for n, i in [*by_name.items(), *self.special.items()]}
         self.size = max(names) + 1
@@ -123,7 +124,7 @@ class WordBpe:
         known = self._compatible.get(key)
         if known is None:
             known = self._stays(left, right)
-            if len(self._compatible) >= _CACHE:
+            if len(self._compatible) >= self._words.most:
                 self._compatible.clear()
             self._compatible[key] = known
         return known
@@ -174,29 +175,25 @@ class WordBpe:
                 raise ValueError("the vocabulary lacks a byte")
 
     def _word(self, word: str) -> bytes:
-        known = self._words.get(word)
+        known = self._words.find(word)
         if known is None:
             known = array("I", self.encode_word(word.encode("utf-8"))).tobytes()
-            if len(self._words) >= _CACHE:
-                self._words.clear()
             if len(word) <= 64:
-                self._words[word] = known
+                self._words.keep(word, known)
         return known
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a run without white space; no word crosses white space, so runs are independent."""
         if chunk.isalpha():
             return self._word(chunk)
-        known = self._chunks.get(chunk)
+        known = self._chunks.find(chunk)
         if known is None:
             if chunk[-1] in ".,;:" and chunk[:-1].isalpha():  # the commonest case of two words
                 known = self._word(chunk[:-1]) + self._word(chunk[-1])
             else:
                 known = b"".join(map(self._word, self.pattern.findall(chunk)))
-            if len(self._chunks) >= _CACHE // 4:
-                self._chunks.clear()
             if len(chunk) <= 32:
-                self._chunks[chunk] = known
+                self._chunks.keep(chunk, known)
         return known
 
     @staticmethod
@@ -224,7 +221,7 @@ class WordBpe:
             at = m.end()
         return np.frombuffer(b"".join([*out, self._plain(text[at:])]), "<u4")
 
-    def encode_all(self, texts: list[str | None], piece: int = 1 << 24) -> list[np.ndarray]:
+    def encode_all(self, texts: list[str | None], piece: int = 1 << 23) -> list[np.ndarray]:
         """Ids of each text (null: none). Runs without white space are looked up once for many texts together."""
         out: list[np.ndarray] = []
         some, held = [], 0
@@ -266,12 +263,12 @@ class WordBpe:
         return b"".join(out)[:-1]
 
 
-def encoder(path: str) -> WordBpe:
-    """One encoder per Python worker and file, with its caches."""
-    state = process_state()
-    if ("bpe", path) not in state:
-        state["bpe", path] = WordBpe(path)
-    return state["bpe", path]
+def encoder(path: str, cache: int | None = None) -> WordBpe:
+    """One encoder per Python worker, file and size of cache."""
+    state = process_state(__name__)
+    if (path, cache) not in state:
+        state[path, cache] = WordBpe(path, cache)
+    return state[path, cache]
 
 
 class _Digests:

@@ -8,41 +8,28 @@ is kept in a machine-local folder and nothing is locally checkpointed.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
-import io
-import os
 import tempfile
 import uuid
-import zipfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-_shipped: set[str] = set()
+from leafwright import shipping
+
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _scratch: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's source to the executors once per application (they need not share our path)."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    _shipped.add(sc.applicationId)
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(_PACKAGE):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(_PACKAGE)))
-    # The driver's own temporary file: Spark's file server hands its bytes to the executors.
-    path = os.path.join(tempfile.mkdtemp(prefix="leafwright-"), f"leafwright_{uuid.uuid4().hex[:8]}.zip")
-    with open(path, "wb") as f:
-        f.write(buffer.getvalue())
-    sc.addPyFile(path)
+    """Send the package to the executors, and keep Arrow batches small."""
+    shipping.ship(spark)
+    # Python workers hold a few copies of a batch; a quarter of Spark's default keeps them small with long texts.
+    if spark.conf.get(_BATCH_BYTES, f"{64 << 20}b") == f"{64 << 20}b":
+        spark.conf.set(_BATCH_BYTES, f"{16 << 20}b")
 
 
 def scratch(spark: SparkSession) -> str:
@@ -94,10 +81,7 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def map_batches(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` over record batches; ``function`` takes and returns a dict of columns for each batch.
-
-    ``function`` is a callable object made on the driver; it is pickled by reference to this package.
-    """
+    """``mapInArrow`` with a callable object that turns a record batch into a dict of columns."""
     ship(df.sparkSession)
     names = [f.name for f in schema.fields]
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -109,19 +93,36 @@ def map_batches(df: DataFrame, function, schema) -> DataFrame:
             if batch.num_rows:
                 out = function(batch)
                 yield pa.RecordBatch.from_arrays([_as_array(out[n], arrow.field(n).type) for n in names], names=names)
+                del out, batch
+                trim()
 
-    return df.mapInArrow(run, schema)
+    run.owner = getattr(function, "owner", type(function).__module__)
+    return df.mapInArrow(by_partition(run), schema)
 
 
 def by_group(function):
     """A plain function for ``applyInArrow``, which looks at a function's own signature."""
+    owner = type(function).__module__
 
     def run(group):
+        process_state(owner)
         return function(group)
 
     return run
 
 
+def by_partition(function):
+    """``function`` over a partition's batches for ``mapInArrow``; the worker gives memory back before and after."""
+    owner = getattr(function, "owner", type(function).__module__)
+
+    def run(batches):
+        process_state(owner)
+        yield from function(batches)
+        trim()
+
+    return run
+
+
 def _as_array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
@@ -132,10 +133,50 @@ def _as_array(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, type=kind)
 
 
-def process_state() -> dict:
-    """A dict that lives as long as the Python worker, for caches that several tasks can use."""
+def process_state(owner: str) -> dict:
+    """A dict that several tasks of a Python worker can use for caches.
+
+    The owner is the module that keeps it; a function of another module that uses it names it as its ``owner``.
+    Workers outlive the operators that use them, so there is one dict at a time: another owner empties it.
+    """
     import builtins
 
-    if not hasattr(builtins, "_leafwright_state"):
-        builtins._leafwright_state = {}
-    return builtins._leafwright_state
+    held = getattr(builtins, "_leafwright_state", None)
+    if held is None or held[0] != owner:
+        builtins._leafwright_state = held = None  # freed before the next one grows
+        gc.collect()
+        trim()
+        builtins._leafwright_state = held = (owner, {})
+    return held[1]
+
+
+def trim() -> None:
+    """Give free memory of this Python worker back: idle workers share a machine with the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+class Recent(dict):
+    """A cache of bounded size: two generations, of which the older one goes when the younger one is full."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most // 2, {}
+
+    def find(self, key):
+        """The value, or None; what is found in the older generation moves to the younger one."""
+        value = self.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafwright.llm.common import by_group, map_batches, ship, table
+from leafwright.llm.common import by_group, by_partition, map_batches, ship, table
 from leafwright.llm.components import components, forest
 
 _MAX = 2**63 - 1
@@ -215,7 +215,7 @@ def epsilon_components(vectors: DataFrame, cosine: float = 0.93, dims: int = 8,
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // block)))
     order = ["label", "size", *cells, F.xxhash64("cid")]
     sequence = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    blocks = table(sequence.mapInArrow(_Cut(block), T.StructType([*projected.fields, T.StructField("block", T.LongType())])), "blocks")
+    blocks = table(sequence.mapInArrow(by_partition(_Cut(block)), T.StructType([*projected.fields, T.StructField("block", T.LongType())])), "blocks")
 
     boxes = blocks.groupBy("label", "size", "block").agg(F.array(*[F.min(F.col("p")[k]) for k in range(dims)]).alias("low"), F.array(*[F.max(F.col("p")[k]) for k in range(dims)]).alias("high"))
     boxes = table(boxes, "boxes")

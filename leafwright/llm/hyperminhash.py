@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafwright.llm.common import by_group, map_batches, release, ship, table
+from leafwright.llm.common import by_group, by_partition, map_batches, release, ship, table
 from leafwright.llm.components import components, forest
 
 _EMPTY = np.uint16(0xFFFF)
@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: i
     heads = table(signed.select(F.col("_rid").alias("cid"), F.col("_registers").alias("registers"), F.col("n_shingles").alias("n")).join(classes.select("cid"), "cid", "left_semi"), "heads")
 
     # Band keys that several classes share, with the first of these and their number.
-    met = heads.select("cid", "registers").mapInArrow(_Bands(rows), "cid long, band long")
+    met = heads.select("cid", "registers").mapInArrow(by_partition(_Bands(rows)), "cid long, band long")
     head = met.groupBy("band").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
     met = table(met.join(head, "band"), "met")
     packed = signed.select(F.col("_rid").alias("cid"), F.col("_packed").alias("packed"))
@@ -332,11 +332,11 @@ def _estimated(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     left = heads.select(F.col("cid").alias("a"), F.col("registers").alias("a_registers"), F.col("n").alias("a_n"))
     right = heads.select(F.col("cid").alias("b"), F.col("registers").alias("b_registers"), F.col("n").alias("b_n"))
     rows = pairs.join(right, "b").join(left, "a").select("a", "b", "a_registers", "b_registers", "a_n", "b_n")
-    return rows.mapInArrow(_Likely(percent), "a long, b long")
+    return rows.mapInArrow(by_partition(_Likely(percent)), "a long, b long")
 
 
 def _verified(pairs: DataFrame, packed: DataFrame, words: int, percent: int) -> DataFrame:
     pairs = table(pairs, "likely")
     right = pairs.join(packed.select(F.col("cid").alias("b"), F.col("packed").alias("b_packed")), "b")
     left = packed.join(pairs.select(F.col("a").alias("cid")).distinct(), "cid", "left_semi").select(F.col("cid").alias("a"), F.col("packed").alias("a_packed"))
-    return right.join(left, "a").select("a", "b", "a_packed", "b_packed").mapInArrow(_Verify(words, percent), "a long, b long")
+    return right.join(left, "a").select("a", "b", "a_packed", "b_packed").mapInArrow(by_partition(_Verify(words, percent)), "a long, b long")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafwright.llm.common import held_out, map_batches, process_state, ship
+from leafwright.llm.common import by_partition, held_out, map_batches, process_state, ship
 
 _MULTIPLIERS = np.array([2654435761, 2246822519, 3266489917], np.uint32)
 #: Characters that are worked on at once; a longer text is counted piece by piece, with overlap.
@@ -23,7 +23,7 @@ UNKNOWN = "und"
 
 
 def _letters() -> np.ndarray:
-    state = process_state()
+    state = process_state(__name__)
     if "letters" not in state:
         state["letters"] = np.fromiter((chr(c).isalpha() for c in range(0x10000)), bool, 0x10000)
     return state["letters"]
@@ -115,7 +115,7 @@ def train(docs: DataFrame, usable: Column, per_language: int = 3000, bits: int =
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counted.items()) for x in (lang, min(1.0, per_language / n))])
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.where(chance < share[F.col("lang")]).select("lang", "text")
-    sums = sample.mapInArrow(_Count(bits), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = sample.mapInArrow(by_partition(_Count(bits)), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(sums["lang"].unique())
     counts = np.zeros((len(languages), 1 << bits))
     counts[[languages.index(x) for x in sums["lang"]], sums["bucket"].to_numpy()] = sums["n"].to_numpy()

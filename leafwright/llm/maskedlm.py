@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafwright.llm.common import map_batches, ship, table
+from leafwright.llm.common import by_partition, map_batches, ship, table
 
 _TRAILING = r"(\pL)([.,!?;:]+)(\s|$)"
 #: Characters whose words are looked up together.
@@ -244,7 +244,7 @@ def score(docs: DataFrame, classes: int = 64, size: int = 64, buckets: int = 102
     sc = spark.sparkContext
     network = Network(classes, size, dims, window)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = table(docs.select("text").mapInArrow(_Count(), "word string, n long").where("word <> ''").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counted = table(docs.select("text").mapInArrow(by_partition(_Count()), "word string, n long").where("word <> ''").groupBy("word").agg(F.sum("n").alias("n")), "words")
     top = [(r["word"], r["n"]) for r in counted.orderBy(F.desc("n"), "word").limit(network.tokens - buckets).collect()]  # a vocabulary
     known = {w: k for k, (w, _) in enumerate(top)}
     counts = np.zeros(network.tokens)
@@ -257,7 +257,7 @@ def score(docs: DataFrame, classes: int = 64, size: int = 64, buckets: int = 102
     ids = table(map_batches(docs, _Encode(sc.broadcast(known), buckets), encoded), "tokens")
     start = network.start(counts)
     columns = [f"w{k}" for k in range(dims + 1)]
-    trained = ids.select("ids").mapInArrow(_Train(network, sc.broadcast(start), share, batch, rate), "row long, targets double, " + ", ".join(f"{c} double" for c in columns))
+    trained = ids.select("ids").mapInArrow(by_partition(_Train(network, sc.broadcast(start), share, batch, rate)), "row long, targets double, " + ", ".join(f"{c} double" for c in columns))
     averaged = trained.groupBy("row").agg(*[(F.sum(c) / F.sum("targets")).alias(c) for c in columns]).toPandas()  # the network's rows
     weights = start.copy()
     if len(averaged):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafwright.llm.bpe import encoder
-from leafwright.llm.common import map_batches, ship, table, vocabulary_path
+from leafwright.llm.common import by_partition, map_batches, ship, table, vocabulary_path
 
 _TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("n", T.LongType())])
 _PIECES = T.StructType(
@@ -32,11 +32,15 @@ _PIECES = T.StructType(
 class _Encode:
     """Ids as unsigned 16-bit integers where the vocabulary allows, otherwise 32-bit."""
 
-    def __init__(self, path: str, end_id: int, kind: str):
-        self.path, self.end, self.kind = path, np.array([end_id], kind).tobytes(), kind
+    owner = encoder.__module__  # whose caches it uses
+
+    def __init__(self, path: str, end_id: int, kind: str, cache: int | None):
+        self.path, self.end, self.kind, self.cache = path, np.array([end_id], kind).tobytes(), kind, cache
 
     def __call__(self, batch) -> dict:
-        ids = [x.astype(self.kind).tobytes() + self.end for x in encoder(self.path).encode_all(batch.column(1).to_pylist())]
+        piece = min(1 << 23, max(1 << 20, 16 * self.cache)) if self.cache else 1 << 23
+        found = encoder(self.path, self.cache).encode_all(batch.column(1).to_pylist(), piece=piece)
+        ids = [x.astype(self.kind).tobytes() + self.end for x in found]
         width = np.dtype(self.kind).itemsize
         return {"doc_id": batch.column(0), "ids": pa.array(ids, pa.binary()), "n": np.array([len(x) // width for x in ids], np.int64)}
 
@@ -197,6 +201,7 @@ def pack(
     k1: float = 1.2,
     b: float = 0.75,
     with_ids: bool = False,
+    cache: int | None = None,
 ) -> DataFrame:
     """Pieces of all rows of ``doc_id, text``; with ``with_ids`` also each piece's ids (4 bytes each, little-endian).
 
@@ -204,17 +209,18 @@ def pack(
     alone. Rows that repeat are separate documents, each packed once, also if their ids repeat or are null.
     Documents longer than a window go on in the next one. An empty table has no pieces. Other columns are ignored.
     ``shard_tokens`` bounds a task's memory (a longer document is a shard of its own); the shards cover all rows.
+    ``cache`` is the number of words whose ids an encoder remembers; fewer take less memory and more time.
     """
     spark = docs.sparkSession
     path = path or vocabulary_path()
     size = max(encoder(path).size, end_id + 1)
     kind = "<u2" if size <= 1 << 16 else "<u4"
-    ids = table(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _Encode(path, end_id, kind), _TOKENS), "tokens")
+    ids = table(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _Encode(path, end_id, kind, cache), _TOKENS), "tokens")
     ship(spark)
     count, mean = ids.agg(F.count(F.lit(1)), F.avg("n")).first()
     df = np.zeros(size, np.int64)
-    for term, n in ids.select("ids").mapInArrow(_Frequencies(kind, size), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():  # as many rows as the vocabulary has entries at most
+    for term, n in ids.select("ids").mapInArrow(by_partition(_Frequencies(kind, size)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():  # as many rows as the vocabulary has entries at most
         df[term] = n
     idf = np.log1p((count - df + 0.5) / (df + 0.5))
-    packed = ids.select("doc_id", "ids").mapInArrow(_Pack(length, shard_tokens, kind, idf, mean or 1.0, k1, b, query_terms, with_ids), _PIECES)
+    packed = ids.select("doc_id", "ids").mapInArrow(by_partition(_Pack(length, shard_tokens, kind, idf, mean or 1.0, k1, b, query_terms, with_ids)), _PIECES)
     return packed if with_ids else packed.drop("ids")

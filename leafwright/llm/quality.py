@@ -17,25 +17,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafwright.llm.common import held_out, map_batches, process_state, ship
+from leafwright.llm.common import Recent, by_partition, held_out, map_batches, process_state, ship
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _REPEATED = np.uint32(0x5EED5EED)
-_CACHE = 500_000
+_CACHE = 300_000
 
 
-def _chunk(chunk: str, cache: dict) -> bytes:
-    found = np.array([zlib.crc32(t.encode("utf-8", "replace")) for t in _TOKEN.findall(chunk)], np.uint32).tobytes()
-    if len(cache) >= _CACHE:
-        cache.clear()
-    if len(chunk) <= 64:
-        cache[chunk] = found
+def _chunk(chunk: str, cache: Recent) -> bytes:
+    found = cache.find(chunk)
+    if found is None:
+        found = np.array([zlib.crc32(t.encode("utf-8", "replace")) for t in _TOKEN.findall(chunk)], np.uint32).tobytes()
+        if len(chunk) <= 64:
+            cache.keep(chunk, found)
     return found
 
 
 def features(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets in rising order and their values, of the whole text; none for a text without tokens."""
-    cache = process_state().setdefault("token hashes", {})
+    state = process_state(__name__)
+    cache = state.get("token hashes")
+    if cache is None:
+        cache = state["token hashes"] = Recent(_CACHE)
     chunks = (text or "").split()
     known = list(map(cache.get, chunks))
     if None in known:
@@ -116,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 12_000, bits: int = 18
     chosen = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label"), place.alias("place")).dropDuplicates(["doc_id", "label"]).orderBy("place", "label").limit(rows)
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("place", "label", "text")  # `rows` rows at most are broadcast
     schema = T.StructType([T.StructField("place", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("buckets", T.BinaryType()), T.StructField("x", T.BinaryType())])
-    model = map_batches(labelled, _Features(bits), schema).repartition(1).mapInArrow(_Train(bits, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=epochs), "weights binary, bias double").first()
+    model = map_batches(labelled, _Features(bits), schema).repartition(1).mapInArrow(by_partition(_Train(bits, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=epochs)), "weights binary, bias double").first()
     if model is None:
         return QualityModel(np.zeros(1 << bits), 0.0, bits)
     return QualityModel(np.frombuffer(bytes(model["weights"]), "<f8"), model["bias"], bits)

@@ -110,3 +110,17 @@ def test_neighbours_are_lexical():
     index = packing._Index(docs, np.log1p((200 - df + 0.5) / (df + 0.5)), 31.0, 1.2, 0.75, 24)
     near = index.neighbours(0, np.arange(200) != 0, 20)
     assert (near % 4 == 0).mean() > 0.9
+
+
+def test_caches_are_bounded_and_harmless(monkeypatch):
+    from leafwright.llm.common import Recent
+
+    cache = Recent(4)
+    for k in range(10):
+        cache.keep(k, str(k))
+        assert cache.find(0 if k < 2 else k) is not None and len(cache) + len(cache.old) <= 4
+    assert cache.find(0) is None
+    monkeypatch.setattr(bpe, "_CACHE", 8)
+    small = bpe.WordBpe(vocabulary_path())
+    words = [f"Word{k % 23}, other{k % 7}! x" for k in range(200)]
+    assert [x.tolist() for x in small.encode_all(words, piece=100)] == [ids(w) for w in words]
