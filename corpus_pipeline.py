@@ -21,8 +21,17 @@ QUALITY_SCORE = 0.3
 NEAR_PERCENT = 80
 
 
+#: Bytes of an Arrow batch: five stages share executors, whose JVMs keep the buffers of earlier stages.
+BATCH_BYTES = 4 << 20
+
+
+def _begin(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts without a letter and uncertain ones go."""
+    _begin(spark)
     model = langid.train(docs, ~held_out(F.col("doc_id")))
     judged = langid.predict(docs, "text", model, docs.columns, new=("_lang_pred", "_lang_score"))
     return judged.where((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_lang_score") >= LANGUAGE_SCORE)).select(*docs.columns)
@@ -30,6 +39,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier trained on ``labels`` doesn't reject."""
+    _begin(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     model = quality.train(docs, labels.where(~held_out(F.col("doc_id"))))
     judged = quality.score(docs, "text", model, docs.columns, new="_quality_score")
@@ -38,18 +48,27 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the least id."""
-    return hyperminhash.near_duplicates(docs, percent=NEAR_PERCENT).where("first").select(*docs.columns)
+    _begin(spark)
+    # The operator replaces columns that are named like its own; those of the documents step aside.
+    aside = {c: f"_own_{c}" for c in ("n_shingles", "component_id", "kept", "first") if c in docs.columns}
+    found = hyperminhash.near_duplicates(docs.withColumnsRenamed(aside), percent=NEAR_PERCENT).where("first")
+    return found.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked and ``n_chars`` of the masked text."""
+    _begin(spark)
     masked = secrets.redact(docs, secrets.train(secrets.labelled_findings(spark)))
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows of 2048 tokens."""
-    return packing.pack(docs)
+    """Pieces of all documents in windows of 2048 tokens.
+
+    The encoders' caches are smaller than alone: executors still hold what four stages before have claimed.
+    """
+    _begin(spark)
+    return packing.pack(docs, cache=60_000)
 
 
 STAGES = [("language", language), ("quality", good_quality), ("near-duplicates", unique), ("secrets", without_secrets), ("packing", packed)]
