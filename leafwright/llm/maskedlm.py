@@ -139,7 +139,7 @@ class Network:
         top, low = w[self.parts["class"]], w[self.parts["token"]]
         out = self._log_softmax(h @ top[:, : self.dims].T + top[:, self.dims], target // self.size)
         order, runs = self.by_class(target)
-        h, within, second = h[order], target[order] % self.size, np.empty(len(target), np.float32)
+        h, within, second = h[order], target[order] % self.size, np.empty(len(target), out.dtype)
         for c, a, b in runs:
             own = low[c * self.size : (c + 1) * self.size]
             second[a:b] = self._log_softmax(h[a:b] @ own[:, : self.dims].T + own[:, self.dims], within[a:b])
