@@ -8,6 +8,10 @@ Training is data-parallel over all documents: each task starts from the same par
 distribution in the output biases), runs Adagrad over its own documents with a share of their tokens masked,
 and returns its parameters; these are averaged by number of targets in an aggregation by parameter row. A
 document's score is the sum of the conditional log-probabilities of all its tokens.
+
+The network tells the words of a hash bucket apart by nothing but their own counts: such a word's probability is
+that of its bucket times its share of the bucket's count. Words are counted in full and the shares reach the
+documents by a join, so neither a task nor the driver ever holds all words.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,27 +58,35 @@ class _Count:
 
 
 class _Encode:
-    """Token numbers of each text as unsigned 16-bit integers."""
+    """Token numbers of each text as unsigned 16-bit integers, and the hashes of its words that are in buckets."""
 
     def __init__(self, vocabulary, buckets: int):
         self.vocabulary, self.buckets = vocabulary, buckets
 
     def __call__(self, batch) -> dict:
         known, first = self.vocabulary.value, len(self.vocabulary.value)
-        out = []
+        out, hashes, held = [], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
         for part in _pieces(batch.column(1)):
             lists = _words(part)
             coded = lists.flatten().dictionary_encode()
             number = np.array([known.get(w, -1) if w else -2 for w in coded.dictionary.to_pylist()], np.int64)
+            own = np.zeros(len(number), np.int64)
             if (rare := np.flatnonzero(number == -1)).size:
-                names = coded.dictionary.take(pa.array(rare)).to_pylist()
-                number[rare] = [first + zlib.crc32(w.encode()) % self.buckets for w in names]
-            ids = number[coded.indices.to_numpy()]
+                names = [w.encode() for w in coded.dictionary.take(pa.array(rare)).to_pylist()]
+                number[rare] = [first + zlib.crc32(w) % self.buckets for w in names]
+                own[rare] = np.array([xxhash.xxh64_intdigest(w, 42) for w in names], np.uint64).view(np.int64)  # as Spark's xxhash64
+            at = coded.indices.to_numpy()
+            ids = number[at]
+            hashed = ids >= first
+            hashes.append(own[at[hashed]])
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            held.append(held[-1][-1] + np.concatenate([[0], np.cumsum(hashed)])[ends[1:]])
             keep = ids >= 0
-            bounds = np.concatenate([[0], np.cumsum(keep)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            bounds = np.concatenate([[0], np.cumsum(keep)])[ends]
             ids = ids[keep].astype("<u2")
             out += [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
-        return {"doc_id": batch.column(0), "ids": pa.array(out, pa.binary())}
+        hashed = pa.ListArray.from_arrays(pa.array(np.concatenate(held), pa.int32()), pa.array(np.concatenate(hashes)))
+        return {"doc_id": batch.column(0), "rid": batch.column(2), "ids": pa.array(out, pa.binary()), "hashed": hashed}
 
 
 class Network:
@@ -228,14 +241,14 @@ class _Score:
                 part = slice(k, k + (1 << 13))
                 total += np.bincount(doc[part], weights=self.network.log_probabilities(self.weights.value, target[part], context[part]), minlength=len(ids))
             at = end
-        return {"doc_id": batch.column(0), "n_tokens": size, "log_likelihood": np.round(total, 2), "mean_log_likelihood": np.where(size > 0, np.round(total / np.maximum(size, 1), 4), np.nan)}
+        return {"doc_id": batch.column(0), "n_tokens": size, "total": total, "rid": batch.column(2)}
 
 
 def score(docs: DataFrame, classes: int = 64, size: int = 64, buckets: int = 1024, dims: int = 16, window: int = 2, share: int = 4, batch: int = 2048, rate: float = 0.2) -> DataFrame:
     """``doc_id, n_tokens, log_likelihood, mean_log_likelihood`` for every row of ``doc_id, text``.
 
-    ``classes`` x ``size`` is the vocabulary, of which ``buckets`` are hash buckets of rarer words; one in
-    ``share`` tokens of every document is a target in training. Scores are of all tokens of the whole text.
+    ``classes`` x ``size`` is the network's vocabulary, of which ``buckets`` are hash buckets of rarer words, each
+    scored with its share of the bucket's count (words are told apart by 64 bits of their hash); one in ``share`` tokens of every document is a target in training. Scores are of all tokens of the whole text.
     Null and empty texts have no tokens, sum 0 and mean null. Repeated rows are counted and scored each; an
     empty table gives an empty result; further columns are ignored.
     """
@@ -249,12 +262,13 @@ def score(docs: DataFrame, classes: int = 64, size: int = 64, buckets: int = 102
     known = {w: k for k, (w, _) in enumerate(top)}
     counts = np.zeros(network.tokens)
     counts[: len(top)] = [n for _, n in top]
-    for r in counted.groupBy((F.crc32(F.col("word").cast("binary")) % buckets).alias("bucket")).agg(F.sum("n").alias("n")).collect():  # `buckets` rows
+    bucket = F.crc32(F.col("word").cast("binary")) % buckets
+    for r in counted.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect():  # `buckets` rows
         counts[len(top) + r["bucket"]] = r["n"]
     for w, n in top:  # frequent words have left their buckets
         counts[len(top) + zlib.crc32(w.encode()) % buckets] -= n
-    encoded = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType())])
-    ids = table(map_batches(docs, _Encode(sc.broadcast(known), buckets), encoded), "tokens")
+    encoded = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("rid", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("hashed", T.ArrayType(T.LongType()))])
+    ids = table(map_batches(docs.withColumn("rid", F.monotonically_increasing_id()), _Encode(sc.broadcast(known), buckets), encoded), "tokens")
     start = network.start(counts)
     columns = [f"w{k}" for k in range(dims + 1)]
     trained = ids.select("ids").mapInArrow(by_partition(_Train(network, sc.broadcast(start), share, batch, rate)), "row long, targets double, " + ", ".join(f"{c} double" for c in columns))
@@ -262,5 +276,12 @@ def score(docs: DataFrame, classes: int = 64, size: int = 64, buckets: int = 102
     weights = start.copy()
     if len(averaged):
         weights[averaged["row"].to_numpy()] = averaged[columns].to_numpy(np.float32)
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("mean_log_likelihood", T.DoubleType())])
-    return map_batches(ids, _Score(network, sc.broadcast(weights)), schema).withColumn("mean_log_likelihood", F.nanvl("mean_log_likelihood", F.lit(None).cast("double")))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("total", T.DoubleType()), T.StructField("rid", T.LongType())])
+    scored = map_batches(ids.select("doc_id", "ids", "rid"), _Score(network, sc.broadcast(weights)), schema)
+    within = F.log(F.col("n") / F.get(F.lit(counts[len(top) : len(top) + buckets].tolist()), bucket.cast("int")))
+    shares = counted.where(~F.col("word").isin(list(known))).select(F.xxhash64("word").alias("hash"), within.alias("share"))
+    shares = shares.groupBy("hash").agg(F.max("share").alias("share"))  # one row also where hashes clash
+    of_words = ids.select("rid", F.explode("hashed").alias("hash")).join(shares.hint("merge"), "hash").groupBy("rid").agg(F.sum("share").alias("shares"))
+    total = F.col("total") + F.coalesce("shares", F.lit(0.0))
+    mean = F.when(F.col("n_tokens") > 0, F.round(total / F.col("n_tokens"), 4))
+    return scored.join(of_words.hint("merge"), "rid", "left").select("doc_id", "n_tokens", F.round(total, 2).alias("log_likelihood"), mean.alias("mean_log_likelihood"))

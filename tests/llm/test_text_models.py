@@ -100,3 +100,12 @@ def test_masked_training_helps(spark):
     trained = maskedlm.score(docs).agg(F.sum("log_likelihood") / F.sum("n_tokens")).first()[0]
     start = maskedlm.score(docs, rate=0.0).agg(F.sum("log_likelihood") / F.sum("n_tokens")).first()[0]
     assert trained > start + 0.05
+
+
+def test_masked_scores_of_words_in_a_bucket_rest_on_their_own_counts(spark):
+    """One bucket: a document's score differs from another's of the same shape by the log of its words' counts."""
+    docs = [(k, "the cat often sat") for k in range(30)] + [(k, "the cat twice sat") for k in range(30, 33)] + [(40, "the cat qzxv sat")]
+    rows = maskedlm.score(spark.createDataFrame(docs, "doc_id long, text string"), classes=2, size=2, buckets=1, rate=0.0).toPandas().set_index("doc_id")
+    likely = rows["log_likelihood"]
+    assert len(rows) == 34 and likely[0] > likely[30] > likely[40]
+    assert abs(likely[30] - likely[40] - np.log(3)) < 0.02
