@@ -47,7 +47,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in windows of 2048 tokens, filled with lexical neighbours."""
-    return packing.pack(_read(spark, sf_dir, "documents"))
+    return packing.pack(_read(spark, sf_dir, "documents"), cache=60_000)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

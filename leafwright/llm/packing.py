@@ -2,8 +2,10 @@
 
 Every document becomes its token ids and an end token. A pass over all documents gives the corpus statistics
 that BM25 needs (document frequency of every vocabulary entry, mean length); their size is bounded by the
-vocabulary. The token table is then dealt into shards of bounded size. Each shard holds an inverted index of
-its documents. A seed document opens a window, the index returns its unused neighbours by BM25 score, and
+vocabulary. Then every document gets a route: the terms that a weighted minhash draws from it, in order, terms
+of high BM25 weight most likely, so documents that share such terms get the same first terms. The documents are
+dealt into shards of bounded size by ranges of routes, wherever their rows lie; a term that many documents drew
+first is split by what they drew next. Each shard holds an inverted index of its documents. A seed document opens a window, the index returns its unused neighbours by BM25 score, and
 they fill the window one after another; the last one is cut where the window is full and its rest seeds the
 next window. So all windows but a shard's last are exactly full, and the last is cut into sequences whose
 lengths are powers of two, which need no padding either.
@@ -12,6 +14,7 @@ lengths are powers of two, which need no padding either.
 from __future__ import annotations
 
 import zlib
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -45,18 +48,55 @@ class _Encode:
         return {"doc_id": batch.column(0), "ids": pa.array(ids, pa.binary()), "n": np.array([len(x) // width for x in ids], np.int64)}
 
 
+class _Route:
+    """Each document with its route, as bytes that sort like it, and the range it falls in."""
+
+    def __init__(self, kind: str, idf: np.ndarray, mean: float, k1: float, b: float, levels: int = 4, bounds: np.ndarray | None = None):
+        self.kind, self.idf, self.settings, self.levels, self.bounds = kind, idf, (mean, k1, b), levels, bounds
+        self.draw = np.log(np.random.default_rng(5).random(len(idf)))
+
+    def route(self, ids: np.ndarray) -> np.ndarray:
+        """The terms with the largest draws; a term is first with a probability by the square of its weight."""
+        term, weight = _weights(ids, self.idf, *self.settings)
+        with np.errstate(divide="ignore"):
+            drawn = self.draw[term] / np.square(weight, dtype=np.float64)
+        drawn = term[np.argsort(-drawn, kind="stable")[: self.levels]]
+        return np.append(drawn, np.full(self.levels - len(drawn), 0xFFFFFFFF)).astype(">u4")
+
+    def __call__(self, batch) -> dict:
+        ties = batch.column(2).to_numpy().astype(">u4")
+        keys = [self.route(np.frombuffer(ids.as_py(), self.kind)).tobytes() + tie.tobytes() for ids, tie in zip(batch.column(1), ties)]
+        if self.bounds is None:
+            return {"key": pa.array(keys, pa.binary()), "n": batch.column(3)}
+        shard = np.searchsorted(self.bounds, np.array(keys, f"S{4 * self.levels + 4}"), side="right")
+        return {"doc_id": batch.column(0), "ids": batch.column(1), "key": pa.array(keys, pa.binary()), "shard": shard.astype(np.int32)}
+
+
+def _bounds(sample: list, shards: int, width: int) -> np.ndarray:
+    """Routes that cut a sample of (route, tokens) into ``shards`` ranges of about as many tokens."""
+    sample.sort()
+    keys, total = np.array([bytes(k) for k, _ in sample], f"S{width}"), np.cumsum([n for _, n in sample])
+    return keys[np.searchsorted(total, total[-1] * np.arange(1, shards) / shards)] if sample else keys
+
+
+def _weights(ids: np.ndarray, idf: np.ndarray, mean: float, k1: float, b: float) -> tuple[np.ndarray, np.ndarray]:
+    """A document's distinct terms and their BM25 weights."""
+    ordered = np.sort(ids)
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    tf = np.diff(np.append(first, len(ordered)))
+    term = ordered[first]
+    return term, (tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(ids) / mean)) * idf[term]).astype(np.float32)
+
+
 class _Index:
     """Inverted index of one shard with BM25 weights from corpus-wide statistics."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, k1: float, b: float, query_terms: int):
         terms, weights, sizes = [], [], []
         for ids in docs:
-            ordered = np.sort(ids)
-            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-            tf = np.diff(np.append(first, len(ordered)))
-            term = ordered[first]
+            term, weight = _weights(ids, idf, mean, k1, b)
             terms.append(term)
-            weights.append((tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(ids) / mean)) * idf[term]).astype(np.float32))
+            weights.append(weight)
             sizes.append(len(term))
         self.size = len(docs)
         self.queries = []
@@ -150,9 +190,13 @@ class _Pack:
 
     def __call__(self, batches):
         self.next_id = TaskContext.get().partitionId() << 36
-        names, docs, tokens = [], [], 0
+        names, docs, tokens, last = [], [], 0, None
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, ids, shard in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                if docs and shard != last:
+                    yield self.shard(names, docs)
+                    names, docs, tokens = [], [], 0
+                last = shard
                 names.append(doc_id)
                 docs.append(np.frombuffer(ids.as_py(), self.kind))
                 tokens += len(docs[-1])
@@ -191,6 +235,23 @@ class _Frequencies:
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(df[terms], pa.int64())], names=["term", "df"])
 
 
+def _routed(ids: DataFrame, kind: str, settings: tuple, count: int, shards: int, sample: int = 200_000) -> DataFrame:
+    """``doc_id, ids, shard`` of every row, in the order of routes within a shard, all of a shard in one partition.
+
+    Where shards begin is found on about 256 documents a shard, ``sample`` in all, chosen by their content.
+    """
+    tie = F.crc32(F.coalesce("doc_id", F.monotonically_increasing_id()).cast("string").cast("binary"))
+    rows = ids.select("doc_id", "ids", tie.alias("tie"), "n")
+    few = min(sample, 256 * shards)
+    asked = rows if count <= few else rows.where(F.pmod(F.xxhash64("ids", "doc_id"), F.lit(1 << 30)) < int(few / count * (1 << 30)))
+    key = T.StructField("key", T.BinaryType())
+    sampled = map_batches(asked, _Route(kind, *settings), T.StructType([key, T.StructField("n", T.LongType())])).collect() if shards > 1 else []  # at most about `sample` rows
+    route = _Route(kind, *settings)
+    route.bounds = _bounds([(bytes(r["key"]), r["n"]) for r in sampled], shards, 4 * route.levels + 4)
+    routed = map_batches(rows, route, T.StructType([*_TOKENS.fields[:2], key, T.StructField("shard", T.IntegerType())]))
+    return routed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key").select("doc_id", "ids", "shard")
+
+
 def pack(
     docs: DataFrame,
     path: str | None = None,
@@ -208,7 +269,8 @@ def pack(
     Every id of every document lies in exactly one piece. A null or empty text is a document of the end token
     alone. Rows that repeat are separate documents, each packed once, also if their ids repeat or are null.
     Documents longer than a window go on in the next one. An empty table has no pieces. Other columns are ignored.
-    ``shard_tokens`` bounds a task's memory (a longer document is a shard of its own); the shards cover all rows.
+    ``shard_tokens`` bounds a task's memory (a longer document is a shard of its own); the shards cover all rows,
+    which are dealt to them by content, so neighbours don't depend on how the input's files are cut.
     ``cache`` is the number of words whose ids an encoder remembers; fewer take less memory and more time.
     """
     spark = docs.sparkSession
@@ -222,5 +284,6 @@ def pack(
     for term, n in ids.select("ids").mapInArrow(by_partition(_Frequencies(kind, size)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():  # as many rows as the vocabulary has entries at most
         df[term] = n
     idf = np.log1p((count - df + 0.5) / (df + 0.5))
-    packed = ids.select("doc_id", "ids").mapInArrow(by_partition(_Pack(length, shard_tokens, kind, idf, mean or 1.0, k1, b, query_terms, with_ids)), _PIECES)
+    dealt = _routed(ids, kind, (idf, mean or 1.0, k1, b), count, max(1, ceil(count * (mean or 0) / (0.75 * shard_tokens))))
+    packed = dealt.mapInArrow(by_partition(_Pack(length, shard_tokens, kind, idf, mean or 1.0, k1, b, query_terms, with_ids)), _PIECES)
     return packed if with_ids else packed.drop("ids")

@@ -124,3 +124,19 @@ def test_caches_are_bounded_and_harmless(monkeypatch):
     small = bpe.WordBpe(vocabulary_path())
     words = [f"Word{k % 23}, other{k % 7}! x" for k in range(200)]
     assert [x.tolist() for x in small.encode_all(words, piece=100)] == [ids(w) for w in words]
+
+
+def test_related_documents_meet_in_a_shard(spark):
+    """Documents of 16 topics, dealt over partitions in turn: windows of small shards hold few topics each."""
+    rnd = random.Random(3)
+    topics = [["".join(rnd.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(12)] for _ in range(16)]
+    rows = [(k, " ".join(rnd.choice(topics[k % 16]) for _ in range(30))) for k in range(800)]
+    topic = lambda pieces: {(r["sequence_id"], r["doc_id"] % 16) for r in pieces}
+    found = []
+    for parts in (3, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        pieces = packing.pack(docs, length=512, shard_tokens=12_000).collect()
+        assert {r["doc_id"] for r in pieces} == set(range(800))
+        assert len(topic(pieces)) < 2.5 * len({r["sequence_id"] for r in pieces})
+        found.append({frozenset((r["doc_id"], r["start"]) for r in pieces if r["sequence_id"] == s) for s in {r["sequence_id"] for r in pieces}})
+    assert found[0] == found[1]  # whatever the partitions
