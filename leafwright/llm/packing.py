@@ -91,7 +91,7 @@ def _weights(ids: np.ndarray, idf: np.ndarray, mean: float, k1: float, b: float)
 class _Index:
     """Inverted index of one shard with BM25 weights from corpus-wide statistics."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, k1: float, b: float, query_terms: int):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, k1: float, b: float, query_terms: int | None = None):
         terms, weights, sizes = [], [], []
         for ids in docs:
             term, weight = _weights(ids, idf, mean, k1, b)
@@ -100,19 +100,27 @@ class _Index:
             sizes.append(len(term))
         self.size = len(docs)
         self.queries = []
-        for term, weight in zip(terms, weights):  # the terms that weigh most in the seed ask for its neighbours
-            top = np.argsort(-weight, kind="stable")[:query_terms]
-            self.queries.append(term[top])
+        for term, weight in zip(terms, weights):  # all terms of the seed ask for its neighbours, or those that weigh most
+            self.queries.append(term if query_terms is None else term[np.argsort(-weight, kind="stable")[:query_terms]])
         flat = np.concatenate(terms)
         order = np.argsort(flat, kind="stable")
         self.doc = np.repeat(np.arange(self.size, dtype=np.int32), sizes)[order]
         self.weight = np.concatenate(weights)[order]
         self.at = np.searchsorted(flat[order], np.arange(len(idf) + 1))
+        # Terms of more than a quarter of the documents also as rows of weights, which add up faster than postings.
+        common = np.flatnonzero(np.diff(self.at) > self.size / 4)
+        self.row = np.full(len(idf), -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.size), np.float32)
+        for k, term in enumerate(common):
+            at = slice(self.at[term], self.at[term + 1])
+            self.rows[k, self.doc[at]] = self.weight[at]
 
     def neighbours(self, seed: int, unused: np.ndarray, k: int) -> np.ndarray:
         """Unused documents by score, the first ``k``; ties by order in the shard, unrelated documents last."""
-        scores = np.zeros(self.size, np.float32)
-        for term in self.queries[seed]:
+        row = self.row[self.queries[seed]]
+        scores = self.rows[row[row >= 0]].sum(axis=0)
+        for term in self.queries[seed][row < 0]:
             at = slice(self.at[term], self.at[int(term) + 1])
             scores[self.doc[at]] += self.weight[at]
         left = np.flatnonzero(unused)
@@ -184,7 +192,7 @@ def _powers(window: list[tuple[int, int, int]]):
 
 
 class _Pack:
-    def __init__(self, length: int, shard_tokens: int, kind: str, idf: np.ndarray, mean: float, k1: float, b: float, query_terms: int, with_ids: bool):
+    def __init__(self, length: int, shard_tokens: int, kind: str, idf: np.ndarray, mean: float, k1: float, b: float, query_terms: int | None, with_ids: bool):
         self.length, self.shard_tokens, self.kind, self.with_ids = length, shard_tokens, kind, with_ids
         self.settings = idf, mean, k1, b, query_terms
 
@@ -258,7 +266,7 @@ def pack(
     end_id: int = 1,
     length: int = 2048,
     shard_tokens: int = 4_000_000,
-    query_terms: int = 24,
+    query_terms: int | None = None,
     k1: float = 1.2,
     b: float = 0.75,
     with_ids: bool = False,
@@ -271,6 +279,7 @@ def pack(
     Documents longer than a window go on in the next one. An empty table has no pieces. Other columns are ignored.
     ``shard_tokens`` bounds a task's memory (a longer document is a shard of its own); the shards cover all rows,
     which are dealt to them by content, so neighbours don't depend on how the input's files are cut.
+    All terms of a seed count in the scores of its neighbours; ``query_terms`` is for those who want only the heaviest.
     ``cache`` is the number of words whose ids an encoder remembers; fewer take less memory and more time.
     """
     spark = docs.sparkSession

@@ -140,3 +140,18 @@ def test_related_documents_meet_in_a_shard(spark):
         assert len(topic(pieces)) < 2.5 * len({r["sequence_id"] for r in pieces})
         found.append({frozenset((r["doc_id"], r["start"]) for r in pieces if r["sequence_id"] == s) for s in {r["sequence_id"] for r in pieces}})
     assert found[0] == found[1]  # whatever the partitions
+
+
+def test_neighbours_by_all_terms_are_brute_force():
+    """Seeds of more than 24 distinct terms: scores are sums over all of them."""
+    rng = np.random.default_rng(2)
+    docs = [rng.zipf(1.3, 150).clip(2, 400).astype("<u2") for _ in range(60)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=401)
+    idf = np.log1p((60 - df + 0.5) / (df + 0.5))
+    index = packing._Index(docs, idf, 150.0, 1.2, 0.75)
+    for seed in range(60):
+        score = np.array([sum((n := (d == t).sum()) * 2.2 / (n + 1.2) * idf[t] for t in np.unique(docs[seed])) for d in docs])
+        near = index.neighbours(seed, np.arange(60) != seed, 10)
+        expected = np.sort(np.delete(score, seed))[::-1][:10]
+        assert np.allclose(score[near], expected, rtol=1e-4)
+    assert packing.pack.__defaults__[4] is None
