@@ -1,7 +1,7 @@
 """Secret scans in DataFrame expressions: wide candidate patterns, and a random forest that removes false positives.
 
-A candidate is a long run of key-like characters with a digit, a key with a known prefix, or a value assigned
-to a word like *password*. The forest looks at its length, character classes and their transitions, dictionary
+A candidate is a long run of key-like characters with a digit, a key with a known prefix, a value of six characters or
+more assigned to a word like *password*, *token* or *key*, the password of a URL, or a private key block. The forest looks at its length, character classes and their transitions, dictionary
 coverage, whether it is part of a path, and its neighbouring words. It is trained on labelled findings with
 the DataFrame-based ML API and then written out as one Catalyst expression, so scanning is a projection: no
 shuffle, no Python, and texts without a candidate cost one pattern match.
@@ -18,13 +18,20 @@ _MAX = 2**63 - 1
 _SECRET_WORD = r"passwords?|passwd|pwd|passphrase|secrets?|tokens?|api[_-]?keys?|access[_-]?keys?|private[_-]?keys?|credentials?|auth|authorization|bearer|key"
 _HARMLESS_WORD = r"commit|revision|sha-?1|sha-?256|md5|checksum|digest|hash|etag|uuid|guid|id|version|build|isbn|order|invoice|phone|tel|serial|example|sample|test|placeholder|dummy|session|request|trace"
 _PREFIX = r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k_(?:live|test)_|AIza|eyJ|SG\.|npm_|hf_"
+#: An assigned value: not the name of a scheme, and without the punctuation of the sentence around it.
+_VALUE = r"(?!(?i:bearer|basic)\s)[^\s\"'<>]{5,}[^\s\"'<>,;.)\]}]"
 #: Candidates; look-behinds are bounded, as Java asks.
 _CANDIDATE = (
-    r"(?<![A-Za-z0-9_+/-])(?:"
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY[A-Z ]{0,10}-----[A-Za-z0-9+/=\s\\:,.()-]+?-----END [A-Z ]{0,40}PRIVATE KEY[A-Z ]{0,10}-----"
+    r"|(?<![A-Za-z0-9_+/-])(?:"
     r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
     r"|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{6,}"
+    r"|SG\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
+    r"|(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k_(?:live|test)_|AIza|npm_|hf_)[A-Za-z0-9_-]{10,}"
+    r"|(?<=://[^\s/:@]{0,64}:)[^\s/@\"'<>]{3,}(?=@)"
+    rf"|(?<=[=:>]\s{{0,2}}[\"']?)(?<=(?i:passwords?|passwd|pwd|passphrase|secrets?|tokens?|credentials?|(?:api|access|private|secret)[_-]?keys?|(?<![A-Za-z])(?:key|auth|authorization|bearer))[\"']?\s{{0,2}}(?:[=:]|=>|:=)\s{{0,2}}[\"']?){_VALUE}"
+    rf"|(?<=(?i:bearer)\s{{1,2}}[\"']?){_VALUE}"
     r"|(?=[A-Za-z_+/-]{0,80}[0-9])[A-Za-z0-9_+/-]{16,}={0,2}"
-    r"|(?<=(?i:password|passwd|pwd|passphrase|secret)\s{0,2}[=:]\s{0,2}[\"']?)[^\s\"'<>]{6,}"
     r")"
 )
 #: Words that keys made by chance don't hold but identifiers and placeholders do. Fixed values.
@@ -95,6 +102,11 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (1, spoken, F.concat(pick("g", ["ghp_", "gho_", "glpat-", "sk_live_", "npm_", "hf_", "AIza", "xoxb-"]), F.substring(base64, 1, 32))),
         (1, credential, F.concat(F.lit("eyJhbGciOi"), F.substring(base64, 1, 12), F.lit("."), F.substring(base64, 13, 24), F.lit("."), F.substring(base64, 37, 20))),
         (1, F.concat(spoken, credential), F.concat(F.substr(base64, F.lit(3), F.lit(5) + size % 6), pick("s", ["!", "#", "$1", "7", "_9"]), F.substring(digest("q"), 1, 3))),
+        (1, F.concat(spoken, pick("db", ["postgres://admin:", "mysql://root:", "https://bot:", "redis://:", "amqp://app:"])), F.concat(F.substr(base64, F.lit(3), F.lit(5) + size % 9), pick("s", ["!", "#", "$1", "7", "_9"]))),
+        (1, spoken, F.concat(F.lit("-----BEGIN "), pick("pk", ["RSA ", "EC ", "", "OPENSSH "]), F.lit("PRIVATE KEY-----\n"), F.substring(base64, 1, 60), F.lit("\n-----END "), pick("pk", ["RSA ", "EC ", "", "OPENSSH "]), F.lit("PRIVATE KEY-----"))),
+        (1, spoken, F.concat(F.lit("SG."), F.substring(base64, 1, 22), F.lit("."), F.substring(base64, 23, 43))),
+        (1, F.concat(spoken, credential), F.translate(F.substr(base64, F.lit(1), F.lit(16) + size), "0123456789", "qwXzvKjHbT")),
+        (0, F.concat(spoken, credential), pick("y", ["required", "getToken()", "undefined", "process.env.TOKEN", "request.headers", "${SECRET_NAME}", "necessary", "somebody", "function", "os.environ[KEY]", "another", "between", "settings.value", "username", "optional", "themselves"])),
         (0, F.concat(spoken, pick("h", ["commit ", "sha1: ", "sha256:", "md5 ", "checksum: ", "etag \"", "revision ", "digest=", "hash "])), F.substr(digest("a"), F.lit(1), F.lit(32) + 8 * (size % 5))),
         (0, F.concat(spoken, pick("u", ["uuid=", "id: ", "request ", "trace=", "session id ", "guid "])), F.regexp_replace(digest("u"), "^(.{8})(.{4})(.{4})(.{4})(.{12}).*$", "$1-$2-$3-$4-$5")),
         (0, pick("p", ["https://www.example.com/static/", "/usr/lib/", "src/main/", "http://cdn.example.net/a/", "./build/"]), F.concat(pick("p2", ["app-", "image_", "module-", "page/", "assets/js/"]), F.substring(digest("f"), 1, 16))),
@@ -107,7 +119,7 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     ]
     k = F.pmod(i, F.lit(len(kinds)))
     choose = lambda at, kind: reduce(lambda c, n: c.when(k == n, kinds[n][at] if kind is None else F.lit(kinds[n][at])), range(1, len(kinds)), F.when(k == 0, kinds[0][at] if kind is None else F.lit(kinds[0][at])))
-    after = F.when(choose(1, None).rlike("\"$"), "\" ").when(choose(1, None).rlike("'$"), "' ").otherwise(F.concat(F.lit(" "), word("z")))
+    after = F.when(choose(1, None).rlike("://"), F.when(choose(0, "label") == 1, "@db.host").otherwise(F.concat(F.lit(" "), word("z")))).when(choose(1, None).rlike("\"$"), "\" ").when(choose(1, None).rlike("'$"), "' ").otherwise(F.concat(F.lit(" "), word("z")))
     return r.select(choose(2, None).alias("value"), choose(1, None).alias("before"), after.alias("after"), choose(0, "label").alias("label"))
 
 

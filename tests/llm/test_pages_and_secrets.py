@@ -125,3 +125,20 @@ def test_whole_table_against_a_plain_search(spark, docs):
     plain = re.compile(r'AKIA[A-Z0-9]{16}|(?<=password=)[0-9a-f]{18}|(?<=token = ")[0-9a-f]{40}')
     expected = {(r["doc_id"], m.start(), len(m[0])) for r in docs.collect() for m in plain.finditer(r["text"])}
     assert {(r["doc_id"], r["start"], r["length"]) for r in secrets.scan(docs, forest(spark)).collect()} >= expected
+
+
+def test_labelled_secrets_are_found_in_texts(spark):
+    """scan() over texts made of labelled findings: candidates cover every labelled kind, the forest keeps most of them."""
+    trained = forest(spark)
+    made = secrets.labelled_findings(spark, 9000).withColumn("doc_id", F.monotonically_increasing_id()).where("doc_id >= 6000 and label = 1")
+    texts = made.select("doc_id", F.concat("before", "value", "after").alias("text"), F.length("before").alias("at"), F.length("value").alias("n")).cache()
+    wide = secrets.scan(texts, trained, threshold=0.0).select("doc_id", F.col("start").alias("at"), F.col("length").alias("n"))
+    assert texts.join(wide, ["doc_id", "at", "n"]).count() == texts.count()
+    found = secrets.scan(texts, trained).select("doc_id", F.col("start").alias("at"), F.col("length").alias("n"))
+    assert texts.join(found, ["doc_id", "at", "n"]).count() > 0.95 * texts.count()
+
+
+def test_secrets_of_kinds_once_missed(spark):
+    said = ["api_key: 3f5a9c1b2d4e ok", 'token: "Zk3!pq9f" ok', "see postgres://admin:h7Gk2pQz!@db.host now"]
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), forest(spark)).collect()
+    assert {r["doc_id"]: said[r["doc_id"]][r["start"] :][: r["length"]] for r in rows} == {0: "3f5a9c1b2d4e", 1: "Zk3!pq9f", 2: "h7Gk2pQz!"}
