@@ -142,3 +142,15 @@ def test_secrets_of_kinds_once_missed(spark):
     said = ["api_key: 3f5a9c1b2d4e ok", 'token: "Zk3!pq9f" ok', "see postgres://admin:h7Gk2pQz!@db.host now"]
     rows = secrets.scan(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), forest(spark)).collect()
     assert {r["doc_id"]: said[r["doc_id"]][r["start"] :][: r["length"]] for r in rows} == {0: "3f5a9c1b2d4e", 1: "Zk3!pq9f", 2: "h7Gk2pQz!"}
+
+
+def test_names_do_not_remove_articles():
+    main = lambda page: [t for k, t in htmlmain.blocks(page) if k > 0]
+    article = "<article><h2>Head</h2><p>Words</p></article>"
+    for open_tags in ('<html class="no-sidebar"><body class="single has-sidebar">', '<body class="nav-open sidebar">', '<body><div class="elementor-widget">', '<body><div id="page" class="with-header">', '<body><div class="widget"><div class="header">'):
+        assert main(open_tags + article) == ["Head", "Words"], open_tags
+    kept = '<article><h2 id="social-impact">A</h2><h2 id="related">B</h2><section id="related-work"><p>C</p></section><p class="footer-note">D</p></article>'
+    assert main(kept) == ["A", "B", "C", "D"]
+    gone = '<div class="related"><article>Teaser</article></div><nav><article>N</article></nav><main><p>M</p><div class="share-buttons">S</div><div class="widget"><article>T</article></div><p class="ad">X</p></main>'
+    assert main(gone) == ["M"]
+    assert main('<div class="sidebar"><article><p>M</p><div class="ad"><p>Buy</p></div><aside>Side</aside></article></div>') == ["M"]
