@@ -8,6 +8,9 @@ these two tokens when they are applied to the two tokens' joined text. Otherwise
 entry, and when none is left it gives up the token before. A position that once failed is marked and never
 entered again, so the work is linear in the word's length. Compatible neighbours make the whole sequence
 equal to what the merges give, hence results are exact.
+
+Texts are encoded many at once: their distinct words go through the same steps in lockstep, as array operations
+on the automaton's states, so nothing has to be remembered between batches but a table of pairs of fixed size.
 """
 
 from __future__ import annotations
@@ -26,11 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafwright.llm.common import Recent, map_batches, process_state, vocabulary_path
+from leafwright.llm.common import map_batches, process_state, vocabulary_path
 
 _WORD_END = "</w>"
-#: Entries the word cache may hold by default; the cache of words with punctuation holds a quarter.
-_CACHE = 900_000
+#: Longer words (in bytes) are encoded one by one.
+_LOCKSTEP = 64
+#: Slots of the table of pairs, and of the automaton's transitions, as powers of two.
+_PAIR_BITS, _EDGE_BITS = 20, 20
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: White space on which str.split() and the tokenizer's pattern may disagree, or that needs care.
 _TRAILING = r"(\pL)([.,!%$#&*|;:?]+)(\s|$)"  # a run of punctuation between a letter and white space is a word of its own
 _ODD_SPACE = "\x1c\x1d\x1e\x1f\x85"
@@ -46,8 +52,7 @@ def _byte_letters() -> list[str]:
 class WordBpe:
     """Encoder and decoder for one vocabulary file."""
 
-    def __init__(self, path: str, cache: int | None = None):
-        cache = cache or _CACHE
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -78,6 +83,7 @@ class WordBpe:
                 symbols = [self._byte_of[c] for c in body]
                 symbols[-1] += 256 if ends else 0
                 self.spelling[ident] = "".join(map(chr, symbols))
+        self._tables()
         # Entries that the merges never make from their own text can't occur in an encoding.
         reachable = {i for i, s in self.spelling.items() if self._merge([self.symbol[ord(c)] for c in s]) == [i]}
         self._automaton = ahocorasick.Automaton()
@@ -89,8 +95,7 @@ class WordBpe:
         by_text = {self.spelling[i]: i for i in reachable}
         self._shorter = {i: next((by_text[s[:k]] for k in range(len(s) - 1, 0, -1) if s[:k] in by_text), -1) for s, i in by_text.items()}
         self._compatible: dict[tuple[int, int], bool] = {}
-        self._words = Recent(cache)
-        self._chunks = Recent(cache // 4)
+        self._states(by_text)
         # Offset table for decoding: entry i is blob[offset[i]:offset[i + 1]].
         names = {i: n for n, i in [*by_name.items(), *self.special.items()]}
         self.size = max(names) + 1
@@ -124,7 +129,7 @@ class WordBpe:
         known = self._compatible.get(key)
         if known is None:
             known = self._stays(left, right)
-            if len(self._compatible) >= self._words.most:
+            if len(self._compatible) >= 100_000:
                 self._compatible.clear()
             self._compatible[key] = known
         return known
@@ -175,26 +180,184 @@ class WordBpe:
                 raise ValueError("the vocabulary lacks a byte")
 
     def _word(self, word: str) -> bytes:
-        known = self._words.find(word)
-        if known is None:
-            known = array("I", self.encode_word(word.encode("utf-8"))).tobytes()
-            if len(word) <= 64:
-                self._words.keep(word, known)
-        return known
+        return array("I", self.encode_word(word.encode("utf-8"))).tobytes()
+
+    def _tables(self) -> None:
+        """The merge rules as sorted pairs, and for each entry the order, left and right of the merge that makes it."""
+        pairs = sorted((left << 32 | right, order) for (left, right), (order, _) in self.rank.items())
+        self._pair_key = np.array([k for k, _ in pairs], np.int64)
+        self._pair_order = np.array([o for _, o in pairs], np.int64)
+        self._origin = np.full((max(self.vocab.values()) + 1, 3), -1, np.int64)
+        for ident, made in self._made.items():
+            self._origin[ident] = made
+        self._known = np.full(1 << _PAIR_BITS, -1, np.int64)  # a pair in each slot, and what is known of it
+        self._fits = np.zeros(1 << _PAIR_BITS, bool)
+
+    def _states(self, by_text: dict[str, int]) -> None:
+        """The automaton's states as arrays: transitions by (state, symbol) in a hash table, the entry that ends in each."""
+        edges: dict[int, int] = {}
+        ends = [-1]
+        for text, ident in by_text.items():
+            state = 0
+            for c in text:
+                key = state << 9 | ord(c)
+                state = edges.get(key, 0)
+                if not state:
+                    state = edges[key] = len(ends)
+                    ends.append(-1)
+            ends[state] = ident
+        self._ends = np.array(ends, np.int64)
+        self._first = np.zeros(512, np.int64)
+        keys, to = np.fromiter(edges, np.int64, len(edges)), np.fromiter(edges.values(), np.int64, len(edges))
+        self._first[keys[keys < 512]] = to[keys < 512]
+        self._edge, self._to = np.full(1 << _EDGE_BITS, -1, np.int64), np.zeros(1 << _EDGE_BITS, np.int64)
+        slot = self._slot(keys, _EDGE_BITS)
+        while len(keys):  # linear probing: of those that want a free slot the first one gets it
+            free = np.flatnonzero(self._edge[slot] < 0)
+            mine = free[np.unique(slot[free], return_index=True)[1]]
+            self._edge[slot[mine]], self._to[slot[mine]] = keys[mine], to[mine]
+            rest = np.ones(len(keys), bool)
+            rest[mine] = False
+            keys, to, slot = keys[rest], to[rest], (slot[rest] + 1) & ((1 << _EDGE_BITS) - 1)
+        size = len(self._origin)
+        self._sizes, self._next = np.zeros(size, np.int64), np.full(size, -1, np.int64)
+        for ident, n in self._symbols.items():
+            self._sizes[ident], self._next[ident] = n, self._shorter[ident]
 
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of a run without white space; no word crosses white space, so runs are independent."""
-        if chunk.isalpha():
-            return self._word(chunk)
-        known = self._chunks.find(chunk)
-        if known is None:
-            if chunk[-1] in ".,;:" and chunk[:-1].isalpha():  # the commonest case of two words
-                known = self._word(chunk[:-1]) + self._word(chunk[-1])
-            else:
-                known = b"".join(map(self._word, self.pattern.findall(chunk)))
-            if len(chunk) <= 32:
-                self._chunks.keep(chunk, known)
-        return known
+    @staticmethod
+    def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+        return ((keys.view(np.uint64) * _SPREAD) >> np.uint64(64 - bits)).view(np.int64)
+
+    def _step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The states after a symbol; 0 where the automaton has no transition."""
+        key = state << 9 | symbol
+        slot = self._slot(key, _EDGE_BITS)
+        found = self._edge[slot]
+        out = np.where(found == key, self._to[slot], 0)
+        left = np.flatnonzero((found != key) & (found >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << _EDGE_BITS) - 1)
+            found = self._edge[slot[left]]
+            hit = found == key[left]
+            out[left[hit]] = self._to[slot[left[hit]]]
+            left = left[~hit & (found >= 0)]
+        return out
+
+    def _longest(self, symbols: np.ndarray) -> np.ndarray:
+        """The longest entry that starts at each symbol; none crosses a word's end, as its last symbol ends entries."""
+        state = self._first[symbols]
+        best, at = self._ends[state], np.arange(len(symbols))
+        depth = 1
+        while True:
+            keep = (state > 0) & (at + depth < len(symbols))
+            at, state = at[keep], state[keep]
+            if not len(at):
+                return best
+            state = self._step(state, symbols[at + depth])
+            found = self._ends[state]
+            best[at[found >= 0]] = found[found >= 0]
+            depth += 1
+
+    def _compatible_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``compatible`` for many pairs; the table keeps the latest pair of each slot."""
+        key = left << 32 | right
+        slot = self._slot(key, _PAIR_BITS)
+        out = self._fits[slot]
+        new = np.flatnonzero(self._known[slot] != key)
+        if len(new):
+            asked, back = np.unique(key[new], return_inverse=True)
+            fits = self._all_stay(asked >> 32, asked & 0xFFFFFFFF)
+            out[new] = fits[back]
+            at = self._slot(asked, _PAIR_BITS)
+            at, first = np.unique(at, return_index=True)
+            self._known[at], self._fits[at] = asked[first], fits[first]
+        return out
+
+    def _all_stay(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``_stays`` for many pairs at once."""
+        out = np.ones(len(left), bool)
+        at, left, right, limit = np.arange(len(left)), left.copy(), right.copy(), np.full(len(left), 1 << 40)
+        while len(at):
+            key = left << 32 | right
+            found = np.minimum(np.searchsorted(self._pair_key, key), len(self._pair_key) - 1)
+            merges = (self._pair_key[found] == key) & (self._pair_order[found] < limit)
+            out[at[merges]] = False
+            mine, other = self._origin[left], self._origin[right]
+            by_left = mine[:, 0] > other[:, 0]
+            go = ~merges & (by_left | (other[:, 0] >= 0))
+            limit = np.where(by_left, mine[:, 0], other[:, 0] + 1)[go]
+            left, right, at = np.where(by_left, mine[:, 2], left)[go], np.where(by_left, right, other[:, 1])[go], at[go]
+        return out
+
+    def encode_words(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words (bytes ``data[bounds[k]:bounds[k + 1]]``, none empty) one after another, and how many each has."""
+        symbols = data.astype(np.int64)
+        end = bounds[1:].astype(np.int64)
+        symbols[end - 1] += 256
+        longest = self._longest(symbols)
+        start = bounds[:-1].astype(np.int64)
+        path, dead = np.full(len(symbols), -1, np.int64), np.zeros(len(symbols) + 1, bool)
+        depth = np.zeros(len(start), np.int64)
+        # Of the words under way: their number, place, the token before, and the one that is tried next.
+        word, at, before, token = np.arange(len(start)), start.copy(), np.full(len(start), -1, np.int64), longest[start]
+        while len(word):
+            tried = token >= 0
+            fits = tried & ~dead[at + self._sizes[np.maximum(token, 0)] * tried]
+            pair = np.flatnonzero(fits & (before >= 0))
+            fits[pair] = self._compatible_pairs(before[pair], token[pair])
+            # Those that fit are taken; after the others the next shorter entry is tried, or the token before is given up.
+            back = np.flatnonzero(~tried)
+            if len(back):
+                if (depth[word[back]] == 0).any():
+                    raise ValueError("the vocabulary lacks a byte")
+                dead[at[back]] = True
+                depth[word[back]] -= 1
+                given = before[back]
+                at[back] -= self._sizes[given]
+                held = depth[word[back]]
+                before[back] = np.where(held > 0, path[start[word[back]] + held - 1], -1)
+                token[back] = given
+            rest = ~fits
+            token[rest] = self._next[token[rest]]
+            took = np.flatnonzero(fits)
+            path[start[word[took]] + depth[word[took]]] = token[took]
+            depth[word[took]] += 1
+            at[took] += self._sizes[token[took]]
+            before[took] = token[took]
+            done = np.zeros(len(word), bool)
+            done[took] = at[took] == end[word[took]]
+            on = took[~done[took]]
+            token[on] = longest[at[on]]
+            if done.any():
+                keep = ~done
+                word, at, before, token = word[keep], at[keep], before[keep], token[keep]
+        index = np.repeat(start - (np.cumsum(depth) - depth), depth)
+        index += np.arange(len(index))
+        return path[index].astype("<u4"), depth
+
+    def _chunks(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs without white space, and how many each has; no word crosses white space, so runs are independent."""
+        chunks = pa.concat_arrays([chunks])  # its own offsets, from 0
+        size = pc.binary_length(chunks).to_numpy()
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        data = np.frombuffer(chunks.buffers()[2] or b"", np.uint8)[: bounds[-1]]
+        # Runs of letters of the older alphabets are words; others are asked for one by one.
+        plain = pc.utf8_is_alpha(chunks).to_numpy(zero_copy_only=False) & (size <= _LOCKSTEP)
+        late = np.concatenate([[0], np.cumsum(data >= 0xE0)])
+        plain &= late[bounds[1:]] == late[bounds[:-1]]
+        length = np.zeros(len(chunks), np.int64)
+        words = np.flatnonzero(plain)
+        index = np.repeat(bounds[words] - (np.cumsum(size[words]) - size[words]), size[words])
+        index += np.arange(len(index))
+        ids, length[words] = self.encode_words(data[index], np.concatenate([[0], np.cumsum(size[words])]))
+        others = np.flatnonzero(~plain)
+        spelled = [b"".join(map(self._word, self.pattern.findall(c))) for c in chunks.take(pa.array(others)).to_pylist()]
+        length[others] = [len(x) // 4 for x in spelled]
+        out = np.zeros(int(length.sum()), "<u4")
+        mine = np.repeat(plain, length)
+        out[mine] = ids
+        out[~mine] = np.frombuffer(b"".join(spelled), "<u4")
+        return out, length
 
     @staticmethod
     def _normal(text: str) -> str:
@@ -238,15 +401,13 @@ class WordBpe:
         rows = pa.array(["" if k in odd else self._normal(t) for k, t in enumerate(texts)], pa.string())
         runs = pc.utf8_split_whitespace(pc.replace_substring_regex(rows, _TRAILING, r"\1 \2\3"))
         coded = runs.flatten().dictionary_encode()
-        words = self._words.get
-        known = [words(c) or (self._chunk(c) if c else b"") for c in coded.dictionary.to_pylist()]
-        length = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        ids, start = np.frombuffer(b"".join(known), "<u4"), np.cumsum(length) - length
+        ids, length = self._chunks(coded.dictionary)
         which = coded.indices.to_numpy()
         n = length[which]
         end = np.concatenate([[0], np.cumsum(n)])
-        index = np.repeat(start[which] - end[:-1], n)
-        index += np.arange(len(index))
+        kind = np.int32 if max(end[-1], len(ids)) < 1 << 31 else np.int64
+        index = np.repeat(((np.cumsum(length) - length)[which] - end[:-1]).astype(kind), n)
+        index += np.arange(len(index), dtype=kind)
         ids, bound = ids[index], end[runs.offsets.to_numpy() - runs.offsets[0].as_py()]
         return [self.encode_text(t) if k in odd else ids[bound[k] : bound[k + 1]] for k, t in enumerate(texts)]
 
@@ -263,12 +424,12 @@ class WordBpe:
         return b"".join(out)[:-1]
 
 
-def encoder(path: str, cache: int | None = None) -> WordBpe:
-    """One encoder per Python worker, file and size of cache."""
+def encoder(path: str) -> WordBpe:
+    """One encoder per Python worker and file."""
     state = process_state(__name__)
-    if (path, cache) not in state:
-        state[path, cache] = WordBpe(path, cache)
-    return state[path, cache]
+    if path not in state:
+        state[path] = WordBpe(path)
+    return state[path]
 
 
 class _Digests:

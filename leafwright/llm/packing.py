@@ -37,12 +37,11 @@ class _Encode:
 
     owner = encoder.__module__  # whose caches it uses
 
-    def __init__(self, path: str, end_id: int, kind: str, cache: int | None):
-        self.path, self.end, self.kind, self.cache = path, np.array([end_id], kind).tobytes(), kind, cache
+    def __init__(self, path: str, end_id: int, kind: str):
+        self.path, self.end, self.kind = path, np.array([end_id], kind).tobytes(), kind
 
     def __call__(self, batch) -> dict:
-        piece = min(1 << 23, max(1 << 20, 16 * self.cache)) if self.cache else 1 << 23
-        found = encoder(self.path, self.cache).encode_all(batch.column(1).to_pylist(), piece=piece)
+        found = encoder(self.path).encode_all(batch.column(1).to_pylist())
         ids = [x.astype(self.kind).tobytes() + self.end for x in found]
         width = np.dtype(self.kind).itemsize
         return {"doc_id": batch.column(0), "ids": pa.array(ids, pa.binary()), "n": np.array([len(x) // width for x in ids], np.int64)}
@@ -104,25 +103,34 @@ class _Index:
             self.queries.append(term if query_terms is None else term[np.argsort(-weight, kind="stable")[:query_terms]])
         flat = np.concatenate(terms)
         order = np.argsort(flat, kind="stable")
-        self.doc = np.repeat(np.arange(self.size, dtype=np.int32), sizes)[order]
-        self.weight = np.concatenate(weights)[order]
+        self.doc = np.repeat(np.arange(self.size), sizes)[order]
+        self.weight = np.concatenate(weights)[order].astype(np.float64)
         self.at = np.searchsorted(flat[order], np.arange(len(idf) + 1))
-        # Terms of more than a quarter of the documents also as rows of weights, which add up faster than postings.
+        # Terms of more than a quarter of the documents are rows of weights, which add up faster than postings.
         common = np.flatnonzero(np.diff(self.at) > self.size / 4)
         self.row = np.full(len(idf), -1)
         self.row[common] = np.arange(len(common))
-        self.rows = np.zeros((len(common), self.size), np.float32)
+        self.rows = np.zeros((len(common), self.size))
         for k, term in enumerate(common):
             at = slice(self.at[term], self.at[term + 1])
             self.rows[k, self.doc[at]] = self.weight[at]
 
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 scores of all documents of the shard for the terms of one."""
+        query = self.queries[seed].astype(np.int64)
+        row = self.row[query]
+        asked = np.zeros(len(self.rows))
+        asked[row[row >= 0]] = 1
+        rare = query[row < 0]
+        first = self.at[rare]
+        size = self.at[rare + 1] - first
+        index = np.repeat(first - (np.cumsum(size) - size), size)
+        index += np.arange(len(index))
+        return asked @ self.rows + np.bincount(self.doc[index], weights=self.weight[index], minlength=self.size)
+
     def neighbours(self, seed: int, unused: np.ndarray, k: int) -> np.ndarray:
         """Unused documents by score, the first ``k``; ties by order in the shard, unrelated documents last."""
-        row = self.row[self.queries[seed]]
-        scores = self.rows[row[row >= 0]].sum(axis=0)
-        for term in self.queries[seed][row < 0]:
-            at = slice(self.at[term], self.at[int(term) + 1])
-            scores[self.doc[at]] += self.weight[at]
+        scores = self.scores(seed)
         left = np.flatnonzero(unused)
         mine = scores[left]
         if len(left) > k:
@@ -270,7 +278,6 @@ def pack(
     k1: float = 1.2,
     b: float = 0.75,
     with_ids: bool = False,
-    cache: int | None = None,
 ) -> DataFrame:
     """Pieces of all rows of ``doc_id, text``; with ``with_ids`` also each piece's ids (4 bytes each, little-endian).
 
@@ -280,13 +287,12 @@ def pack(
     ``shard_tokens`` bounds a task's memory (a longer document is a shard of its own); the shards cover all rows,
     which are dealt to them by content, so neighbours don't depend on how the input's files are cut.
     All terms of a seed count in the scores of its neighbours; ``query_terms`` is for those who want only the heaviest.
-    ``cache`` is the number of words whose ids an encoder remembers; fewer take less memory and more time.
     """
     spark = docs.sparkSession
     path = path or vocabulary_path()
     size = max(encoder(path).size, end_id + 1)
     kind = "<u2" if size <= 1 << 16 else "<u4"
-    ids = table(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _Encode(path, end_id, kind, cache), _TOKENS), "tokens")
+    ids = table(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _Encode(path, end_id, kind), _TOKENS), "tokens")
     ship(spark)
     count, mean = ids.agg(F.count(F.lit(1)), F.avg("n")).first()
     df = np.zeros(size, np.int64)

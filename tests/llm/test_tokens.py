@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -14,6 +15,7 @@ LIBRARY = Tokenizer.from_file(vocabulary_path())
 OWN = bpe.WordBpe(vocabulary_path())
 
 
+@lru_cache(maxsize=10_000)
 def ids(s):
     return LIBRARY.encode(s or "", add_special_tokens=False).ids
 
@@ -112,7 +114,7 @@ def test_neighbours_are_lexical():
     assert (near % 4 == 0).mean() > 0.9
 
 
-def test_caches_are_bounded_and_harmless(monkeypatch):
+def test_recent_is_bounded():
     from leafwright.llm.common import Recent
 
     cache = Recent(4)
@@ -120,10 +122,22 @@ def test_caches_are_bounded_and_harmless(monkeypatch):
         cache.keep(k, str(k))
         assert cache.find(0 if k < 2 else k) is not None and len(cache) + len(cache.old) <= 4
     assert cache.find(0) is None
-    monkeypatch.setattr(bpe, "_CACHE", 8)
+
+
+def test_lockstep_equals_one_by_one(monkeypatch):
+    """Many words at once, with a table so small that pairs push each other about."""
+    monkeypatch.setattr(bpe, "_PAIR_BITS", 3)
     small = bpe.WordBpe(vocabulary_path())
-    words = [f"Word{k % 23}, other{k % 7}! x" for k in range(200)]
-    assert [x.tolist() for x in small.encode_all(words, piece=100)] == [ids(w) for w in words]
+    rnd = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzäößéèçñаиодеελ漢字ค"
+    words = ["".join(rnd.choice(letters[: rnd.choice([3, 26, 34, 43])]) for _ in range(rnd.randint(1, 30))) for _ in range(3000)]
+    words += ["a" * n for n in (1, 2, 63, 64, 65, 500)] + ["x" * 70 + "!", "don't", "a.b.c", "7up", "ab\u0301c", "ǅ", "ʰʷ"]
+    texts = [" ".join(words[k::7]) for k in range(7)] + words[-20:] + ["", None, " \t "]
+    assert [x.tolist() for x in small.encode_all(texts, piece=5000)] == [ids(t) for t in texts]
+    bounds = np.cumsum([0] + [len(w.encode()) for w in words])
+    found, n = small.encode_words(np.frombuffer("".join(words).encode(), np.uint8), bounds)
+    assert np.split(found, np.cumsum(n)[:-1])[17].tolist() == small.encode_word(words[17].encode())
+    assert found.tolist() == [i for w in words for i in small.encode_word(w.encode())]
 
 
 def test_related_documents_meet_in_a_shard(spark):
