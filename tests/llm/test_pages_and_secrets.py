@@ -35,36 +35,84 @@ def test_repeated_text_of_a_host(spark):
     assert menu in text_of(spark, bodies[0])  # alone on its host nothing is repeated
 
 
-def brute(streams, least):
-    out = []
-    for k, s in enumerate(streams):
-        others = {tuple(o[i : i + least]) for n, o in enumerate(streams) if n != k for i in range(len(o) - least + 1)}
-        mask = np.zeros(len(s), bool)
-        for i in range(len(s) - least + 1):
-            if tuple(s[i : i + least]) in others:
-                mask[i : i + least] = True
-        out.append(mask)
-    return out
-
-
 def test_suffix_array_is_brute_force():
+    """Longest prefixes that another group's pages have, and covered tokens, against all pairs of suffixes."""
     rng = np.random.default_rng(0)
     for least in (2, 3, 5, 8):
-        streams = [rng.integers(0, 4, rng.integers(0, 60)).astype(np.uint64) for _ in range(12)]
-        for mine, theirs in zip(htmlmain.repeated(streams, least), brute(streams, least)):
-            assert (mine == theirs).all()
+        pages_ = [rng.integers(0, 3, rng.integers(0, 40)) for _ in range(9)]
+        pages_[4] = pages_[7].copy()
+        group = np.array([0, 1, 2, 3, 4, 5, 1, 7, 8])
+        sizes = np.array([len(p) for p in pages_])
+        flat, page = np.concatenate(pages_), np.repeat(np.arange(9), sizes)
+        array = htmlmain.SuffixArray(flat, sizes)
+        best, other = array.repeats(group)
+        at = np.concatenate([np.arange(n) for n in sizes])
+
+        def common(i, j):
+            x, y = pages_[page[i]][at[i] :], pages_[page[j]][at[j] :]
+            n = min(len(x), len(y))
+            return n if (x[:n] == y[:n]).all() else int(np.argmin(x[:n] == y[:n]))
+
+        expected = [max((common(i, j) for j in range(len(flat)) if group[page[i]] != group[page[j]]), default=0) for i in range(len(flat))]
+        assert best.tolist() == expected
+        assert all(group[other[i]] != group[page[i]] for i in range(len(flat)) if best[i])
+        starts = np.flatnonzero((at % 4) == 0)  # blocks of four tokens
+        mask = np.zeros(len(flat), bool)
+        for i, n in enumerate(expected):
+            block = min(4, sizes[page[i]] - at[i]) if at[i] % 4 == 0 else 99
+            if n >= least or n >= block:
+                mask[i : i + max(n if n >= least else 0, block if n >= block else 0)] = True
+        assert (htmlmain.covered_tokens(array, sizes, group, starts, least) == mask).all()
+
+
+def test_copies_count_as_one_page(spark):
+    """Copies of an article, exact or edited, on a host with a menu: the article stays, the menu goes."""
+    word = lambda k, i: f"w{k}x{i}"
+    article = [word(0, i) for i in range(300)]
+    edited = [*article[:100], "edit", *article[101:200], "other", *article[201:]]
+    texts = [article, article, edited, *([word(k, i) for i in range(200)] for k in range(1, 6))]
+    menu = "home about contact imprint privacy terms of use and so on"
+    rows = [(k, "http://h.example/", f"<div>{menu}</div><p>{' '.join(t)}</p>") for k, t in enumerate(texts)]
+    got = {r["page_id"]: r["text"] for r in htmlmain.main_text(pages(spark, rows)).collect()}
+    assert got == {k: " ".join(t) for k, t in enumerate(texts)}
+
+
+def test_fixed_slots_in_containers_go(spark):
+    own = lambda k: " ".join(f"p{k}q{i}" for i in range(40))
+    rows = [(k, "http://h.example/", f'<article><h1>Same head</h1><p>{own(k)}</p><div class="note{k}">Read this with our app, it is free</div></article>') for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in htmlmain.main_text(pages(spark, rows)).collect()}
+    assert got == {k: f"Same head\n{own(k)}" for k in range(12)}
+    small = [(k, "http://h.example/", f"<article><p>All pages say just this</p>{'<p>x</p>' * (k == 3)}</article>") for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in htmlmain.main_text(pages(spark, small)).collect()}
+    assert got == {k: "All pages say just this" + "\nx" * (k == 3) for k in range(12)}  # never most of a container
 
 
 def test_shards_do_not_matter(spark):
     rnd = random.Random(1)
-    shared = [" ".join(f"s{k}t{i}" for i in range(12)) for k in range(6)]
+    shared = [" ".join(f"s{k}t{i}" for i in range(12)) for k in range(3)]
     rows = []
-    for k in range(40):
+    for k in range(160):
         own = " ".join(f"p{k}q{i}" for i in range(10))
-        rows.append((k, "http://a.example/x", f"<div>{rnd.choice(shared)}</div><p>{own}</p><div>{rnd.choice(shared)} tail{k}</div>"))
+        rare = " ".join(f"r{k // 2}t{i}" for i in range(9))  # on two pages, whose shards may differ
+        rows.append((k, "http://a.example/x", f"<div>{rnd.choice(shared)}</div><p>{own}</p><pre>{own} mixed{k} {rnd.choice(shared)} {rare}</pre><div>{rnd.choice(shared)} tail{k}</div>"))
     whole = {r["page_id"]: r["text"] for r in htmlmain.main_text(pages(spark, rows)).collect()}
-    parts = {r["page_id"]: r["text"] for r in htmlmain.main_text(pages(spark, rows), shard_tokens=100).collect()}
+    parts = {r["page_id"]: r["text"] for r in htmlmain.main_text(pages(spark, rows), shard_chars=sum(len(r[2]) for r in rows) // 4).collect()}
     assert whole == parts
+    assert whole[7] == "\n".join([" ".join(f"p7q{i}" for i in range(10)), " ".join([*(f"p7q{i}" for i in range(10)), "mixed7"])])
+
+
+def test_pages_without_their_containers(spark):
+    """With all containers stripped the arrays alone keep nearly all article text of sf0.1 and remove most of the rest."""
+    table = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    strip = F.regexp_replace("html", r"</?(?:article|nav|header|footer|aside|main)\b[^>]*>|<div class=.ad.>|</div>", "")
+    count = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    want = htmlmain.main_text(table).select("page_id", F.col("text").alias("want"))
+    got = htmlmain.main_text(table.withColumn("html", strip)).select("page_id", F.col("text").alias("got"))
+    words = lambda c: F.split(c, r"\s+")
+    kept = F.size(F.array_intersect(words("want"), words("got")))
+    sums = want.join(got, "page_id").agg(F.sum(kept).alias("kept"), F.sum(F.size(F.array_distinct(words("want")))).alias("all"), F.sum(count("got") - count("want")).alias("extra")).first()
+    assert sums["kept"] > 0.99 * sums["all"]
+    assert sums["extra"] < 0.02 * sums["all"] + 20_000
 
 
 def test_odd_pages(spark):
@@ -145,7 +193,7 @@ def test_secrets_of_kinds_once_missed(spark):
 
 
 def test_names_do_not_remove_articles():
-    main = lambda page: [t for k, t in htmlmain.blocks(page) if k > 0]
+    main = lambda page: [t for k, _, t in htmlmain.blocks(page) if k > 0]
     article = "<article><h2>Head</h2><p>Words</p></article>"
     for open_tags in ('<html class="no-sidebar"><body class="single has-sidebar">', '<body class="nav-open sidebar">', '<body><div class="elementor-widget">', '<body><div id="page" class="with-header">', '<body><div class="widget"><div class="header">'):
         assert main(open_tags + article) == ["Head", "Words"], open_tags
