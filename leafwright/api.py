@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwright.operators import planning, progress, render, search, segment, state
+from leafwright.scratch import table
 from leafwright.sources import books
 
 #: Readers of a source's candidates by its key: (spark, query) to rows of query, pos, title, author and what else there is.
@@ -41,9 +42,10 @@ def build_book(paragraphs: DataFrame, translate: Callable[[str], str], stored: D
 
     Only windows in which something is missing are asked for. Write the result before using it twice.
     """
-    units = segment.book_units(paragraphs)
-    terms = planning.glossary(planning.term_counts(planning.full_text(units)))
+    units = table(segment.book_units(paragraphs), "units")
+    terms = planning.glossary(planning.term_counts(planning.full_text(units), language=language))
     hashes = planning.fingerprint(units)
+    hashes = table(hashes, "hashes")
     if stored is None:
         pairs = units.withColumn("translation", F.lit(""))
     else:
@@ -54,7 +56,7 @@ def build_book(paragraphs: DataFrame, translate: Callable[[str], str], stored: D
     # A window is planned again on its own units: the same limits give the same window.
     todo = todo.withColumn("shift", F.col("start") - 1).withColumn("unit_no", F.col("unit_no") - F.col("shift"))
     key = F.concat_ws("\0", "book", F.col("chapter_no").cast("string"), F.col("shift").cast("string"))
-    news = progress.translated(todo.select(key.alias("book"), "chapter_no", "title", "unit_no", "unit"), translate, None if terms is None else _by_window(terms, todo, key), language, proof)
+    news = progress.translated(todo.select(key.alias("book"), "chapter_no", "title", "unit_no", "unit"), translate, _by_window(terms, todo, key), language, proof)
     part = F.split("book", "\0", -1)
     news = news.select(F.get(part, F.lit(0)).alias("book"), "chapter_no", (F.col("unit_no") + F.get(part, F.lit(2)).cast("long")).alias("unit_no"), F.lit(1).alias("seq"), "translation")
     return progress.merged(pairs, news).join(hashes, "book")
@@ -82,11 +84,17 @@ def _fields(log: DataFrame) -> list[str]:
 
 
 def read_books(spark: SparkSession, path: str) -> DataFrame:
-    """``book, para_no, text`` of text or EPUB files by the path's ending; others raise ValueError."""
+    """Paragraphs of text or EPUB files by the path's ending; others raise ValueError, and so does a book without text.
+
+    Text gives ``book, para_no, text``, whose chapters are yet to be found; EPUB also ``chapter_no, title``.
+    """
     if path.lower().endswith(".epub"):
-        rows = books.markup_paragraphs(books.read_epubs(spark, path))
-        heads = rows.select("book", (F.col("chapter_no") * 1_000_000).alias("para_no"), F.concat(F.lit("CHAPTER "), F.col("chapter_no").cast("string")).alias("text")).distinct()
-        return rows.select("book", (F.col("chapter_no") * 1_000_000 + F.col("para_no")).alias("para_no"), "text").unionByName(heads)
+        return books.epub_paragraphs(spark, path)
     if path.lower().endswith(".txt"):
-        return books.text_paragraphs(books.read_texts(spark, path))
+        texts = books.read_texts(spark, path)
+        rows = table(books.text_paragraphs(texts), "paragraphs")
+        empty = [r["book"] for r in texts.select("book").join(rows, "book", "left_anti").limit(5).collect()]
+        if empty:
+            raise ValueError(f"no paragraphs in {', '.join(empty)}")
+        return rows
     raise ValueError(f"unsupported format: {path}")

@@ -62,7 +62,8 @@ def sentences(c: Column) -> Column:
     masked = reduce(lambda x, a: F.replace(x, F.lit(a), F.lit(a.replace(".", _MASK))), ABBREVIATIONS, c)
     parts = F.split(masked, r"""(?U)(?<=[.!?])\s+(?=[A-Z"'\[(])|(?<=[。！？])\s*""", -1)
     parts = F.filter(F.transform(parts, lambda p: strip(F.replace(p, F.lit(_MASK), F.lit(".")))), lambda p: F.length(p) > 2)
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(c))
+    # Bound to a variable: named twice, the whole chain would be computed twice.
+    return F.element_at(F.transform(F.array(parts), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(c))), 1)
 
 
 def paragraphs(c: Column) -> Column:

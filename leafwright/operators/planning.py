@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import calendar
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -12,17 +10,25 @@ from pyspark.sql import Window as W
 MOST_UNITS, MOST_CHARS, CONTEXT_UNITS = 20, 2200, 3
 #: Terms of a glossary: how often a term must occur, how many are kept, how many go into a request.
 LEAST_COUNT, MOST_TERMS, REQUEST_TERMS = 3, 30, 20
-
-# Capitalised words that aren't names. Calendar names come from the calendar; pass your own list for more.
-COMMON_WORDS = (
-    "The A An And Or But Nor For Yet So In On At To Of With By From Up Down Out Off Over Under Again Further Then Once Here There When "
-    "Where Why How All Any Both Each Few More Most Other Some Such No Not Only Own Same Than Too Very Can Will Just Should Now I You He She "
-    "It We They Me Him Her Us Them My Your His Its Our Their This That These Those What Which Who Whom Whose Is Am Are Was Were Be Been Have "
-    "Has Had Do Does Did Shall Would May Might Must Could Mr Mrs Ms Miss Dr Sir Lord Lady King Queen Prince Princess Captain Father Mother "
-    "Brother Sister Uncle Aunt Son Daughter Man Woman Boy Girl God North South East West Yes Oh Ah Well Still Even Ever Never Always However "
-    "Therefore Perhaps Chapter Book Part Section One Two Three Four Five Six Seven Eight Nine Ten First Second Third"
+#: Terms of a book that are searched for, and hits of each that are quoted.
+GROUNDED_TERMS, GROUNDED_HITS = 8, 3
+
+# Capitalised English words that aren't names.
+STOPWORDS = (
+    "The A An And Or But Nor For Yet So In On At To Of With By From Up Down Out Off Over Under Again Further Then Once Here There "
+    "When Where Why How All Any Both Each Few More Most Other Some Such No Not Only Own Same Than Too Very Can Will Just Should Now "
+    "I You He She It We They Me Him Her Us Them My Your His Its Our Their This That These Those What Which Who Whom Whose Whichever "
+    "Whoever Whomever Is Am Are Was Were Be Been Being Have Has Had Do Does Did Shall Would May Might Must Could Ought "
+    "Mr Mrs Ms Miss Dr Sir Madam Lord Lady King Queen Prince Princess Captain Major General Colonel Father Mother Brother Sister Uncle "
+    "Aunt Cousin Son Daughter Child Children Man Woman Boy Girl God Jesus Christ Heaven Hell "
+    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday "
+    "January February March April June July August September October November December Spring Summer Autumn Winter "
+    "North South East West Yes Oh Ah Eh Well Still Even Ever Never Always Often Sometimes However Therefore Moreover Meanwhile Besides "
+    "Nevertheless Nonetheless Indeed Perhaps Probably Possibly Certainly Surely Truly Really Chapter Book Part Section "
+    "One Two Three Four Five Six Seven Eight Nine Ten First Second Third Fourth Fifth Sixth Seventh Eighth Ninth Tenth"
 ).split()
-STOPWORDS = [*COMMON_WORDS, *calendar.day_name, *list(calendar.month_name)[1:]]
+#: The language whose terms are found by their capitals; other languages have no terms.
+TERM_LANGUAGE = "en"
 
 
 def windows(rows: DataFrame, most_units: int = MOST_UNITS, most_chars: int = MOST_CHARS) -> DataFrame:
@@ -84,9 +90,12 @@ def _uncommon(stopwords: list[str] | None) -> Column:
     return ~F.forall(F.split("term", r"(?U)\s+", -1), lambda w: F.array_contains(common, w))
 
 
-def term_counts(rows: DataFrame, text: str = "text", stopwords: list[str] | None = None) -> DataFrame:
-    """``book, term, n``: capitalised phrases of one to three words, sentence by sentence, unless all words are common."""
-    pieces = rows.select("book", F.explode(F.split(F.col(text), _SENTENCE_GAP, -1)).alias("sentence"))
+def term_counts(rows: DataFrame, text: str = "text", stopwords: list[str] | None = None, language: str = TERM_LANGUAGE) -> DataFrame:
+    """``book, term, n``: capitalised phrases of one to three words, sentence by sentence, unless all words are common.
+
+    Capitals say this of English only: texts in another ``language`` have no terms.
+    """
+    pieces = rows.where(F.lit(language == TERM_LANGUAGE)).select("book", F.explode(F.split(F.col(text), _SENTENCE_GAP, -1)).alias("sentence"))
     terms = pieces.select("book", F.explode(F.regexp_extract_all("sentence", F.lit(_TERM), F.lit(1))).alias("term"))
     return terms.where(_uncommon(stopwords)).groupBy("book", "term").agg(F.count(F.lit(1)).alias("n"))
 
@@ -96,10 +105,13 @@ def first_contexts(rows: DataFrame, order: list[str], text: str = "text", around
     from leafwright.functions.text import strip
 
     pieces = rows.select("book", *order, F.posexplode(F.split(F.col(text), _SENTENCE_GAP, -1)).alias("pos", "sentence"))
-    found = pieces.select("*", F.explode(F.array_distinct(F.regexp_extract_all("sentence", F.lit(_TERM), F.lit(1)))).alias("term")).where(_uncommon(stopwords))
-    at = F.expr("locate(term, sentence)")
-    cut = strip(F.substr("sentence", F.greatest(at - around, F.lit(1)), F.length("term") + around + F.least(at - 1, F.lit(around))))
-    return found.groupBy("book", "term").agg(F.min_by(cut, F.struct(*order, "pos")).alias("context"))
+    # A match begins after the gaps up to it and the matches before it.
+    parts = pieces.withColumns({"terms": F.regexp_extract_all("sentence", F.lit(_TERM), F.lit(1)), "gaps": F.split("sentence", _TERM, -1)}).where(F.size("terms") > 0)
+    length = lambda c, n: F.aggregate(F.slice(c, 1, n), F.lit(0), lambda acc, x: acc + F.length(x))
+    found = parts.select("*", F.posexplode("terms").alias("k", "term")).where(_uncommon(stopwords))
+    found = found.withColumn("at", length("gaps", F.col("k") + 1) + length("terms", F.col("k")) + 1)
+    cut = strip(F.substr("sentence", F.greatest(F.col("at") - around, F.lit(1)), F.length("term") + around + F.least(F.col("at") - 1, F.lit(around))))
+    return found.groupBy("book", "term").agg(F.min_by(cut, F.struct(*order, "pos", "k")).alias("context"))
 
 
 def glossary(counts: DataFrame, least: int = LEAST_COUNT, most: int = MOST_TERMS) -> DataFrame:
@@ -119,3 +131,41 @@ def enriched(terms: DataFrame, replies: DataFrame, chunk: int = REQUEST_TERMS) -
     rows = asked.join(answers, ["book", "chunk_no"], "left")
     answer = F.when(F.col("answers").isNotNull(), F.try_element_at("answers", F.col("term")))
     return rows.select("book", "rank", "term", "n", F.when(~is_blank(answer), answer).otherwise(F.col("rendering")).alias("rendering"))
+
+
+def grounding(terms: DataFrame, titles: DataFrame | None = None, top: int = GROUNDED_TERMS) -> DataFrame:
+    """``book, rank, term, query``: what to search for, for the ``top`` most frequent terms of a book."""
+    from leafwright.functions.replies import grounding_query
+
+    rows = terms.where(F.col("rank") <= top)
+    rows = rows.join(titles.select("book", F.col("title").alias("_title")), "book", "left") if titles is not None else rows.withColumn("_title", F.lit(None).cast("string"))
+    return rows.select("book", "rank", "term", grounding_query(F.col("term"), F.col("_title")).alias("query"))
+
+
+def snippets(asked: DataFrame, hits: DataFrame, most: int = GROUNDED_HITS) -> DataFrame:
+    """``book, snippets``: lines ``[term] title content`` of the first ``most`` hits (``query, pos, title, content``) of each term."""
+    from leafwright.functions.text import strip
+
+    rows = asked.join(hits.withColumn("n", F.row_number().over(W.partitionBy("query").orderBy("pos"))).where(F.col("n") <= most), "query")
+    said = strip(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))))
+    rows = rows.withColumn("said", said).where("said <> ''")
+    line = F.concat(F.lit("["), "term", F.lit("] "), "said")
+    return rows.groupBy("book").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "n", line.alias("line")))), lambda x: x["line"]).alias("snippets"))  # top x most lines a book
+
+
+def rendered(terms: DataFrame, function, hits: DataFrame | None = None, titles: DataFrame | None = None, chunk: int = REQUEST_TERMS) -> DataFrame:
+    """Glossary rows with renderings of an injected model, asked once for each ``chunk`` terms of a book.
+
+    With search ``hits`` (``query, pos, title, content``) the snippets of the most frequent terms are part of each
+    request. Terms that a reply doesn't answer, and chunks whose call fails, keep what they had.
+    """
+    from leafwright.functions.replies import enrichment_request
+    from leafwright.operators.progress import called
+    from leafwright.scratch import table
+
+    chunks = terms.withColumn("chunk_no", F.floor((F.col("rank") - 1) / chunk))
+    chunks = chunks.groupBy("book", "chunk_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda t: t["term"]).alias("asked"))
+    none = F.array().cast("array<string>")
+    chunks = chunks.join(snippets(grounding(terms, titles), hits), "book", "left") if hits is not None else chunks.withColumn("snippets", none)
+    asked = called(chunks.select("book", "chunk_no", enrichment_request(F.col("asked"), F.coalesce("snippets", none)).alias("request")), "request", function, "reply", attempts=1)
+    return enriched(terms, table(asked.select("book", "chunk_no", "reply"), "renderings"), chunk)

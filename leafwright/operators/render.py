@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwright.functions.text import is_blank, xml_escape
+from leafwright.scratch import table
 from leafwright.shipping import ship
 
 _HEAD = '<?xml version="1.0" encoding="utf-8"?>'
@@ -16,6 +17,7 @@ _XHTML = '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf
 _STYLE = 'body { line-height: 1.6; margin: 0.4em 0.6em; }\np.cp-original { margin-bottom: 0.2em; }\np.cp-translation { margin-bottom: 0.9em; }\n'
 
 
+# The classes, languages and line heights of a pair's paragraphs.
 def paragraph(kind: str, language: Column, text: Column, height: str) -> Column:
     return F.concat(F.lit(f'<p class="{kind}" xml:lang="'), language, F.lit(f'" style="line-height:{height};">'), text, F.lit("</p>"))
 
@@ -50,7 +52,7 @@ def package(titles: DataFrame, language: str = "en", stamp: str | None = None, c
     item = F.concat(F.lit('<item id="ch'), no, F.lit('" href="chapter'), no, F.lit('.xhtml" media-type="application/xhtml+xml"/>'))
     ref = F.concat(F.lit('<itemref idref="ch'), no, F.lit('"/>'))
     rows = titles.groupBy("book").agg(F.first("author").alias("author"), F.array_sort(F.collect_list(F.struct("chapter_no", item.alias("i"), ref.alias("r")))).alias("x"))
-    author = F.coalesce(F.when(~is_blank(F.col("author")), F.col("author")), F.lit("Unknown"))
+    author = author_or_unknown(F.col("author"))
     ident = F.substring(F.sha2("book", 256), 1, 32)
     when = F.lit(stamp) if stamp else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     pictures = f'<item id="cover-image" href="{cover}" media-type="{media_type}" properties="cover-image"/><item id="cover-page" href="cover.xhtml" media-type="application/xhtml+xml"/>' if cover else ""
@@ -62,6 +64,10 @@ def package(titles: DataFrame, language: str = "en", stamp: str | None = None, c
     ).alias("opf"))
 
 
+def author_or_unknown(c: Column) -> Column:
+    return F.coalesce(F.when(~is_blank(c), c), F.lit("Unknown"))
+
+
 def bilingual_title(c: Column) -> Column:
     return F.concat(c, F.lit(" (KO bilingual)"))
 
@@ -72,6 +78,7 @@ def epubs(pairs: DataFrame, source: str = "en", target: str = "ko", stamp: str |
     ``pairs`` has ``book, chapter_no, title, unit_no, unit, translation`` and may have ``author``. A book's chapters
     meet in one task, as the file does; books are independent.
     """
+    pairs = table(pairs, "pairs")  # four groupings read it
     author = "author" if "author" in pairs.columns else None
     titles = pairs.groupBy("book", "chapter_no").agg(F.first("title").alias("title"), (F.first(author) if author else F.lit(None).cast("string")).alias("author"))
     blank = pairs.groupBy("book").agg(F.count_if(is_blank(F.col("translation"))).alias("blank"))

@@ -39,13 +39,21 @@ def merged(candidates: DataFrame, per_source: int = PER_SOURCE) -> DataFrame:
     return first.withColumn("n", own).where("n = 1").drop("n")
 
 
-def shown(rows: DataFrame, most: int = SHOWN) -> DataFrame:
-    """``query, message``: the numbered list of a query's merged candidates."""
+# The messages with and without candidates.
+FOUND, NOTHING = ("🔍 '{}' 검색 결과 ({}건)\n번호를 답장으로 보내면 번역을 시작합니다.\n\n", "🔍 '{}' — 검색 결과 없음")
+
+
+def shown(rows: DataFrame, most: int = SHOWN, asked: DataFrame | None = None) -> DataFrame:
+    """``query, message``: the numbered list of a query's merged candidates; of ``asked`` queries (``query``) without any, that there are none."""
     order = W.partitionBy("query").orderBy("source_rank", "pos")
     badges = F.create_map(*[F.lit(x) for pair in BADGES.items() for x in pair])
     right = F.when(F.col("rights").isNotNull() & ~F.col("rights").isin("", "unknown"), F.concat(F.lit("["), "rights", F.lit("]"))).otherwise("")
     rows = rows.withColumn("i", F.row_number().over(order))
     line = F.concat(F.col("i").cast("string"), F.lit(". ["), F.coalesce(badges[F.col("source")], "source"), F.lit("] "), "title", F.lit(" / "), "author", F.lit(" "), right)
     rows = rows.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("i") <= most, F.struct("i", line.alias("line"))))).alias("lines"))
-    head = F.concat(F.lit("🔍 '"), "query", F.lit("' 검색 결과 ("), F.col("n").cast("string"), F.lit("건)\n번호를 답장으로 보내면 번역을 시작합니다.\n\n"))
-    return rows.select("query", F.concat(head, F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("message"))
+    head = F.format_string(FOUND.replace("{}", "%s"), "query", F.col("n").cast("string"))
+    rows = rows.select("query", F.concat(head, F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("message"))
+    if asked is None:
+        return rows
+    rows = asked.select("query").distinct().join(rows, "query", "left")
+    return rows.select("query", F.coalesce("message", F.format_string(NOTHING.replace("{}", "%s"), "query")).alias("message"))

@@ -74,5 +74,7 @@ def oversize_split(rows: DataFrame, cap: int = CHAPTER_CAP) -> DataFrame:
 
 
 def book_units(paragraphs: DataFrame, keep_preface: bool = False) -> DataFrame:
-    """From ``book, para_no, text`` to units of final chapters."""
+    """From ``book, para_no, text`` to units of final chapters; paragraphs that have chapters (``chapter_no, title``) keep them as they are."""
+    if "chapter_no" in paragraphs.columns:
+        return chapter_units(paragraphs)
     return oversize_split(front_matter_merged(chapter_units(bucketed(paragraphs, keep_preface))))

@@ -53,8 +53,8 @@ LINES = f"""lines AS (SELECT book, doc_id, line_no, {collapse('raw')} AS text FR
 #: Books with a heading before every fifth document: (book, para_no, text).
 PARAS = (
     LINES
-    + """, paras AS (SELECT book, doc_id * 100000 + line_no AS para_no, text FROM lines UNION ALL
-  SELECT source, doc_id * 100000, 'CHAPTER ' || CAST(doc_id // 100 + 1 AS VARCHAR) FROM documents WHERE (doc_id // 20) % 5 = 0)"""
+    + """, paras AS (SELECT book, doc_id * 1000000000 + line_no AS para_no, text FROM lines UNION ALL
+  SELECT source, doc_id * 1000000000, 'CHAPTER ' || CAST(doc_id // 100 + 1 AS VARCHAR) FROM documents WHERE (doc_id // 20) % 5 = 0)"""
 )
 BUCKETS = (
     PARAS

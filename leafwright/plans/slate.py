@@ -6,7 +6,6 @@ paragraph, and a heading is put before every fifth document, on both sides alike
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,6 +16,7 @@ from pyspark.sql import Window as W
 from leafwright.functions import replies, text
 from leafwright.operators import coverage, planning, progress, render, search, segment, state
 from leafwright.plans import dialect as d
+from leafwright.scratch import scratch, table
 from leafwright.sources import books, payloads
 from leafwright.streaming import queue as queue_stream
 
@@ -54,9 +54,9 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir).select("book", (F.col("doc_id") * 100000 + F.col("line_no")).alias("para_no"), "text")
+    lines = _lines(spark, sf_dir).select("book", (F.col("doc_id") * 1_000_000_000 + F.col("line_no")).alias("para_no"), "text")
     docs = _read(spark, sf_dir, "documents").where(F.floor(F.col("doc_id") / 20) % 5 == 0)
-    heads = docs.select(F.col("source").alias("book"), (F.col("doc_id") * 100000).alias("para_no"), F.concat(F.lit("CHAPTER "), (F.floor(F.col("doc_id") / 100) + 1).cast("string")).alias("text"))
+    heads = docs.select(F.col("source").alias("book"), (F.col("doc_id") * 1_000_000_000).alias("para_no"), F.concat(F.lit("CHAPTER "), (F.floor(F.col("doc_id") / 100) + 1).cast("string")).alias("text"))
     return lines.unionByName(heads)
 
 
@@ -64,14 +64,19 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.book_units(_paragraphs(spark, sf_dir))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units for queries that read them more than once."""
+    return table(_units(spark, sf_dir), "units")
+
+
+def _pairs(spark: SparkSession, sf_dir: str, units: DataFrame | None = None) -> DataFrame:
     gap = (F.col("chapter_no") * 31 + F.col("unit_no")) % 7 == 0
-    return _units(spark, sf_dir).withColumn("translation", F.when(gap, " ").otherwise(F.concat(F.lit("ko: "), "unit")))
+    return (units or _units(spark, sf_dir)).withColumn("translation", F.when(gap, " ").otherwise(F.concat(F.lit("ko: "), "unit")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every book its chapters, units, windows, glossary terms and fingerprint."""
-    units = _units(spark, sf_dir)
+    units = _written(spark, sf_dir)
     sizes = units.groupBy("book").agg(F.countDistinct("chapter_no").alias("n_chapters"), F.count(F.lit(1)).alias("n_units"))
     windows = planning.windows(units).groupBy("book").agg(F.count(F.lit(1)).alias("n_windows"))
     terms = planning.glossary(planning.term_counts(_lines(spark, sf_dir))).groupBy("book").agg(F.count(F.lit(1)).alias("n_glossary_terms"))
@@ -138,10 +143,11 @@ def _(spark, sf_dir):
 
 # -- planning
 
-_TERMS = rf"""WITH {d.LINES}, pieces AS (SELECT book, unnest(string_split(regexp_replace(text, '([.!?])[\s\pZ]+', '\1' || chr(2), 'g'), chr(2))) AS s FROM lines),
+_TERM_STEPS = rf"""pieces AS (SELECT book, unnest(string_split(regexp_replace(text, '([.!?])[\s\pZ]+', '\1' || chr(2), 'g'), chr(2))) AS s FROM lines),
   plain AS (SELECT book, regexp_replace(regexp_replace(regexp_replace(s, '[\pZ]', ' ', 'g'), '[^\pL\pN\x00-\x7F]', '#', 'g'), '[^\x00-\x7F]', '_', 'g') AS s FROM pieces),
   found AS (SELECT book, unnest(regexp_extract_all(s, '\b([A-Z][a-z]{{2,}}(?:\s+[A-Z][a-z]{{2,}}){{0,2}})\b', 1)) AS term FROM plain),
   counts AS (SELECT book, term, count(*) AS n FROM found WHERE len(list_filter(string_split(term, ' '), lambda w: NOT list_contains({d.COMMON}, w))) > 0 GROUP BY 1, 2)"""
+_TERMS = f"WITH {d.LINES}, {_TERM_STEPS}"
 
 
 @_query("q09_glossary_counts", f"{_TERMS} SELECT book, term, n FROM counts")
@@ -172,8 +178,8 @@ def _(spark, sf_dir):
 
 @_query("q14_resume_pairs", f"WITH {d.FINAL} SELECT book, chapter_no, title, unit_no, unit, CASE WHEN unit_no % 3 <> 0 AND chapter_no <> 2 AND book <> 'src1' THEN 'ko: ' || unit ELSE '' END AS translation FROM final")
 def _(spark, sf_dir):
-    units = _units(spark, sf_dir)
-    hashes = planning.fingerprint(units)
+    units = _written(spark, sf_dir)
+    hashes = table(planning.fingerprint(units), "hashes")
     stored = units.where("unit_no % 3 <> 0").withColumn("translation", F.concat(F.lit("ko: "), "unit")).join(hashes, "book")
     # One book's fingerprint is another's: its stored pairs are all ignored. One chapter is stored as blanks.
     stored = stored.withColumn("source_hash", F.when(F.col("book") == "src1", F.lit("0" * 40)).otherwise(F.col("source_hash")))
@@ -185,13 +191,13 @@ def _(spark, sf_dir):
 
 @_query("q15_remaining_windows", f"WITH RECURSIVE {d.WINDOWS} SELECT DISTINCT w.book, w.chapter_no, w.start, w.n_units FROM windows w JOIN final f ON f.book = w.book AND f.chapter_no = w.chapter_no AND f.unit_no >= w.start AND f.unit_no < w.start + w.n_units WHERE (f.chapter_no * 31 + f.unit_no) % 7 = 0 AND f.chapter_no % 2 = 0")
 def _(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir).withColumn("translation", F.when(F.col("chapter_no") % 2 == 1, "x").otherwise(F.col("translation")))
+    pairs = _pairs(spark, sf_dir, _written(spark, sf_dir)).withColumn("translation", F.when(F.col("chapter_no") % 2 == 1, "x").otherwise(F.col("translation")))
     return progress.remaining(planning.windows(pairs), pairs).select("book", "chapter_no", "start", "n_units")
 
 
 @_query("q16_monotone_merge", f"WITH {d.PAIRS} SELECT book, chapter_no, unit_no, CASE WHEN unit_no % 2 = 0 THEN 'second ' || unit_no WHEN unit_no % 3 = 0 THEN 'first ' || unit_no ELSE translation END AS translation FROM pairs")
 def _(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir)
+    pairs = _pairs(spark, sf_dir, _written(spark, sf_dir))
     keys = ["book", "chapter_no", "unit_no"]
     first = pairs.where("unit_no % 3 = 0").select(*keys, F.lit(1).alias("seq"), F.concat(F.lit("first "), F.col("unit_no").cast("string")).alias("translation"))
     second = pairs.select(*keys, F.lit(2).alias("seq"), F.when(F.col("unit_no") % 2 == 0, F.concat(F.lit("second "), F.col("unit_no").cast("string"))).otherwise("\n ").alias("translation"))
@@ -418,9 +424,9 @@ def _(spark, sf_dir):
     return render.navigation(_units(spark, sf_dir).groupBy("book", "chapter_no").agg(F.first("title").alias("title")))
 
 
-@_query("q39_safe_filename", r"SELECT doc_id, coalesce(nullif(substr(regexp_replace(t, '[^\pL\pN _-]', '_', 'g'), 1, 80), ''), 'book') AS name FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE substr(text, 1, 100) END AS t FROM documents)")
+@_query("q39_safe_filename", r"SELECT doc_id, coalesce(nullif(substr(regexp_replace(t, '[^\pL\pN _-]', '_', 'g'), 1, 80), ''), 'book') AS name FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE text END AS t FROM documents)")
 def _(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", text.safe_filename(F.expr("CASE WHEN doc_id % 10 = 0 THEN '' ELSE substr(text, 1, 100) END")).alias("name"))
+    return _read(spark, sf_dir, "documents").select("doc_id", text.safe_filename(F.expr("CASE WHEN doc_id % 10 = 0 THEN '' ELSE text END")).alias("name"))
 
 
 @_query("q40_library_upsert", "WITH log AS (SELECT 'Title ' || user_id AS title, 'f' || event_id AS path, CASE WHEN event_id % 2 = 0 THEN event_type END AS source, event_id AS seq FROM events), last AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY seq DESC) AS n FROM log) SELECT title, path, source, seq, substr(sha256(title), 1, 12) AS id, '/opds/book/' || substr(sha256(title), 1, 12) AS url, 'bilingual,korean' || CASE WHEN source IS NOT NULL THEN ',source:' || source ELSE '' END AS tags FROM last WHERE n = 1")
@@ -455,7 +461,7 @@ def _stub(request: str) -> str:
 
 @_query("q43_translated_book", f"WITH {d.FINAL} SELECT book, chapter_no, unit_no, unit, 'ko: ' || unit AS translation FROM final")
 def _(spark, sf_dir):
-    return progress.translated(_units(spark, sf_dir), _stub)
+    return progress.translated(_written(spark, sf_dir), _stub)
 
 
 # -- payloads and the rest
@@ -526,32 +532,206 @@ def _(spark, sf_dir):
 @_query("q53_epub_status", f"WITH {d.PAIRS} SELECT book, CASE WHEN book = 'src2' THEN 'refused' ELSE 'written' END AS status, count(DISTINCT chapter_no) AS n_chapters FROM pairs GROUP BY 1")
 def _(spark, sf_dir):
     # All books are complete but one.
-    pairs = _pairs(spark, sf_dir).withColumn("translation", F.when(F.col("book") != "src2", F.concat(F.lit("ko: "), "unit")).otherwise(F.col("translation")))
+    pairs = _pairs(spark, sf_dir, _written(spark, sf_dir)).withColumn("translation", F.when(F.col("book") != "src2", F.concat(F.lit("ko: "), "unit")).otherwise(F.col("translation")))
     made = render.epubs(pairs, stamp="2024-01-01T00:00:00Z").select("book", "status")
     return made.join(pairs.groupBy("book").agg(F.countDistinct("chapter_no").alias("n_chapters")), "book")
 
 
-@_query("q55_queue_stream", f"WITH {_QUEUE} SELECT path, title, queued_seq, attempts + 1 AS attempts FROM queue")
+# Three batches of the log, a pass after each: the device takes every third path, is away, and takes every second one.
+_PASSES = """whole AS (SELECT path, CAST(seq * 3 // ((SELECT max(seq) FROM ops) + 1) AS BIGINT) AS batch, 0 AS kind, seq, op, title FROM ops
+  UNION ALL SELECT DISTINCT path, 0, 1, 0, 'attempt', NULL FROM ops UNION ALL SELECT DISTINCT path, 0, 1, 1, 'remove', NULL FROM ops WHERE CAST(path AS BIGINT) % 3 = 0
+  UNION ALL SELECT DISTINCT path, 2, 1, 0, 'attempt', NULL FROM ops UNION ALL SELECT DISTINCT path, 2, 1, 1, 'remove', NULL FROM ops WHERE CAST(path AS BIGINT) % 2 = 0),
+  placed AS (SELECT *, batch * 1000000000000 + kind * 100000000000 + seq AS place FROM whole), begun AS (SELECT *, max(CASE WHEN op = 'enqueue' THEN place END) OVER (PARTITION BY path) AS start FROM placed)"""
+
+
+@_query("q55_queue_stream", f"WITH {_OPS}, {_PASSES} SELECT path, arg_max(title, seq) FILTER (WHERE op = 'enqueue') AS title, max(seq) FILTER (WHERE op = 'enqueue') AS queued_seq, count(*) FILTER (WHERE op = 'attempt') AS attempts FROM begun WHERE place >= start GROUP BY path HAVING NOT bool_or(op = 'remove')")
 def _(spark, sf_dir):
-    # The log as a stream: one batch, in which every push fails once.
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafwright-queue-")
-    at = f"{base.rstrip('/')}/queue-{uuid.uuid4().hex[:12]}"
-    _ops(spark, sf_dir).write.parquet(f"{at}/events")
-    outcomes = lambda items: items.select("path", F.lit(True).alias("exists"), F.lit(False).alias("pushed"), F.lit(False).alias("skipped"))
-    queue_stream.run(spark, f"{at}/events", f"{at}/store", f"{at}/checkpoint", outcomes).awaitTermination()
-    return state.queue(queue_stream.stored_log(spark, f"{at}/store")).select("path", "title", "queued_seq", "attempts")
+    at = f"{scratch(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    ops = _ops(spark, sf_dir)
+    most = ops.agg(F.max("seq")).first()[0] + 1
+    for k in range(3):  # a file, and so a batch, for each third
+        ops.where(F.floor(F.col("seq") * 3 / most) == k).coalesce(1).write.mode("append").parquet(f"{at}/events")
+    passes = iter([3, None, 2])
+
+    def outcomes(items):
+        n = next(passes)
+        return n and items.select("path", F.lit(True).alias("exists"), (F.col("path").cast("long") % n == 0).alias("pushed"), F.lit(False).alias("skipped"))
+
+    queue_stream.run(spark, f"{at}/events", f"{at}/store", f"{at}/checkpoint", outcomes, files=1).awaitTermination()
+    return queue_stream.stored_queue(spark, f"{at}/store").select("path", "title", "queued_seq", "attempts")
+
+
+_PHRASE = r"'\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,}){0,2}\b'"
 
 
 @_query("q56_term_contexts", rf"""WITH {d.LINES}, pieces AS (SELECT book, doc_id, line_no, unnest(string_split(regexp_replace(text, '([.!?])[\s\pZ]+', '\1' || chr(2), 'g'), chr(2))) AS s, generate_subscripts(string_split(regexp_replace(text, '([.!?])[\s\pZ]+', '\1' || chr(2), 'g'), chr(2)), 1) AS k FROM lines),
   masked AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(s, '[\pZ]', ' ', 'g'), '[^\pL\pN\x00-\x7F]', '#', 'g'), '[^\x00-\x7F]', '_', 'g') AS m FROM pieces),
-  found AS (SELECT book, doc_id, line_no, k, s, unnest(list_distinct(regexp_extract_all(m, '\b([A-Z][a-z]{{2,}}(?:\s+[A-Z][a-z]{{2,}}){{0,2}})\b', 1))) AS term FROM masked),
-  firsts AS (SELECT *, row_number() OVER (PARTITION BY book, term ORDER BY doc_id, line_no, k) AS r FROM found WHERE len(list_filter(string_split(term, ' '), lambda w: NOT list_contains({d.COMMON}, w))) > 0)
-  SELECT book, term, {d.strip("substr(s, greatest(instr(s, term) - 30, 1), length(term) + 30 + least(instr(s, term) - 1, 30))")} AS context FROM firsts WHERE r = 1""")
+  parts AS (SELECT *, regexp_extract_all(m, {_PHRASE}) AS terms, regexp_split_to_array(m, {_PHRASE}) AS gaps FROM masked),
+  found AS (SELECT book, doc_id, line_no, k, s, terms, gaps, unnest(terms) AS term, generate_subscripts(terms, 1) AS i FROM parts),
+  placed AS (SELECT *, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(terms[1:i - 1], lambda g: length(g))), 0) + 1 AS BIGINT) AS begins FROM found),
+  firsts AS (SELECT *, row_number() OVER (PARTITION BY book, term ORDER BY doc_id, line_no, k, i) AS r FROM placed WHERE len(list_filter(string_split(term, ' '), lambda w: NOT list_contains({d.COMMON}, w))) > 0)
+  SELECT book, term, {d.strip("substr(s, greatest(begins - 30, 1), length(term) + 30 + least(begins - 1, 30))")} AS context FROM firsts WHERE r = 1""")
 def _(spark, sf_dir):
     rows = _lines(spark, sf_dir)
     return planning.first_contexts(rows, ["doc_id", "line_no"])
 
 
-@_query("q54_book_plan")
+@_query("q54_book_plan", f"""WITH RECURSIVE {d.WINDOWS}, {_TERM_STEPS}, ranked AS (SELECT book, row_number() OVER (PARTITION BY book ORDER BY n DESC, term) AS rank FROM counts WHERE n >= 3), listed AS (SELECT book, count(*) AS n FROM ranked WHERE rank <= 30 GROUP BY 1),
+  bodies AS (SELECT book, chapter_no, any_value(title) || chr(0) || string_agg(unit || chr(0), '' ORDER BY unit_no) AS body, count(*) AS n FROM final GROUP BY 1, 2),
+  books AS (SELECT book, count(*) AS n_chapters, CAST(sum(n) AS BIGINT) AS n_units, sha1(string_agg(body, '' ORDER BY chapter_no)) AS source_hash FROM bodies GROUP BY 1), planned AS (SELECT book, count(*) AS n_windows FROM windows GROUP BY 1)
+  SELECT books.book, n_chapters, n_units, n_windows, coalesce(listed.n, 0) AS n_glossary_terms, source_hash FROM books JOIN planned USING (book) LEFT JOIN listed USING (book)""")
 def _(spark, sf_dir):
     return flagship(spark, sf_dir)
+
+
+# -- rules on rows
+
+
+@_query("q57_publish", f"{_CURRENT}, done AS (SELECT id, arg_max(seq, seq) AS seq FROM log WHERE status = 'assembling' GROUP BY 1) SELECT state.id, created_seq, greatest(updated_seq, 10000000) AS updated_seq, 'published' AS status, 100 AS done, 100 AS total, 100.0 AS pct, CAST(NULL AS VARCHAR) AS error, 'f' || state.id AS path FROM state JOIN done USING (id)")
+def _(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    ready = log.where("status = 'assembling'").select("id").distinct().select("id", F.lit(10_000_000).cast("long").alias("seq"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("path"), F.lit("u").alias("url"))
+    events = log.join(ready.select("id"), "id", "left_semi").unionByName(state.publish_events(ready), allowMissingColumns=True)
+    return state.current(events, ["status", "done", "total", "pct", "error", "path"])
+
+
+@_query("q58_accepted_updates", f"WITH {_LOG} SELECT id, seq, coalesce(seq >= min(CASE WHEN status = 'requested' THEN seq END) OVER (PARTITION BY id), false) AS accepted FROM log")
+def _(spark, sf_dir):
+    return state.accepted(_log(spark, sf_dir)).select("id", "seq", "accepted")
+
+
+@_query("q59_fill_report", f"WITH {d.PAIRS}, p AS (SELECT book, translation = ' ' AS blank, translation = ' ' AND unit_no % 2 = 0 AS filled FROM pairs), s AS (SELECT book, count(*) FILTER (WHERE blank) AS blanks, count(*) FILTER (WHERE filled) AS filled, count(*) FILTER (WHERE NOT blank OR filled) AS done, count(*) AS total FROM p GROUP BY 1) SELECT *, round(100 * done / total, 1) AS pct, total - done AS remain FROM s")
+def _(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir, _written(spark, sf_dir))
+    # The model answers every second unit; blank answers change nothing.
+    parity = pairs.withColumn("unit", F.concat(F.when(F.col("unit_no") % 2 == 0, F.lit("+")).otherwise(F.lit("-")), "unit"))
+    return progress.fill_report(pairs, progress.filled(parity, lambda u: "ko" if u.startswith("+") else " "))
+
+
+@_query("q60_cover_offers", "WITH o AS (SELECT CAST(user_id AS VARCHAR) AS book, event_id AS pos, unnest(['large', 'medium', 'thumbnail']) AS size, unnest([1, 2, 3]) AS s FROM events WHERE event_id % 2 = 0) SELECT book, row_number() OVER (PARTITION BY book ORDER BY pos, s) AS rank, size || pos AS url FROM o WHERE NOT (size = 'large' AND pos % 3 = 0)")
+def _(spark, sf_dir):
+    e = F.col("event_id").cast("string")
+    sizes = F.create_map(F.lit("thumbnail"), F.concat(F.lit("thumbnail"), e), F.lit("large"), F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit("large"), e)), F.lit("medium"), F.concat(F.lit("medium"), e))
+    return payloads.cover_offers(_read(spark, sf_dir, "events").where("event_id % 2 = 0").select(F.col("user_id").cast("string").alias("book"), F.col("event_id").alias("pos"), sizes.alias("sizes")))
+
+
+@_query("q61_delivered", "SELECT o_orderkey AS id, 'f' || o_custkey AS path, (SELECT min(n_name) FROM nation) AS family FROM orders WHERE o_orderkey % 3 <> 0")
+def _(spark, sf_dir):
+    requests = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("f"), F.col("o_custkey").cast("string"))).alias("path"))
+    return state.delivered(requests, _read(spark, sf_dir, "nation").select(F.col("n_name").alias("name")))
+
+
+@_query("q62_distinct_hosts", "SELECT min(event_id) AS pos, '10.0.' || user_id % 7 || '.' || user_id % 11 AS host FROM events GROUP BY 2")
+def _(spark, sf_dir):
+    return payloads.distinct_hosts(_read(spark, sf_dir, "events").selectExpr("event_id AS pos", "'10.0.' || user_id % 7 || '.' || user_id % 11 AS host"))
+
+
+@_query("q63_environment", "SELECT 'KEY_' || p_brand AS key, arg_min(p_name, p_partkey) || '=x' AS value FROM part WHERE p_partkey % 5 > 1 AND p_brand <> 'Brand#11' GROUP BY p_brand")
+def _(spark, sf_dir):
+    lines = _read(spark, sf_dir, "part").selectExpr("p_partkey AS pos", """CASE p_partkey % 5 WHEN 0 THEN '  # KEY_' || p_brand || '=no' WHEN 1 THEN 'no assignment' WHEN 2 THEN 'KEY_' || p_brand || ' = "' || p_name || '=x"' WHEN 3 THEN ' KEY_' || p_brand || '=' || p_name || '=x ' ELSE "KEY_" || p_brand || "='" || p_name || "=x'" END AS line""")
+    return payloads.environment(lines, spark.createDataFrame([("KEY_Brand#11",)], "key string"))
+
+
+@_query("q64_delivery_message", "SELECT event_id, 'Translated: T' || event_id || ' / ' || event_type || chr(10) || 'Source: s' || chr(10) || CASE WHEN event_id % 4 = 0 THEN 'Sent to /Books (' || coalesce(CAST(CASE WHEN event_id % 8 = 0 THEN event_id END AS VARCHAR), '?') || ' ms)' ELSE 'Library: look for ''T' || event_id || ' (KO bilingual)''' || CASE WHEN event_id % 4 = 1 THEN chr(10) || 'Push failed: ' || CASE WHEN event_id % 3 = 0 THEN 'timeout' ELSE 'unknown' END ELSE '' END END AS message FROM events")
+def _(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").selectExpr(
+        "event_id", "'T' || event_id AS title", "event_type AS author", "'s' AS source", "CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false END AS pushed", "event_id % 4 = 2 AS skipped",
+        "CAST(NULL AS STRING) AS path", "CASE WHEN event_id % 8 = 0 THEN event_id END AS elapsed_ms", "CASE WHEN event_id % 3 = 0 THEN 'timeout' END AS error",
+    )
+    return rows.select("event_id", state.delivery_message().alias("message"))
+
+
+@_query("q65_call_results", "SELECT event_id AS id, replace(props, ': ', ':') AS result FROM events WHERE event_id % 3 <> 0")
+def _(spark, sf_dir):
+    answer = F.when(F.col("event_id") % 3 == 0, F.lit('{"id":2,"error":{}}')).otherwise(F.concat(F.lit('{"jsonrpc":"2.0","id":2,"result":'), "props", F.lit("}")))
+    body = F.concat(F.lit('data: {"id":1,"result":{"no":1}}\ndata: {"method":"x"}\ndata: '), answer, F.lit('\ndata: {"id":2,"result":{"late":1}}\n'))
+    late = F.when(F.col("event_id") % 3 == 0, F.regexp_replace(body, r"\ndata: [^\n]*late[^\n]*\n", "\n")).otherwise(body)
+    messages = payloads.event_messages(_read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.lit("text/event-stream").alias("content_type"), late.alias("body")))
+    return payloads.call_results(messages)
+
+
+@_query("q66_no_candidates", f"""WITH {_CANDIDATES}, numbered AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY source_rank, pos) AS i FROM found WHERE query NOT LIKE '%STEEL%'),
+  said AS (SELECT query, '🔍 ''' || query || ''' 검색 결과 (' || count(*) || '건)' || chr(10) || '번호를 답장으로 보내면 번역을 시작합니다.' || chr(10) || chr(10) || string_agg(i || '. [' || CASE source WHEN 'gutenberg' THEN 'GB' ELSE 'SE' END || '] ' || title || ' / ' || author || ' ' || CASE WHEN rights = 'unknown' THEN '' ELSE '[' || rights || ']' END, chr(10) ORDER BY i) FILTER (WHERE i <= 8) AS message FROM numbered GROUP BY query)
+  SELECT query, coalesce(message, '🔍 ''' || query || ''' — 검색 결과 없음') AS message FROM (SELECT DISTINCT p_type AS query FROM part) LEFT JOIN said USING (query)""")
+def _(spark, sf_dir):
+    asked = _read(spark, sf_dir, "part").select(F.col("p_type").alias("query"))
+    return search.shown(_candidates(spark, sf_dir).where("query not like '%STEEL%'"), asked=asked)
+
+
+@_query("q67_json_texts", "SELECT text, count(*) AS n FROM (SELECT text FROM conversations UNION ALL SELECT role FROM conversations) GROUP BY 1")
+def _(spark, sf_dir):
+    said = F.to_json(F.struct(F.array(F.struct(F.col("text").alias("a b"), F.col("turn"))).alias("rows"), F.map_from_arrays(F.array(F.lit("k\"")), F.array("role")).alias("m")))
+    rows = _read(spark, sf_dir, "conversations").select(said.alias("doc"))
+    return coverage.json_texts(rows, "doc").groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+
+
+_RANKED = f"{_TERMS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY n DESC, term) AS rank FROM counts WHERE n >= 3)"
+
+
+@_query("q68_grounding", f"{_RANKED} SELECT book, string_agg('[' || term || '] About ' || term || ' hit ' || k, chr(10) ORDER BY rank, k) AS snippets FROM ranked, (SELECT unnest([1, 2, 3]) AS k) WHERE rank <= 8 GROUP BY 1")
+def _(spark, sf_dir):
+    asked = planning.grounding(table(planning.glossary(planning.term_counts(_lines(spark, sf_dir))), "terms"))
+    hits = asked.select("query", "term", F.explode(F.array(*[F.lit(k) for k in (4, 1, 3, 2)])).alias("pos")).dropDuplicates(["query", "pos"])
+    hits = hits.select("query", "pos", F.concat(F.lit("About "), "term").alias("title"), F.concat(F.lit("hit "), F.col("pos").cast("string")).alias("content"))
+    return planning.snippets(asked, hits).select("book", F.array_join("snippets", "\n").alias("snippets"))
+
+
+def _renderer(request: str) -> str:
+    """A model that answers a chunk of terms as fenced JSON, without those that begin with T, and fails on chunks with a Q."""
+    import json
+    import re
+
+    terms = re.findall(r"^\d+\. (.*)$", request, re.M)
+    if any("Q" in t for t in terms):
+        raise RuntimeError("down")
+    return "```json\n" + json.dumps({t: "K" + t for t in terms if not t.startswith("T")}) + "\n```"
+
+
+@_query("q69_glossary_rendered", f"{_RANKED}, chunks AS (SELECT *, bool_or(contains(term, 'Q')) OVER (PARTITION BY book, (rank - 1) // 20) AS fails FROM ranked WHERE rank <= 30) SELECT book, rank, term, n, CASE WHEN fails OR term LIKE 'T%' THEN '<CONSISTENT:' || term || '>' ELSE 'K' || term END AS rendering FROM chunks")
+def _(spark, sf_dir):
+    return planning.rendered(table(planning.glossary(planning.term_counts(_lines(spark, sf_dir))), "terms"), _renderer)
+
+
+@_query("q70_hash_links", "SELECT query, row_number() OVER (PARTITION BY query ORDER BY p_partkey) AS pos, md5(CAST(p_partkey AS VARCHAR)) AS hash, p_name AS title FROM (SELECT *, p_type AS query, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS r FROM part) WHERE r <= 8")
+def _(spark, sf_dir):
+    anchor = F.expr("""'<a href="/md5/' || upper(md5(CAST(p_partkey AS STRING))) || '"><img></a><a class="t" href="/md5/' || md5(CAST(p_partkey AS STRING)) || '?x">' || p_name || '</a><a href="/md5/short">x</a>'""")
+    pages = _read(spark, sf_dir, "part").groupBy(F.col("p_type").alias("query")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", anchor.alias("a")))), lambda x: x["a"]), "\n").alias("html"))
+    return payloads.hash_links(pages)
+
+
+@_query("q71_drain_without_device", f"""WITH {_QUEUE}, ticks AS (SELECT queued_seq % 4 AS tick, path, CAST(path AS BIGINT) AS n FROM queue)
+  SELECT tick, count(*) AS queued, tick % 2 = 0 AS discovered, count(*) FILTER (WHERE tick % 2 = 0 AND n % 4 = 0) AS pushed, count(*) FILTER (WHERE tick % 2 = 0 AND n % 4 <> 0) AS failed, count(*) FILTER (WHERE tick % 2 = 1 OR n % 4 <> 0) AS "left", CASE WHEN tick % 2 = 0 THEN '10.0.0.' || tick END AS ip, CASE WHEN tick % 2 = 0 THEN 'scan' END AS source FROM ticks GROUP BY 1""")
+def _(spark, sf_dir):
+    queue = state.queue(_ops(spark, sf_dir)).withColumn("tick", F.col("queued_seq") % 4)
+    items = queue.select("tick", "path", F.row_number().over(W.partitionBy("tick").orderBy("queued_seq")).alias("pos"))
+    outcomes = queue.select("tick", "path", F.lit(True).alias("exists"), (F.col("path").cast("long") % 4 == 0).alias("pushed"), F.lit(False).alias("skipped"))
+    devices = spark.range(4).select(F.col("id").alias("tick"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("10.0.0."), F.col("id").cast("string"))).alias("ip"), F.lit("scan").alias("source"))
+    return state.drain_summary(state.drained(items, outcomes), devices)
+
+
+@_query("q72_queue_advanced", f"WITH {_QUEUE} SELECT * FROM queue")
+def _(spark, sf_dir):
+    ops = _ops(spark, sf_dir)
+    half = ops.agg((F.max("seq") / 2).alias("half"))
+    parts = ops.crossJoin(F.broadcast(half))  # one row
+    first = table(state.queue(parts.where("seq <= half").drop("half")), "queue")
+    return state.advanced(first, parts.where("seq > half").drop("half"))
+
+
+@_query("q73_bilingual_titles", f"SELECT c_custkey, {_escape_sql("c_name || ' (KO bilingual)'")} AS title, CASE WHEN c_custkey % 3 = 0 THEN 'Unknown' ELSE c_mktsegment END AS author FROM customer")
+def _(spark, sf_dir):
+    rows = _read(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("book"), F.when(F.col("c_custkey") % 3 == 0, " ").otherwise(F.col("c_mktsegment")).alias("author"))
+    return rows.select("c_custkey", text.xml_escape(render.bilingual_title(F.col("book"))).alias("title"), render.author_or_unknown(F.col("author")).alias("author"))
+
+
+@_query("q74_chapter_fallback", f"WITH {d.LINES} SELECT book, 1 AS chapter_no, 'Untitled' AS title, doc_id * 1000000000 + line_no AS para_no, text FROM lines WHERE NOT {d.heading('text')}")
+def _(spark, sf_dir):
+    lines = _lines(spark, sf_dir).where(~text.is_heading(F.col("text"))).select("book", (F.col("doc_id") * 1_000_000_000 + F.col("line_no")).alias("para_no"), "text")
+    return segment.bucketed(lines)
+
+
+@_query("q75_requests", f"WITH {_RANKED} SELECT book, 'Translate the numbered German texts into Korean. Begin each answer with its number in brackets on a line of its own and say nothing else.' || chr(10) || chr(10) || 'Glossary:' || chr(10) || string_agg('- ' || term || CASE WHEN rank % 2 = 0 THEN ': K' || term ELSE ': choose one rendering, use no other' END, chr(10) ORDER BY rank) AS request FROM ranked WHERE rank <= 30 GROUP BY 1".replace("WITH WITH", "WITH"))
+def _(spark, sf_dir):
+    terms = planning.glossary(planning.term_counts(_lines(spark, sf_dir))).withColumn("rendering", F.when(F.col("rank") % 2 == 0, F.concat(F.lit("K"), "term")).otherwise(F.col("rendering")))
+    held = terms.groupBy("book").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term", "rendering"))), lambda t: F.struct(t["term"].alias("term"), t["rendering"].alias("rendering"))).alias("terms"))
+    return held.select("book", replies.translation_prompt(F.lit("de"), F.col("terms")).alias("request"))

@@ -89,3 +89,49 @@ def best_cover(offers: DataFrame, least: int = 1024) -> DataFrame:
     """``book, url`` of ``book, rank, status, bytes, content_type, url``: the first acceptable picture by rank."""
     fine = (F.col("status") == 200) & (F.col("bytes") > least) & F.col("content_type").startswith("image/")
     return offers.where(fine).groupBy("book").agg(F.min_by("url", "rank").alias("url"))
+
+
+# Sizes of a cover from the best to the least.
+COVER_SIZES = ["extraLarge", "large", "medium", "thumbnail", "smallThumbnail", "L", "M", "S"]
+
+
+def cover_offers(links: DataFrame) -> DataFrame:
+    """``book, rank, url`` of ``book, pos, sizes`` (a map of sizes to addresses): hit by hit, the best size first."""
+    rows = links.select("book", "pos", F.explode("sizes").alias("size", "url")).where(F.coalesce("url", F.lit("")) != "")
+    size = F.array_position(F.array(*map(F.lit, COVER_SIZES)), F.col("size"))
+    order = W.partitionBy("book").orderBy("pos", F.when(size > 0, size).otherwise(len(COVER_SIZES) + 1), "size")
+    return rows.select("book", F.row_number().over(order).cast("long").alias("rank"), "url")
+
+
+def call_results(messages: DataFrame, call_id: int = 2) -> DataFrame:
+    """``id, result`` (JSON) of ``id, pos, message``: the first message that answers call ``call_id`` with a result."""
+    rows = messages.select("id", "pos", F.get_json_object("message", "$.id").alias("call"), F.get_json_object("message", "$.result").alias("result"))
+    return rows.where((F.col("call") == str(call_id)) & F.col("result").isNotNull()).groupBy("id").agg(F.min_by("result", "pos").alias("result"))
+
+
+def environment(lines: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """``key, value`` of ``pos, line`` in the form KEY=VALUE: blanks and comments are skipped, the first line of a key counts.
+
+    Quotes around a value go. Keys of ``present`` (``key``) keep their values there and are left out.
+    """
+    line = strip(F.col("line"))
+    rows = lines.select("pos", line.alias("line")).where((F.col("line") != "") & ~F.col("line").startswith("#") & F.contains("line", F.lit("=")))
+    at = F.instr("line", "=")
+    value = strip(F.substr("line", at + 1, F.length("line")))
+    bare = F.regexp_replace(F.regexp_replace(value, r'^"+|"+$', ""), r"^'+|'+$", "")
+    rows = rows.select("pos", strip(F.substr("line", F.lit(1), at - 1)).alias("key"), bare.alias("value")).groupBy("key").agg(F.min_by("value", "pos").alias("value"))
+    return rows if present is None else rows.join(present.select("key"), "key", "left_anti")
+
+
+def distinct_hosts(hosts: DataFrame) -> DataFrame:
+    """``pos, host``: each host once, at its first place."""
+    return hosts.groupBy("host").agg(F.min("pos").alias("pos")).select("pos", "host")
+
+
+def hash_links(pages: DataFrame, limit: int = 8) -> DataFrame:
+    """``query, pos, hash, title`` of the links to ``/md5/`` pages: the first with text of each hash, in order."""
+    found = F.lower(F.regexp_extract("href", r"/md5/([0-9a-fA-F]{32})", 1))
+    rows = links(pages).withColumn("hash", found).where((F.col("hash") != "") & (F.col("text") != ""))
+    rows = rows.withColumn("n", F.row_number().over(W.partitionBy("query", "hash").orderBy("pos"))).where("n = 1")
+    rows = rows.withColumn("pos", F.row_number().over(W.partitionBy("query").orderBy("pos")).cast("long")).where(F.col("pos") <= limit)
+    return rows.select("query", "pos", "hash", F.substring("text", 1, 200).alias("title"))

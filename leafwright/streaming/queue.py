@@ -7,45 +7,76 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from leafwright.operators import state
+from leafwright.scratch import table
 
 LOG = T.StructType([T.StructField("path", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("op", T.StringType()), T.StructField("title", T.StringType())])
 
 
-def run(spark: SparkSession, events: str, store: str, checkpoint: str, outcomes: Callable[[DataFrame], DataFrame], every: str | None = None):
+ITEMS = T.StructType([T.StructField(n, t) for n, t in (("path", T.StringType()), ("title", T.StringType()), ("queued_seq", T.LongType()), ("attempts", T.LongType()), ("last_attempt_seq", T.LongType()))])
+
+
+def run(spark: SparkSession, events: str, store: str, checkpoint: str, outcomes: Callable[[DataFrame], DataFrame | None], every: str | None = None, files: int | None = None):
     """Start a query over Parquet events in ``events`` (``LOG``); returns the StreamingQuery.
 
-    ``store`` keeps the log, partitioned by batch so that a batch that runs again replaces itself. After each batch
-    the queue of the whole log is drained: ``outcomes(queue)`` says for ``path`` whether it ``exists``, was
-    ``pushed`` or ``skipped``; attempts and removals are appended to the log. Without ``every`` (a processing time)
-    the query takes what there is and ends.
+    Each batch advances the queue that the batch before left by its own events, and drains it: ``outcomes(queue)``
+    says for ``path`` whether it ``exists``, was ``pushed`` or ``skipped`` (and may give ``ip, source``), or is None
+    if no device was found, which leaves the queue as it is. ``store`` has the queue after each batch and a summary
+    of its pass; a batch that runs again replaces its own. The order of things is batch by batch, and events before
+    the pass, so ``last_attempt_seq`` of the pass is the last event's number so far. Without ``every`` (a processing
+    time) the query takes what there is and ends; ``files`` bounds the files of a batch.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        target = f"{store}/batch={number}"
-        rows.withColumn("part", F.lit(0)).write.mode("overwrite").parquet(f"{target}/kind=events")
-        log = _log(spark, store, number, False)
-        items = state.queue(log).withColumn("tick", F.lit(number).cast("long"))
-        from pyspark.sql import Window as W
-
-        items = items.withColumn("pos", F.row_number().over(W.partitionBy("tick").orderBy("queued_seq")).cast("long"))
-        results = state.drained(items.select("tick", "path", "pos"), outcomes(items).select(F.lit(number).cast("long").alias("tick"), "path", "exists", "pushed", "skipped"))
-        last = log.agg(F.max("seq")).first()[0] or 0
-        ops = F.when(F.col("result").isin("pushed"), F.array(F.lit("attempt"), F.lit("remove"))).when(F.col("result") == "failed", F.array(F.lit("attempt"))).when(F.col("result") == "gone", F.array(F.lit("remove"))).otherwise(F.array().cast("array<string>"))
-        news = results.select("path", F.col("pos"), F.posexplode(ops).alias("k", "op")).select("path", (F.lit(last) + F.col("pos") * 2 + F.col("k")).cast("long").alias("seq"), "op", F.lit(None).cast("string").alias("title"), F.lit(0).alias("part"))
-        news.write.mode("overwrite").parquet(f"{target}/kind=drain")
-
-    writer = spark.readStream.schema(LOG).parquet(events).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+        held = table(state.advanced(_items(spark, store, number - 1), rows), "queue")
+        last = max(held.agg(F.max(F.greatest("queued_seq", F.coalesce("last_attempt_seq", "queued_seq")))).first()[0] or 0, rows.agg(F.max("seq")).first()[0] or 0)
+        found = outcomes(held)
+        tick = F.lit(number).cast("long").alias("tick")
+        # The order of a pass is that of the queue, which is in one window as the pass itself is one loop over it.
+        items = held.select(tick, "path", F.row_number().over(W.partitionBy(F.lit(number)).orderBy("queued_seq", "path")).cast("long").alias("pos"))
+        if found is None:
+            results = items.withColumn("result", F.lit("waiting"))
+            left, devices = held, spark.createDataFrame([], "tick long, ip string, source string")
+        else:
+            found = table(found, "outcomes")
+            results = table(state.drained(items, found.select(tick, "path", "exists", "pushed", "skipped")), "results")
+            tried = F.col("result").isin("pushed", "failed")
+            left = held.join(results.select("path", "result"), "path").where("result in ('failed', 'waiting')")
+            left = left.withColumn("attempts", F.col("attempts") + tried.cast("long")).withColumn("last_attempt_seq", F.when(tried, F.lit(last)).otherwise(F.col("last_attempt_seq"))).select(ITEMS.names)
+            address = [F.first(c).alias(c) if c in found.columns else F.lit(None).cast("string").alias(c) for c in ("ip", "source")]
+            devices = found.agg(F.count(F.lit(1)).alias("n"), *[a for c, a in zip(("ip", "source"), address) if c in found.columns])
+            devices = devices.select(tick, *[F.coalesce(c, F.lit("unknown")).alias(c) if c in found.columns else F.lit("unknown").alias(c) for c in ("ip", "source")])
+        left.write.mode("overwrite").parquet(f"{store}/queue/batch={number}")
+        state.drain_summary(results, devices).write.mode("overwrite").parquet(f"{store}/summary/batch={number}")
+
+    reader = spark.readStream.schema(LOG)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    writer = reader.parquet(events).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def _log(spark: SparkSession, store: str, upto: int, drained: bool) -> DataFrame:
-    rows = spark.read.option("basePath", store).parquet(f"{store}/batch=*/kind=*").withColumn("batch", F.col("batch").cast("long"))
-    before = F.col("batch") < upto
-    return rows.where(before | ((F.col("batch") == upto) & ((F.col("kind") == "events") | F.lit(drained)))).select("path", "seq", "op", "title")
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def _items(spark: SparkSession, store: str, number: int) -> DataFrame:
+    path = f"{store}/queue/batch={number}"
+    return spark.read.schema(ITEMS).parquet(path) if number >= 0 and _exists(spark, path) else spark.createDataFrame([], ITEMS)
+
+
+def stored_queue(spark: SparkSession, store: str) -> DataFrame:
+    """The queue after the last batch."""
+    if not _exists(spark, f"{store}/queue"):
+        return spark.createDataFrame([], ITEMS)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/queue")
+    batches = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return _items(spark, store, max(int(b.getPath().getName().split("=")[1]) for b in batches if "=" in b.getPath().getName()))
 
 
-def stored_log(spark: SparkSession, store: str) -> DataFrame:
-    """The whole log so far."""
-    return _log(spark, store, 2**62, True)
+def summaries(spark: SparkSession, store: str) -> DataFrame:
+    """The summary of each pass that had something queued."""
+    return spark.read.parquet(f"{store}/summary").drop("batch")

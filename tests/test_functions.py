@@ -117,7 +117,9 @@ def test_lenient_json(one):
 def test_prompts(one, spark):
     terms = spark.createDataFrame([([("Emma", "엠마"), ("Box", "<CONSISTENT:Box>")],)], "t array<struct<term:string,rendering:string>>")
     said = terms.select(replies.translation_prompt(F.lit("fr"), F.col("t"))).first()[0]
-    assert "French" in said and "'Emma' must be translated as '엠마'" in said and "'Box' must always be translated the same way" in said
+    assert "French" in said and "- Emma: 엠마\n- Box: choose one rendering" in said
+    own = terms.select(replies.translation_prompt(F.lit("fr"), F.col("t"), "From {language}.")).first()[0]
+    assert own.startswith("From French.\n")
     assert one(lambda c: replies.numbered(F.array(c, c)), ["x"]) == ["[1]\nx\n\n[2]\nx"]
     assert one(lambda c: replies.grounding_query(c, F.lit("T")), ["Emma"]) == ["Emma T 한국어 번역"]
     assert one(lambda c: replies.single_reply(c, F.array(F.lit("<i>"))), [" [3] ◀TAG0▶x⟦P⟧ "]) == ["<i>x"]

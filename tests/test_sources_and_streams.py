@@ -1,4 +1,6 @@
 import json
+
+import pytest
 import zipfile
 
 from pyspark.sql import functions as F
@@ -73,18 +75,76 @@ def test_links(spark):
     assert payloads.epub_link(pages, "https://b").first()["url"] == "https://b/d/emma.epub"
 
 
-def test_stream_is_the_batch(spark, tmp_path):
-    """Events in two files, a stop between them: the queue is what the whole log says."""
+def test_stream_over_batches(spark, tmp_path):
+    """Events in three files, a stop between them: pushed books stay gone until they are queued again, and then are there."""
     events, store, checkpoint = (str(tmp_path / x) for x in ("events", "store", "checkpoint"))
-    first = [("a", 1, "enqueue", "A"), ("b", 2, "enqueue", "B"), ("gone", 3, "enqueue", "G")]
-    second = [("c", 100, "enqueue", "C"), ("a", 101, "enqueue", "A2")]
+    batches = [
+        [("a", 1, "enqueue", "A"), ("b", 2, "enqueue", "B"), ("gone", 3, "enqueue", "G")],
+        [("c", 4, "enqueue", "C"), ("a", 5, "enqueue", "A2")],  # the device is away
+        [("b", 6, "remove", None), ("d", 7, "attempt", None)],
+    ]
+    pushed = [["a"], None, ["c"]]
+    expected = [{"b": ("B", 1)}, {"b": ("B", 1), "c": ("C", 0), "a": ("A2", 0)}, {"a": ("A2", 1)}]
+    for rows, names, left in zip(batches, pushed, expected):
+        spark.createDataFrame(rows, queue.LOG).coalesce(1).write.mode("append").parquet(events)
 
-    def outcomes(items):
-        return items.select("path", (F.col("path") != "gone").alias("exists"), (F.col("path") == "a").alias("pushed"), F.lit(False).alias("skipped"))
+        def outcomes(items, names=names):
+            if names is None:
+                return None
+            return items.select("path", (F.col("path") != "gone").alias("exists"), F.col("path").isin(names).alias("pushed"), F.lit(False).alias("skipped"), F.lit("10.0.0.9").alias("ip"), F.lit("cache").alias("source"))
 
-    for rows in (first, second):
-        spark.createDataFrame(rows, queue.LOG).coalesce(1).write.mode("append").parquet(events)
-        query = queue.run(spark, events, store, checkpoint, outcomes)
-        query.awaitTermination(60)
-    got = {r["path"]: (r["title"], r["attempts"]) for r in state.queue(queue.stored_log(spark, store)).collect()}
-    assert got == {"b": ("B", 2), "c": ("C", 1)}
+        queue.run(spark, events, store, checkpoint, outcomes).awaitTermination(60)
+        assert {r["path"]: (r["title"], r["attempts"]) for r in queue.stored_queue(spark, store).collect()} == left
+    passes = [tuple(r) for r in queue.summaries(spark, store).orderBy("tick").select("tick", "queued", "discovered", "pushed", "failed", "left", "ip", "source").collect()]
+    assert passes == [(0, 3, True, 1, 1, 1, "10.0.0.9", "cache"), (1, 3, False, 0, 0, 3, None, None), (2, 2, True, 1, 1, 1, "10.0.0.9", "cache")]
+
+
+def test_a_vanished_device_ends_the_pass(spark):
+    items = spark.createDataFrame([(1, p, k) for k, p in enumerate("abc", 1)], "tick long, path string, pos long")
+    outcomes = spark.createDataFrame([(1, "a", True, True, False), (1, "b", True, False, True), (1, "c", True, True, False)], "tick long, path string, exists boolean, pushed boolean, skipped boolean")
+    assert {r["path"]: r["result"] for r in state.drained(items, outcomes).collect()} == {"a": "pushed", "b": "failed", "c": "waiting"}
+
+
+def _epub(path, pages):
+    import zipfile
+
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="O/c.opf"/></rootfiles></container>')
+        items = "".join(f'<item id="i{k}" href="p{k}.xhtml" media-type="application/xhtml+xml"/>' for k in range(len(pages)))
+        z.writestr("O/c.opf", f'<package xmlns="http://www.idpf.org/2007/opf"><manifest>{items}<item id="n" href="nav.xhtml" properties="nav" media-type="application/xhtml+xml"/></manifest><spine><itemref idref="i0"/></spine></package>')
+        z.writestr("O/nav.xhtml", "<p>Not a chapter</p>")
+        for k, page in enumerate(pages):
+            z.writestr(f"O/p{k}.xhtml", page)
+
+
+def test_epub_keeps_titles_capitals_and_documents_outside_the_spine(spark, tmp_path):
+    from leafwright import api
+    from leafwright.operators import segment
+
+    _epub(tmp_path / "b.epub", ["<h1>The Title</h1><p>THIS IS ALL CAPITALS</p><p>Then text. More text.</p>", "<p>Outside of the spine.</p>", "<h1>Empty</h1>"])
+    rows = api.read_books(spark, str(tmp_path / "b.epub"))
+    units = [(r["chapter_no"], r["title"], r["unit_no"], r["unit"]) for r in segment.book_units(rows).orderBy("chapter_no", "unit_no").collect()]
+    assert units == [(1, "The Title", 1, "THIS IS ALL CAPITALS"), (1, "The Title", 2, "Then text."), (1, "The Title", 3, "More text."), (2, "p1", 1, "Outside of the spine.")]
+    _epub(tmp_path / "e.epub", ["<h1>No text</h1>"])
+    with pytest.raises(ValueError, match="no chapters in e"):
+        api.read_books(spark, str(tmp_path / "e.epub"))
+    (tmp_path / "e.txt").write_text(" \n\n ")
+    with pytest.raises(ValueError, match="no paragraphs"):
+        api.read_books(spark, str(tmp_path / "e.txt"))
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from leafwright import scratch
+
+    class Context:
+        applicationId, master = "app-1", "spark://host:7077"
+
+        class getConf:
+            def get(self, name, default=None):
+                return default
+
+    class Session:
+        sparkContext = Context
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.scratch(Session)
