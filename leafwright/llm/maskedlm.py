@@ -5,7 +5,7 @@ in classes of equal size. The network sees the two tokens on each side of a mask
 weighted by place, through a tanh layer, and predicts the masked token's class and the token within its class.
 
 Training is data-parallel over all documents: each task starts from the same parameters (the corpus unigram
-distribution in the output biases), runs Adagrad over its own documents with a share of their tokens masked,
+distribution in the output biases), runs Adagrad over its own documents, in which every token is masked once,
 and returns its parameters; these are averaged by number of targets in an aggregation by parameter row. A
 document's score is the sum of the conditional log-probabilities of all its tokens.
 
@@ -130,16 +130,25 @@ class Network:
         return np.tanh(total)
 
     @staticmethod
-    def _softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
+    def _steady(z: np.ndarray) -> np.ndarray:
+        """Logits that single precision can take to the exponent: rows are shifted only where that is needed."""
+        if len(z) and (z.max() > 60 or z.min() < -60):
+            z -= z.max(axis=1, keepdims=True)
+        return z
+
+    @classmethod
+    def _softmax(cls, z: np.ndarray) -> np.ndarray:
+        z = cls._steady(z)
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
+        z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
         return z
 
-    @staticmethod
-    def _log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
-        return z[np.arange(len(z)), at] - np.log(np.exp(z).sum(axis=1))
+    @classmethod
+    def _log_softmax(cls, z: np.ndarray, at: np.ndarray) -> np.ndarray:
+        z = cls._steady(z)
+        chosen = z[np.arange(len(z)), at]
+        np.exp(z, out=z)
+        return chosen - np.log(z @ np.ones(z.shape[1], z.dtype))
 
     def by_class(self, target: np.ndarray):
         """Order of targets by class, and the slice of each class that occurs."""
@@ -152,11 +161,13 @@ class Network:
         top, low = w[self.parts["class"]], w[self.parts["token"]]
         out = self._log_softmax(h @ top[:, : self.dims].T + top[:, self.dims], target // self.size)
         order, runs = self.by_class(target)
-        h, within, second = h[order], target[order] % self.size, np.empty(len(target), out.dtype)
+        second = np.empty((len(target), self.size), w.dtype)
+        h = h[order]
         for c, a, b in runs:
             own = low[c * self.size : (c + 1) * self.size]
-            second[a:b] = self._log_softmax(h[a:b] @ own[:, : self.dims].T + own[:, self.dims], within[a:b])
-        out[order] += second
+            np.matmul(h[a:b], own[:, : self.dims].T, out=second[a:b])
+            second[a:b] += own[:, self.dims]
+        out[order] += self._log_softmax(second, target[order] % self.size)
         return out
 
     def step(self, w: np.ndarray, memory: np.ndarray, target: np.ndarray, context: np.ndarray, rate: float) -> None:
@@ -171,23 +182,28 @@ class Network:
         g[self.parts["class"]] = p.T @ one
         back = p @ top[:, :d]
         order, runs = self.by_class(target)
-        first = self.parts["token"].start
+        first, one, q, pushed = self.parts["token"].start, one[order], np.empty((n, self.size), w.dtype), np.empty((n, d), w.dtype)
         for c, a, b in runs:
-            at = order[a:b]
-            own = low[c * self.size : (c + 1) * self.size]
-            q = self._softmax(one[at] @ own.T)
-            q[np.arange(b - a), target[at] % self.size] -= 1
-            g[first + c * self.size : first + (c + 1) * self.size] = q.T @ one[at]
-            back[at] += q @ own[:, :d]
+            np.matmul(one[a:b], low[c * self.size : (c + 1) * self.size].T, out=q[a:b])
+        q = self._softmax(q)
+        q[np.arange(n), target[order] % self.size] -= 1
+        for c, a, b in runs:
+            g[first + c * self.size : first + (c + 1) * self.size] = q[a:b].T @ one[a:b]
+            np.matmul(q[a:b], low[c * self.size : (c + 1) * self.size, :d], out=pushed[a:b])
+        back[order] += pushed
         back *= 1 - h * h
         g[self.parts["hidden"], :d] = back.sum(axis=0)
         e, place = w[self.parts["embedding"], :d], w[self.parts["place"], :d]
+        pull = np.empty((n, context.shape[1], d), w.dtype)
         for j in range(context.shape[1]):
-            seen = context[:, j]
-            g[self.parts["place"].start + j, :d] = (back * e[seen]).sum(axis=0)
-            pull = back * place[j]
-            for k in range(d):
-                g[: self.tokens, k] += np.bincount(seen, weights=pull[:, k], minlength=self.tokens + 1)[: self.tokens].astype(np.float32)
+            g[self.parts["place"].start + j, :d] = (back * e[context[:, j]]).sum(axis=0)
+            np.multiply(back, place[j], out=pull[:, j])
+        # Pulls on the same embedding side by side, added up run by run.
+        seen = context.reshape(-1)
+        order = np.argsort(seen.astype(np.uint16), kind="stable")
+        rows, first = np.unique(seen[order], return_index=True)
+        inside = rows < self.tokens  # the last row stands for what is beyond a document's ends
+        g[rows[inside], :d] += np.add.reduceat(pull.reshape(-1, d)[order], first, axis=0)[inside]
         g /= n
         memory += g * g
         w -= rate * g / np.sqrt(memory + 1e-8)
@@ -196,8 +212,8 @@ class Network:
 class _Train:
     """Parameter rows of a task's own network times its number of targets."""
 
-    def __init__(self, network: Network, start, share: int, batch: int, rate: float):
-        self.network, self.start, self.share, self.batch, self.rate = network, start, share, batch, rate
+    def __init__(self, network: Network, start, batch: int, rate: float):
+        self.network, self.start, self.batch, self.rate = network, start, batch, rate
 
     def __call__(self, batches):
         net, w = self.network, self.start.value.copy()
@@ -211,11 +227,9 @@ class _Train:
                     held += len(ids[end])
                     end += 1
                 target, context = net.contexts(ids[at:end])
-                masked = np.flatnonzero((np.arange(len(target)) * 2654435761 >> 7) % self.share == 0)
-                for k in range(0, len(masked), self.batch):
-                    chosen = masked[k : k + self.batch]
-                    net.step(w, memory, target[chosen], context[chosen], self.rate)
-                seen += len(masked)
+                for k in range(0, len(target), self.batch):
+                    net.step(w, memory, target[k : k + self.batch], context[k : k + self.batch], self.rate)
+                seen += len(target)
                 at = end
         if seen:
             values = [pa.array(w[:, k].astype(np.float64) * seen) for k in range(w.shape[1])]
@@ -244,11 +258,12 @@ class _Score:
         return {"doc_id": batch.column(0), "n_tokens": size, "total": total, "rid": batch.column(2)}
 
 
-def score(docs: DataFrame, classes: int = 64, size: int = 64, buckets: int = 1024, dims: int = 16, window: int = 2, share: int = 4, batch: int = 2048, rate: float = 0.2) -> DataFrame:
+def score(docs: DataFrame, classes: int = 64, size: int = 64, buckets: int = 1024, dims: int = 16, window: int = 2, batch: int = 8192, rate: float = 0.2) -> DataFrame:
     """``doc_id, n_tokens, log_likelihood, mean_log_likelihood`` for every row of ``doc_id, text``.
 
     ``classes`` x ``size`` is the network's vocabulary, of which ``buckets`` are hash buckets of rarer words, each
-    scored with its share of the bucket's count (words are told apart by 64 bits of their hash); one in ``share`` tokens of every document is a target in training. Scores are of all tokens of the whole text.
+    scored with its share of the bucket's count (words are told apart by 64 bits of their hash). Every token of every
+    document is a target in training, and scores are of all tokens of the whole text.
     Null and empty texts have no tokens, sum 0 and mean null. Repeated rows are counted and scored each; an
     empty table gives an empty result; further columns are ignored.
     """
@@ -271,7 +286,7 @@ def score(docs: DataFrame, classes: int = 64, size: int = 64, buckets: int = 102
     ids = table(map_batches(docs.withColumn("rid", F.monotonically_increasing_id()), _Encode(sc.broadcast(known), buckets), encoded), "tokens")
     start = network.start(counts)
     columns = [f"w{k}" for k in range(dims + 1)]
-    trained = ids.select("ids").mapInArrow(by_partition(_Train(network, sc.broadcast(start), share, batch, rate)), "row long, targets double, " + ", ".join(f"{c} double" for c in columns))
+    trained = ids.select("ids").mapInArrow(by_partition(_Train(network, sc.broadcast(start), batch, rate)), "row long, targets double, " + ", ".join(f"{c} double" for c in columns))
     averaged = trained.groupBy("row").agg(*[(F.sum(c) / F.sum("targets")).alias(c) for c in columns]).toPandas()  # the network's rows
     weights = start.copy()
     if len(averaged):
