@@ -242,6 +242,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: i
     spark = docs.sparkSession
     ship(spark)
     added = ["n_shingles", "component_id", "kept", "first"]
+    # Columns that are named like the working ones step aside.
+    aside = {c: f"{c}{'_' * (1 + max(map(len, docs.columns)))}" for c in docs.columns if c in ("_packed", "_set", "_registers", "_rid", "_text", "first_place", "comp")}
+    wanted, docs = docs.columns, docs.withColumnsRenamed(aside)
     names = [c for c in docs.columns if c not in added and c != "text"]
     registers = bands * rows
     schema = T.StructType(
@@ -275,11 +278,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: i
     def with_component(frame: DataFrame) -> DataFrame:
         return frame.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
 
-    def mixed(frame: DataFrame) -> DataFrame:
+    def mixed(frame: DataFrame, deals: int = 1) -> DataFrame:
+        """Rows of the keys under which several components meet; a key's rows are dealt to ``deals`` tasks."""
         several = frame.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
-        return frame.join(several, "band", "left_semi")
+        if deals == 1:
+            return frame.join(several, "band", "left_semi")
+        several = several.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+        return frame.withColumn("deal", F.pmod(F.xxhash64("cid"), F.lit(deals)).cast("int")).join(several, ["band", "deal"], "left_semi").drop("deal")
 
-    many = mixed(with_component(met.where(F.col("size") > frequent)))
+    # A frequent key has over ``frequent`` rows, so there are fewer copies of keys than rows.
+    many = mixed(with_component(met.where(F.col("size") > frequent)), frequent)
     group = components(many.select(F.col("head").alias("a"), F.col("cid").alias("b")))
     members = group.select(F.col("node").alias("cid"), F.col("root").alias("grp")).unionByName(group.select(F.col("root").alias("cid"), F.col("root").alias("grp")).distinct())
     members = table(with_component(members).join(heads.select("cid", "n"), "cid"), "members")
@@ -312,7 +320,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: i
 
     # The least place of each component goes back to the rows through their set.
     all_classes = with_component(classes)
-    least = all_classes.groupBy("comp").agg(F.min("place").alias("first_place"))
+    # Written, so that the join below isn't dealt by component: one may have a third of all classes.
+    least = table(all_classes.groupBy("comp").agg(F.min("place").alias("first_place")), "least")
     lookup = table(all_classes.select("_set", "comp").join(least, "comp").select("_set", "first_place"), "lookup")
     out = signed.select(*names, "n_shingles", "_set", "_rid", *["_packed"] * with_text).join(lookup, "_set", "left")
     mine = F.col("doc_id").cast("long")
@@ -321,11 +330,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: i
     out = out.withColumn("kept", mine.eqNullSafe(F.col("component_id")))
     out = out.withColumn("first", F.coalesce(F.col("first_place.rid") == F.col("_rid"), F.lit(True)))
     if not with_text:
-        return out.select(*names, *added)
+        return out.select(*[F.col(c).alias({v: k for k, v in aside.items()}.get(c, c)) for c in names], *added)
     carried = [*names, *added]
     schema = T.StructType([*out.select(*carried).schema.fields, T.StructField("text", T.StringType())])
     out = map_batches(out.select(*carried, "_packed"), _Unpack(carried), schema)
-    return out.select(*[c for c in docs.columns if c not in added], *added)
+    return out.select(*[F.col(aside.get(c, c)).alias(c) for c in wanted if c not in added], *added)
 
 
 def _estimated(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:

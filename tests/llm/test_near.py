@@ -151,3 +151,12 @@ def test_skipping_loses_nothing():
     d2 = ((p[:, None] - p[None]) ** 2).sum(axis=2)
     near = {(int(a), int(b)) for a, b in zip(*np.nonzero(d2 <= far2)) if a < b}
     assert near <= seen and len(seen) < 700 * 700 / 2
+
+
+def test_columns_named_like_the_working_ones_stay(spark):
+    rows = [(1, "a b c d e f g", "x", 5, "r", "p", "t"), (2, "a b c d e f g", "y", 6, "s", "q", "u"), (3, None, "z", 7, "t", "o", "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _packed string, _rid int, _set string, comp string, _text string")
+    got = hyperminhash.near_duplicates(docs)
+    assert got.columns == [*docs.columns, "n_shingles", "component_id", "kept", "first"]
+    assert sorted((r["doc_id"], r["text"], r["_packed"], r["_rid"], r["_set"], r["comp"], r["_text"], r["component_id"]) for r in got.collect()) == [(1, "a b c d e f g", "x", 5, "r", "p", "t", 1), (2, "a b c d e f g", "y", 6, "s", "q", "u", 1), (3, None, "z", 7, "t", "o", "v", 3)]
+    assert "text" not in hyperminhash.near_duplicates(docs, with_text=False).columns
