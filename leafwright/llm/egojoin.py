@@ -232,7 +232,8 @@ def epsilon_components(vectors: DataFrame, cosine: float = 0.93, dims: int = 8,
     links = joined.where(F.col("links").isNotNull()).groupBy("cid").agg(F.sum("links").alias("links"))
     roots = components(joined.where(F.col("root").isNotNull()).select(F.col("cid").alias("a"), F.col("root").alias("b")))
     known = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    least = known.groupBy("root").agg(F.min("place").alias("first_place"))
+    # Written, so that the join below isn't dealt by root: one root may have a third of all vectors.
+    least = table(known.groupBy("root").agg(F.min("place").alias("first_place")), "least")
     known = known.join(links, "cid", "left").join(least, "root").select("_key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "first_place")
     out = rows.select("vec_id", "_key").join(table(known, "lookup"), "_key", "left")
     found = F.when(F.col("first_place.vec") == _MAX, F.lit(None).cast("long")).otherwise(F.coalesce("first_place.vec", "vec_id"))
