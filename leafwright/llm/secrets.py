@@ -31,7 +31,7 @@ _CANDIDATE = (
     r"|(?<=://[^\s/:@]{0,64}:)[^\s/@\"'<>]{3,}(?=@)"
     rf"|(?<=[=:>]\s{{0,2}}[\"']?)(?<=(?i:passwords?|passwd|pwd|passphrase|secrets?|tokens?|credentials?|(?:api|access|private|secret)[_-]?keys?|(?<![A-Za-z])(?:key|auth|authorization|bearer))[\"']?\s{{0,2}}(?:[=:]|=>|:=)\s{{0,2}}[\"']?){_VALUE}"
     rf"|(?<=(?i:bearer)\s{{1,2}}[\"']?){_VALUE}"
-    r"|(?=[A-Za-z_+/-]{0,80}[0-9])[A-Za-z0-9_+/-]{16,}={0,2}"
+    r"|(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}={0,2}"
     r")"
 )
 #: Words that keys made by chance don't hold but identifiers and placeholders do. Fixed values.
