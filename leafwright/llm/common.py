@@ -7,11 +7,8 @@ is kept in a machine-local folder and nothing is locally checkpointed.
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwright import shipping
+from leafwright.scratch import scratch, table  # noqa: F401
 
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-_scratch: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -32,36 +29,6 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_BYTES, f"{16 << 20}b")
 
 
-def scratch(spark: SparkSession) -> str:
-    """This application's folder below ``spark.checkpoint.dir``; a local one is made only where that is unset."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _scratch:
-        base = sc.getConf().get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="leafwright-checkpoints-")
-            sc.setCheckpointDir(base)
-        at = f"{base.rstrip('/')}/leafwright-{uuid.uuid4().hex[:12]}"
-        _scratch[sc.applicationId] = at
-        atexit.register(_remove, spark, at)
-    return _scratch[sc.applicationId]
-
-
-def _remove(spark: SparkSession, at: str) -> None:
-    try:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the JVM may have ended first; the folder is then left for the cluster's own cleaning
-        pass
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and return a reader of it: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove shuffle files of finished steps, which it does once their plans are collected."""
     gc.collect()
@@ -151,7 +118,11 @@ def process_state(owner: str) -> dict:
 
 
 def trim() -> None:
-    """Give free memory of this Python worker back: idle workers share a machine with the next stage."""
+    """Give free memory of this Python worker back.
+
+    Workers share an executor's memory with its JVM and outlive the stage; the allocator keeps what a batch with long
+    texts took, and two workers of one executor would hold that at once. One call takes far less time than a batch.
+    """
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -460,11 +460,18 @@ class _Store:
 
 class _Load:
     def __call__(self, batch) -> dict:
-        pictures = [Picture(m.as_py()) for m in batch.column(1)]
-        return {
-            "doc_id": batch.column(0), "payload": pa.array([p.payload() for p in pictures], pa.binary()), "width": [p.width for p in pictures],
-            "height": [p.height for p in pictures], "rgb": pa.array([p.rgb().tobytes() for p in pictures], pa.binary()),
-        }
+        out: dict[str, list] = {"payload": [], "width": [], "height": [], "rgb": [], "error": []}
+        for media in batch.column(1):
+            row = dict.fromkeys(out)
+            if media.is_valid:
+                try:
+                    picture = Picture(media.as_py())
+                    row = {"payload": picture.payload(), "width": picture.width, "height": picture.height, "rgb": picture.rgb().tobytes(), "error": None}
+                except (ValueError, IndexError, KeyError, AttributeError, TypeError, struct.error) as failure:  # cut short, or another kind of file
+                    row["error"] = f"not a picture that this reads: {failure}"
+            for name, value in row.items():
+                out[name].append(value)
+        return {"doc_id": batch.column(0), **out}
 
 
 class _Digest:
@@ -494,9 +501,13 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def load(media: DataFrame) -> DataFrame:
-    """``doc_id, payload, width, height, rgb`` of files in ``doc_id, media``; rgb is row-major, three bytes a pixel."""
-    rows = media.select("doc_id", "media").where(F.col("media").isNotNull())
-    return map_batches(rows, _Load(), _schema(doc_id=T.LongType, payload=T.BinaryType, width=T.IntegerType, height=T.IntegerType, rgb=T.BinaryType))
+    """``doc_id, payload, width, height, rgb, error`` of files in ``doc_id, media``; rgb is row-major, three bytes a pixel.
+
+    Null media gives a row of nulls, and a file that is cut short or of another kind one whose ``error`` says why.
+    Repeated rows stay repeated, an empty table gives an empty result, further columns are ignored.
+    """
+    rows = media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("media").cast("binary").alias("media"))
+    return map_batches(rows, _Load(), _schema(doc_id=T.LongType, payload=T.BinaryType, width=T.IntegerType, height=T.IntegerType, rgb=T.BinaryType, error=T.StringType))
 
 
 def media_digests(docs: DataFrame) -> DataFrame:

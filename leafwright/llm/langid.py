@@ -3,7 +3,7 @@
 Texts are lower-cased; every run of characters that are not letters becomes one space; n-grams of one to
 three characters are hashed into ``2**bits`` buckets. Training counts buckets by language over a bounded
 sample of labelled rows and yields a matrix of log-probabilities (languages x buckets), which is broadcast.
-Scoring counts a text's buckets and multiplies the non-empty ones with the matrix.
+Scoring multiplies the texts' buckets, the rows of a sparse matrix, with it, a batch at a time.
 """
 
 from __future__ import annotations
@@ -90,15 +90,46 @@ class LanguageModel:
 
     def predict(self, text: str | None, evidence: int = 100) -> tuple[str, float]:
         """The likeliest language and its probability, taking a long text's n-grams for ``evidence`` independent ones."""
-        found, n = bucket_counts(text, self.bits) if text else (None, 0)
-        if found is None or not self.languages:
-            return UNKNOWN, 0.0
-        at = np.flatnonzero(found)
-        logs = found[at].astype(np.float64) @ self.matrix[at]
-        best = int(np.argmax(logs + self.prior))
-        tempered = (logs * min(1.0, evidence / n)) + self.prior
-        odds = np.exp(tempered - tempered.max())
-        return self.languages[best], float(odds[best] / odds.sum())
+        names, scores = self.predict_all([text], evidence)
+        return names[0], scores[0]
+
+    def predict_all(self, texts, evidence: int = 100, most: int = 1 << 20) -> tuple[list[str], list[float]]:
+        """``predict`` for many texts: their buckets are rows of a sparse matrix that is multiplied with the model's."""
+        names, scores = [], []
+        at, n, size, held, rows = [], [], [], 0, []
+
+        def flush():
+            nonlocal held
+            if at:
+                starts = np.cumsum([0] + [len(a) for a in at[:-1]])
+                flat = np.concatenate(at)
+                logs = np.add.reduceat(np.concatenate(n)[:, None] * self.matrix[flat], starts, axis=0)
+                best = np.argmax(logs + self.prior, axis=1)
+                tempered = logs * np.minimum(1.0, evidence / np.array(size))[:, None] + self.prior
+                odds = np.exp(tempered - tempered.max(axis=1, keepdims=True))
+                chance = odds[np.arange(len(best)), best] / odds.sum(axis=1)
+                for row, b, p in zip(rows, best, chance):
+                    names[row], scores[row] = self.languages[b], float(p)
+            for x in (at, n, size, rows):
+                x.clear()
+            held = 0
+
+        for text in texts:
+            found, total = bucket_counts(text, self.bits) if text else (None, 0)
+            names.append(UNKNOWN)
+            scores.append(0.0)
+            if found is None or not self.languages:
+                continue
+            filled = np.flatnonzero(found)
+            at.append(filled)
+            n.append(found[filled].astype(np.float64))
+            size.append(total)
+            rows.append(len(names) - 1)
+            held += len(filled)
+            if held >= most:
+                flush()
+        flush()
+        return names, scores
 
 
 def train(docs: DataFrame, usable: Column, per_language: int = 3000, bits: int = 14, smoothing: float = 0.1) -> LanguageModel:
@@ -128,8 +159,8 @@ class _Predict:
 
     def __call__(self, batch) -> dict:
         model = self.model.value
-        guesses = [model.predict(t.as_py()) for t in batch.column(len(self.names))]
-        return {n: batch.column(k) for k, n in enumerate(self.names)} | {self.new[0]: [g[0] for g in guesses], self.new[1]: [g[1] for g in guesses]}
+        names, scores = model.predict_all(t.as_py() for t in batch.column(len(self.names)))
+        return {n: batch.column(k) for k, n in enumerate(self.names)} | {self.new[0]: names, self.new[1]: scores}
 
 
 def predict(rows: DataFrame, text: str, model: LanguageModel, carry: list[str], new: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -169,3 +169,38 @@ def test_digests(odd):
 def test_store_and_load(odd):
     back = {r["doc_id"]: r for r in j.load(j.store(odd)).collect()}
     assert bytes(back[8]["payload"]).rstrip(b"\0").decode().startswith("ß") and len(back[8]["rgb"]) == 3 * back[8]["width"] * back[8]["height"]
+
+
+def test_rgb_is_a_plain_inverse_transform():
+    """Samples by the definition of the inverse cosine transform, colour by the usual matrix, one pixel at a time."""
+    import math
+
+    picture = j.Picture(j.encode(j.padded(bytes(range(7, 190)) * 2), 366))
+    rgb = picture.rgb()
+    order = j._zigzag()
+    scale = lambda k: math.sqrt(0.5) if k == 0 else 1.0
+
+    def sample(c, y, x):
+        h, v = picture.sampling[c]
+        y, x = y * v // picture.most[1], x * h // picture.most[0]
+        across = picture.columns * h
+        block = picture.coefficients[c][(y // 8) * across + x // 8]
+        total = 0.0
+        for k in range(64):
+            u, w = int(order[k]) % 8, int(order[k]) // 8
+            total += scale(u) * scale(w) / 4 * float(block[k]) * float(picture.quant[c][k]) * math.cos((2 * (x % 8) + 1) * u * math.pi / 16) * math.cos((2 * (y % 8) + 1) * w * math.pi / 16)
+        return min(255.0, max(0.0, total + 128))
+
+    for y, x in ((0, 0), (picture.height - 1, picture.width - 1), (picture.height // 2, 3), (5, picture.width // 2)):
+        a, b, c = (sample(k, y, x) for k in range(3)) if len(picture.coefficients) == 3 else (sample(0, y, x), 128, 128)
+        want = [a + 1.402 * (c - 128), a - 0.344136 * (b - 128) - 0.714136 * (c - 128), a + 1.772 * (b - 128)]
+        assert all(abs(min(255, max(0, w)) - int(g)) <= 1 for w, g in zip(want, rgb[y, x]))
+
+
+def test_load_of_files_that_are_none(spark):
+    whole = j.encode(j.padded(b"abc"), 3)
+    rows = [(1, bytearray(whole)), (2, None), (3, bytearray(whole[: len(whole) // 3])), (4, bytearray(b"GIF89a")), (5, bytearray())]
+    got = {r["doc_id"]: r for r in j.load(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert len(got) == 5 and bytes(got[1]["payload"]).startswith(b"abc") and got[1]["error"] is None
+    assert got[2]["payload"] is None and got[2]["error"] is None
+    assert all(got[k]["payload"] is None and got[k]["error"] for k in (3, 4, 5))

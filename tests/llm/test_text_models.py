@@ -109,3 +109,104 @@ def test_masked_scores_of_words_in_a_bucket_rest_on_their_own_counts(spark):
     likely = rows["log_likelihood"]
     assert len(rows) == 34 and likely[0] > likely[30] > likely[40]
     assert abs(likely[30] - likely[40] - np.log(3)) < 0.02
+
+
+def test_language_is_a_plain_recount(spark):
+    """Counts, priors and posteriors by dictionaries over every n-gram of every training text."""
+    import math
+    import zlib
+    from collections import Counter
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 1500").limit(60)
+    rows = docs.select("doc_id", "text", "lang").collect()
+    used = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["lang"] is not None and r["text"] is not None]
+    bits = 10
+
+    def buckets(text):
+        code, out = [], Counter()
+        for ch in text.lower():
+            c = ord(ch) if ch.isalpha() else 32
+            if c != 32 or not code or code[-1] != 32:
+                code.append(c)
+        for n in (1, 2, 3):
+            for i in range(len(code) - n + 1):
+                h = n * 0x9E3779B1 & 0xFFFFFFFF
+                for k, m in zip(range(n), (2654435761, 2246822519, 3266489917)):
+                    h = (h ^ code[i + k]) * m & 0xFFFFFFFF
+                    h ^= h >> 15
+                out[(h * 2654435761 & 0xFFFFFFFF) >> (32 - bits)] += 1
+        return out
+
+    known = sorted({r["lang"] for r in used})
+    counts = {x: Counter() for x in known}
+    for r in used:
+        counts[r["lang"]] += buckets(r["text"])
+    prior = {x: math.log(sum(r["lang"] == x for r in used) / len(used)) for x in known}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.language_of_documents(spark.createDataFrame(rows), bits=bits).collect()}
+    for r in rows:
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        mine = buckets(r["text"])
+        n = sum(mine.values())
+        logs = {x: sum(k * math.log((counts[x][b] + 0.1) / (sum(counts[x].values()) + 0.1 * 2**bits)) for b, k in mine.items()) for x in known}
+        best = max(known, key=lambda x: logs[x] + prior[x])
+        odds = {x: logs[x] * min(1, 100 / n) + prior[x] for x in known}
+        chance = 1 / sum(math.exp(odds[x] - odds[best]) for x in known)
+        assert got[r["doc_id"]][0] == best and abs(got[r["doc_id"]][1] - chance) < 1e-9
+
+
+def test_ftrl_is_plain_ftrl():
+    """Weight by weight, by the published update, in dictionaries."""
+    import math
+
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(16, 4, replace=False)), rng.random(4), int(rng.integers(0, 2))) for _ in range(40)]
+    alpha, beta, l1, l2, epochs = 0.7, 1.0, 0.01, 0.02, 3
+    z, n = [0.0] * 17, [0.0] * 17
+    w = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for _ in range(epochs):
+        for at, x, y in rows:
+            parts = [*zip(at.tolist(), x.tolist()), (16, 1.0)]
+            p = 1 / (1 + math.exp(-sum(w(i) * v for i, v in parts)))
+            old = {i: w(i) for i, _ in parts}
+            for i, v in parts:
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * old[i]
+                n[i] += g * g
+    weights, bias = quality.ftrl(rows, 4, alpha, beta, l1, l2, epochs)
+    assert np.allclose(weights, [w(i) for i in range(16)]) and abs(bias - w(16)) < 1e-12
+
+
+def test_masked_score_of_one_document_by_hand():
+    """A document's score from the parameters, token by token, in plain arithmetic."""
+    import math
+
+    net = maskedlm.Network(3, 3, 4, 2)
+    w = net.start(np.arange(9.0), seed=5) + np.random.default_rng(6).normal(0, 0.4, (net.rows, 5)).astype(np.float32)
+    w[net.parts["embedding"].stop - 1] = 0
+    doc = [4, 0, 8, 8, 2, 5]
+    part = {k: w[v].astype(float) for k, v in net.parts.items()}
+    total = 0.0
+    for i, target in enumerate(doc):
+        h = part["hidden"][0, :4].copy()
+        for j, o in enumerate((-2, -1, 1, 2)):
+            if 0 <= i + o < len(doc):
+                h += part["embedding"][doc[i + o], :4] * part["place"][j, :4]
+        h = np.tanh(h)
+        top = [math.exp(h @ part["class"][c, :4] + part["class"][c, 4]) for c in range(3)]
+        low = [math.exp(h @ part["token"][t, :4] + part["token"][t, 4]) for t in range(target // 3 * 3, target // 3 * 3 + 3)]
+        total += math.log(top[target // 3] / sum(top)) + math.log(low[target % 3] / sum(low))
+    target, context = net.contexts([np.array(doc)])
+    assert abs(float(net.log_probabilities(w, target, context).sum()) - total) < 1e-3
+
+
+def test_shuffled_texts_are_less_likely(spark):
+    """The same words in another order: the network's part of the score falls."""
+    sentences = ["the old man went to the sea and came back with one fish", "a red house stands by the river near our small town", "she never told them where her brother hid all the money"]
+    docs = spark.createDataFrame([(k, " . ".join(sentences[(k + i) % 3] for i in range(12))) for k in range(150)], "doc_id long, text string")
+    noise = docs.where("doc_id < 10").select((F.col("doc_id") + 1000).alias("doc_id"), F.array_join(F.sort_array(F.transform(F.split("text", " "), lambda w: F.concat(F.md5(F.concat(w, F.lit("x"))), F.lit("/"), w))), " ").alias("text"))
+    noise = noise.withColumn("text", F.regexp_replace("text", r"[0-9a-f]{32}/", ""))
+    got = maskedlm.score(docs.unionByName(noise), classes=8, size=8, buckets=8, batch=256).toPandas()
+    real, mixed = got[got["doc_id"] < 1000], got[got["doc_id"] >= 1000]
+    assert mixed["mean_log_likelihood"].max() < real["mean_log_likelihood"].min() - 0.3
