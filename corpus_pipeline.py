@@ -3,6 +3,10 @@
 Each stage works on all rows that the one before kept, and all but the last return the columns of ``documents``.
 ``run`` writes each stage's result as Parquet in the shared scratch folder and reads it again for the next one,
 so a lost executor costs tasks of one stage at most.
+
+All stages: an empty table gives an empty one, further columns are carried whatever their names, rows that repeat
+are documents of their own until near-duplicates, of which one stays. A null id counts as held out (nothing is
+learned from such a row), and the row stays unless the stage says otherwise.
 """
 
 from __future__ import annotations
@@ -26,11 +30,12 @@ BATCH_BYTES = 4 << 20
 
 
 def _begin(spark: SparkSession) -> None:
+    """Set the batch size of the session, which keeps it: a stage's result is only planned when it is used."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; texts without a letter and uncertain ones go."""
+    """Documents whose language is recognised; null texts, texts without a letter and uncertain ones go."""
     _begin(spark)
     model = langid.train(docs, ~held_out(F.col("doc_id")))
     judged = langid.predict(docs, "text", model, docs.columns, new=("_lang_pred", "_lang_score"))
@@ -38,7 +43,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier trained on ``labels`` doesn't reject."""
+    """Documents that the classifier trained on ``labels`` doesn't reject.
+
+    Empty and null texts get the bias alone. Labels that are null or neither 0 nor 1 aren't used; without labels every
+    document stays, with one half.
+    """
     _begin(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     model = quality.train(docs, labels.where(~held_out(F.col("doc_id"))))
@@ -47,7 +56,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the least id."""
+    """One document of each group of near-duplicates, that of the least id (ties: any one row of it).
+
+    Texts that are null or without words are in no group and stay, each of them.
+    """
     _begin(spark)
     # The operator replaces columns that are named like its own; those of the documents step aside.
     aside = {c: f"_own_{c}" for c in ("n_shingles", "component_id", "kept", "first") if c in docs.columns}
@@ -56,14 +68,14 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked and ``n_chars`` of the masked text."""
+    """All documents, with secrets masked and ``n_chars`` of the masked text; null texts stay null."""
     _begin(spark)
     masked = secrets.redact(docs, secrets.train(secrets.labelled_findings(spark)))
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows of 2048 tokens."""
+    """Pieces of all documents in windows of 2048 tokens; null and empty texts are an end token alone."""
     _begin(spark)
     return packing.pack(docs)
 
