@@ -11,8 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from leafwright import api
 from leafwright.functions import replies, text
 from leafwright.operators import coverage, planning, progress, render, search, segment, state
 from leafwright.plans import dialect as d
@@ -136,7 +138,20 @@ def _(spark, sf_dir):
     return rows.select(F.col("book").cast("long").alias("page_id"), "title")
 
 
-@_query("q08_page_paragraphs")
+_ENTITIES = (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
+def _decoded_sql(x: str) -> str:
+    for entity, character in _ENTITIES:
+        x = f"replace({x}, {d.quoted(entity)}, {d.quoted(character)})"
+    return x
+
+
+# A paragraph begins at its tag and ends at the first one that closes it or can't stand in it; other tags part its text.
+@_query("q08_page_paragraphs", rf"""WITH bare AS (SELECT page_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS h1, regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(?:script|style)>', chr(3), 'g'), '(?s)<!--.*?-->', chr(3), 'g') AS h FROM pages),
+  cut AS (SELECT page_id, h1, string_split(regexp_replace(regexp_replace(h, '(?i)<(?:p|li)(?:\s[^>]*)?>', chr(2) || chr(1), 'g'), '(?i)<(?:/(?:p|li)|ul|ol|h1|h2|h3|div|table|blockquote)(?:\s[^>]*)?>', chr(2), 'g'), chr(1))[2:] AS parts FROM bare),
+  said AS (SELECT page_id, h1, i, array_to_string(list_filter(list_transform(string_split(regexp_replace(string_split(part, chr(2))[1], '<[^>]*>', chr(3), 'g'), chr(3)), lambda t: {d.strip(_decoded_sql('t'))}), lambda t: t <> ''), ' ') AS text FROM (SELECT page_id, h1, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM cut))
+  SELECT CAST(page_id AS VARCHAR) AS book, 1 AS chapter_no, substr({d.strip(_decoded_sql("regexp_replace(h1, '&amp$', '&')"))}, 1, 200) AS title, row_number() OVER (PARTITION BY page_id ORDER BY i) AS para_no, text FROM said WHERE length(text) > 1""")
 def _(spark, sf_dir):
     return books.markup_paragraphs(_page_documents(spark, sf_dir))
 
@@ -712,10 +727,9 @@ def _(spark, sf_dir):
 @_query("q72_queue_advanced", f"WITH {_QUEUE} SELECT * FROM queue")
 def _(spark, sf_dir):
     ops = _ops(spark, sf_dir)
-    half = ops.agg((F.max("seq") / 2).alias("half"))
-    parts = ops.crossJoin(F.broadcast(half))  # one row
-    first = table(state.queue(parts.where("seq <= half").drop("half")), "queue")
-    return state.advanced(first, parts.where("seq > half").drop("half"))
+    half = ops.agg(F.max("seq")).first()[0] / 2
+    first = table(state.queue(ops.where(F.col("seq") <= half)), "queue")
+    return state.advanced(first, ops.where(F.col("seq") > half))
 
 
 @_query("q73_bilingual_titles", f"SELECT c_custkey, {_escape_sql("c_name || ' (KO bilingual)'")} AS title, CASE WHEN c_custkey % 3 = 0 THEN 'Unknown' ELSE c_mktsegment END AS author FROM customer")
@@ -730,8 +744,71 @@ def _(spark, sf_dir):
     return segment.bucketed(lines)
 
 
-@_query("q75_requests", f"WITH {_RANKED} SELECT book, 'Translate the numbered German texts into Korean. Begin each answer with its number in brackets on a line of its own and say nothing else.' || chr(10) || chr(10) || 'Glossary:' || chr(10) || string_agg('- ' || term || CASE WHEN rank % 2 = 0 THEN ': K' || term ELSE ': choose one rendering, use no other' END, chr(10) ORDER BY rank) AS request FROM ranked WHERE rank <= 30 GROUP BY 1".replace("WITH WITH", "WITH"))
+@_query("q75_requests", f"{_RANKED} SELECT book, 'Translate the numbered German texts into Korean. Begin each answer with its number in brackets on a line of its own and say nothing else.' || chr(10) || chr(10) || 'Glossary:' || chr(10) || string_agg('- ' || term || CASE WHEN rank % 2 = 0 THEN ': K' || term ELSE ': choose one rendering, use no other' END, chr(10) ORDER BY rank) AS request FROM ranked WHERE rank <= 30 GROUP BY 1")
 def _(spark, sf_dir):
     terms = planning.glossary(planning.term_counts(_lines(spark, sf_dir))).withColumn("rendering", F.when(F.col("rank") % 2 == 0, F.concat(F.lit("K"), "term")).otherwise(F.col("rendering")))
     held = terms.groupBy("book").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term", "rendering"))), lambda t: F.struct(t["term"].alias("term"), t["rendering"].alias("rendering"))).alias("terms"))
     return held.select("book", replies.translation_prompt(F.lit("de"), F.col("terms")).alias("request"))
+
+
+# -- what is written can be read again
+
+
+@_query("q76_epub_roundtrip", f"WITH {d.FINAL} SELECT book, chapter_no, title, unit_no * 2 - 1 AS para_no, unit AS text FROM final WHERE book <> 'src2' UNION ALL SELECT book, chapter_no, title, unit_no * 2, 'ko: ' || unit FROM final WHERE book <> 'src2'")
+def _(spark, sf_dir):
+    # All books are complete but one, which is refused.
+    pairs = _written(spark, sf_dir).withColumn("translation", F.when(F.col("book") == "src2", "").otherwise(F.concat(F.lit("ko: "), "unit")))
+    made = render.epubs(pairs, stamp="2024-01-01T00:00:00Z").where("status = 'written'")
+    return books.markup_paragraphs(books.unzipped(made.select(F.concat("book", F.lit(".epub")).alias("path"), F.col("epub").alias("content"))))
+
+
+@_query("q77_text_books", rf"""WITH framed AS (SELECT doc_id, {d.strip(f"regexp_replace(regexp_replace(regexp_replace('Front' || chr(10) || '*** START OF THE EBOOK ' || doc_id || ' ***' || chr(10) || 'Produced by A and B at pgdp.net' || chr(10) || replace(text, chr(10), chr(10) || ' ' || chr(10)) || chr(10) || '*** END OF THE EBOOK ' || doc_id || ' ***' || chr(10) || 'Licence' || chr(10) || '*** END OF IT ***', {d.START}, ''), {d.END}, ''), {d.quoted('(?im)' + text.CREDITS)}, '')")} AS t FROM documents),
+  cut AS (SELECT doc_id, string_split(regexp_replace(t, '\n[\s\pZ]*\n', chr(2), 'g'), chr(2)) AS b FROM framed),
+  said AS (SELECT doc_id, {d.collapse('unnest(b)')} AS p, generate_subscripts(b, 1) AS i FROM cut)
+  SELECT CAST(doc_id AS VARCHAR) AS book, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS para_no, p AS text FROM said WHERE length(p) > 1""")
+def _(spark, sf_dir):
+    put = lambda frame: F.replace(F.lit(frame), F.lit("{}"), F.col("doc_id").cast("string"))
+    framed = F.concat(put(_FRAMED[0]), F.replace("text", F.lit("\n"), F.lit("\n \n")), put(_FRAMED[1]))
+    return books.text_paragraphs(_read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("book"), framed.alias("text")))
+
+
+@_query("q78_request_status", f"{_CURRENT} SELECT * FROM state WHERE id = 7")
+def _(spark, sf_dir):
+    return api.get_status(_log(spark, sf_dir), "7")
+
+
+@_query("q79_stored_chapters", f"WITH {d.FINAL} SELECT book, chapter_no, title, unit_no, unit FROM final")
+def _(spark, sf_dir):
+    in_order = lambda key, *more: F.array_sort(F.collect_list(F.struct(key, *more)))
+    rows = _written(spark, sf_dir).groupBy("book", "chapter_no", "title").agg(F.transform(in_order("unit_no", "unit"), lambda x: x["unit"]).alias("paragraphs"))
+    rows = rows.groupBy("book").agg(F.transform(in_order("chapter_no", "title", "paragraphs"), lambda x: F.struct(x["title"].alias("title"), x["paragraphs"].alias("paragraphs"))).alias("chapters"))
+    at = f"{scratch(spark)}/state-{uuid.uuid4().hex[:12]}"
+    rows.select("book", F.to_json(F.struct(F.col("book").alias("title"), "chapters")).alias("value")).write.partitionBy("book").text(at)
+    schema = T.DataType.fromDDL("title string, chapters array<struct<title:string,paragraphs:array<string>>>")
+    found = books.read_state(spark, at, schema).select(F.col("title").alias("book"), F.posexplode("chapters").alias("pos", "c"))
+    found = found.select("book", (F.col("pos") + 1).cast("long").alias("chapter_no"), "c.title", F.posexplode("c.paragraphs").alias("pos", "unit"))
+    return found.select("book", "chapter_no", "title", (F.col("pos") + 1).cast("long").alias("unit_no"), "unit")
+
+
+@_query("q80_epub_links", "SELECT p_type AS query, CASE WHEN min(p_partkey) % 2 = 0 THEN 'https://example.org' ELSE 'http://far.example' END || '/b' || min(p_partkey) || '.epub' AS url FROM part GROUP BY 1")
+def _(spark, sf_dir):
+    anchor = F.expr("""'<a href="/x' || p_partkey || '.kepub.epub">k</a><a href="/x_advanced.epub">a</a><a href="' || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'http://far.example' END || '/b' || p_partkey || '.epub">e</a><a href="/late.epub">l</a>'""")
+    pages = _read(spark, sf_dir, "part").groupBy(F.col("p_type").alias("query")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", anchor.alias("a")))), lambda x: x["a"]), "\n").alias("html"))
+    return payloads.epub_link(pages, "https://example.org")
+
+
+@_query("q81_search_books", """WITH found AS (SELECT 0 AS source_rank, 'gutenberg' AS source, p_partkey AS pos, p_name AS title, p_brand AS author FROM part WHERE p_type = 'ECONOMY'
+  UNION ALL SELECT 2, 'annas_archive', p_partkey, upper(p_name), p_brand FROM part WHERE p_type = 'ECONOMY' AND p_partkey % 3 <> 0), firsts AS (SELECT *, row_number() OVER (PARTITION BY source_rank ORDER BY pos) AS k FROM found),
+  owned AS (SELECT *, row_number() OVER (PARTITION BY lower(title), lower(author) ORDER BY source_rank, pos) AS o FROM firsts WHERE k <= 5) SELECT 'ECONOMY' AS query, source_rank, source, pos, title, author FROM owned WHERE o = 1""")
+def _(spark, sf_dir):
+    part = _read(spark, sf_dir, "part")
+
+    def away(spark, query):
+        raise OSError("no answer")
+
+    readers = {
+        "gutenberg": lambda spark, query: part.where(F.col("p_type") == query).selectExpr("p_partkey AS pos", "p_name AS title", "p_brand AS author"),
+        "standard_ebooks": away,
+        "annas_archive": lambda spark, query: part.where((F.col("p_type") == query) & (F.col("p_partkey") % 3 != 0)).selectExpr("p_partkey AS pos", "upper(p_name) AS title", "p_brand AS author"),
+    }
+    return api.search_books(spark, " annas: ECONOMY", readers).select("query", "source_rank", "source", "pos", "title", "author")
