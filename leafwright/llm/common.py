@@ -35,6 +35,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, or something longer that neither names nor begins the name of a column."""
+    while any(c.lower().startswith(name.lower()) for c in columns):
+        name += "_"
+    return name
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id's decimal text is a multiple of 5; rows without an id count as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))

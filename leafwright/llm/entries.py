@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafwright.llm import bpe, egojoin, htmlmain, hyperminhash, jpegcol, langid, maskedlm, packing, quality, secrets
+from leafwright.llm import anchors, bpe, egojoin, htmlmain, hyperminhash, jpegcol, langid, lloyd, maskedlm, packing, prefixtrie, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,8 +66,23 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations that were rebuilt to share beginnings."""
+    return prefixtrie.prefix_trie(prefixtrie.rebuilt(prefixtrie.sequences(_read(spark, sf_dir, "conversations"))))
+
+
+def op12_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen clusters of the quantised embeddings after three rounds."""
+    return lloyd.cluster_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the words of runs of 35 words that start in two places."""
+    return anchors.without_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), window=35, digest=True)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_language": op1_language, "op2_quality": op2_quality, "op3_egojoin": op3_egojoin, "op4_html": op4_html, "op5_bpe": op5_bpe, "op6_media": op6_media, "op7_packing": op7_packing, "op8_secrets": op8_secrets, "op9_maskedlm": op9_maskedlm, "op10_hyperminhash": op10_hyperminhash}
+    return {"op1_language": op1_language, "op2_quality": op2_quality, "op3_egojoin": op3_egojoin, "op4_html": op4_html, "op5_bpe": op5_bpe, "op6_media": op6_media, "op7_packing": op7_packing, "op8_secrets": op8_secrets, "op9_maskedlm": op9_maskedlm, "op10_hyperminhash": op10_hyperminhash, "op11_prefixtrie": op11_prefixtrie, "op12_lloyd": op12_lloyd, "op13_anchors": op13_anchors}
 
 
 _REACH = """reach(id, root) AS (SELECT id, id FROM nodes UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id),
@@ -94,6 +109,41 @@ _OP10 = rf"""WITH RECURSIVE said AS (SELECT doc_id, list_filter(regexp_split_to_
   SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, component_id, documents.doc_id = component_id AS kept FROM documents JOIN least ON least.id = documents.doc_id LEFT JOIN sizes ON sizes.doc_id = documents.doc_id"""
 
 
+_CRC = "xor(list_reduce(range(0, 8 * length({0})), lambda a, i: xor((CASE WHEN i % 8 = 0 THEN xor(a, ascii({0}[i // 8 + 1])) ELSE a END) >> 1, CASE WHEN (CASE WHEN i % 8 = 0 THEN xor(a, ascii({0}[i // 8 + 1])) ELSE a END) & 1 = 1 THEN 3988292384 ELSE 0 END), 4294967295::BIGINT), 4294967295)"
+
+_OP11 = f"""WITH own AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS s FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+  h AS (SELECT conv_id, s, {_CRC.format("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM own),
+  rebuilt AS (SELECT c.conv_id, list_concat(coalesce(b.s, [])[1 : c.h], c.s[c.h + 1 :]) AS s FROM h c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5),
+  beginnings AS (SELECT conv_id, d, s[1 : d] AS p, len(s) = d AS ends FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM rebuilt)),
+  nodes AS (SELECT d AS depth, p, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM beginnings GROUP BY 1, 2),
+  children AS (SELECT p[1 : depth - 1] AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+  full_nodes AS (SELECT nodes.*, coalesce(children.n, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(nodes.p[depth].t) END AS saved FROM nodes LEFT JOIN children ON children.p = nodes.p),
+  below AS (SELECT p[1 : k] AS p, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM full_nodes) GROUP BY 1)
+  SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+  FROM full_nodes n JOIN below b ON b.p = n.p LEFT JOIN nodes u ON n.depth > 0 AND u.p = n.p[1 : n.depth - 1]"""
+
+_DISTANCE = "list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+_ROUNDS = ",\n  ".join(
+    f"""near{k} AS (SELECT vec_id, q, n, c, CAST({_DISTANCE} AS BIGINT) AS distance FROM kept, centroids{k} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, n) = 1),
+  means{k} AS (SELECT n, list(m ORDER BY i) AS c FROM (SELECT n, i, CAST(floor(sum(q[i]) / count(*)) AS BIGINT) AS m FROM (SELECT n, q, unnest(range(1, 65)) AS i FROM near{k}) GROUP BY 1, 2) GROUP BY 1),
+  centroids{k + 1} AS (SELECT o.n, coalesce(m.c, o.c) AS c FROM centroids{k} o LEFT JOIN means{k} m ON m.n = o.n)"""
+    for k in range(3)
+)
+_OP12 = f"""WITH kept AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  centroids0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS n, q AS c FROM kept ORDER BY sha256('1:' || vec_id) LIMIT 16),
+  {_ROUNDS},
+  last AS (SELECT vec_id, n, c, CAST({_DISTANCE} AS BIGINT) AS distance FROM kept, centroids3 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, n) = 1)
+  SELECT vec_id, CAST(n AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY n) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM last"""
+
+_OP13 = r"""WITH said AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+  starts AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM said WHERE len(w) >= 35)),
+  again AS (SELECT doc_id, i FROM starts WHERE h IN (SELECT h FROM starts GROUP BY 1 HAVING count(*) > 1)),
+  words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM said),
+  near AS (SELECT words.doc_id, words.i, x, max(again.i) OVER (PARTITION BY words.doc_id ORDER BY words.i) AS start FROM words LEFT JOIN again ON again.doc_id = words.doc_id AND again.i = words.i),
+  left_over AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n FROM near WHERE start IS NULL OR start <= i - 35 GROUP BY 1)
+  SELECT said.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM said LEFT JOIN left_over ON left_over.doc_id = said.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that SQL can express; the others are tested against brute force or held-out rows."""
-    return {"op3_egojoin": _OP3, "op4_html": _OP4, "op10_hyperminhash": _OP10}
+    return {"op3_egojoin": _OP3, "op4_html": _OP4, "op10_hyperminhash": _OP10, "op11_prefixtrie": _OP11, "op12_lloyd": _OP12, "op13_anchors": _OP13}
