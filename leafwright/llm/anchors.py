@@ -7,7 +7,7 @@ windows around those that repeat are then hashed whole, and a window goes if tha
 
 1. tasks emit one row for each anchor hash of a batch; positions whose hash repeats within the batch are known already;
 2. hashes are sorted in their partitions and read as a stream: what occurs twice makes candidates;
-3. the texts that have candidates emit the hash (128 bits) of each window around one, again once for each batch;
+3. the texts that have candidates emit the hash (95 bits) of each window around one, again once for each batch;
 4. starts of repeated windows meet their texts, and the words they cover go.
 
 A hash that everything shares costs a row for each batch, so no copy, however common, meets in one task.
@@ -25,11 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafwright.llm.common import by_partition, fresh, ship
+from leafwright.llm.common import by_partition, fresh, release, ship, table
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _POSITIONS = "h long, rid long, pos int, many array<int>"
-_WINDOWS = "h long, h2 long, rid long, doc_id long, pos int, many array<int>"
+_WINDOWS = "h long, h2 int, rid long, doc_id long, pos int, many array<int>"
 
 
 def difference_cover(period: int) -> list[int]:
@@ -200,10 +200,10 @@ class _Windows:
                 positions.append(at)
             if one:
                 h, h2, row, at = (np.concatenate(x) for x in (one, two, rows, positions))
-                first, (found, many) = _once([h, h2], row, at)
+                first, (found, many) = _once([h, h2 >> np.uint64(33)], row, at)
                 none = pa.nulls(len(first), pa.list_(pa.int32()))
-                yield _batch(_WINDOWS, [h[first].view(np.int64), h2[first].view(np.int64), rid[row[first]], doc.take(pa.array(row[first])), at[first], none])
-                yield _batch(_WINDOWS, [rid[found], rid[found], rid[found], doc.take(pa.array(found)), np.full(len(found), -1), many])
+                yield _batch(_WINDOWS, [h[first].view(np.int64), (h2[first] >> np.uint64(33)).astype(np.int32), rid[row[first]], doc.take(pa.array(row[first])), at[first], none])
+                yield _batch(_WINDOWS, [rid[found], np.zeros(len(found), np.int32), rid[found], doc.take(pa.array(found)), np.full(len(found), -1), many])
 
 
 class _Cut:
@@ -245,10 +245,11 @@ def without_repeats(docs: DataFrame, window: int = 35, text: str = "text", diges
     has no words. Repeated rows (ids included) are texts of their own, so they remove each other. Ids may be null.
     Columns that are named like the new ones are replaced. ``partitions`` deals the hashes, by default the session's.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     new = ["n_words", "n_removed", "kept_sha256" if digest else "kept_text"]
     taken = [c for c in docs.columns if c not in (*new, text)]
-    dealt = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = F.col(text).cast("binary")
     # Rows that are alike in id and text are alike in all that follows; a second text that shares the hash of another
     # only adds candidates, and starts are joined on the id too.
@@ -257,10 +258,14 @@ def without_repeats(docs: DataFrame, window: int = 35, text: str = "text", diges
     anchors = docs.select(rid.alias("rid"), body.alias("_text")).mapInArrow(by_partition(_Anchors(window)), _POSITIONS)
     met = anchors.repartition(dealt, "h").sortWithinPartitions("h").mapInArrow(by_partition(_Repeated(["h"], ["rid"])), "rid long, many array<int>")
     candidates = met.select("rid", F.explode("many").alias("pos")).groupBy("rid").agg(F.collect_set("pos").alias("anchors"))  # of one text
+    candidates = table(candidates, "anchors")
+    release(spark)  # the shuffled hashes are not read again
     around = docs.select(rid.alias("rid"), own.alias("doc_id"), body.alias("_text")).join(candidates, "rid")
     hashed = around.select("rid", "doc_id", "_text", "anchors").mapInArrow(by_partition(_Windows(window)), _WINDOWS)
     again = hashed.repartition(dealt, "h", "h2").sortWithinPartitions("h", "h2").mapInArrow(by_partition(_Repeated(["h", "h2"], ["rid", "doc_id"])), "rid long, doc_id long, many array<int>")
     starts = again.select("rid", "doc_id", F.explode("many").alias("pos")).groupBy("rid", "doc_id").agg(F.collect_set("pos").alias("starts"))
+    starts = table(starts, "starts")
+    release(spark)
     a, b, c, d = (fresh(docs.columns, n) for n in ("_rid", "_own", "_met", "_starts"))
     starts = starts.toDF(f"{a}_", f"{b}_", d)
     rows = docs.withColumns({a: rid, b: own}).join(starts, (F.col(a) == F.col(f"{a}_")) & F.col(b).eqNullSafe(F.col(f"{b}_")), "left")
