@@ -100,7 +100,8 @@ def _once(keys: list[np.ndarray], row: np.ndarray, positions: np.ndarray):
     first = np.flatnonzero(np.append(True, differs)) if len(order) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(order)))
     repeated = np.sort(order[np.repeat(count > 1, count)])
-    return order[first], _parted(np.arange(len(repeated)), row[repeated], positions[repeated])
+    # In the order of the texts, so that rows of a text stay together and compress well.
+    return np.sort(order[first]), _parted(np.arange(len(repeated)), row[repeated], positions[repeated])
 
 
 class _Anchors:
