@@ -7,7 +7,8 @@ windows around those that repeat are then hashed whole, and a window goes if tha
 
 1. tasks emit one row for each anchor hash of a batch; positions whose hash repeats within the batch are known already;
 2. hashes are sorted in their partitions and read as a stream: what occurs twice makes candidates;
-3. the texts that have candidates emit the hash (95 bits) of each window around one, again once for each batch;
+3. the texts that have candidates emit the hash (95 bits) of each window around one, again once for each batch, in which
+   the copies of a text stand together;
 4. starts of repeated windows meet their texts, and the words they cover go.
 
 A hash that everything shares costs a row for each batch, so no copy, however common, meets in one task.
@@ -28,8 +29,8 @@ from pyspark.sql import types as T
 from leafwright.llm.common import by_partition, fresh, release, ship, table
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_POSITIONS = "h long, rid long, pos int, many array<int>"
-_WINDOWS = "h long, h2 int, rid long, doc_id long, pos int, many array<int>"
+_ANCHORS = "h long, t long, span long, known boolean"
+_WINDOWS = "h long, h2 int, t long, t2 long, span long, known boolean"
 
 
 def difference_cover(period: int) -> list[int]:
@@ -84,28 +85,43 @@ def _hashed(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def _parted(order: np.ndarray, ids: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Positions as a list for each id; ``order`` has equal ids together."""
-    ids, positions = ids[order], positions[order]
-    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
-    return ids[first], pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)), pa.int32()), pa.array(positions, pa.int32()))
+def _spans(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Spans of window starts, both ends included, as one whole number each."""
+    return (np.maximum(first, 0) << 32) | last
 
 
-def _once(keys: list[np.ndarray], row: np.ndarray, positions: np.ndarray):
-    """Indexes of the first of each key, and per row the positions whose key isn't alone in the batch."""
+def _covered(spans, size: int, reach: int = 1) -> np.ndarray:
+    """Which of ``size`` places are in a span, or less than ``reach`` after its end."""
+    change = np.zeros(size + 1, np.int64)
+    spans = np.array(spans, np.int64)
+    first, last = spans >> 32, (spans & 0xFFFFFFFF) + reach
+    fits = last <= size + reach - 1  # of this text, if another one has its number
+    np.add.at(change, first[fits], 1)
+    np.add.at(change, np.minimum(last[fits], size), -1)
+    return np.cumsum(change)[:size] > 0
+
+
+def _merged(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans that touch joined, row by row: rows and spans. All come in order, none ends before an earlier one of its row."""
+    if not len(row):
+        return row, first
+    opens = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (first[1:] > last[:-1] + 1)))
+    return row[opens], _spans(first[opens], last[np.append(opens[1:], len(row)) - 1])
+
+
+def _once(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the first of each key, and of all whose key isn't alone in the batch, both in the order of the texts."""
     order = np.lexsort(keys[::-1])
     differs = np.zeros(max(len(order) - 1, 0), bool)
     for key in keys:
         differs |= key[order][1:] != key[order][:-1]
     first = np.flatnonzero(np.append(True, differs)) if len(order) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(order)))
-    repeated = np.sort(order[np.repeat(count > 1, count)])
-    # In the order of the texts, so that rows of a text stay together and compress well.
-    return np.sort(order[first]), _parted(np.arange(len(repeated)), row[repeated], positions[repeated])
+    return np.sort(order[first]), np.sort(order[np.repeat(count > 1, count)])
 
 
 class _Anchors:
-    """One row for each anchor hash of a batch; a row for each text with the positions that repeat in the batch."""
+    """One row for each anchor hash of a batch, with the window starts around it; what repeats in the batch is known."""
 
     owner = __name__
 
@@ -129,82 +145,69 @@ class _Anchors:
                     positions.append(at)
             if hashes:
                 h, row, at = (np.concatenate(x) for x in (hashes, rows, positions))
-                first, (found, many) = _once([h], row, at)
-                none = pa.nulls(len(first), pa.list_(pa.int32()))
-                yield _batch(_POSITIONS, [h[first].view(np.int64), rid[row[first]], at[first], none])
-                yield _batch(_POSITIONS, [rid[found], rid[found], np.full(len(found), -1), many])
+                first, again = _once([h])
+                before = at - self.period + 1  # a window that starts so far before an anchor holds all of it
+                yield _batch(_ANCHORS, [h[first].view(np.int64), rid[row[first]], _spans(before[first], at[first]), np.zeros(len(first), bool)])
+                row, spans = _merged(row[again], before[again], at[again])
+                yield _batch(_ANCHORS, [rid[row], rid[row], spans, np.ones(len(row), bool)])
 
 
 def _batch(schema: str, columns: list) -> pa.RecordBatch:
-    names = [c.split()[0] for c in schema.split(", ")]
-    kinds = [{"long": pa.int64(), "int": pa.int32(), "array<int>": pa.list_(pa.int32())}[c.split()[1]] for c in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], names=[name for name, _ in fields])
 
 
 class _Repeated:
-    """Of rows sorted by key, those whose key comes again: ``rid, doc_id, many``; rows with a list pass as they are."""
+    """Of rows sorted by key, the spans of those whose key comes again; spans that are known pass as they are."""
 
     owner = __name__
 
     def __init__(self, keys: list[str], ids: list[str]):
-        self.keys, self.ids = keys, ids
+        self.keys, self.out = keys, [*ids, "span"]
 
     def __call__(self, batches):
-        held = None  # the last row, and whether it has been emitted
+        held = None  # the last key and row, and whether the row has gone out
         for batch in batches:
-            known = batch.filter(batch.column("many").is_valid())
-            if known.num_rows:
-                yield pa.RecordBatch.from_arrays([known.column(n) for n in (*self.ids, "many")], names=[*self.ids, "many"])
-            batch = batch.filter(batch.column("many").is_null())
+            yield batch.filter(batch.column("known")).select(self.out)
+            batch = batch.filter(pa.array(~batch.column("known").to_numpy(zero_copy_only=False)))
             if not batch.num_rows:
                 continue
             keys = np.column_stack([batch.column(n).to_numpy() for n in self.keys])
-            again = np.append(False, (keys[1:] == keys[:-1]).all(axis=1))
-            joined = held is not None and (held[0] == keys[0]).all()
-            if joined and not held[2]:
-                yield self.rows(held[1])
-            again[0] = joined
+            again = np.append(held is not None and bool((held[0] == keys[0]).all()), (keys[1:] == keys[:-1]).all(axis=1))
+            if again[0] and not held[2]:
+                yield held[1].select(self.out)
             keep = again | np.append(again[1:], False)
             held = (keys[-1], batch.slice(batch.num_rows - 1), bool(keep[-1]))
-            yield self.rows(batch.filter(pa.array(keep)))
-
-    def rows(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1), pa.int32()), batch.column("pos"))
-        return pa.RecordBatch.from_arrays([*[batch.column(n) for n in self.ids], lists], names=[*self.ids, "many"])
+            yield batch.filter(pa.array(keep)).select(self.out)
 
 
 class _Windows:
-    """For texts with anchors that repeat, a row for each window around one, once for each hash of a batch."""
+    """A row for each window in the spans of a text, once for each hash of a batch; what repeats in the batch is known."""
 
     owner = __name__
 
     def __init__(self, window: int):
-        self.window, (self.period, _, self.length) = window, plan(window)
+        self.window = window
 
     def __call__(self, batches):
         rolling = _Rolling()
         for batch in batches:
-            rid, doc = batch.column(0).to_numpy(), batch.column(1)
+            ids = [batch.column(k).to_numpy() for k in (0, 1)]
             one, two, rows, positions = [], [], [], []
-            for row, (text, anchors) in enumerate(zip(batch.column(2), batch.column(3))):
+            for row, (text, spans) in enumerate(zip(batch.column(2), batch.column(3))):
                 words = _hashed(_words(text.as_py()))
-                # A window that starts at most a period before an anchor holds all of it.
-                change = np.zeros(len(words) + 1, np.int64)
-                anchors = np.array(anchors.as_py(), np.int64)
-                anchors = anchors[anchors < len(words)]  # of this text, if another one has its number
-                np.add.at(change, np.maximum(anchors - self.period + 1, 0), 1)
-                np.add.at(change, anchors + 1, -1)
-                at = np.flatnonzero(np.cumsum(change)[: max(len(words) - self.window + 1, 0)])
+                at = np.flatnonzero(_covered(spans.as_py(), len(words))[: max(len(words) - self.window + 1, 0)])
                 one.append(rolling(words, at, self.window, 0))
-                two.append(rolling(words, at, self.window, 1))
+                two.append(rolling(words, at, self.window, 1) >> np.uint64(33))
                 rows.append(np.full(len(at), row))
                 positions.append(at)
             if one:
                 h, h2, row, at = (np.concatenate(x) for x in (one, two, rows, positions))
-                first, (found, many) = _once([h, h2 >> np.uint64(33)], row, at)
-                none = pa.nulls(len(first), pa.list_(pa.int32()))
-                yield _batch(_WINDOWS, [h[first].view(np.int64), (h2[first] >> np.uint64(33)).astype(np.int32), rid[row[first]], doc.take(pa.array(row[first])), at[first], none])
-                yield _batch(_WINDOWS, [rid[found], np.zeros(len(found), np.int32), rid[found], doc.take(pa.array(found)), np.full(len(found), -1), many])
+                first, again = _once([h, h2])
+                yield _batch(_WINDOWS, [h[first].view(np.int64), h2[first].astype(np.int32), *[x[row[first]] for x in ids], _spans(at[first], at[first]), np.zeros(len(first), bool)])
+                row, spans = _merged(row[again], at[again], at[again])
+                yield _batch(_WINDOWS, [ids[0][row], np.zeros(len(row), np.int32), *[x[row] for x in ids], spans, np.ones(len(row), bool)])
 
 
 class _Cut:
@@ -218,18 +221,12 @@ class _Cut:
     def __call__(self, batches):
         for batch in batches:
             size, gone, out = [], [], []
-            for text, starts in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
+            for text, spans in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
                 words = _words(text.as_py())
-                starts = starts.as_py()
                 size.append(len(words))
-                if starts:
-                    change = np.zeros(len(words) + 1, np.int64)
-                    starts = np.array(starts, np.int64)
-                    starts = starts[starts + self.window <= len(words)]
-                    np.add.at(change, starts, 1)
-                    np.add.at(change, starts + self.window, -1)
-                    kept = np.flatnonzero(np.cumsum(change)[: len(words)] == 0)
-                    words = [words[k] for k in kept]
+                spans = spans.as_py()
+                if spans:
+                    words = [words[k] for k in np.flatnonzero(~_covered(spans, len(words), self.window))]
                 gone.append(size[-1] - len(words))
                 said = b" ".join(words)
                 out.append(hashlib.sha256(said).hexdigest() if self.digest else said.decode("utf-8", "replace"))
@@ -252,23 +249,20 @@ def without_repeats(docs: DataFrame, window: int = 35, text: str = "text", diges
     taken = [c for c in docs.columns if c not in (*new, text)]
     dealt = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = F.col(text).cast("binary")
-    # Rows that are alike in id and text are alike in all that follows; a second text that shares the hash of another
-    # only adds candidates, and starts are joined on the id too.
-    rid: Column = F.xxhash64("doc_id", text)
-    own = F.col("doc_id").cast("long")
-    anchors = docs.select(rid.alias("rid"), body.alias("_text")).mapInArrow(by_partition(_Anchors(window)), _POSITIONS)
-    met = anchors.repartition(dealt, "h").sortWithinPartitions("h").mapInArrow(by_partition(_Repeated(["h"], ["rid"])), "rid long, many array<int>")
-    candidates = met.select("rid", F.explode("many").alias("pos")).groupBy("rid").agg(F.collect_set("pos").alias("anchors"))  # of one text
-    candidates = table(candidates, "anchors")
+    # What is removed depends on the text alone, so its hash is its number: copies meet in one task's batches, where
+    # their windows are hashed once. The second hash tells texts apart that share the first one.
+    t: Column = F.xxhash64(text)
+    t2 = F.xxhash64(F.lit(window), text)
+    hashed = docs.select(t.alias("t"), body.alias("_text")).mapInArrow(by_partition(_Anchors(window)), _ANCHORS)
+    met = hashed.repartition(dealt, "h").sortWithinPartitions("h").mapInArrow(by_partition(_Repeated(["h"], ["t"])), "t long, span long")
+    candidates = table(met.groupBy("t").agg(F.collect_set("span").alias("spans")), "anchors")  # of one text
     release(spark)  # the shuffled hashes are not read again
-    around = docs.select(rid.alias("rid"), own.alias("doc_id"), body.alias("_text")).join(candidates, "rid")
-    hashed = around.select("rid", "doc_id", "_text", "anchors").mapInArrow(by_partition(_Windows(window)), _WINDOWS)
-    again = hashed.repartition(dealt, "h", "h2").sortWithinPartitions("h", "h2").mapInArrow(by_partition(_Repeated(["h", "h2"], ["rid", "doc_id"])), "rid long, doc_id long, many array<int>")
-    starts = again.select("rid", "doc_id", F.explode("many").alias("pos")).groupBy("rid", "doc_id").agg(F.collect_set("pos").alias("starts"))
-    starts = table(starts, "starts")
+    around = docs.select(t.alias("t"), t2.alias("t2"), body.alias("_text")).join(candidates, "t").select("t", "t2", "_text", "spans")
+    hashed = around.mapInArrow(by_partition(_Windows(window)), _WINDOWS)
+    again = hashed.repartition(dealt, "h", "h2").sortWithinPartitions("h", "h2").mapInArrow(by_partition(_Repeated(["h", "h2"], ["t", "t2"])), "t long, t2 long, span long")
+    a, b, c, d = (fresh(docs.columns, n) for n in ("_t", "_second", "_text", "_spans"))
+    starts = table(again.groupBy("t", "t2").agg(F.collect_set("span").alias(d)), "starts").withColumnsRenamed({"t": a, "t2": b})
     release(spark)
-    a, b, c, d = (fresh(docs.columns, n) for n in ("_rid", "_own", "_met", "_starts"))
-    starts = starts.toDF(f"{a}_", f"{b}_", d)
-    rows = docs.withColumns({a: rid, b: own}).join(starts, (F.col(a) == F.col(f"{a}_")) & F.col(b).eqNullSafe(F.col(f"{b}_")), "left")
+    rows = docs.withColumns({a: t, b: t2}).join(starts, [a, b], "left")
     kinds = T.StructType([*[docs.schema[x] for x in taken], T.StructField(new[0], T.LongType()), T.StructField(new[1], T.LongType()), T.StructField(new[2], T.StringType())])
     return rows.select(*taken, body.alias(c), d).mapInArrow(by_partition(_Cut(window, digest)), kinds)
