@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from leafwright.operators import chains
+
 #: Limits of a window.
 MOST_UNITS, MOST_CHARS, CONTEXT_UNITS = 20, 2200, 3
 #: Terms of a glossary: how often a term must occur, how many are kept, how many go into a request.
@@ -34,24 +36,10 @@ TERM_LANGUAGE = "en"
 def windows(rows: DataFrame, most_units: int = MOST_UNITS, most_chars: int = MOST_CHARS) -> DataFrame:
     """``book, chapter_no, start, n_units, n_chars, texts``: units packed in order within both limits.
 
-    A unit that is too long alone is a window of its own. Packing is a fold over a chapter's units; chapters are
-    bounded by the oversize split, so the fold's array is small.
+    A unit that is too long alone is a window of its own. ``start`` is the number of the window's first unit. A chapter
+    may be larger than a task (see ``chains``). The units are written once (this runs a job).
     """
-    ordered = F.array_sort(F.collect_list(F.struct("unit_no", "unit")))
-    chapters = rows.groupBy("book", "chapter_no").agg(ordered.alias("units"))
-    kind = "array<struct<start:bigint,n_units:int,n_chars:bigint>>"
-
-    def step(done: Column, u: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        size = F.length(u["unit"]).cast("bigint")
-        opens = F.size(done).eqNullSafe(0) | (last["n_units"] >= most_units) | (last["n_chars"] + size > most_chars)
-        fresh = F.struct(u["unit_no"].alias("start"), F.lit(1).alias("n_units"), size.alias("n_chars"))
-        grown = F.struct(last["start"].alias("start"), (last["n_units"] + 1).alias("n_units"), (last["n_chars"] + size).alias("n_chars"))
-        return F.when(opens, F.concat(done, F.array(fresh))).otherwise(F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown)))
-
-    planned = chapters.withColumn("w", F.explode(F.aggregate("units", F.array().cast(kind), step)))
-    texts = F.transform(F.slice("units", F.col("w.start").cast("int"), F.col("w.n_units")), lambda u: u["unit"])
-    return planned.select("book", "chapter_no", "w.start", "w.n_units", "w.n_chars", texts.alias("texts"))
+    return chains.windows(rows, most_units, most_chars)
 
 
 def context_before(rows: DataFrame, n: int = CONTEXT_UNITS) -> DataFrame:

@@ -1,9 +1,10 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from leafwright.operators import coverage, planning, progress, search, segment, state
+from leafwright.operators import coverage, planning, progress, scan, search, segment, state
 
 
 def chapters_of(rows):
@@ -54,6 +55,72 @@ def test_front_matter_merge_is_the_loop(spark):
     assert chapters_of(segment.front_matter_merged(frame)) == model
 
 
+def sizes_by_part(frame):
+    return sorted(r["count"] for r in frame.groupBy("part").count().collect())
+
+
+@pytest.fixture
+def many_parts(spark):
+    """Partitions are neither joined nor few."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_one_huge_book_over_many_tasks(spark, many_parts):
+    """A heading before every 1,000th of 100,000 paragraphs of two sentences each: no task has a book, all get alike."""
+    n = 100_000
+    text = F.when(F.col("id") % 1000 == 0, F.concat(F.lit("CHAPTER "), F.col("id") + 1)).otherwise(F.concat(F.lit("One of "), F.col("id"), F.lit(". And more.")))
+    rows = spark.range(0, n, 1, 6).select(F.lit("b").alias("book"), F.col("id").alias("para_no"), text.alias("text"))
+    dealt = sizes_by_part(scan.ranged(rows, ["book", "para_no"]))
+    assert len(dealt) == 9 and dealt[-1] < 2 * dealt[4]
+    got = segment.bucketed(rows).groupBy("chapter_no", "title").agg(F.count("*"), F.min("para_no"), F.max("para_no")).orderBy("chapter_no").collect()
+    assert [tuple(r) for r in got] == [(k + 1, f"CHAPTER {1000 * k + 1}", 999, 1000 * k + 1, 1000 * k + 999) for k in range(100)]
+    units = segment.book_units(rows).groupBy("chapter_no").agg(F.count("*").alias("n"), F.max("unit_no").alias("top"), F.min_by("unit", "unit_no").alias("first"), F.first("title").alias("title")).orderBy("chapter_no").collect()
+    assert len(units) == 100 * 25 and [r["n"] for r in units] == [r["top"] for r in units] == ([80] * 24 + [78]) * 100
+    assert [(units[k]["title"], units[k]["first"]) for k in (0, 25 * 7 + 3)] == [("CHAPTER 1 (Part 1/25)", "One of 1."), ("CHAPTER 7001 (Part 4/25)", "One of 7121.")]
+
+
+def test_running_sums(spark, many_parts):
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["a", "b", None, "huge", "huge", "huge"]), k, rnd.randrange(-3, 9), "x") for k in range(3000)]
+    frame = spark.createDataFrame(rows, "book string, no long, v int, part_name string").repartition(7)
+    got = {r["no"]: (r["s"], r["c"]) for r in scan.running(frame, ["book"], ["no"], {"s": F.col("v"), "c": F.lit(1)}).collect()}
+    sums, counts = {}, {}
+    for b, k, v, _ in rows:
+        sums[b], counts[b] = sums.get(b, 0) + v, counts.get(b, 0) + 1
+        assert got[k] == (sums[b], counts[b])
+    assert len(got) == 3000 and scan.running(frame.limit(0), ["book"], ["no"], {"s": F.col("v")}).count() == 0
+
+
+def greedy(sizes, most_units=20, most_chars=2200):
+    plan, at = [], 0
+    while at < len(sizes):
+        end, held = at, 0
+        while end < len(sizes) and end - at < most_units and (end == at or held + sizes[end] <= most_chars):
+            held += sizes[end]
+            end += 1
+        plan.append((at + 1, end - at, held))
+        at = end
+    return plan
+
+
+@pytest.mark.parametrize("n", [1, 5, 11, 40, 30_000])
+def test_windows_of_one_huge_chapter(spark, many_parts, n):
+    """A chapter over many blocks, also blocks that are shorter than a window; small chapters stand around it."""
+    rnd = random.Random(n)
+    sizes = {("b", 1): [rnd.choice([0, 1, 5, 90, 300, 2200, 2500]) for _ in range(n)], ("a", 3): [7] * 50, ("b", 2): [2300, 0, 3], (None, 1): [500] * 9}
+    rows = [(b, c, "T", k, "x" * s) for (b, c), each in sizes.items() for k, s in enumerate(each, 1)]
+    frame = spark.createDataFrame(rows, "book string, chapter_no long, title string, unit_no long, unit string").repartition(5)
+    found = {}
+    for r in planning.windows(frame).orderBy("start").collect():
+        found.setdefault((r["book"], r["chapter_no"]), []).append((r["start"], r["n_units"], r["n_chars"]))
+        assert sum(map(len, r["texts"])) == r["n_chars"] and len(r["texts"]) == r["n_units"]
+    assert found == {k: greedy(v) for k, v in sizes.items()}
+
+
 def test_oversize(spark):
     rows = [("b", 1, "T", k + 1, str(k)) for k in range(161)] + [("b", 2, "U", 1, "x")]
     got = chapters_of(segment.oversize_split(spark.createDataFrame(rows, "book string, chapter_no long, title string, unit_no long, unit string")))
