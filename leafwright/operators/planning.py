@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from leafwright.operators import chains
+from leafwright.shipping import ship
 
 #: Limits of a window.
 MOST_UNITS, MOST_CHARS, CONTEXT_UNITS = 20, 2200, 3
@@ -49,24 +53,65 @@ def context_before(rows: DataFrame, n: int = CONTEXT_UNITS) -> DataFrame:
     return rows.select("book", "chapter_no", "unit_no", F.when(F.size(found) > 0, found).alias("context"))
 
 
+class _Fingerprints:
+    """SHA-1 of each book of a sorted partition; a hash object is all that is kept of a book."""
+
+    def __call__(self, batches):
+        book, chapter, state = None, None, None
+        said = lambda x: (x or "").encode("utf-8", "surrogatepass") + b"\0"
+        for batch in batches:
+            done = []
+            for name, number, title, unit in zip(*(c.to_pylist() for c in batch.columns)):
+                if state is None or name != book:
+                    if state is not None:
+                        done.append((book, state.hexdigest()))
+                    book, chapter, state = name, None, hashlib.sha1()
+                if number != chapter:
+                    chapter = number
+                    state.update(said(title))
+                state.update(said(unit))
+            yield self.rows(done)
+        if state is not None:
+            yield self.rows([(book, state.hexdigest())])
+
+    @staticmethod
+    def rows(done: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], pa.string()) for k in (0, 1)], names=["book", "source_hash"])
+
+
 def fingerprint(rows: DataFrame) -> DataFrame:
-    """``book, source_hash``: SHA-1 over each chapter's title and units in order, each ended by NUL."""
-    ordered = F.array_sort(F.collect_list(F.struct("unit_no", "unit")))
-    chapter = rows.groupBy("book", "chapter_no").agg(F.first("title").alias("title"), ordered.alias("u"))
-    body = F.concat("title", F.lit("\0"), F.array_join(F.transform("u", lambda x: F.concat(x["unit"], F.lit("\0"))), ""))
-    chapter = chapter.select("book", "chapter_no", body.alias("body"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter_no", "body"))), lambda x: x["body"]), "")
-    return chapter.groupBy("book").agg(F.sha1(whole).alias("source_hash"))
+    """``book, source_hash``: SHA-1 over each chapter's title and units in order, each ended by NUL.
+
+    A digest is a fold over a book from its beginning to its end, so a book is read by one task, but as a stream: its
+    size doesn't matter. A chapter's title is that of its first unit; null titles and units count as empty.
+    """
+    ship(rows.sparkSession)
+    order = ["book", "chapter_no", "unit_no"]
+    streams = rows.select(F.col("book").cast("string").alias("book"), "chapter_no", "unit_no", "title", "unit").repartition("book").sortWithinPartitions(*order)
+    return streams.select("book", "chapter_no", "title", "unit").mapInArrow(_Fingerprints(), "book string, source_hash string")
+
+
+def full_text_parts(rows: DataFrame, units: int = 1000) -> DataFrame:
+    """``book, chapter_no, part_no, text``: a book's full text in pieces, to be read in order without anything between.
+
+    A chapter's title and units are a line each and a blank line parts chapters. A piece has ``units`` units at most
+    (``unit_no`` counts from 1 in each chapter; the first piece, 0, has the title), so no book or chapter is one value.
+    """
+    part = F.floor((F.col("unit_no") - 1) / units).cast("long")
+    pieces = rows.groupBy("book", "chapter_no", part.alias("part_no")).agg(F.first("title").alias("title"), F.transform(F.array_sort(F.collect_list(F.struct("unit_no", "unit"))), lambda x: x["unit"]).alias("u"))
+    firsts = rows.groupBy("book").agg(F.min("chapter_no").alias("first_no"))
+    gap = F.when(F.col("chapter_no") == F.col("first_no"), F.lit("")).otherwise(F.lit("\n\n"))
+    head = F.when(F.col("part_no") == 0, F.concat(gap, "title", F.lit("\n"))).otherwise(F.lit("\n"))
+    return pieces.join(firsts, "book").select("book", "chapter_no", "part_no", F.concat(head, F.array_join("u", "\n")).alias("text"))
 
 
 def full_text(rows: DataFrame) -> DataFrame:
-    """``book, text``: chapters with a blank line between, each its title and a line for each unit."""
-    ordered = F.array_sort(F.collect_list(F.struct("unit_no", "unit")))
-    chapter = rows.groupBy("book", "chapter_no").agg(F.first("title").alias("title"), ordered.alias("u"))
-    body = F.concat("title", F.lit("\n"), F.array_join(F.transform("u", lambda x: x["unit"]), "\n"))
-    chapter = chapter.select("book", "chapter_no", body.alias("body"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter_no", "body"))), lambda x: x["body"]), "\n\n")
-    return chapter.groupBy("book").agg(whole.alias("text"))
+    """``book, text``: chapters with a blank line between, each its title and a line for each unit.
+
+    One value for a book, so books must be below 2 GB; ``full_text_parts`` has no such bound.
+    """
+    parts = full_text_parts(rows)
+    return parts.groupBy("book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter_no", "part_no", "text"))), lambda x: x["text"]), "").alias("text"))
 
 
 _SENTENCE_GAP = r"(?U)(?<=[.!?])\s+"

@@ -110,8 +110,9 @@ def drained(items: DataFrame, outcomes: DataFrame) -> DataFrame:
     finds no device is a failure and ends the pass; what comes after it waits.
     """
     rows = items.join(outcomes, ["tick", "path"], "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
-    stop = F.min(F.when(F.col("exists") & ~F.col("pushed") & F.col("skipped"), F.col("pos"))).over(W.partitionBy("tick"))
-    rows = rows.withColumn("stop", stop)
+    # A row for each pass: a window over one would hold its whole queue.
+    stops = rows.where("exists and not pushed and skipped").groupBy("tick").agg(F.min("pos").alias("stop"))
+    rows = rows.join(stops, "tick", "left")
     result = F.when(F.col("pos") > F.coalesce("stop", F.lit(2**62)), "waiting").when(~F.col("exists"), "gone").when(F.col("pushed"), "pushed").otherwise("failed")
     return rows.select("tick", "path", "pos", result.alias("result"))
 

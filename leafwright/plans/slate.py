@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from leafwright import api
+from leafwright import api, versions
 from leafwright.functions import replies, text
 from leafwright.operators import coverage, planning, progress, render, search, segment, state
 from leafwright.plans import dialect as d
@@ -566,16 +566,28 @@ def _(spark, sf_dir):
     most = ops.agg(F.max("seq")).first()[0] + 1
     for k in range(3):  # a file, and so a batch, for each third
         ops.where(F.floor(F.col("seq") * 3 / most) == k).coalesce(1).write.mode("append").parquet(f"{at}/events")
-    passes = iter([3, None, 2])
 
-    def outcomes(items):
-        n = next(passes)
+    def outcomes(items, number):
+        n = [3, None, 2][number]
         return n and items.select("path", F.lit(True).alias("exists"), (F.col("path").cast("long") % n == 0).alias("pushed"), F.lit(False).alias("skipped"))
 
     queue_stream.run(spark, f"{at}/events", f"{at}/store", f"{at}/checkpoint", outcomes, files=1).awaitTermination()
     return queue_stream.stored_queue(spark, f"{at}/store").select("path", "title", "queued_seq", "attempts")
 
 
+@_query("q82_versions", f"SELECT CAST(o_orderkey AS BIGINT) AS id, 'v1' AS version, CAST(o_custkey + 1 AS BIGINT) AS seq FROM orders UNION ALL SELECT CAST(o_orderkey AS BIGINT) AS id, 'last', CAST(o_custkey + 2 AS BIGINT) FROM orders WHERE o_orderkey % 3 <> 0")
+def _(spark, sf_dir):
+    """State that is rewritten whole: an old version, and the last one after a writer that died before it published."""
+    orders = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_custkey").cast("long").alias("seq"))
+    kept = versions.Versions(spark, f"{scratch(spark)}/versions-{uuid.uuid4().hex[:12]}", orders.schema)
+    kept.save(orders)
+    kept.save(kept.read().withColumn("seq", F.col("seq") + 1))
+    kept.save(kept.read().withColumn("seq", F.col("seq") + 1).where("id % 3 <> 0"))
+    kept.write(kept.read().limit(0))  # this one never gets to publishing
+    rows = lambda frame, name: frame.select("id", F.lit(name).alias("version"), "seq")
+    return rows(kept.read(1), "v1").unionByName(rows(kept.read(), "last"))
+
+
 _PHRASE = r"'\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,}){0,2}\b'"
 
 

@@ -250,3 +250,31 @@ def test_coverage(spark):
     assert {r["text"] for r in coverage.json_texts(spark.createDataFrame([('{"k": ["v\\n", {"x": "y"}]}',)], "j string"), "j").collect()} == {"v\n", "y"}
     lines = [r["line"] for r in coverage.coverage_lines(coverage.code_points(frame, always=False)).orderBy("line_no").collect()]
     assert lines == ["# 3 codepoints (book-specific subset)", "0x0061", "0xAC00", "0x1F600"]
+
+
+def test_fingerprints_are_streamed(spark):
+    """Books of many batches: the digest is that of the whole, whatever the order of rows and the size of batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    rows = spark.range(0, 30_000, 1, 7).select(
+        F.when(F.col("id") % 3 == 0, None).otherwise(F.concat(F.lit("b"), F.col("id") % 3)).alias("book"), F.floor(F.col("id") / 9000).alias("chapter_no"), F.concat(F.lit("T"), F.floor(F.col("id") / 9000)).alias("title"), (F.col("id") % 9000).alias("unit_no"), F.when(F.col("id") % 50 != 7, F.concat(F.lit("é"), F.col("id"))).alias("unit")
+    )
+    got = {r["book"]: r["source_hash"] for r in planning.fingerprint(rows.orderBy(F.rand(1))).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for book, k in ((None, 0), ("b1", 1), ("b2", 2)):
+        state, chapter = hashlib.sha1(), None
+        for i in range(k, 30_000, 3):
+            if i // 9000 != chapter:
+                chapter = i // 9000
+                state.update(f"T{chapter}\0".encode())
+            state.update((f"é{i}" if i % 50 != 7 else "").encode() + b"\0")
+        assert got[book] == state.hexdigest()
+    assert planning.fingerprint(rows.limit(0)).count() == 0
+
+
+def test_full_text_in_parts(spark):
+    rows = [(b, c, f"T{c}", k, f"{b}{c}.{k}") for b, c, n in (("a", 1, 7), ("a", 4, 1), ("a", 5, 3), ("b", 2, 2)) for k in range(1, n + 1)]
+    frame = spark.createDataFrame(rows, "book string, chapter_no long, title string, unit_no long, unit string").repartition(3)
+    whole = {"a": "\n\n".join(f"T{c}\n" + "\n".join(f"a{c}.{k}" for k in range(1, n + 1)) for c, n in ((1, 7), (4, 1), (5, 3))), "b": "T2\nb2.1\nb2.2"}
+    parts = planning.full_text_parts(frame, units=3).orderBy("book", "chapter_no", "part_no").collect()
+    assert {b: "".join(r["text"] for r in parts if r["book"] == b) for b in whole} == whole and len(parts) == 6
+    assert {r["book"]: r["text"] for r in planning.full_text(frame).collect()} == whole

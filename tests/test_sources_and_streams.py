@@ -88,7 +88,7 @@ def test_stream_over_batches(spark, tmp_path):
     for rows, names, left in zip(batches, pushed, expected):
         spark.createDataFrame(rows, queue.LOG).coalesce(1).write.mode("append").parquet(events)
 
-        def outcomes(items, names=names):
+        def outcomes(items, number, names=names):
             if names is None:
                 return None
             return items.select("path", (F.col("path") != "gone").alias("exists"), F.col("path").isin(names).alias("pushed"), F.lit(False).alias("skipped"), F.lit("10.0.0.9").alias("ip"), F.lit("cache").alias("source"))
@@ -99,6 +99,79 @@ def test_stream_over_batches(spark, tmp_path):
     assert passes == [(0, 3, True, 1, 1, 1, "10.0.0.9", "cache"), (1, 3, False, 0, 0, 3, None, None), (2, 2, True, 1, 1, 1, "10.0.0.9", "cache")]
 
 
+def test_a_lost_queue_is_an_error_and_a_batch_counts_once(spark, tmp_path):
+    import shutil
+
+    events, store, checkpoint = (str(tmp_path / x) for x in ("events", "store", "checkpoint"))
+    asked = []
+
+    def outcomes(items, number):
+        asked.append(number)
+        return items.select("path", F.lit(True).alias("exists"), (F.col("path") == "a").alias("pushed"), F.lit(False).alias("skipped"))
+
+    add = lambda *rows: spark.createDataFrame(rows, queue.LOG).coalesce(1).write.mode("append").parquet(events)
+    add(("a", 1, "enqueue", "A"), ("b", 2, "enqueue", "B"))
+    queue.run(spark, events, store, checkpoint, outcomes).awaitTermination(60)
+    for commit in (tmp_path / "checkpoint" / "commits").glob("*0*"):  # as if the driver had died before it noted the end of the batch
+        commit.unlink()
+    queue.run(spark, events, store, checkpoint, outcomes).awaitTermination(60)
+    assert asked == [0] and [tuple(r) for r in queue.stored_queue(spark, store).select("path", "attempts").collect()] == [("b", 1)]
+    with pytest.raises(ValueError, match="another checkpoint"):
+        queue.run(spark, events, store, str(tmp_path / "other"), outcomes)
+    add(("c", 3, "enqueue", "C"))
+    shutil.rmtree(tmp_path / "store" / "queue" / "published")
+    with pytest.raises(Exception, match="version 0 of .* was never published"):
+        queue.run(spark, events, store, checkpoint, outcomes).awaitTermination(60)
+
+
+def test_the_loop_runs_until_it_is_stopped(spark, tmp_path):
+    import time
+
+    events, store, checkpoint = (str(tmp_path / x) for x in ("events", "store", "checkpoint"))
+    rows = lambda k: spark.createDataFrame([(f"p{k}", k, "enqueue", "T")], queue.LOG).coalesce(1).write.mode("append").parquet(events)
+    rows(0)
+    running = queue.run(spark, events, store, checkpoint, lambda items, number: None, every="200 milliseconds", keep=2)
+    try:
+        for k in (1, 2, 3):
+            end = time.time() + 60
+            while queue.stored_queue(spark, store).count() < k and time.time() < end:
+                time.sleep(0.2)
+            rows(k)
+        while queue.stored_queue(spark, store).count() < 4 and time.time() < end:
+            time.sleep(0.2)
+    finally:
+        running.stop()
+    assert sorted(r["path"] for r in queue.stored_queue(spark, store).collect()) == ["p0", "p1", "p2", "p3"]
+    assert len(list((tmp_path / "store" / "queue" / "data").iterdir())) <= 3  # older versions are gone
+
+
+def test_versions(spark, tmp_path):
+    from leafwright.versions import Conflict, MissingVersion, Versions
+
+    frame = lambda *ids: spark.createDataFrame([(k,) for k in ids], "id long")
+    held = lambda number=None: sorted(r["id"] for r in kept.read(number).collect())
+    kept = Versions(spark, str(tmp_path / "state"), frame(1).schema)
+    assert held() == [] and kept.numbers() == []
+    assert [kept.save(frame(1)), kept.save(frame(1, 2)), kept.save(frame(3))] == [0, 1, 2]
+    lost = kept.write(frame(9))  # a writer that dies here changes nothing
+    assert held() == [3] and held(1) == [1, 2] and kept.numbers() == [0, 1, 2]
+    with pytest.raises(Conflict):
+        kept.publish(2, lost)
+    assert held(2) == [3]
+    kept.publish(3, lost)
+    assert held() == [9]
+    kept.expire(2)
+    assert kept.numbers() == [2, 3] and held(2) == [3]
+    with pytest.raises(MissingVersion, match="version 1"):
+        kept.read(1)
+    kept.write(frame(5))
+    kept.sweep()
+    assert len(list((tmp_path / "state" / "data").iterdir())) == 2
+    (tmp_path / "state" / "data" / lost / "_SUCCESS").unlink()
+    with pytest.raises(MissingVersion, match="lost its data"):
+        kept.read()
+
+
 def test_a_vanished_device_ends_the_pass(spark):
     items = spark.createDataFrame([(1, p, k) for k, p in enumerate("abc", 1)], "tick long, path string, pos long")
     outcomes = spark.createDataFrame([(1, "a", True, True, False), (1, "b", True, False, True), (1, "c", True, True, False)], "tick long, path string, exists boolean, pushed boolean, skipped boolean")
