@@ -21,6 +21,8 @@ from leafwright.plans import dialect as d
 from leafwright.scratch import scratch, table
 from leafwright.sources import books, payloads
 from leafwright.streaming import queue as queue_stream
+from leafwright.streaming import requests as request_stream
+from leafwright.streaming import watching
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -588,6 +590,40 @@ def _(spark, sf_dir):
     return rows(kept.read(1), "v1").unionByName(rows(kept.read(), "last"))
 
 
+@_query("q83_request_stream", f"""WITH {_LOG}, {_PROGRESS}, steps AS (SELECT id, seq, lag(status) OVER (PARTITION BY id ORDER BY seq) AS before, status FROM log WHERE status IS NOT NULL),
+  b AS (SELECT *, 100 * done // total AS pct, (100 * done // total) // 20 AS bucket FROM progress), s AS (SELECT *, coalesce(max(CASE WHEN bucket > 0 THEN bucket END) OVER (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS seen FROM b)
+  SELECT id, seq, 'transition' AS kind, before, status, CASE WHEN before IS NULL THEN status = 'requested' ELSE status = 'failed' OR status = before OR {_ALLOWED} END AS allowed, NULL AS done, NULL AS total, NULL AS pct, NULL AS bucket FROM steps
+  UNION ALL SELECT id, seq, 'crossing', NULL, NULL, NULL, done, total, pct, bucket FROM s WHERE bucket > seen AND bucket > 0""")
+def _(spark, sf_dir):
+    """Transitions and crossings of a stream whose files hold early and late events, some twice, with a restart between files."""
+    at = f"{scratch(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    own = W.partitionBy("user_id")
+    progress = _read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.row_number().over(own.orderBy("event_id")).cast("long").alias("done"), F.count(F.lit(1)).over(own).alias("total"))
+    events = _log(spark, sf_dir).select("id", "seq", "status").join(progress, ["id", "seq"]).select(request_stream.EVENTS.names)
+    files = [F.expr("seq % 3 = 2 or seq % 10 = 0"), F.expr("seq % 3 = 0"), F.expr("seq % 3 = 1 or seq % 10 = 0")]
+    for mine in files:
+        events.where(mine).coalesce(1).write.mode("append").parquet(f"{at}/events")
+        request_stream.run(spark, f"{at}/events", f"{at}/store", f"{at}/checkpoint").awaitTermination()
+    steps, crossed = request_stream.transitions(spark, f"{at}/store"), request_stream.crossings(spark, f"{at}/store")
+    names = ["id", "seq", "kind", "before", "status", "allowed", "done", "total", "pct", "bucket"]
+    return steps.withColumn("kind", F.lit("transition")).unionByName(crossed.withColumn("kind", F.lit("crossing")), allowMissingColumns=True).select(names)
+
+
+@_query("q84_stream_progress", """WITH pairs AS (SELECT doc_id % 3 AS batch, CASE WHEN length(trim(coalesce(text, ''))) > 0 AND doc_id % 7 <> 0 THEN 1 ELSE 0 END AS done FROM documents),
+  sums AS (SELECT batch, CAST(sum(done) AS BIGINT) AS done, count(*) AS total FROM pairs GROUP BY 1)
+  SELECT *, CAST(sum(done) OVER (ORDER BY batch) AS BIGINT) AS done_so_far, CAST(sum(total) OVER (ORDER BY batch) AS BIGINT) AS total_so_far FROM sums""")
+def _(spark, sf_dir):
+    """What a listener wrote while a stream of pairs ran, batch by batch."""
+    at = f"{scratch(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    pairs = _read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.trim("text")).alias("translation"))
+    for k in range(3):
+        pairs.where(F.col("doc_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{at}/pairs")
+    stream = spark.readStream.schema(pairs.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/pairs")
+    with watching.ProgressTable(spark, f"{at}/progress") as table_of:
+        watching.tracked(stream).writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{at}/out").awaitTermination()
+    return table_of.read()
+
+
 _PHRASE = r"'\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,}){0,2}\b'"
 
 
