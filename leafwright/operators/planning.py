@@ -190,7 +190,8 @@ def rendered(terms: DataFrame, function, hits: DataFrame | None = None, titles:
     """Glossary rows with renderings of an injected model, asked once for each ``chunk`` terms of a book.
 
     With search ``hits`` (``query, pos, title, content``) the snippets of the most frequent terms are part of each
-    request. Terms that a reply doesn't answer, and chunks whose call fails, keep what they had.
+    request. Terms that a reply doesn't answer, and chunks whose call fails, keep what they had. This runs a job that
+    calls the model.
     """
     from leafwright.functions.replies import enrichment_request
     from leafwright.operators.progress import called

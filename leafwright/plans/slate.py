@@ -469,7 +469,7 @@ def _stub(request: str) -> str:
     """A model that marks its answers, forgets every slot whose text begins with an S, and numbers its answers."""
     import re
 
-    body = request.rsplit("--- End of context ---", 1)[-1]
+    body = re.split(r"(?:^|\n)# ", request)[-1]
     parts = re.split(r"(?:^|\n\n)\[(\d+)\]\n", body)
     if len(parts) < 3:
         return "ko: " + body.rsplit("\n\n", 1)[-1]
@@ -755,11 +755,14 @@ def _(spark, sf_dir):
     return planning.rendered(table(planning.glossary(planning.term_counts(_lines(spark, sf_dir))), "terms"), _renderer)
 
 
-@_query("q70_hash_links", "SELECT query, row_number() OVER (PARTITION BY query ORDER BY p_partkey) AS pos, md5(CAST(p_partkey AS VARCHAR)) AS hash, p_name AS title FROM (SELECT *, p_type AS query, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS r FROM part) WHERE r <= 8")
+@_query("q70_hash_links", """WITH r AS (SELECT *, md5(CAST(p_partkey AS VARCHAR)) AS h, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS r FROM part)
+  SELECT p_type AS query, 2 * r - 1 + k AS pos, 'annas_archive' AS source, h AS source_id, CASE k WHEN 0 THEN 'anna-' || h[1:8] ELSE p_name || CASE p_partkey % 3 WHEN 0 THEN ' by ' || p_brand WHEN 1 THEN ' - ' || p_brand || ', 1999' ELSE '' END END AS title,
+  CASE WHEN k = 1 AND p_partkey % 3 < 2 THEN p_brand ELSE 'Unknown' END AS author, 'en' AS language, 'unknown (user responsibility)' AS rights, 'https://a/md5/' || h AS fetch_url FROM r, (VALUES (0), (1)) t(k) WHERE r <= 4""")
 def _(spark, sf_dir):
-    anchor = F.expr("""'<a href="/md5/' || upper(md5(CAST(p_partkey AS STRING))) || '"><img></a><a class="t" href="/md5/' || md5(CAST(p_partkey AS STRING)) || '?x">' || p_name || '</a><a href="/md5/short">x</a>'""")
+    label = "p_name || CASE p_partkey % 3 WHEN 0 THEN ' by ' || p_brand WHEN 1 THEN ' - ' || p_brand || ', 1999' ELSE '' END"
+    anchor = F.expr(f"""'<a href="/md5/' || upper(md5(CAST(p_partkey AS STRING))) || '"><img></a><a class="t" href="/md5/' || md5(CAST(p_partkey AS STRING)) || '?x">' || {label} || '</a><a href="/md5/short">x</a>'""")
     pages = _read(spark, sf_dir, "part").groupBy(F.col("p_type").alias("query")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", anchor.alias("a")))), lambda x: x["a"]), "\n").alias("html"))
-    return payloads.hash_links(pages)
+    return payloads.hash_links(pages, "https://a")
 
 
 @_query("q71_drain_without_device", f"""WITH {_QUEUE}, ticks AS (SELECT queued_seq % 4 AS tick, path, CAST(path AS BIGINT) AS n FROM queue)
@@ -799,6 +802,22 @@ def _(spark, sf_dir):
     return held.select("book", replies.translation_prompt(F.lit("de"), F.col("terms")).alias("request"))
 
 
+@_query("q85_other_requests", """WITH n AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text, lag(text) OVER w AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), p AS (SELECT * FROM n WHERE role = 'user' AND next_role = 'assistant')
+  SELECT conv_id, turn, 'batch' AS kind, CASE WHEN before IS NULL THEN '' ELSE '# Before' || chr(10) || before || chr(10) || chr(10) END || '# 2 texts (fr)' || chr(10) || chr(10) || '[1]' || chr(10) || text || chr(10) || chr(10) || '[2]' || chr(10) || next_text AS request FROM p
+  UNION ALL SELECT conv_id, turn, 'single', '# One text (fr)' || chr(10) || chr(10) || text FROM p
+  UNION ALL SELECT conv_id, turn, 'proof', '# 1 pairs' || chr(10) || chr(10) || '[1]' || chr(10) || text || chr(10) || '=>' || chr(10) || next_text FROM p
+  UNION ALL SELECT conv_id, turn, 'terms', CASE WHEN before IS NULL THEN '' ELSE '# Seen' || chr(10) || before || chr(10) || chr(10) END || '# Terms' || chr(10) || '1. ' || text || chr(10) || '2. ' || next_text FROM p""")
+def _(spark, sf_dir):
+    """The requests for a batch, a text alone, a second pass and renderings of terms."""
+    order = W.partitionBy("conv_id").orderBy("turn")
+    rows = _read(spark, sf_dir, "conversations").withColumns({"next_role": F.lead("role").over(order), "next_text": F.lead("text").over(order), "earlier": F.lag("text").over(order)})
+    rows = rows.where("role = 'user' and next_role = 'assistant'")
+    both, before = F.array("text", "next_text"), F.when(F.col("earlier").isNull(), F.array().cast("array<string>")).otherwise(F.array("earlier"))
+    asks = [replies.batch_request(F.lit("fr"), both, before), replies.single_request(F.lit("fr"), F.col("text")), replies.proofreading_request(F.array("text"), F.array("next_text")), replies.enrichment_request(both, before)]
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), a.alias("request")) for k, a in zip(("batch", "single", "proof", "terms"), asks)]))
+    return rows.select("conv_id", "turn", kinds.alias("r")).select("conv_id", "turn", "r.*")
+
+
 # -- what is written can be read again
 
 

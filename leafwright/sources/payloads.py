@@ -128,10 +128,21 @@ def distinct_hosts(hosts: DataFrame) -> DataFrame:
     return hosts.groupBy("host").agg(F.min("pos").alias("pos")).select("pos", "host")
 
 
-def hash_links(pages: DataFrame, limit: int = 8) -> DataFrame:
-    """``query, pos, hash, title`` of the links to ``/md5/`` pages: the first with text of each hash, in order."""
-    found = F.lower(F.regexp_extract("href", r"/md5/([0-9a-fA-F]{32})", 1))
-    rows = links(pages).withColumn("hash", found).where((F.col("hash") != "") & (F.col("text") != ""))
-    rows = rows.withColumn("n", F.row_number().over(W.partitionBy("query", "hash").orderBy("pos"))).where("n = 1")
+def hash_links(pages: DataFrame, base: str = "", limit: int = 8) -> DataFrame:
+    """Candidates of the links to ``/md5/`` pages of ``query, html``: the first ``limit`` links of each query, in order.
+
+    A hash is any run of hexadecimal digits. A link's text is its title (160 characters), and names the author after
+    the word *by*, or after a hyphen where a comma or space and a year follow; else the author is unknown. A link
+    without text is named after its hash. A hash that is linked twice is two candidates.
+    """
+    found = F.lower(F.regexp_extract("href", r"/md5/([0-9a-fA-F]+)", 1))
+    rows = links(pages).withColumn("hash", found).where(F.col("hash") != "")
     rows = rows.withColumn("pos", F.row_number().over(W.partitionBy("query").orderBy("pos")).cast("long")).where(F.col("pos") <= limit)
-    return rows.select("query", "pos", "hash", F.substring("text", 1, 200).alias("title"))
+    # Fixed pattern: where a label names its author.
+    named = r"\bby\b\s+(.+?)$|-\s*([^,]+?),?\s*(\d{4})"
+    author = F.coalesce(*[F.nullif(F.regexp_extract("text", named, k), F.lit("")) for k in (1, 2)], F.lit("Unknown"))
+    title = F.when(F.col("text") == "", F.concat(F.lit("anna-"), F.substring("hash", 1, 8))).otherwise(F.col("text"))
+    return rows.select(
+        "query", "pos", F.lit("annas_archive").alias("source"), F.col("hash").alias("source_id"), F.substring(title, 1, 160).alias("title"), strip(author).alias("author"),
+        F.lit("en").alias("language"), F.lit("unknown (user responsibility)").alias("rights"), F.concat(F.lit(base), F.lit("/md5/"), "hash").alias("fetch_url"),
+    )

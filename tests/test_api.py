@@ -18,7 +18,7 @@ def a_model():
     def model(request):
         import re
 
-        body = request.rsplit("--- End of context ---", 1)[-1]
+        body = re.split(r"(?:^|\n)# ", request)[-1]
         parts = re.split(r"(?:^|\n\n)\[(\d+)\]\n", body)
         return "\n".join(f"[{k}] ko {t}" for k, t in zip(parts[1::2], parts[2::2])) if len(parts) > 2 else "ko " + body.rsplit("\n\n", 1)[-1]
 

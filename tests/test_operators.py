@@ -194,7 +194,7 @@ def test_translation_with_failures(spark):
     frame = units(spark, ["one <i>x</i>", "two", "Stop", "four"])
 
     def model(request):
-        if "single" in request:
+        if "One text" in request:
             if "Stop" in request:
                 raise RuntimeError("no")
             return "[1] " + request.rsplit("\n\n", 1)[-1]
