@@ -103,6 +103,17 @@ def delivered(requests: DataFrame, families: DataFrame | None = None) -> DataFra
     return rows.crossJoin(F.broadcast(families.agg(F.min("name").alias("family"))))  # one row
 
 
+def removals(pushes: DataFrame) -> DataFrame:
+    """Queue events that take out what was delivered directly, of ``path, seq, pushed``: files that were not stay queued."""
+    return pushes.where(F.coalesce("pushed", F.lit(False))).select("path", "seq", F.lit("remove").alias("op"), F.lit(None).cast("string").alias("title"))
+
+
+def delivery_summary(family: Column, font_pushed: Column, book_pushed: Column) -> Column:
+    """What arrived on a device (the font by its family, the book); null where nothing did."""
+    parts = F.concat_ws(", ", F.when(F.coalesce(font_pushed, F.lit(False)), F.concat(F.lit("font "), family)), F.when(F.coalesce(book_pushed, F.lit(False)), F.lit("book")))
+    return F.when(parts != "", F.concat(F.lit("On the device: "), parts))
+
+
 def drained(items: DataFrame, outcomes: DataFrame) -> DataFrame:
     """``tick, path, pos, result`` of one pass over a queue: ``gone``, ``pushed``, ``failed``, or ``waiting``.
 

@@ -19,7 +19,9 @@ from leafwright.functions import replies, text
 from leafwright.operators import coverage, planning, progress, render, search, segment, state
 from leafwright.plans import dialect as d
 from leafwright.scratch import scratch, table
-from leafwright.sources import books, payloads
+from leafwright.shelf import Shelf
+from leafwright.sources import books, cache, connectors, payloads
+from leafwright.streaming import outbox
 from leafwright.streaming import queue as queue_stream
 from leafwright.streaming import requests as request_stream
 from leafwright.streaming import watching
@@ -624,6 +626,100 @@ def _(spark, sf_dir):
     return table_of.read()
 
 
+# -- sources and sinks
+
+
+def _catalogue_pages(spark, sf_dir):
+    """Pages of three books each; every page but a query's last names the next one."""
+    part = _read(spark, sf_dir, "part")
+    order = W.partitionBy("p_type").orderBy("p_partkey")
+    book = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.array(F.struct(F.col("p_brand").alias("name"))).alias("authors"), F.array(F.lit("en")).alias("languages"), (F.col("p_size") % 2 == 1).alias("copyright"), F.create_map(F.lit("application/epub+zip"), F.concat(F.lit("e"), "p_partkey")).alias("formats"))
+    rows = part.select("p_type", F.floor((F.row_number().over(order) - 1) / 3).alias("page"), F.count(F.lit(1)).over(W.partitionBy("p_type")).alias("n"), "p_partkey", F.to_json(book).alias("j"))
+    bodies = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "j"))), lambda x: x["j"]), ",")
+    pages = rows.groupBy("p_type", "page").agg(F.max("n").alias("n"), bodies.alias("r"))
+    name = lambda page: F.concat(F.sha2("p_type", 256), F.lit("-"), page.cast("string"), F.lit(".json"))
+    following = F.when((F.col("page") + 1) * 3 < F.col("n"), F.concat(F.lit('"'), name(F.col("page") + 1), F.lit('"'))).otherwise(F.lit("null"))
+    body = F.concat(F.lit('{"next":'), following, F.lit(',"results":['), "r", F.lit("]}"))
+    return pages.select(name(F.col("page")).alias("name"), body.cast("binary").alias("content"))
+
+
+@_query("q86_page_source", "SELECT query, r AS pos, CAST(p_partkey AS VARCHAR) AS source_id, trim(p_name) AS title, p_brand AS author, CASE p_size % 2 WHEN 0 THEN 'public domain' ELSE 'copyright' END AS rights, 'e' || p_partkey AS fetch_url FROM (SELECT *, p_type AS query, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS r FROM part) WHERE r <= 8 AND query IN (SELECT DISTINCT p_type FROM part ORDER BY 1 LIMIT 40)")
+def _(spark, sf_dir):
+    """Pages written by a sink and read by a source that follows them, for queries pushed into it as a filter."""
+    at = f"{scratch(spark)}/pages-{uuid.uuid4().hex[:12]}"
+    connectors.register(spark, connectors.FileSink)
+    _catalogue_pages(spark, sf_dir).write.format("named_files").mode("append").option("path", at).save()
+
+    def fetch(name):
+        return Shelf(at).read(name).decode()
+
+    def first(query):
+        import hashlib
+
+        return f"{hashlib.sha256(query.encode()).hexdigest()}-0.json"
+
+    connectors.register(spark, connectors.page_source(fetch, first))
+    asked = [r["p_type"] for r in _read(spark, sf_dir, "part").select("p_type").distinct().orderBy("p_type").limit(40).collect()]  # forty queries of the catalogue
+    pages = spark.read.format("catalogue_pages").option("limit", 8).load()
+    return payloads.catalogue(pages.where(F.col("query").isin(asked)), 8).drop("source", "language")
+
+
+@_query("q87_epub_files", f"WITH {d.FINAL} SELECT book, chapter_no, title, unit_no * 2 - 1 AS para_no, unit AS text FROM final UNION ALL SELECT book, chapter_no, title, unit_no * 2, 'ko: ' || unit FROM final")
+def _(spark, sf_dir):
+    """Books written as files by the sink, and the files read again."""
+    at = f"{scratch(spark)}/books-{uuid.uuid4().hex[:12]}"
+    connectors.register(spark, connectors.FileSink)
+    made = render.epubs(_written(spark, sf_dir).withColumn("translation", F.concat(F.lit("ko: "), "unit")), stamp="2024-01-01T00:00:00Z")
+    made.select(F.concat("book", F.lit(".epub")).alias("name"), F.col("epub").alias("content")).write.format("named_files").mode("append").option("path", at).save()
+    return books.markup_paragraphs(books.unzipped(spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(at).select("path", "content")))
+
+
+@_query("q88_fetched", "SELECT CAST(p_partkey AS VARCHAR) AS source_id, CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_size % 2 = 0 THEN 'epub' ELSE 'txt' END AS format, CASE WHEN p_size % 5 = 0 THEN 'no address' WHEN p_size % 7 = 0 THEN 'OSError: gone' END AS error, CASE WHEN p_size % 5 <> 0 AND p_size % 7 <> 0 THEN md5('book of ' || p_brand || CASE WHEN p_size % 2 = 0 THEN '/x.epub' ELSE '/' || p_size END) END AS content_md5 FROM part")
+def _(spark, sf_dir):
+    """Addresses that many candidates share, fetched into a cache once each; a seventh fails, a fifth has none."""
+    at = f"{scratch(spark)}/cache-{uuid.uuid4().hex[:12]}"
+    address = F.when(F.col("p_size") % 5 != 0, F.concat(F.when(F.col("p_size") % 7 == 0, F.lit("!")).otherwise(F.lit("")), "p_brand", F.when(F.col("p_size") % 2 == 0, F.lit("/x.epub")).otherwise(F.concat(F.lit("/"), "p_size"))))
+
+    def fetch(url):
+        if url.startswith("!"):
+            raise OSError("gone")
+        return f"book of {url}".encode()
+
+    candidates = _read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("source_id"), address.alias("fetch_url"))
+    rows = cache.fetched(candidates, at, fetch).withColumn("file", F.regexp_extract("path", r"[^/]+$", 0))
+    there = spark.read.format("binaryFile").option("pathGlobFilter", "*.{epub,txt}").load(at).select(F.regexp_extract("path", r"[^/]+$", 0).alias("file"), F.md5("content").alias("content_md5"))
+    return rows.join(there, "file", "left").select("source_id", F.when(F.col("fetch_url").isNotNull(), F.col("format")).alias("format"), "error", "content_md5")
+
+
+@_query("q89_outbox", f"""WITH {_PROGRESS}, b AS (SELECT *, (100 * done // total) // 20 AS bucket, (100 * done // total) AS pct FROM progress), s AS (SELECT *, coalesce(max(CASE WHEN bucket > 0 THEN bucket END) OVER (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS seen FROM b)
+  SELECT id || '/' || bucket AS id, 'Request ' || id || ': ' || pct || ' %' AS message, CASE WHEN id % 9 = 0 THEN 'failed' ELSE 'sent' END AS result, CASE WHEN id % 9 = 0 THEN 'OSError: away' END AS error FROM s WHERE bucket > seen AND bucket > 0""")
+def _(spark, sf_dir):
+    """Every progress crossing is told once, though batches come again and share messages; a ninth of the requests fails."""
+    own = W.partitionBy("user_id")
+    rows = _read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.row_number().over(own.orderBy("event_id")).cast("long").alias("done"), F.count(F.lit(1)).over(own).alias("total"))
+    crossed = state.crossings(rows).select(F.concat_ws("/", "id", "bucket").alias("id"), F.concat(F.lit("Request "), "id", F.lit(": "), "pct", F.lit(" %")).alias("message"), "bucket")
+
+    def send(message):
+        if int(message.split()[1].rstrip(":")) % 9 == 0:
+            raise OSError("away")
+
+    box = outbox.Outbox(spark, f"{scratch(spark)}/outbox-{uuid.uuid4().hex[:12]}", send)
+    for number, most in ((0, 2), (0, 2), (1, 4), (2, 5)):  # the first batch runs twice, later ones repeat what was told
+        box.post(crossed.where(F.col("bucket") <= most).select("id", "message"), number)
+    return box.status()
+
+
+@_query("q90_direct_delivery", f"WITH {_QUEUE} SELECT q.path, q.queued_seq, CASE WHEN CAST(q.path AS BIGINT) % 3 = 0 THEN 'On the device: ' || CASE WHEN CAST(q.path AS BIGINT) % 2 = 0 THEN 'font F, ' ELSE '' END || 'book' WHEN CAST(q.path AS BIGINT) % 2 = 0 THEN 'On the device: font F' END AS said, CAST(q.path AS BIGINT) % 3 <> 0 AS queued FROM queue q")
+def _(spark, sf_dir):
+    """Books pushed at a user's wish leave the queue; what is said of each push."""
+    items = table(state.queue(_ops(spark, sf_dir)), "queue")
+    n = F.col("path").cast("long")
+    pushes = items.select("path", F.lit(1 << 40).alias("seq"), (n % 3 == 0).alias("pushed"))
+    left = state.advanced(items, state.removals(pushes)).select("path", F.lit(True).alias("left"))
+    return items.join(left, "path", "left").select("path", "queued_seq", state.delivery_summary(F.lit("F"), n % 2 == 0, n % 3 == 0).alias("said"), F.coalesce("left", F.lit(False)).alias("queued"))
+
+
+
 _PHRASE = r"'\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,}){0,2}\b'"
 
 
