@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafwright.functions.entities import unescaped
+
 # Abbreviations whose dots do not end a sentence, in the order in which they are masked.
 ABBREVIATIONS = [
     "Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Sr.", "Jr.", "St.", "vs.", "etc.", "i.e.", "e.g.",
@@ -107,25 +109,8 @@ def xml_escape_once(c: Column) -> Column:
 
 
 def xml_escape(c: Column) -> Column:
-    """Entities decoded until nothing changes, then ``& < > "`` escaped once; null is empty.
-
-    Texts without an ampersand, nearly all, stay in Catalyst; only the others visit Python for its entity table.
-    """
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def decoded(s):
-        from html import unescape
-
-        def settle(x):
-            while (y := unescape(x)) != x:
-                x = y
-            return x
-
-        return s.map(settle, na_action="ignore")
-
-    c = F.coalesce(c, F.lit(""))
-    return xml_escape_once(F.when(F.contains(c, F.lit("&")), decoded(c)).otherwise(c))
+    """Entities decoded until nothing changes, then ``& < > "`` escaped once; null is empty."""
+    return xml_escape_once(unescaped(F.coalesce(c, F.lit(""))))
 
 
 def image_type(c: Column) -> Column:

@@ -11,14 +11,19 @@ from leafwright.functions.text import language_base
 def code_points(texts: DataFrame, column: str = "text", always: bool = True) -> DataFrame:
     """``cp``: the distinct code points of a column; with ``always`` also printable ASCII and the replacement character.
 
-    Each row first gives its own distinct characters, so little is exploded and less is shuffled.
+    Each row gives its own distinct characters, and each task a bitmap for each 32,768 code points it has met, of
+    which there are 35: that is all that is shuffled, however many texts there are.
     """
-    own = texts.select(F.explode(F.array_distinct(F.split(F.col(column), ""))).alias("ch")).where("ch <> ''").distinct()
-    found = own.select(F.ascii("ch").cast("long").alias("cp"))
+    own = texts.select(F.explode(F.array_distinct(F.split(F.col(column), ""))).alias("ch")).where("ch <> ''").select(F.ascii("ch").cast("long").alias("cp"))
     if always:
         spark = texts.sparkSession
-        found = found.unionByName(spark.range(0x20, 0x7F).select(F.col("id").alias("cp"))).unionByName(spark.range(0xFFFD, 0xFFFE).select(F.col("id").alias("cp")))
-    return found.distinct()
+        own = own.unionByName(spark.range(0x20, 0x7F).select(F.col("id").alias("cp"))).unionByName(spark.range(0xFFFD, 0xFFFE).select(F.col("id").alias("cp")))
+    maps = own.groupBy(F.bitmap_bucket_number("cp").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cp")).alias("bits"))
+    octets = maps.select("bucket", F.posexplode(F.split(F.regexp_replace(F.hex("bits"), "(..)", "$1 "), " ")).alias("at", "octet")).where("octet not in ('', '00')")
+    places = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: F.conv("octet", 16, 10).cast("int").bitwiseAND(F.pow(F.lit(2), k).cast("int")) != 0)
+    rows = octets.select("bucket", (F.col("at") * 8).alias("low"), F.explode(places).alias("k"))
+    # Buckets count from 1 for code points from 1 on; code point 0 is alone in bucket 0.
+    return rows.select(F.when(F.col("bucket") == 0, F.lit(0)).otherwise((F.col("bucket") - 1) * 32768 + F.col("low") + F.col("k") + 1).cast("long").alias("cp"))
 
 
 def json_texts(documents: DataFrame, column: str) -> DataFrame:

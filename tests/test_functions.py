@@ -129,3 +129,35 @@ def test_image_types(one):
     data = [b"\xff\xd8\xff\x00", b"\x89PNG\r\n\x1a\n", b"GIF89a", b"RIFF\0\0\0\0WEBP", b"", b"RIFF"]
     assert [x["extension"] for x in one(text.image_type, data, "binary")] == [".jpg", ".png", ".gif", ".webp", ".jpg", ".jpg"]
     assert re.match("image/", one(text.image_type, data[:1], "binary")[0]["media_type"])
+
+
+def test_entities_are_those_of_the_standard_library(spark):
+    import html
+    import random
+
+    from leafwright.functions import entities
+
+    rnd = random.Random(1)
+    names = list(html.entities.html5)
+    bits = ["&", "#", "x", ";", "amp", "lt", "&amp;", "&#38;", "é", "😀", " ", "notin", "&#x26;", "0", "9", "f", "&#"]
+    texts = ["&" + n for n in names] + [f"&#{k}" for k in (*range(300), 0xD800, 0xDFFF, 0xFDD0, 0xFDEF, 0xFFFE, 0xFFFF, 0x10FFFF, 0x110000, 10**25, 0x1FFFE, 128512)] + [f"&#x{k:x};" for k in (*range(300), 0xD800, 0x1F600, 1 << 90)]
+    texts += ["".join(rnd.choice(bits + names[:200]) for _ in range(rnd.randrange(1, 9))) for _ in range(2000)] + ["&" + "amp;" * 40, "&" + "amp" * 30, "&#000000000065;", "a&b", "&ampx;", "&notit;", "&" + "z" * 40 + ";", "", "&&&;"]
+
+    def settled(x):
+        while (y := html.unescape(x)) != x:
+            x = y
+        return x
+
+    frame = spark.createDataFrame(list(enumerate(texts)), "k long, s string").repartition(4)
+    rows = frame.select("k", entities.unescaped_once(F.col("s")).alias("once"), entities.unescaped(F.col("s")).alias("all"))
+    assert {r["k"]: (r["once"], r["all"]) for r in rows.collect()} == {k: (html.unescape(s), settled(s)) for k, s in enumerate(texts)}
+    assert "Python" not in frame.select(text.xml_escape(F.col("s")))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_code_points_by_bitmaps(spark):
+    from leafwright.operators import coverage
+
+    texts = ["a\0b", "😀é", None, "", "￿\U0010ffff", "耀老翿"] + [chr(k) for k in range(0x7FF0, 0x8010)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    assert sorted(r["cp"] for r in coverage.code_points(frame, always=False).collect()) == sorted({ord(c) for t in texts if t for c in t})
+    assert coverage.code_points(frame.limit(0)).count() == 0x7F - 0x20 + 1
