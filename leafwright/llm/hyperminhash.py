@@ -196,6 +196,7 @@ class _Blocks:
             incidence = np.zeros((len(sets), self.chunk), np.float32)
             incidence[row[at], column[at] - low] = 1
             shared += incidence[left] @ incidence[right].T
+        shared = shared.astype(np.int64)  # counts are exact in single precision, a hundred times a count needn't be
         linked = 100 * shared >= self.percent * (size[left][:, None] + size[right] - shared)
         linked &= comp[left][:, None] != comp[right]
         x, y = np.nonzero(linked)
