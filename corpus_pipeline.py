@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwright.llm import hyperminhash, langid, packing, quality, secrets
-from leafwright.llm.common import held_out, table
+from leafwright.llm.common import fresh, held_out, table
 
 #: A document stays if its language is known and at least this likely.
 LANGUAGE_SCORE = 0.5
@@ -38,8 +38,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; null texts, texts without a letter and uncertain ones go."""
     _begin(spark)
     model = langid.train(docs, ~held_out(F.col("doc_id")))
-    judged = langid.predict(docs, "text", model, docs.columns, new=("_lang_pred", "_lang_score"))
-    return judged.where((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_lang_score") >= LANGUAGE_SCORE)).select(*docs.columns)
+    found, sure = fresh(docs.columns, "_lang_pred"), fresh(docs.columns, "_lang_score")
+    judged = langid.predict(docs, "text", model, docs.columns, new=(found, sure))
+    return judged.where((F.col(found) != langid.UNKNOWN) & (F.col(sure) >= LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +52,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     _begin(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     model = quality.train(docs, labels.where(~held_out(F.col("doc_id"))))
-    judged = quality.score(docs, "text", model, docs.columns, new="_quality_score")
-    return judged.where(F.col("_quality_score") >= QUALITY_SCORE).select(*docs.columns)
+    found = fresh(docs.columns, "_quality_score")
+    judged = quality.score(docs, "text", model, docs.columns, new=found)
+    return judged.where(F.col(found) >= QUALITY_SCORE).select(*docs.columns)
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,10 +70,12 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked and ``n_chars`` of the masked text; null texts stay null."""
+    """All documents, with secrets masked and ``n_chars``, if there is one, of the masked text; null texts stay null."""
     _begin(spark)
     masked = secrets.redact(docs, secrets.train(secrets.labelled_findings(spark)))
-    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return masked.select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
