@@ -46,3 +46,49 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_own_columns_stay(spark):
+    """Columns that are named like a stage's working columns are carried with their values; n_chars may be absent."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").drop("n_chars")
+    own = {c: F.lit("mine") for c in ("_lang_pred", "_lang_score", "_quality_score", "n_shingles", "component_id", "kept", "first")}
+    docs = docs.withColumns(own)
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert {tuple(r) for r in out.select(*own).distinct().collect()} == {("mine",) * len(own)}
+
+
+def test_unique_is_the_brute_force_rule(spark):
+    """One document, that of the least id, of each component of links at 0.8; near copies are made of the table's own texts."""
+    import random
+
+    rnd = random.Random(3)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for k in range(60):
+        words = rnd.choice(list(texts.values())[:120]).split()
+        for _ in range(rnd.randrange(0, 4)):
+            words[rnd.randrange(len(words))] = f"other{k}"
+        texts[5000 + k] = " ".join(words)
+    sets = {}
+    for d, t in texts.items():
+        w = t.encode().lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    root = {d: d for d in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(texts)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            shared = len(sets[a] & sets[b])
+            if shared and 100 * shared >= 80 * (len(sets[a]) + len(sets[b]) - shared):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    frame = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(3)
+    kept = sorted(r["doc_id"] for r in cp.unique(spark, frame, SF).collect())
+    assert kept == [d for d in ids if find(d) == d] and len(kept) < len(ids)
