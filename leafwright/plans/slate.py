@@ -720,6 +720,28 @@ def _(spark, sf_dir):
 
 
 
+def _text_files(spark, sf_dir) -> str:
+    """A file for each document, framed as a book; returns the folder."""
+    at = f"{scratch(spark)}/texts-{uuid.uuid4().hex[:12]}"
+    connectors.register(spark, connectors.FileSink)
+    put = lambda frame: F.replace(F.lit(frame), F.lit("{}"), F.col("doc_id").cast("string"))
+    framed = F.concat(put(_FRAMED[0]), F.replace("text", F.lit("\n"), F.lit("\n \n")), put(_FRAMED[1]))
+    rows = _read(spark, sf_dir, "documents").where("doc_id is not null").select(F.concat("doc_id", F.lit(".txt")).alias("name"), framed.cast("binary").alias("content"))
+    rows.write.format("named_files").mode("append").option("path", at).save()
+    return at
+
+
+def _headings_only(spark, sf_dir):
+    return _paragraphs(spark, sf_dir).where(text.is_heading(F.col("text")))
+
+
+@_query("q92_headings_only", f"WITH {d.BUCKETS} SELECT book, 1 AS chapter_no, 'Untitled' AS title, para_no, text FROM paras WHERE {d.heading('text')}")
+def _(spark, sf_dir):
+    """Books of headings alone: these are their paragraphs."""
+    return segment.bucketed(_headings_only(spark, sf_dir))
+
+
+
 _PHRASE = r"'\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,}){0,2}\b'"
 
 
@@ -925,10 +947,13 @@ def _(spark, sf_dir):
     return books.markup_paragraphs(books.unzipped(made.select(F.concat("book", F.lit(".epub")).alias("path"), F.col("epub").alias("content"))))
 
 
-@_query("q77_text_books", rf"""WITH framed AS (SELECT doc_id, {d.strip(f"regexp_replace(regexp_replace(regexp_replace('Front' || chr(10) || '*** START OF THE EBOOK ' || doc_id || ' ***' || chr(10) || 'Produced by A and B at pgdp.net' || chr(10) || replace(text, chr(10), chr(10) || ' ' || chr(10)) || chr(10) || '*** END OF THE EBOOK ' || doc_id || ' ***' || chr(10) || 'Licence' || chr(10) || '*** END OF IT ***', {d.START}, ''), {d.END}, ''), {d.quoted('(?im)' + text.CREDITS)}, '')")} AS t FROM documents),
+_TEXT_BOOKS = rf"""WITH framed AS (SELECT doc_id, {d.strip(f"regexp_replace(regexp_replace(regexp_replace('Front' || chr(10) || '*** START OF THE EBOOK ' || doc_id || ' ***' || chr(10) || 'Produced by A and B at pgdp.net' || chr(10) || replace(text, chr(10), chr(10) || ' ' || chr(10)) || chr(10) || '*** END OF THE EBOOK ' || doc_id || ' ***' || chr(10) || 'Licence' || chr(10) || '*** END OF IT ***', {d.START}, ''), {d.END}, ''), {d.quoted('(?im)' + text.CREDITS)}, '')")} AS t FROM documents),
   cut AS (SELECT doc_id, string_split(regexp_replace(t, '\n[\s\pZ]*\n', chr(2), 'g'), chr(2)) AS b FROM framed),
   said AS (SELECT doc_id, {d.collapse('unnest(b)')} AS p, generate_subscripts(b, 1) AS i FROM cut)
-  SELECT CAST(doc_id AS VARCHAR) AS book, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS para_no, p AS text FROM said WHERE length(p) > 1""")
+  SELECT CAST(doc_id AS VARCHAR) AS book, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS para_no, p AS text FROM said WHERE length(p) > 1"""
+
+
+@_query("q77_text_books", _TEXT_BOOKS)
 def _(spark, sf_dir):
     put = lambda frame: F.replace(F.lit(frame), F.lit("{}"), F.col("doc_id").cast("string"))
     framed = F.concat(put(_FRAMED[0]), F.replace("text", F.lit("\n"), F.lit("\n \n")), put(_FRAMED[1]))
@@ -975,3 +1000,20 @@ def _(spark, sf_dir):
         "annas_archive": lambda spark, query: part.where((F.col("p_type") == query) & (F.col("p_partkey") % 3 != 0)).selectExpr("p_partkey AS pos", "upper(p_name) AS title", "p_brand AS author"),
     }
     return api.search_books(spark, " annas: ECONOMY", readers).select("query", "source_rank", "source", "pos", "title", "author")
+
+
+@_query("q91_text_files", _TEXT_BOOKS)
+def _(spark, sf_dir):
+    """Text files by the sink, found by their ending and read."""
+    return api.read_books(spark, f"{_text_files(spark, sf_dir)}/*.txt")
+
+
+@_query("q93_local_files", "SELECT 'local' AS source, CAST(doc_id AS VARCHAR) AS title, '' AS author, 'en' AS language, doc_id || '.txt' AS file FROM documents")
+def _(spark, sf_dir):
+    """Files as candidates, as the command line writes them in JSON lines."""
+    from leafwright.__main__ import main
+
+    at = _text_files(spark, sf_dir)
+    main(["candidates", f"{at}/*.txt", f"{at}-lines"])
+    rows = spark.read.schema("source string, title string, author string, language string, fetch_url string").json(f"{at}-lines")
+    return rows.select("source", "title", "author", "language", F.regexp_extract("fetch_url", "[^/]+$", 0).alias("file"))

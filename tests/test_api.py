@@ -74,6 +74,25 @@ def test_command_line(spark, tmp_path):
         api.read_books(spark, "x.pdf")
 
 
+def test_translate_and_assemble_from_the_command_line(spark, tmp_path, capsys):
+    (tmp_path / "b.txt").write_text(TEXT)
+    book, pairs, again, out = (str(tmp_path / x) for x in ("b.txt", "pairs", "again", "out"))
+    with pytest.raises(SystemExit):
+        main(["translate", book, pairs])
+    assert main(["translate", book, pairs, "--model", "textwrap:dedent"]) == 0  # its answer is the request: every text is its own translation
+    rows = [json.loads(x) for p in (tmp_path / "pairs").glob("part-*") for x in p.read_text().splitlines()]
+    assert rows and all(r["unit"] == r["translation"] and r["source_hash"] for r in rows)
+    assert main(["translate", book, again, "--model", "builtins:int", "--stored", pairs]) == 0  # nothing is asked for
+    assert main(["translate", book, str(tmp_path / "none"), "--model", "builtins:int"]) == 2
+    assert "less than 50% translated: b" in capsys.readouterr().err
+    assert main(["assemble", again, out, "--language", "en"]) == 0
+    assert [p.name for p in (tmp_path / "out").glob("*.epub")] == ["b.epub"]
+    read = api.read_books(spark, f"{out}/b.epub")
+    assert read.count() == 2 * len(rows)
+    assert main(["assemble", str(tmp_path / "none"), out]) == 1
+    assert "b: refused" in capsys.readouterr().err and not list((tmp_path / "out").glob("*.epub"))
+
+
 def test_a_model_is_called_once_for_each_request(spark, tmp_path):
     """Calls are counted in files, as workers are other processes; a varying model is asked no second time."""
     from leafwright.operators import progress, segment
