@@ -3,9 +3,12 @@
 import json
 import os
 import random
+import subprocess
+import sys
 import uuid
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from leafwright.operators import state
@@ -163,6 +166,11 @@ def test_requests_in_any_order_with_a_restart(spark, tmp_path):
     assert repr(steps) == repr(sorted((key, seq, *v[:3]) for key, out in judged.items() for (seq, kind), v in out.items() if kind == "transition"))
     crossed = sorted((r["id"], r["seq"], r["done"], r["total"], r["pct"], r["bucket"]) for r in requests.crossings(spark, store).collect())
     assert crossed == sorted((key, seq, *v[3:]) for key, out in judged.items() for (seq, kind), v in out.items() if kind == "crossing")
+    # The worker that plans the state can't import this package where it isn't installed.
+    (tmp_path / "processor").write_bytes(cloudpickle.dumps(requests.Requests()))
+    script = "import sys, pickle; p = pickle.load(open('processor', 'rb')); assert p.idle is None and 'leafwright' not in sys.modules"
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    assert subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=environment, timeout=60).returncode == 0
 
 
 def test_idle_requests_are_forgotten(spark, tmp_path):
