@@ -4,19 +4,22 @@ Words of all documents are counted; the most frequent ones and hash buckets for
 in classes of equal size. The network sees the two tokens on each side of a masked one, adds their embeddings,
 weighted by place, through a tanh layer, and predicts the masked token's class and the token within its class.
 
-Training is data-parallel over all documents: each task starts from the same parameters (the corpus unigram
-distribution in the output biases), runs Adagrad over its own documents, in which every token is masked once,
-and returns its parameters; these are averaged by number of targets in an aggregation by parameter row. A
-document's score is the sum of the conditional log-probabilities of all its tokens.
+Training is data-parallel over all documents. They are dealt by a hash of id and tokens; how many deals there are
+follows from the number of tokens alone, so neither files nor tasks change the result. Each deal starts from the
+same parameters (the corpus unigram distribution in the output biases), runs Adagrad over its documents, in which
+every token is masked once, and gives its parameters; these are averaged by number of targets in an aggregation by
+parameter row. A document's score is the sum of the conditional log-probabilities of all its tokens.
 
 The network tells the words of a hash bucket apart by nothing but their own counts: such a word's probability is
 that of its bucket times its share of the bucket's count. Words are counted in full and the shares reach the
-documents by a join, so neither a task nor the driver ever holds all words.
+documents by a join, so neither a task nor the driver ever holds all words. A document asks once for each of its
+words in buckets; such a word occurs no more often than any of the known ones, so no key of that join is hot.
 """
 
 from __future__ import annotations
 
 import zlib
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -58,14 +61,14 @@ class _Count:
 
 
 class _Encode:
-    """Token numbers of each text as unsigned 16-bit integers, and the hashes of its words that are in buckets."""
+    """Token numbers of each text as unsigned 16-bit integers, the hashes of its words in buckets, and how often each occurs."""
 
     def __init__(self, vocabulary, buckets: int):
         self.vocabulary, self.buckets = vocabulary, buckets
 
     def __call__(self, batch) -> dict:
         known, first = self.vocabulary.value, len(self.vocabulary.value)
-        out, hashes, held = [], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+        out, hashes, times, held = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
         for part in _pieces(batch.column(1)):
             lists = _words(part)
             coded = lists.flatten().dictionary_encode()
@@ -78,15 +81,19 @@ class _Encode:
             at = coded.indices.to_numpy()
             ids = number[at]
             hashed = ids >= first
-            hashes.append(own[at[hashed]])
             ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            held.append(held[-1][-1] + np.concatenate([[0], np.cumsum(hashed)])[ends[1:]])
+            rows = np.repeat(np.arange(len(part)), np.diff(ends))[hashed]
+            pairs, n = np.unique(rows * len(number) + at[hashed], return_counts=True)  # a text's distinct words
+            hashes.append(own[pairs % max(1, len(number))])
+            times.append(n)
+            held.append(held[-1][-1] + np.cumsum(np.bincount(pairs // max(1, len(number)), minlength=len(part))))
             keep = ids >= 0
             bounds = np.concatenate([[0], np.cumsum(keep)])[ends]
             ids = ids[keep].astype("<u2")
             out += [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
-        hashed = pa.ListArray.from_arrays(pa.array(np.concatenate(held), pa.int32()), pa.array(np.concatenate(hashes)))
-        return {"doc_id": batch.column(0), "rid": batch.column(2), "ids": pa.array(out, pa.binary()), "hashed": hashed}
+        bounds = pa.array(np.concatenate(held), pa.int32())
+        hashed, times = (pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(x))) for x in (hashes, times))
+        return {"doc_id": batch.column(0), "rid": batch.column(2), "ids": pa.array(out, pa.binary()), "hashed": hashed, "times": times}
 
 
 class Network:
@@ -210,27 +217,37 @@ class Network:
 
 
 class _Train:
-    """Parameter rows of a task's own network times its number of targets."""
+    """Parameter rows of each deal's own network times its number of targets; rows come deal by deal."""
 
     def __init__(self, network: Network, start, batch: int, rate: float):
         self.network, self.start, self.batch, self.rate = network, start, batch, rate
 
     def __call__(self, batches):
-        net, w = self.network, self.start.value.copy()
-        memory, seen = np.full_like(w, 1e-6), 0
+        deal, held, size = None, [], 0
         for rows in batches:
-            ids = [np.frombuffer(x, "<u2") for x in rows.column(0).to_pylist()]
-            at = 0
-            while at < len(ids):  # documents of about a million tokens at once
-                end, held = at, 0
-                while end < len(ids) and held < 1 << 20:
-                    held += len(ids[end])
-                    end += 1
-                target, context = net.contexts(ids[at:end])
-                for k in range(0, len(target), self.batch):
-                    net.step(w, memory, target[k : k + self.batch], context[k : k + self.batch], self.rate)
-                seen += len(target)
-                at = end
+            for number, ids in zip(rows.column(0).to_pylist(), rows.column(1)):
+                if number != deal or size >= 1 << 20:  # documents of about a million tokens at once
+                    if deal is not None:
+                        self.learn(held)
+                        held, size = [], 0
+                if number != deal:
+                    yield from self.done() if deal is not None else ()
+                    deal, self.w, self.seen = number, self.start.value.copy(), 0
+                    self.memory = np.full_like(self.w, 1e-6)
+                held.append(np.frombuffer(ids.as_py(), "<u2"))
+                size += len(held[-1])
+        if deal is not None:
+            self.learn(held)
+            yield from self.done()
+
+    def learn(self, documents: list[np.ndarray]) -> None:
+        target, context = self.network.contexts(documents)
+        for k in range(0, len(target), self.batch):
+            self.network.step(self.w, self.memory, target[k : k + self.batch], context[k : k + self.batch], self.rate)
+        self.seen += len(target)
+
+    def done(self):
+        w, seen = self.w, self.seen
         if seen:
             values = [pa.array(w[:, k].astype(np.float64) * seen) for k in range(w.shape[1])]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w)), pa.int64()), pa.array(np.full(len(w), float(seen))), *values], names=["row", "targets", *[f"w{k}" for k in range(w.shape[1])]])
@@ -258,12 +275,13 @@ class _Score:
         return {"doc_id": batch.column(0), "n_tokens": size, "total": total, "rid": batch.column(2)}
 
 
-def score(docs: DataFrame, classes: int = 64, size: int = 64, buckets: int = 1024, dims: int = 16, window: int = 2, batch: int = 8192, rate: float = 0.2) -> DataFrame:
+def score(docs: DataFrame, classes: int = 64, size: int = 64, buckets: int = 1024, dims: int = 16, window: int = 2, batch: int = 8192, rate: float = 0.2, deal_tokens: int = 1 << 22) -> DataFrame:
     """``doc_id, n_tokens, log_likelihood, mean_log_likelihood`` for every row of ``doc_id, text``.
 
     ``classes`` x ``size`` is the network's vocabulary, of which ``buckets`` are hash buckets of rarer words, each
     scored with its share of the bucket's count (words are told apart by 64 bits of their hash). Every token of every
-    document is a target in training, and scores are of all tokens of the whole text.
+    document is a target in training, and scores are of all tokens of the whole text. A network is trained for about
+    every ``deal_tokens`` tokens.
     Null and empty texts have no tokens, sum 0 and mean null. Repeated rows are counted and scored each; an
     empty table gives an empty result; further columns are ignored.
     """
@@ -282,11 +300,15 @@ def score(docs: DataFrame, classes: int = 64, size: int = 64, buckets: int = 102
         counts[len(top) + r["bucket"]] = r["n"]
     for w, n in top:  # frequent words have left their buckets
         counts[len(top) + zlib.crc32(w.encode()) % buckets] -= n
-    encoded = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("rid", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("hashed", T.ArrayType(T.LongType()))])
+    encoded = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("rid", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("hashed", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.LongType()))])
     ids = table(map_batches(docs.withColumn("rid", F.monotonically_increasing_id()), _Encode(sc.broadcast(known), buckets), encoded), "tokens")
     start = network.start(counts)
     columns = [f"w{k}" for k in range(dims + 1)]
-    trained = ids.select("ids").mapInArrow(by_partition(_Train(network, sc.broadcast(start), batch, rate)), "row long, targets double, " + ", ".join(f"{c} double" for c in columns))
+    deals = max(1, ceil(counts.sum() / deal_tokens))
+    place = F.xxhash64("doc_id", "ids")
+    dealt = ids.select(F.pmod(place, F.lit(deals)).cast("int").alias("deal"), "ids", place.alias("place"), "doc_id")
+    dealt = dealt.repartitionById(deals, F.col("deal")).sortWithinPartitions("deal", "place", "doc_id").select("deal", "ids")
+    trained = dealt.mapInArrow(by_partition(_Train(network, sc.broadcast(start), batch, rate)), "row long, targets double, " + ", ".join(f"{c} double" for c in columns))
     averaged = trained.groupBy("row").agg(*[(F.sum(c) / F.sum("targets")).alias(c) for c in columns]).toPandas()  # the network's rows
     weights = start.copy()
     if len(averaged):
@@ -296,7 +318,8 @@ def score(docs: DataFrame, classes: int = 64, size: int = 64, buckets: int = 102
     within = F.log(F.col("n") / F.get(F.lit(counts[len(top) : len(top) + buckets].tolist()), bucket.cast("int")))
     shares = counted.where(~F.col("word").isin(list(known))).select(F.xxhash64("word").alias("hash"), within.alias("share"))
     shares = shares.groupBy("hash").agg(F.max("share").alias("share"))  # one row also where hashes clash
-    of_words = ids.select("rid", F.explode("hashed").alias("hash")).join(shares.hint("merge"), "hash").groupBy("rid").agg(F.sum("share").alias("shares"))
+    asked = ids.select("rid", F.explode(F.arrays_zip("hashed", "times")).alias("x")).select("rid", F.col("x.hashed").alias("hash"), F.col("x.times").alias("times"))
+    of_words = asked.join(shares.hint("merge"), "hash").groupBy("rid").agg(F.sum(F.col("share") * F.col("times")).alias("shares"))
     total = F.col("total") + F.coalesce("shares", F.lit(0.0))
     mean = F.when(F.col("n_tokens") > 0, F.round(total / F.col("n_tokens"), 4))
     return scored.join(of_words.hint("merge"), "rid", "left").select("doc_id", "n_tokens", F.round(total, 2).alias("log_likelihood"), mean.alias("mean_log_likelihood"))

@@ -210,3 +210,31 @@ def test_shuffled_texts_are_less_likely(spark):
     got = maskedlm.score(docs.unionByName(noise), classes=8, size=8, buckets=8, batch=256).toPandas()
     real, mixed = got[got["doc_id"] < 1000], got[got["doc_id"] >= 1000]
     assert mixed["mean_log_likelihood"].max() < real["mean_log_likelihood"].min() - 0.3
+
+
+def test_masked_scores_do_not_depend_on_partitions(spark):
+    """Documents are dealt by content: the same scores from 2 and 7 partitions, with one deal and with several."""
+    rnd = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(300)]
+    docs = spark.createDataFrame([(k % 190 if k % 19 else None, " ".join(rnd.choice(words, 40))) for k in range(200)], "doc_id long, text string")
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    run = lambda parts, deal: sorted(map(repr, maskedlm.score(docs.repartition(parts), classes=8, size=8, buckets=16, batch=256, deal_tokens=deal).collect()))
+    several = run(2, 1500)
+    assert several == run(7, 1500) and len(several) == 200
+    assert run(3, 1 << 22) != several
+
+
+def test_words_in_buckets_ask_once_for_each_document():
+    """Distinct hashes of a text and their counts, with empty and null texts in between."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import xxhash
+
+    texts = ["a b b known c b", "", None, "known known", "c a c a , c."]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts), pa.array(range(5))], names=["doc_id", "text", "rid"])
+    out = maskedlm._Encode(SimpleNamespace(value={"known": 0}), 4)(batch)
+    digest = lambda w: np.array(xxhash.xxh64_intdigest(w, 42), np.uint64).view(np.int64).item()
+    got = [dict(zip(h, n)) for h, n in zip(out["hashed"].to_pylist(), out["times"].to_pylist())]
+    assert got == [{digest("a"): 1, digest("b"): 3, digest("c"): 1}, {}, {}, {}, {digest("c"): 3, digest("a"): 2, digest(","): 1, digest("."): 1}]
+    assert [len(x) // 2 for x in out["ids"].to_pylist()] == [6, 0, 0, 2, 7]
