@@ -481,10 +481,10 @@ class _Digest:
             data = (text.as_py() or "").encode("utf-8", "replace")
             media = encode(padded(data), len(data))
             picture = Picture(media)
-            back = picture.payload()
-            rows.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), describe(picture.rgb())))
+            back, rgb = picture.payload(), picture.rgb()
+            rows.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), describe(rgb), hashlib.sha256(rgb.tobytes()).hexdigest()))
         columns = zip(*rows)
-        return {"doc_id": batch.column(0)} | dict(zip(("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"), map(list, columns)))
+        return {"doc_id": batch.column(0)} | dict(zip(("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "rgb_sha256"), map(list, columns)))
 
 
 def _schema(**columns) -> T.StructType:
@@ -513,8 +513,9 @@ def load(media: DataFrame) -> DataFrame:
 def media_digests(docs: DataFrame) -> DataFrame:
     """Each row's text stored, read back and described; equal texts get equal values.
 
+    ``rgb_sha256`` is the digest of the tensor that ``load`` stores as ``rgb``: height x width x 3 bytes, row-major.
     Null and empty texts are 64 zero bytes. Repeated rows stay repeated, an empty table gives an empty result,
     further columns are ignored.
     """
-    out = _schema(doc_id=T.LongType, n_bytes=T.LongType, payload_bytes=T.LongType, payload_sha256=T.StringType, tail_crc32=T.LongType, media_bytes=T.LongType, media_sha256=T.StringType, feature=T.StringType)
+    out = _schema(doc_id=T.LongType, n_bytes=T.LongType, payload_bytes=T.LongType, payload_sha256=T.StringType, tail_crc32=T.LongType, media_bytes=T.LongType, media_sha256=T.StringType, feature=T.StringType, rgb_sha256=T.StringType)
     return map_batches(_texts(docs), _Digest(), out)

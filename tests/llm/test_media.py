@@ -168,6 +168,8 @@ def test_digests(odd):
 
 def test_store_and_load(odd):
     back = {r["doc_id"]: r for r in j.load(j.store(odd)).collect()}
+    digests = {r["doc_id"]: r["rgb_sha256"] for r in j.media_digests(odd).collect()}
+    assert all(hashlib.sha256(r["rgb"]).hexdigest() == digests[d] for d, r in back.items())
     assert bytes(back[8]["payload"]).rstrip(b"\0").decode().startswith("ß") and len(back[8]["rgb"]) == 3 * back[8]["width"] * back[8]["height"]
 
 
