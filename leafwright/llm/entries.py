@@ -52,7 +52,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text, less the false positives that the forest removes."""
-    return secrets.scan(_read(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
+    return secrets.scan(_read(spark, sf_dir, "documents"), secrets.default_forest(spark))
 
 
 def op9_maskedlm(spark: SparkSession, sf_dir: str) -> DataFrame:

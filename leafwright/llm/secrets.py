@@ -159,6 +159,18 @@ def train(findings: DataFrame, trees: int = 16, depth: int = 6, seed: int = 7) -
     return Forest([read(t._java_obj.rootNode()) for t in model.trees])
 
 
+_grown: dict[str, Forest] = {}
+
+
+def default_forest(spark: SparkSession) -> Forest:
+    """The forest of ``labelled_findings``, fitted once per application: rule, settings and seed are fixed, so is the result."""
+    key = spark.sparkContext.applicationId
+    if key not in _grown:
+        _grown.clear()
+        _grown[key] = train(labelled_findings(spark))
+    return _grown[key]
+
+
 def _scored(text: Column, forest: Forest) -> Column:
     """Array of (start, value, probability) of every candidate of a text; null if there is none."""
     values = F.regexp_extract_all(text, F.lit(_CANDIDATE), F.lit(0))

@@ -129,7 +129,7 @@ SAID = f'Go {AWS} and password={HEX}, é token = "{SHA}" but commit {SHA} and ca
 
 
 def forest(spark):
-    return secrets.train(secrets.labelled_findings(spark))
+    return secrets.default_forest(spark)
 
 
 def test_scan_and_redact(spark, odd):
@@ -145,6 +145,11 @@ def test_scan_and_redact(spark, odd):
     assert secrets.scan(odd.limit(0), trained).count() == 0
 
 
+def test_default_forest_is_fitted_once(spark):
+    assert forest(spark) is forest(spark)
+    assert forest(spark).trees == secrets.train(secrets.labelled_findings(spark)).trees
+
+
 def test_forest_on_findings_of_another_seed(spark):
     """Held-out findings: ids beyond those that trained the forest."""
     more = secrets.labelled_findings(spark, 8000).withColumn("n", F.monotonically_increasing_id())
