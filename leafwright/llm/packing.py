@@ -9,6 +9,9 @@ first is split by what they drew next. Each shard holds an inverted index of its
 they fill the window one after another; the last one is cut where the window is full and its rest seeds the
 next window. So all windows but a shard's last are exactly full, and the last is cut into sequences whose
 lengths are powers of two, which need no padding either.
+
+A seed's neighbours are thus those of its shard. ``neighbours`` is the exact search: every shard's index answers every
+query, and the best of all shards are the answer, however many shards there are.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,7 +120,11 @@ class _Index:
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 scores of all documents of the shard for the terms of one."""
-        query = self.queries[seed].astype(np.int64)
+        return self.asked(self.queries[seed])
+
+    def asked(self, terms: np.ndarray) -> np.ndarray:
+        """BM25 scores of all documents of the shard for distinct terms, wherever they come from."""
+        query = terms.astype(np.int64)
         row = self.row[query]
         asked = np.zeros(len(self.rows))
         asked[row[row >= 0]] = 1
@@ -130,15 +137,18 @@ class _Index:
 
     def neighbours(self, seed: int, unused: np.ndarray, k: int) -> np.ndarray:
         """Unused documents by score, the first ``k``; ties by order in the shard, unrelated documents last."""
-        scores = self.scores(seed)
         left = np.flatnonzero(unused)
-        mine = scores[left]
-        if len(left) > k:
-            cut = np.partition(mine, len(mine) - k)[len(mine) - k]
-            keep = np.flatnonzero(mine > cut)
-            keep = np.concatenate([keep, np.flatnonzero(mine == cut)[: k - len(keep)]])
-            left, mine = left[keep], mine[keep]
-        return left[np.lexsort((left, -mine))]
+        return left[_best(self.scores(seed)[left], k)]
+
+
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest, the largest first; ties in order."""
+    at = np.arange(len(scores))
+    if len(scores) > k:
+        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
+        at = np.flatnonzero(scores > cut)
+        at = np.concatenate([at, np.flatnonzero(scores == cut)[: k - len(at)]])
+    return at[np.lexsort((at, -scores[at]))]
 
 
 def _windows(docs: list[np.ndarray], index: _Index, length: int):
@@ -199,6 +209,37 @@ def _powers(window: list[tuple[int, int, int]]):
             yield part
 
 
+class _Search:
+    """The best documents of a shard for each query; rows come shard by shard, documents before queries."""
+
+    def __init__(self, kind: str, idf: np.ndarray, mean: float, k1: float, b: float, k: int):
+        self.kind, self.settings, self.k = kind, (idf, mean, k1, b), k
+
+    def __call__(self, batches):
+        shard, index, names, rids, docs = None, None, [], [], []
+        for batch in batches:
+            rows: list[list] = [[], [], [], []]
+            for at, asks, rid, doc_id, ids in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4)):
+                if at != shard:
+                    shard, index, names, rids, docs = at, None, [], [], []
+                ids = np.frombuffer(ids.as_py(), self.kind)
+                if not asks:
+                    names.append(doc_id)
+                    rids.append(rid)
+                    docs.append(ids)
+                    continue
+                if docs and index is None:
+                    index, docs = _Index(docs, *self.settings), []
+                if index is not None:
+                    # Sums of the same weights in another order differ in their last digits: equal texts stay ties.
+                    scores = np.where(np.array(names) == doc_id, 0.0, np.round(index.asked(np.unique(ids)), 6))
+                    best = _best(scores, self.k)
+                    best = best[scores[best] > 0]
+                    for column, values in zip(rows, ([rid] * len(best), [names[d] for d in best], [rids[d] for d in best], scores[best].tolist())):
+                        column.extend(values)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:3]), pa.array(rows[3], pa.float64())], names=["rid", "neighbour_id", "neighbour_rid", "score"])
+
+
 class _Pack:
     def __init__(self, length: int, shard_tokens: int, kind: str, idf: np.ndarray, mean: float, k1: float, b: float, query_terms: int | None, with_ids: bool):
         self.length, self.shard_tokens, self.kind, self.with_ids = length, shard_tokens, kind, with_ids
@@ -268,6 +309,46 @@ def _routed(ids: DataFrame, kind: str, settings: tuple, count: int, shards: int,
     return routed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key").select("doc_id", "ids", "shard")
 
 
+def _statistics(docs: DataFrame, path: str | None, end_id: int) -> tuple[DataFrame, str, tuple]:
+    """Token ids of all documents, written; the kind of integers they are; rows, mean length and weight of each term."""
+    spark = docs.sparkSession
+    path = path or vocabulary_path()
+    size = max(encoder(path).size, end_id + 1)
+    kind = "<u2" if size <= 1 << 16 else "<u4"
+    ids = table(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _Encode(path, end_id, kind), _TOKENS), "tokens")
+    ship(spark)
+    count, mean = ids.agg(F.count(F.lit(1)), F.avg("n")).first()
+    df = np.zeros(size, np.int64)
+    for term, n in ids.select("ids").mapInArrow(by_partition(_Frequencies(kind, size)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():  # as many rows as the vocabulary has entries at most
+        df[term] = n
+    idf = np.log1p((count - df + 0.5) / (df + 0.5))
+    return ids, kind, (count, mean, idf)
+
+
+def neighbours(docs: DataFrame, queries: Column | None = None, k: int = 10, path: str | None = None, end_id: int = 1, shard_tokens: int = 4_000_000, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The ``k`` best BM25 neighbours among all documents, exactly: ``doc_id, place, neighbour_id, score``.
+
+    ``queries`` is a condition on ``doc_id`` that states which rows ask; by default those whose id is divisible by 20.
+    All their terms count. Documents are dealt evenly into shards of about ``shard_tokens`` tokens, every shard answers all
+    queries one after another and returns its ``k`` best, of which the best stay; so work is queries times documents,
+    memory a shard. Ties go to the smaller id. Documents without a common term, and those with the query's own id, are no
+    neighbours. Rows without an id count in the statistics only. Null and empty texts are the end token alone.
+    Repeated rows ask each for itself. An empty table has no neighbours; other columns are ignored.
+    """
+    ids, kind, (count, mean, idf) = _statistics(docs, path, end_id)
+    shards = max(1, ceil(count * (mean or 0) / (0.75 * shard_tokens)))
+    # Written, so that the numbers of rows are the same wherever they are read.
+    rows = table(ids.where("doc_id is not null").select("doc_id", "ids", F.monotonically_increasing_id().alias("rid")), "numbered")
+    held = rows.select(F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "rid", "doc_id", "ids")
+    condition = F.col("doc_id") % 20 == 0 if queries is None else queries
+    asked = rows.where(condition).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "rid", "doc_id", "ids")
+    met = held.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "asks", "doc_id", "rid")
+    found = met.mapInArrow(by_partition(_Search(kind, idf, mean or 1.0, k1, b, k)), "rid long, neighbour_id long, neighbour_rid long, score double")
+    place = F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("score"), "neighbour_id", "neighbour_rid"))
+    best = found.withColumn("place", place).where(F.col("place") <= k)
+    return best.join(rows.where(condition).select("rid", "doc_id"), "rid").select("doc_id", "place", "neighbour_id", "score")
+
+
 def pack(
     docs: DataFrame,
     path: str | None = None,
@@ -288,17 +369,7 @@ def pack(
     which are dealt to them by content, so neighbours don't depend on how the input's files are cut.
     All terms of a seed count in the scores of its neighbours; ``query_terms`` is for those who want only the heaviest.
     """
-    spark = docs.sparkSession
-    path = path or vocabulary_path()
-    size = max(encoder(path).size, end_id + 1)
-    kind = "<u2" if size <= 1 << 16 else "<u4"
-    ids = table(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _Encode(path, end_id, kind), _TOKENS), "tokens")
-    ship(spark)
-    count, mean = ids.agg(F.count(F.lit(1)), F.avg("n")).first()
-    df = np.zeros(size, np.int64)
-    for term, n in ids.select("ids").mapInArrow(by_partition(_Frequencies(kind, size)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():  # as many rows as the vocabulary has entries at most
-        df[term] = n
-    idf = np.log1p((count - df + 0.5) / (df + 0.5))
+    ids, kind, (count, mean, idf) = _statistics(docs, path, end_id)
     dealt = _routed(ids, kind, (idf, mean or 1.0, k1, b), count, max(1, ceil(count * (mean or 0) / (0.75 * shard_tokens))))
     packed = dealt.mapInArrow(by_partition(_Pack(length, shard_tokens, kind, idf, mean or 1.0, k1, b, query_terms, with_ids)), _PIECES)
     return packed if with_ids else packed.drop("ids")

@@ -6,6 +6,7 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from leafwright.llm import bpe, packing
@@ -169,3 +170,33 @@ def test_neighbours_by_all_terms_are_brute_force():
         expected = np.sort(np.delete(score, seed))[::-1][:10]
         assert np.allclose(score[near], expected, rtol=1e-4)
     assert packing.pack.__defaults__[4] is None
+
+
+def test_neighbours_over_all_shards_are_brute_force(spark, docs):
+    """Whatever the number of shards, the ten best are those of a plain search over all documents."""
+    rows = [(r["doc_id"], (r["text"] or "")[:600]) for r in docs.where("doc_id < 120").collect()]
+    rows += [(200, rows[0][1]), (201, rows[0][1]), (None, "no id at all"), (220, None), (220, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = [(d, np.array(ids(t) + [1])) for d, t in rows]
+    df = np.bincount(np.concatenate([np.unique(x) for _, x in held]))
+    idf = np.log1p((len(held) - df + 0.5) / (df + 0.5))
+    mean = np.mean([len(x) for _, x in held])
+    bags = [np.bincount(x, minlength=len(df)) for _, x in held]
+    weight = [n * 2.2 / (n + 1.2 * (0.25 + 0.75 * n.sum() / mean)) * idf for n in bags]
+    for shard_tokens in (4_000_000, 6000, 1500):
+        got = {}
+        for r in packing.neighbours(frame, shard_tokens=shard_tokens).collect():
+            got.setdefault(r["doc_id"], []).append((r["place"], r["neighbour_id"], r["score"]))
+        for d, x in held:
+            if d is None or d % 20:
+                continue
+            scores = sorted((float(weight[j][np.unique(x)].sum()), e) for j, (e, _) in enumerate(held) if e is not None and e != d)[::-1][:10]
+            mine = sorted(got[d])
+            if d == 220:  # two rows of one id ask each for itself
+                assert [p for p, *_ in mine] == sorted([*range(1, 11)] * 2)
+                continue
+            assert [p for p, *_ in mine] == list(range(1, 11))
+            assert np.allclose([s for *_, s in mine], [s for s, _ in scores], rtol=1e-4, atol=1e-4)
+        assert [n for _, n, _ in sorted(got[0])][:2] == [200, 201]
+    assert packing.neighbours(frame, F.col("doc_id") == 7, k=3).count() == 3
+    assert packing.neighbours(frame.limit(0)).count() == 0
