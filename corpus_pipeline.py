@@ -72,7 +72,7 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked and ``n_chars``, if there is one, of the masked text; null texts stay null."""
     _begin(spark)
-    masked = secrets.redact(docs, secrets.train(secrets.labelled_findings(spark)))
+    masked = secrets.redact(docs, secrets.default_forest(spark))
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return masked.select(*docs.columns)
