@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,43 +73,67 @@ def bilingual_title(c: Column) -> Column:
     return F.concat(c, F.lit(" (KO bilingual)"))
 
 
+class _Zip:
+    """EPUB files of sorted rows, a book's own row before those of its chapters; all that is kept of a book is its compressed bytes."""
+
+    def __call__(self, batches):
+        book = None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                name, kind, number, xhtml, nav, ncx, opf, blank, cover = (c[k].as_py() for c in batch.columns)
+                if kind == 0:
+                    if book is not None:
+                        yield self.closed(book)
+                    book = self.opened(name, nav, ncx, opf, blank, cover)
+                elif book["zip"] is not None:
+                    self.put(book["zip"], f"OEBPS/chapter{number}.xhtml", xhtml)
+        if book is not None:
+            yield self.closed(book)
+
+    @staticmethod
+    def put(z: zipfile.ZipFile, name: str, data, how: int = zipfile.ZIP_DEFLATED) -> None:
+        z.writestr(zipfile.ZipInfo(name), data, compress_type=how)
+
+    def opened(self, name, nav, ncx, opf, blank, cover) -> dict:
+        if blank:
+            return {"book": name, "zip": None}
+        bytes_ = io.BytesIO()
+        z = zipfile.ZipFile(bytes_, "w", zipfile.ZIP_DEFLATED)
+        self.put(z, "mimetype", "application/epub+zip", zipfile.ZIP_STORED)
+        self.put(z, "META-INF/container.xml", _HEAD + '<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>')
+        if cover is not None:
+            self.put(z, "OEBPS/cover.jpg", cover)
+            self.put(z, "OEBPS/cover.xhtml", _HEAD + "<!DOCTYPE html>" + _XHTML + '<head><title>Cover</title></head><body><div><img src="cover.jpg" alt="cover"/></div></body></html>')
+        return {"book": name, "zip": z, "bytes": bytes_, "nav": nav, "ncx": ncx, "opf": opf}
+
+    def closed(self, book: dict) -> pa.RecordBatch:
+        done = None
+        if (z := book["zip"]) is not None:
+            self.put(z, "OEBPS/nav.xhtml", _HEAD + "<!DOCTYPE html>" + _XHTML + f'<head><title>Contents</title></head><body><nav epub:type="toc" id="toc"><h1>Contents</h1><ol>{book["nav"]}</ol></nav></body></html>')
+            self.put(z, "OEBPS/toc.ncx", _HEAD + f'<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><navMap>{book["ncx"]}</navMap></ncx>')
+            self.put(z, "OEBPS/style.css", _STYLE)
+            self.put(z, "OEBPS/content.opf", book["opf"])
+            z.close()
+            done = book["bytes"].getbuffer()
+        return pa.RecordBatch.from_arrays([pa.array([book["book"]], pa.string()), pa.array(["refused" if done is None else "written"]), pa.array([done], pa.binary())], names=["book", "status", "epub"])
+
+
 def epubs(pairs: DataFrame, source: str = "en", target: str = "ko", stamp: str | None = None, covers: DataFrame | None = None) -> DataFrame:
     """``book, status, epub``: the zip of each complete book; one with a blank translation is refused and has none.
 
     ``pairs`` has ``book, chapter_no, title, unit_no, unit, translation`` and may have ``author``. A book's chapters
-    meet in one task, as the file does; books are independent.
+    go through one task one by one, in order, and what is kept of them is the compressed file, which is one value;
+    books are independent. Of several covers of a book one is taken.
     """
-    pairs = table(pairs, "pairs")  # four groupings read it
+    pairs = table(pairs.where("book is not null"), "pairs")  # four groupings read it
     author = "author" if "author" in pairs.columns else None
     titles = pairs.groupBy("book", "chapter_no").agg(F.first("title").alias("title"), (F.first(author) if author else F.lit(None).cast("string")).alias("author"))
-    blank = pairs.groupBy("book").agg(F.count_if(is_blank(F.col("translation"))).alias("blank"))
-    whole = chapters(pairs, source, target).groupBy("book").agg(F.array_sort(F.collect_list(F.struct("chapter_no", "xhtml"))).alias("chapters"))
-    rows = whole.join(navigation(titles), "book").join(package(titles, source, stamp, "cover.jpg" if covers is not None else None), "book").join(blank, "book")
-    rows = rows.join(covers.select("book", "cover"), "book", "left") if covers is not None else rows.withColumn("cover", F.lit(None).cast("binary"))
-
-    def build(frames):
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                if row.blank:
-                    out.append(None)
-                    continue
-                target_bytes = io.BytesIO()
-                with zipfile.ZipFile(target_bytes, "w", zipfile.ZIP_DEFLATED) as z:
-                    put = lambda name, data, z=z, **how: z.writestr(zipfile.ZipInfo(name), data, compress_type=how.get("how", zipfile.ZIP_DEFLATED))
-                    put("mimetype", "application/epub+zip", how=zipfile.ZIP_STORED)
-                    put("META-INF/container.xml", _HEAD + '<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>')
-                    if row.cover is not None:
-                        put("OEBPS/cover.jpg", bytes(row.cover))
-                        put("OEBPS/cover.xhtml", _HEAD + "<!DOCTYPE html>" + _XHTML + '<head><title>Cover</title></head><body><div><img src="cover.jpg" alt="cover"/></div></body></html>')
-                    for chapter in row.chapters:
-                        put(f"OEBPS/chapter{chapter['chapter_no']}.xhtml", chapter["xhtml"])
-                    put("OEBPS/nav.xhtml", _HEAD + "<!DOCTYPE html>" + _XHTML + f'<head><title>Contents</title></head><body><nav epub:type="toc" id="toc"><h1>Contents</h1><ol>{row.nav}</ol></nav></body></html>')
-                    put("OEBPS/toc.ncx", _HEAD + f'<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><navMap>{row.ncx}</navMap></ncx>')
-                    put("OEBPS/style.css", _STYLE)
-                    put("OEBPS/content.opf", row.opf)
-                out.append(target_bytes.getvalue())
-            yield frame[["book"]].assign(status=["refused" if b else "written" for b in frame["blank"]], epub=out)
-
+    blank = pairs.groupBy("book").agg((F.count_if(is_blank(F.col("translation"))) > 0).alias("blank"))
+    heads = navigation(titles).join(package(titles, source, stamp, "cover.jpg" if covers is not None else None), "book").join(blank, "book")
+    heads = heads.join(covers.groupBy("book").agg(F.min("cover").alias("cover")), "book", "left") if covers is not None else heads.withColumn("cover", F.lit(None).cast("binary"))
+    texts = chapters(pairs, source, target)
+    rows = heads.withColumn("kind", F.lit(0)).unionByName(texts.select("book", F.lit(1).alias("kind"), "chapter_no", "xhtml"), allowMissingColumns=True)
     ship(pairs.sparkSession)
-    return rows.select("book", "chapters", "nav", "ncx", "opf", "blank", "cover").mapInPandas(build, "book string, status string, epub binary")
+    # Dealt by a hash, which neither side is dealt by: Spark leaves the shuffle out where it takes a union's sides to be dealt alike.
+    rows = rows.repartition(F.xxhash64("book")).sortWithinPartitions("book", "kind", "chapter_no")
+    return rows.select("book", "kind", "chapter_no", "xhtml", "nav", "ncx", "opf", "blank", "cover").mapInArrow(_Zip(), "book string, status string, epub binary")

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+import io
 import zipfile
 
 from pyspark.sql import functions as F
@@ -221,3 +222,46 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch.scratch(Session)
+
+
+def test_a_books_chapters_pass_through_its_zip_one_by_one():
+    import pyarrow as pa
+
+    names = ["book", "kind", "chapter_no", "xhtml", "nav", "ncx", "opf", "blank", "cover"]
+    batch = lambda *row: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int32(), pa.int64(), *[pa.string()] * 4, pa.bool_(), pa.binary()))], names=names)
+    alive = []
+
+    def rows():
+        import weakref
+
+        yield batch("a", 0, None, None, "n", "x", "o", False, None)
+        for k in range(1, 6):
+            chapter = batch("a", 1, k, f"chapter {k}" * 1000, *[None] * 5)
+            alive.append(weakref.ref(chapter))
+            yield chapter
+            del chapter
+            assert sum(r() is not None for r in alive) <= 1  # the one that is being packed
+        yield batch("b", 0, None, None, "n", "x", "o", True, None)
+        yield batch("b", 1, 1, "left out", *[None] * 5)
+
+    a, b = (m.to_pylist()[0] for m in render._Zip()(rows()))
+    with zipfile.ZipFile(io.BytesIO(a["epub"])) as z:
+        assert z.namelist()[0] == "mimetype" and [z.read(f"OEBPS/chapter{k}.xhtml") for k in range(1, 6)] == [f"chapter {k}".encode() * 1000 for k in range(1, 6)]
+    assert b == {"book": "b", "status": "refused", "epub": None}
+
+
+def test_documents_and_paragraphs_are_handed_on_in_pieces():
+    rows = ((str(k), k, "n", "x" * 100_000) for k in range(200))
+    pieces = list(books._pieces(rows, books._DOCUMENT))
+    assert [r for p in pieces for r in p.column(1).to_pylist()] == list(range(200))
+    assert len(pieces) > 4 and max(p.nbytes for p in pieces) < books._PIECE + 200_000
+
+
+def test_a_book_with_several_covers_is_one_file_and_books_dont_mix(spark):
+    rows = spark.createDataFrame([(f"b{b}", c, f"t{c}", u, f"u{b}.{c}.{u}", "" if b == 3 and u == 2 else "k") for b in range(12) for c in range(1, 4) for u in (1, 2)], "book string, chapter_no long, title string, unit_no long, unit string, translation string")
+    covers = spark.createDataFrame([("b1", b"x"), ("b1", b"y")], "book string, cover binary")
+    made = {r["book"]: r for r in render.epubs(rows, covers=covers).collect()}
+    assert len(made) == 12 and [b for b, r in made.items() if r["status"] == "refused"] == ["b3"]
+    for b in set(made) - {"b3"}:
+        with zipfile.ZipFile(io.BytesIO(bytes(made[b]["epub"]))) as z:
+            assert [f"u{b[1:]}.{c}.1" in z.read(f"OEBPS/chapter{c}.xhtml").decode() for c in range(1, 4)] == [True] * 3
