@@ -26,7 +26,7 @@ NEAR_PERCENT = 80
 
 
 #: Bytes of an Arrow batch: five stages share executors, whose JVMs keep the buffers of earlier stages.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def _begin(spark: SparkSession) -> None:

@@ -21,6 +21,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,21 +58,31 @@ class _Route:
         self.kind, self.idf, self.settings, self.levels, self.bounds = kind, idf, (mean, k1, b), levels, bounds
         self.draw = np.log(np.random.default_rng(5).random(len(idf)))
 
-    def route(self, ids: np.ndarray) -> np.ndarray:
-        """The terms with the largest draws; a term is first with a probability by the square of its weight."""
-        term, weight = _weights(ids, self.idf, *self.settings)
+    def routes(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of each document the terms with the largest draws; a term is first with a probability by the square of its weight."""
+        doc, term, weight = _weights(flat, sizes, self.idf, *self.settings)
         with np.errstate(divide="ignore"):
             drawn = self.draw[term] / np.square(weight, dtype=np.float64)
-        drawn = term[np.argsort(-drawn, kind="stable")[: self.levels]]
-        return np.append(drawn, np.full(self.levels - len(drawn), 0xFFFFFFFF)).astype(">u4")
+        terms = np.bincount(doc, minlength=len(sizes))
+        start = np.cumsum(terms) - terms
+        out = np.full((len(sizes), self.levels), 0xFFFFFFFF, ">u4")
+        for level in range(self.levels):
+            most = np.maximum.reduceat(drawn, start)
+            found = np.flatnonzero((drawn == np.repeat(most, terms)) & (drawn > -np.inf))
+            found = found[np.flatnonzero(np.diff(doc[found], prepend=-1))]  # of equal draws the smaller term
+            out[doc[found], level] = term[found]
+            drawn[found] = -np.inf
+        return out
 
     def __call__(self, batch) -> dict:
-        ties = batch.column(2).to_numpy().astype(">u4")
-        keys = [self.route(np.frombuffer(ids.as_py(), self.kind)).tobytes() + tie.tobytes() for ids, tie in zip(batch.column(1), ties)]
+        routes = [self.routes(flat, sizes) for flat, sizes in _slices(batch.column(1), self.kind)]
+        rows = np.concatenate([np.concatenate(routes), batch.column(2).to_numpy().astype("<u4").view(">u4")[:, None]], axis=1).astype(">u4")
+        width = rows.shape[1] * 4
+        keys = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(rows.tobytes())])
         if self.bounds is None:
-            return {"key": pa.array(keys, pa.binary()), "n": batch.column(3)}
-        shard = np.searchsorted(self.bounds, np.array(keys, f"S{4 * self.levels + 4}"), side="right")
-        return {"doc_id": batch.column(0), "ids": batch.column(1), "key": pa.array(keys, pa.binary()), "shard": shard.astype(np.int32)}
+            return {"key": keys, "n": batch.column(3)}
+        shard = np.searchsorted(self.bounds, rows.view(f"S{width}").ravel(), side="right")
+        return {"doc_id": batch.column(0), "ids": batch.column(1), "key": keys, "shard": shard.astype(np.int32)}
 
 
 def _bounds(sample: list, shards: int, width: int) -> np.ndarray:
@@ -81,33 +92,55 @@ def _bounds(sample: list, shards: int, width: int) -> np.ndarray:
     return keys[np.searchsorted(total, total[-1] * np.arange(1, shards) / shards)] if sample else keys
 
 
-def _weights(ids: np.ndarray, idf: np.ndarray, mean: float, k1: float, b: float) -> tuple[np.ndarray, np.ndarray]:
-    """A document's distinct terms and their BM25 weights."""
-    ordered = np.sort(ids)
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    tf = np.diff(np.append(first, len(ordered)))
-    term = ordered[first]
-    return term, (tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(ids) / mean)) * idf[term]).astype(np.float32)
+#: Tokens whose terms are counted together.
+_SLICE = 1 << 20
+
+
+def _slices(column: pa.Array, kind: str):
+    """Ids one after another and each document's number of them, of about ``_SLICE`` tokens at once; every document has an id."""
+    width = np.dtype(kind).itemsize
+    sizes = pc.binary_length(column).to_numpy().astype(np.int64)
+    first = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset]
+    ends = np.cumsum(sizes)
+    flat = np.frombuffer(column.buffers()[2], np.uint8)[first : first + ends[-1]].view(kind)
+    cuts = np.flatnonzero(np.diff(ends // (width * _SLICE), prepend=0))
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)]):
+        if a < b:
+            yield flat[(ends[a] - sizes[a]) // width : ends[b - 1] // width], sizes[a:b] // width
+
+
+def _distinct(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents (by place) and their distinct terms in order, and how often each occurs there."""
+    bits = 8 * flat.dtype.itemsize
+    key = np.repeat(np.arange(len(sizes), dtype=np.uint32 if bits == 16 and len(sizes) <= 1 << 16 else np.int64), sizes)
+    key <<= key.dtype.type(bits)
+    key |= flat
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    tf = np.diff(np.append(first, len(key)))
+    key = key[first]
+    return (key >> key.dtype.type(bits)).astype(np.int64), key.astype(flat.dtype), tf
+
+
+def _weights(flat: np.ndarray, sizes: np.ndarray, idf: np.ndarray, mean: float, k1: float, b: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents (by place), their distinct terms and the BM25 weights of these."""
+    doc, term, tf = _distinct(flat, sizes)
+    return doc, term, (tf * (k1 + 1) / (tf + (k1 * (1 - b + b * sizes / mean))[doc]) * idf[term]).astype(np.float32)
 
 
 class _Index:
     """Inverted index of one shard with BM25 weights from corpus-wide statistics."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, k1: float, b: float, query_terms: int | None = None):
-        terms, weights, sizes = [], [], []
-        for ids in docs:
-            term, weight = _weights(ids, idf, mean, k1, b)
-            terms.append(term)
-            weights.append(weight)
-            sizes.append(len(term))
         self.size = len(docs)
+        doc, flat, weight = _weights(np.concatenate(docs), np.array([len(x) for x in docs]), idf, mean, k1, b)
         self.queries = []
-        for term, weight in zip(terms, weights):  # all terms of the seed ask for its neighbours, or those that weigh most
-            self.queries.append(term if query_terms is None else term[np.argsort(-weight, kind="stable")[:query_terms]])
-        flat = np.concatenate(terms)
+        bounds = np.searchsorted(doc, np.arange(self.size + 1))
+        for at in map(slice, bounds[:-1], bounds[1:]):  # all terms of the seed ask for its neighbours, or those that weigh most
+            self.queries.append(flat[at] if query_terms is None else flat[at][np.argsort(-weight[at], kind="stable")[:query_terms]])
         order = np.argsort(flat, kind="stable")
-        self.doc = np.repeat(np.arange(self.size), sizes)[order]
-        self.weight = np.concatenate(weights)[order].astype(np.float64)
+        self.doc = doc[order]
+        self.weight = weight[order].astype(np.float64)
         self.at = np.searchsorted(flat[order], np.arange(len(idf) + 1))
         # Terms of more than a quarter of the documents are rows of weights, which add up faster than postings.
         common = np.flatnonzero(np.diff(self.at) > self.size / 4)
@@ -286,8 +319,8 @@ class _Frequencies:
     def __call__(self, batches):
         df = np.zeros(self.size, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                df[np.unique(np.frombuffer(ids.as_py(), self.kind))] += 1
+            for flat, sizes in _slices(batch.column(0), self.kind) if batch.num_rows else ():
+                df += np.bincount(_distinct(flat, sizes)[1], minlength=self.size)
         terms = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(df[terms], pa.int64())], names=["term", "df"])
 

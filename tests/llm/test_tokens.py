@@ -200,3 +200,23 @@ def test_neighbours_over_all_shards_are_brute_force(spark, docs):
         assert [n for _, n, _ in sorted(got[0])][:2] == [200, 201]
     assert packing.neighbours(frame, F.col("doc_id") == 7, k=3).count() == 3
     assert packing.neighbours(frame.limit(0)).count() == 0
+
+
+def test_routes_and_weights_of_a_batch_are_those_of_each_document():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    docs = [rng.zipf(1.3, n).clip(0, 299).astype("<u2") for n in (1, 2, 3, 700, 40, 1, 5000)]
+    idf = rng.random(300) + 0.01
+    column = pa.array([b"left out"] + [d.tobytes() for d in docs], pa.binary()).slice(1)
+    flat, sizes = next(packing._slices(column, "<u2"))
+    assert flat.tolist() == np.concatenate(docs).tolist() and sizes.tolist() == [len(d) for d in docs]
+    doc, term, weight = packing._weights(flat, sizes, idf, 50.0, 1.2, 0.75)
+    route = packing._Route("<u2", idf, 50.0, 1.2, 0.75)
+    routes = route.routes(flat, sizes)
+    for k, d in enumerate(docs):
+        terms, tf = np.unique(d, return_counts=True)
+        w = (tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len(d) / 50.0)) * idf[terms]).astype(np.float32)
+        assert term[doc == k].tolist() == terms.tolist() and weight[doc == k].tolist() == w.tolist()
+        best = terms[np.argsort(-route.draw[terms] / np.square(w, dtype=np.float64), kind="stable")[:4]]
+        assert routes[k].tolist() == best.tolist() + [0xFFFFFFFF] * (4 - len(best))

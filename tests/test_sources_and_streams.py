@@ -1,7 +1,7 @@
+import io
 import json
 
 import pytest
-import io
 import zipfile
 
 from pyspark.sql import functions as F
