@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leafwright.operators import planning, progress, render, search, segment, state
 from leafwright.scratch import table
-from leafwright.sources import books
+from leafwright.sources import books, files
 
 #: Readers of a source's candidates by its key: (spark, query) to rows of query, pos, title, author and what else there is.
 Reader = Callable[[SparkSession, str], DataFrame]
@@ -91,9 +91,9 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
     if path.lower().endswith(".epub"):
         return books.epub_paragraphs(spark, path)
     if path.lower().endswith(".txt"):
-        texts = books.read_texts(spark, path)
-        rows = table(books.text_paragraphs(texts), "paragraphs")
-        empty = [r["book"] for r in texts.select("book").join(rows, "book", "left_anti").limit(5).collect()]
+        found = files.listed(spark, path)
+        rows = table(books.text_paragraphs(books.texts_of(files.contents(found))), "paragraphs")
+        empty = [r["book"] for r in found.select(files.base_name(F.col("path")).alias("book")).join(rows, "book", "left_anti").limit(5).collect()]
         if empty:
             raise ValueError(f"no paragraphs in {', '.join(empty)}")
         return rows
