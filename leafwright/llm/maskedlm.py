@@ -109,6 +109,14 @@ class Network:
             self.parts[name] = slice(at, at + rows)
             at += rows
         self.rows = at
+        self.rooms: dict[str, np.ndarray] = {}
+
+    def room(self, name: str, like: np.ndarray, *shape: int) -> np.ndarray:
+        """An array to write a step's values into, used again by the next step: fresh pages cost as much as the sums."""
+        held = self.rooms.get(name)
+        if held is None or len(held) < shape[0] or held.shape[1:] != shape[1:] or held.dtype != like.dtype:
+            held = self.rooms[name] = np.empty(shape, like.dtype)
+        return held[: shape[0]]
 
     def start(self, counts: np.ndarray, seed: int = 11) -> np.ndarray:
         """Small random embeddings; output biases give the smoothed unigram distribution."""
@@ -129,12 +137,23 @@ class Network:
         at = np.flatnonzero(flat != self.tokens)
         return flat[at], np.stack([flat[at + o] for o in (*range(-k, 0), *range(1, k + 1))], axis=1)
 
-    def hidden(self, w: np.ndarray, context: np.ndarray) -> np.ndarray:
-        e, p = w[self.parts["embedding"], : self.dims], w[self.parts["place"], : self.dims]
-        total = np.repeat(w[self.parts["hidden"], : self.dims], len(context), axis=0)
-        for j in range(context.shape[1]):
-            total += e[context[:, j]] * p[j]
-        return np.tanh(total)
+    def around(self, w: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Embeddings of the tokens around each target, side by side."""
+        out = self.room("around", w, len(context), context.shape[1], self.dims)
+        np.take(np.ascontiguousarray(w[self.parts["embedding"], : self.dims]), context, axis=0, out=out, mode="clip")
+        return out.reshape(len(context), -1)
+
+    def mixer(self, w: np.ndarray) -> np.ndarray:
+        """Places as a matrix: what ``around`` gives times it is the sum weighted by place."""
+        k, d = 2 * self.window, self.dims
+        mix = np.zeros((k, d, d), w.dtype)
+        mix[:, np.arange(d), np.arange(d)] = w[self.parts["place"], :d]
+        return mix.reshape(k * d, d)
+
+    def hidden(self, w: np.ndarray, around: np.ndarray, mix: np.ndarray) -> np.ndarray:
+        total = np.matmul(around, mix, out=self.room("hidden", w, len(around), self.dims))
+        total += w[self.parts["hidden"], : self.dims]
+        return np.tanh(total, out=total)
 
     @staticmethod
     def _steady(z: np.ndarray) -> np.ndarray:
@@ -164,12 +183,14 @@ class Network:
         return order, list(zip(found.tolist(), start.tolist(), [*start[1:].tolist(), len(order)]))
 
     def log_probabilities(self, w: np.ndarray, target: np.ndarray, context: np.ndarray) -> np.ndarray:
-        h = self.hidden(w, context)
+        h = self.hidden(w, self.around(w, context), self.mixer(w))
         top, low = w[self.parts["class"]], w[self.parts["token"]]
-        out = self._log_softmax(h @ top[:, : self.dims].T + top[:, self.dims], target // self.size)
+        first = np.matmul(h, top[:, : self.dims].T, out=self.room("first", w, len(h), self.classes))
+        first += top[:, self.dims]
+        out = self._log_softmax(first, target // self.size)
         order, runs = self.by_class(target)
-        second = np.empty((len(target), self.size), w.dtype)
-        h = h[order]
+        second = self.room("second", w, len(target), self.size)
+        h = np.take(h, order, axis=0, out=self.room("ordered", w, len(h), self.dims), mode="clip")
         for c, a, b in runs:
             own = low[c * self.size : (c + 1) * self.size]
             np.matmul(h[a:b], own[:, : self.dims].T, out=second[a:b])
@@ -180,16 +201,19 @@ class Network:
     def step(self, w: np.ndarray, memory: np.ndarray, target: np.ndarray, context: np.ndarray, rate: float) -> None:
         """One Adagrad step on the mean log-probability of the targets."""
         d, n = self.dims, len(target)
-        h = self.hidden(w, context)
-        one = np.concatenate([h, np.ones((n, 1), np.float32)], axis=1)
+        around, mix = self.around(w, context), self.mixer(w)
+        h = self.hidden(w, around, mix)
+        one = self.room("one", w, n, d + 1)
+        one[:, :d], one[:, d] = h, 1
         g = np.zeros_like(w)
         top, low = w[self.parts["class"]], w[self.parts["token"]]
-        p = self._softmax(one @ top.T)
+        p = self._softmax(np.matmul(one, top.T, out=self.room("first", w, n, self.classes)))
         p[np.arange(n), target // self.size] -= 1
         g[self.parts["class"]] = p.T @ one
-        back = p @ top[:, :d]
+        back = np.matmul(p, top[:, :d], out=self.room("back", w, n, d))
         order, runs = self.by_class(target)
-        first, one, q, pushed = self.parts["token"].start, one[order], np.empty((n, self.size), w.dtype), np.empty((n, d), w.dtype)
+        first, q, pushed = self.parts["token"].start, self.room("second", w, n, self.size), self.room("pushed", w, n, d)
+        one = np.take(one, order, axis=0, out=self.room("one ordered", w, n, d + 1), mode="clip")
         for c, a, b in runs:
             np.matmul(one[a:b], low[c * self.size : (c + 1) * self.size].T, out=q[a:b])
         q = self._softmax(q)
@@ -200,17 +224,16 @@ class Network:
         back[order] += pushed
         back *= 1 - h * h
         g[self.parts["hidden"], :d] = back.sum(axis=0)
-        e, place = w[self.parts["embedding"], :d], w[self.parts["place"], :d]
-        pull = np.empty((n, context.shape[1], d), w.dtype)
-        for j in range(context.shape[1]):
-            g[self.parts["place"].start + j, :d] = (back * e[context[:, j]]).sum(axis=0)
-            np.multiply(back, place[j], out=pull[:, j])
+        g[self.parts["place"], :d] = np.einsum("jkk->jk", (around.T @ back).reshape(-1, d, d))
+        pull = np.matmul(back, mix.T, out=self.room("pull", w, n, len(mix))).reshape(-1, d)
         # Pulls on the same embedding side by side, added up run by run.
         seen = context.reshape(-1)
         order = np.argsort(seen.astype(np.uint16), kind="stable")
-        rows, first = np.unique(seen[order], return_index=True)
+        seen = seen[order]
+        first = np.flatnonzero(np.concatenate([np.ones(1, bool), seen[1:] != seen[:-1]]))
+        rows = seen[first]
         inside = rows < self.tokens  # the last row stands for what is beyond a document's ends
-        g[rows[inside], :d] += np.add.reduceat(pull.reshape(-1, d)[order], first, axis=0)[inside]
+        g[rows[inside], :d] += np.add.reduceat(np.take(pull, order, axis=0, out=self.room("pull ordered", w, len(pull), d), mode="clip"), first, axis=0)[inside]
         g /= n
         memory += g * g
         w -= rate * g / np.sqrt(memory + 1e-8)

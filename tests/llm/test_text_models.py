@@ -238,3 +238,24 @@ def test_words_in_buckets_ask_once_for_each_document():
     got = [dict(zip(h, n)) for h, n in zip(out["hashed"].to_pylist(), out["times"].to_pylist())]
     assert got == [{digest("a"): 1, digest("b"): 3, digest("c"): 1}, {}, {}, {}, {digest("c"): 3, digest("a"): 2, digest(","): 1, digest("."): 1}]
     assert [len(x) // 2 for x in out["ids"].to_pylist()] == [6, 0, 0, 2, 7]
+
+
+def test_masked_steps_work_in_the_same_arrays():
+    """A step takes no new large arrays after the first, and what an earlier one left in them changes nothing."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    batches = [(rng.integers(0, 4096, n), rng.integers(0, 4097, (n, 4))) for n in (8192, 100, 8192)]
+    used = maskedlm.Network(64, 64, 16, 2)
+    w = used.start(np.arange(4096.0))
+    for target, context in batches:
+        tracemalloc.start()
+        own, other, memory = w.copy(), w.copy(), np.full_like(w, 1e-6)
+        tracemalloc.reset_peak()
+        used.step(own, memory, target, context, 0.2)
+        peak = tracemalloc.get_traced_memory()[1] - own.nbytes * 3
+        tracemalloc.stop()
+        maskedlm.Network(64, 64, 16, 2).step(other, np.full_like(w, 1e-6), target, context, 0.2)
+        assert np.array_equal(own, other)
+        assert np.array_equal(used.log_probabilities(own, target, context), maskedlm.Network(64, 64, 16, 2).log_probabilities(own, target, context))
+    assert peak < 2 * 8192 * 64 * 4  # two arrays of logits
