@@ -52,6 +52,14 @@ def _words(column: pa.Array) -> pa.ListArray:
     return pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(column, "")), _TRAILING, r"\1 \2\3"))
 
 
+def _bytes(column: pa.Array) -> list[bytes]:
+    """The UTF-8 bytes of strings without nulls, faster than by their scalars."""
+    column = column.cast(pa.binary())
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    data = memoryview(column.buffers()[2] or b"").tobytes()
+    return [data[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
 class _Count:
     def __call__(self, batches):
         for batch in batches:
@@ -67,26 +75,29 @@ class _Encode:
         self.vocabulary, self.buckets = vocabulary, buckets
 
     def __call__(self, batch) -> dict:
-        known, first = self.vocabulary.value, len(self.vocabulary.value)
+        known = self.vocabulary.value
+        first, known = len(known), pa.array(list(known), pa.string())  # in the order of their numbers
         out, hashes, times, held = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
         for part in _pieces(batch.column(1)):
             lists = _words(part)
             coded = lists.flatten().dictionary_encode()
-            number = np.array([known.get(w, -1) if w else -2 for w in coded.dictionary.to_pylist()], np.int64)
+            names, at = coded.dictionary, coded.indices.to_numpy()
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            number = pc.fill_null(pc.index_in(names, known), -1).to_numpy().astype(np.int64)
+            number[pc.equal(names, "").to_numpy(zero_copy_only=False)] = -2
             own = np.zeros(len(number), np.int64)
             if (rare := np.flatnonzero(number == -1)).size:
-                names = [w.encode() for w in coded.dictionary.take(pa.array(rare)).to_pylist()]
-                number[rare] = [first + zlib.crc32(w) % self.buckets for w in names]
-                own[rare] = np.array([xxhash.xxh64_intdigest(w, 42) for w in names], np.uint64).view(np.int64)  # as Spark's xxhash64
-            at = coded.indices.to_numpy()
+                said = _bytes(names.take(pa.array(rare)))
+                number[rare] = first + np.fromiter(map(zlib.crc32, said), np.int64, len(said)) % self.buckets
+                own[rare] = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in said), np.uint64, len(said)).view(np.int64)  # as Spark's xxhash64
             ids = number[at]
             hashed = ids >= first
-            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             rows = np.repeat(np.arange(len(part)), np.diff(ends))[hashed]
             pairs, n = np.unique(rows * len(number) + at[hashed], return_counts=True)  # a text's distinct words
-            hashes.append(own[pairs % max(1, len(number))])
+            text, word = np.divmod(pairs, max(1, len(number)))
+            hashes.append(own[word])
             times.append(n)
-            held.append(held[-1][-1] + np.cumsum(np.bincount(pairs // max(1, len(number)), minlength=len(part))))
+            held.append(held[-1][-1] + np.cumsum(np.bincount(text, minlength=len(part))))
             keep = ids >= 0
             bounds = np.concatenate([[0], np.cumsum(keep)])[ends]
             ids = ids[keep].astype("<u2")
@@ -109,6 +120,7 @@ class Network:
             self.parts[name] = slice(at, at + rows)
             at += rows
         self.rows = at
+        self.offsets = (*range(-window, 0), *range(1, window + 1))
         self.rooms: dict[str, np.ndarray] = {}
 
     def room(self, name: str, like: np.ndarray, *shape: int) -> np.ndarray:
@@ -130,113 +142,173 @@ class Network:
         w[self.parts["token"], self.dims] = np.log(p / p.sum(axis=1, keepdims=True)).reshape(-1)
         return w
 
+    def line(self, documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of whole documents as one line with room for a window between them, and where they stand in it."""
+        k = self.window
+        size = np.array([len(d) for d in documents], np.int64)
+        line = np.full(size.sum() + k * (len(size) + 1), self.tokens, np.int64)
+        at = np.arange(size.sum()) + np.repeat(k * np.arange(1, len(size) + 1), size)
+        line[at] = np.concatenate(documents)
+        return line, at
+
     def contexts(self, documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Targets and the tokens around each, of whole documents."""
-        k, edge = self.window, np.full(self.window, self.tokens, np.int64)
-        flat = np.concatenate([x for d in documents for x in (edge, d.astype(np.int64))] + [edge])
-        at = np.flatnonzero(flat != self.tokens)
-        return flat[at], np.stack([flat[at + o] for o in (*range(-k, 0), *range(1, k + 1))], axis=1)
-
-    def around(self, w: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Embeddings of the tokens around each target, side by side."""
-        out = self.room("around", w, len(context), context.shape[1], self.dims)
-        np.take(np.ascontiguousarray(w[self.parts["embedding"], : self.dims]), context, axis=0, out=out, mode="clip")
-        return out.reshape(len(context), -1)
-
-    def mixer(self, w: np.ndarray) -> np.ndarray:
-        """Places as a matrix: what ``around`` gives times it is the sum weighted by place."""
-        k, d = 2 * self.window, self.dims
-        mix = np.zeros((k, d, d), w.dtype)
-        mix[:, np.arange(d), np.arange(d)] = w[self.parts["place"], :d]
-        return mix.reshape(k * d, d)
-
-    def hidden(self, w: np.ndarray, around: np.ndarray, mix: np.ndarray) -> np.ndarray:
-        total = np.matmul(around, mix, out=self.room("hidden", w, len(around), self.dims))
-        total += w[self.parts["hidden"], : self.dims]
-        return np.tanh(total, out=total)
+        line, at = self.line(documents)
+        return line[at], np.stack([line[at + o] for o in self.offsets], axis=1)
+
+    def windows(self, target: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Single targets, each between the tokens around it, as a line."""
+        k = self.window
+        return np.column_stack([context[:, :k], target, context[:, k:]]).reshape(-1), np.arange(len(target)) * (2 * k + 1) + k
+
+    def parted(self, line: np.ndarray, at: np.ndarray, most: int):
+        """At most so many targets at once, each with its whole window."""
+        k = self.window
+        for first in range(0, len(at), most):
+            here = at[first : first + most]
+            yield line[here[0] - k : here[-1] + k + 1], here - (here[0] - k)
+
+    def spread(self, w: np.ndarray) -> np.ndarray:
+        """Weights of the places, each row 16 times side by side, for products with long rows."""
+        return np.tile(w[self.parts["place"], : self.dims], 16)
+
+    def shifted(self, name: str, values: np.ndarray, spread: np.ndarray, offsets) -> np.ndarray:
+        """For each row the sum of the rows at ``offsets`` from it, weighted by place; rows near the ends are not sums."""
+        k, d, n = self.window, self.dims, len(values)
+        wide = -(-n // 16)
+        flat = values.reshape(-1)
+        total, product = (self.room(x, values, wide + 1, 16 * d) for x in (name, "product"))
+        total[:] = 0
+        inner = total.reshape(-1)[k * d : (n - k) * d]
+        rows, rest = divmod(len(inner), 16 * d)
+        for j, o in enumerate(offsets):
+            part = flat[(k + o) * d : (n - k + o) * d]
+            np.multiply(part[: rows * 16 * d].reshape(rows, 16 * d), spread[j], out=product[:rows])
+            np.multiply(part[rows * 16 * d :], spread[j, :rest], out=product[rows, :rest])
+            inner += product.reshape(-1)[: len(inner)]
+        return total.reshape(-1)[: n * d].reshape(n, d)
+
+    def around(self, w: np.ndarray, line: np.ndarray) -> np.ndarray:
+        """The embeddings of a line's tokens."""
+        out = self.room("around", w, len(line), self.dims)
+        return np.take(np.ascontiguousarray(w[self.parts["embedding"], : self.dims]), line, axis=0, out=out, mode="clip")
+
+    def hidden(self, w: np.ndarray, around: np.ndarray, at: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        """What the network makes of the tokens around each target, and a last column of ones."""
+        d = self.dims
+        total = np.take(self.shifted("total", around, spread, self.offsets), at, axis=0, out=self.room("hidden", w, len(at), d), mode="clip")
+        total += w[self.parts["hidden"], :d]
+        one = self.room("one", w, len(at), d + 1)
+        one[:, :d], one[:, d] = np.tanh(total, out=total), 1
+        return one
+
+    def large(self, w: np.ndarray) -> bool:
+        """Whether logits can be beyond what single precision takes to the exponent; no hidden value is beyond 1."""
+        outputs = w[self.parts["class"].start :]
+        return bool((np.abs(outputs, out=self.room("outputs", w, *outputs.shape)) @ np.ones(self.dims + 1, w.dtype)).max() > 60)
 
     @staticmethod
-    def _steady(z: np.ndarray) -> np.ndarray:
-        """Logits that single precision can take to the exponent: rows are shifted only where that is needed."""
-        if len(z) and (z.max() > 60 or z.min() < -60):
+    def _exp(z: np.ndarray, large: bool) -> np.ndarray:
+        """Logits become probabilities but for a factor of each row; gives the rows' sums."""
+        if large:
             z -= z.max(axis=1, keepdims=True)
-        return z
-
-    @classmethod
-    def _softmax(cls, z: np.ndarray) -> np.ndarray:
-        z = cls._steady(z)
         np.exp(z, out=z)
-        z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
-        return z
+        return z @ np.ones(z.shape[1], z.dtype)
 
     @classmethod
-    def _log_softmax(cls, z: np.ndarray, at: np.ndarray) -> np.ndarray:
-        z = cls._steady(z)
+    def _log_softmax(cls, z: np.ndarray, at: np.ndarray, large: bool) -> np.ndarray:
+        if large:
+            z -= z.max(axis=1, keepdims=True)
         chosen = z[np.arange(len(z)), at]
-        np.exp(z, out=z)
-        return chosen - np.log(z @ np.ones(z.shape[1], z.dtype))
+        return chosen - np.log(cls._exp(z, False))
+
+    @staticmethod
+    def by_token(line: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order of targets by token and so by class, and where they stand in that order."""
+        order = np.argsort(line[at].astype(np.uint16), kind="stable")
+        return order, at[order]
 
-    def by_class(self, target: np.ndarray):
-        """Order of targets by class, and the slice of each class that occurs."""
-        order = np.argsort((target // self.size).astype(np.uint16), kind="stable")
-        found, start = np.unique(target[order] // self.size, return_index=True)
-        return order, list(zip(found.tolist(), start.tolist(), [*start[1:].tolist(), len(order)]))
+    def runs(self, target: np.ndarray) -> list[tuple[int, int, int]]:
+        """The slice of each class that occurs among sorted targets."""
+        bounds = np.searchsorted(target, np.arange(self.classes + 1) * self.size)
+        found = np.flatnonzero(bounds[1:] > bounds[:-1])
+        return list(zip(found.tolist(), bounds[found].tolist(), bounds[found + 1].tolist()))
 
     def log_probabilities(self, w: np.ndarray, target: np.ndarray, context: np.ndarray) -> np.ndarray:
-        h = self.hidden(w, self.around(w, context), self.mixer(w))
+        return self.likelihoods(w, *self.windows(target, context), self.spread(w), self.large(w))
+
+    def likelihoods(self, w: np.ndarray, line: np.ndarray, at: np.ndarray, spread: np.ndarray, large: bool) -> np.ndarray:
+        """Log-probabilities of the targets at ``at``."""
+        order, at = self.by_token(line, at)
+        target, n = line[at], len(at)
+        one = self.hidden(w, self.around(w, line), at, spread)
         top, low = w[self.parts["class"]], w[self.parts["token"]]
-        first = np.matmul(h, top[:, : self.dims].T, out=self.room("first", w, len(h), self.classes))
-        first += top[:, self.dims]
-        out = self._log_softmax(first, target // self.size)
-        order, runs = self.by_class(target)
-        second = self.room("second", w, len(target), self.size)
-        h = np.take(h, order, axis=0, out=self.room("ordered", w, len(h), self.dims), mode="clip")
-        for c, a, b in runs:
-            own = low[c * self.size : (c + 1) * self.size]
-            np.matmul(h[a:b], own[:, : self.dims].T, out=second[a:b])
-            second[a:b] += own[:, self.dims]
-        out[order] += self._log_softmax(second, target[order] % self.size)
+        said = self._log_softmax(np.matmul(one, top.T, out=self.room("first", w, n, self.classes)), target // self.size, large)
+        second = self.room("second", w, n, self.size)
+        for c, a, b in self.runs(target):
+            np.matmul(one[a:b], low[c * self.size : (c + 1) * self.size].T, out=second[a:b])
+        said += self._log_softmax(second, target % self.size, large)
+        out = np.empty_like(said)
+        out[order] = said
         return out
 
     def step(self, w: np.ndarray, memory: np.ndarray, target: np.ndarray, context: np.ndarray, rate: float) -> None:
         """One Adagrad step on the mean log-probability of the targets."""
-        d, n = self.dims, len(target)
-        around, mix = self.around(w, context), self.mixer(w)
-        h = self.hidden(w, around, mix)
-        one = self.room("one", w, n, d + 1)
-        one[:, :d], one[:, d] = h, 1
-        g = np.zeros_like(w)
-        top, low = w[self.parts["class"]], w[self.parts["token"]]
-        p = self._softmax(np.matmul(one, top.T, out=self.room("first", w, n, self.classes)))
-        p[np.arange(n), target // self.size] -= 1
-        g[self.parts["class"]] = p.T @ one
-        back = np.matmul(p, top[:, :d], out=self.room("back", w, n, d))
-        order, runs = self.by_class(target)
-        first, q, pushed = self.parts["token"].start, self.room("second", w, n, self.size), self.room("pushed", w, n, d)
-        one = np.take(one, order, axis=0, out=self.room("one ordered", w, n, d + 1), mode="clip")
+        self.learn(w, memory, *self.windows(target, context), rate)
+
+    def learn(self, w: np.ndarray, memory: np.ndarray, line: np.ndarray, at: np.ndarray, rate: float) -> None:
+        """The same for the targets at ``at``."""
+        d, n, k = self.dims, len(at), self.window
+        at = self.by_token(line, at)[1]
+        target, large, spread = line[at], self.large(w), self.spread(w)
+        around = self.around(w, line)
+        one = self.hidden(w, around, at, spread)
+        g = self.room("gradient", w, *w.shape)
+        g[:] = 0
+        top, low, down = w[self.parts["class"]], w[self.parts["token"]], g[self.parts["token"]]
+        known, scaled = np.arange(n), self.room("scaled", w, n, d + 1)
+        # Rows of p and q are probabilities times the row's sum, which the narrow factors are divided by.
+        p = np.matmul(one, top.T, out=self.room("first", w, n, self.classes))
+        total = self._exp(p, large)
+        p[known, target // self.size] -= total
+        total = 1 / total[:, None]
+        np.matmul(p.T, np.multiply(one, total, out=scaled), out=g[self.parts["class"]])
+        back = np.matmul(p, np.ascontiguousarray(top[:, :d]), out=self.room("back", w, n, d))
+        back *= total
+        runs, q, pushed = self.runs(target), self.room("second", w, n, self.size), self.room("pushed", w, n, d)
         for c, a, b in runs:
             np.matmul(one[a:b], low[c * self.size : (c + 1) * self.size].T, out=q[a:b])
-        q = self._softmax(q)
-        q[np.arange(n), target[order] % self.size] -= 1
+        total = self._exp(q, large)
+        q[known, target % self.size] -= total
+        total = 1 / total[:, None]
+        np.multiply(one, total, out=scaled)
         for c, a, b in runs:
-            g[first + c * self.size : first + (c + 1) * self.size] = q[a:b].T @ one[a:b]
-            np.matmul(q[a:b], low[c * self.size : (c + 1) * self.size, :d], out=pushed[a:b])
-        back[order] += pushed
-        back *= 1 - h * h
-        g[self.parts["hidden"], :d] = back.sum(axis=0)
-        g[self.parts["place"], :d] = np.einsum("jkk->jk", (around.T @ back).reshape(-1, d, d))
-        pull = np.matmul(back, mix.T, out=self.room("pull", w, n, len(mix))).reshape(-1, d)
-        # Pulls on the same embedding side by side, added up run by run.
-        seen = context.reshape(-1)
-        order = np.argsort(seen.astype(np.uint16), kind="stable")
-        seen = seen[order]
-        first = np.flatnonzero(np.concatenate([np.ones(1, bool), seen[1:] != seen[:-1]]))
-        rows = seen[first]
-        inside = rows < self.tokens  # the last row stands for what is beyond a document's ends
-        g[rows[inside], :d] += np.add.reduceat(np.take(pull, order, axis=0, out=self.room("pull ordered", w, len(pull), d), mode="clip"), first, axis=0)[inside]
+            own = slice(c * self.size, (c + 1) * self.size)
+            np.matmul(q[a:b].T, scaled[a:b], out=down[own])
+            np.matmul(q[a:b], low[own, :d], out=pushed[a:b])
+        pushed *= total
+        back += pushed
+        h = one[:, :d]
+        np.subtract(1, np.multiply(h, h, out=pushed), out=pushed)
+        back *= pushed
+        g[self.parts["hidden"], :d] = np.ones(n, w.dtype) @ back
+        # What each target sends to the tokens around it is added up by place in the line, then by token.
+        sent = self.room("sent", w, len(line) + 2 * k, d)
+        sent[:] = 0
+        sent[at + k] = back
+        inner, ones = sent[2 * k : len(line)], np.ones(len(line) - 2 * k, w.dtype)
+        product = self.room("by place", w, len(inner), d)
+        for j, o in enumerate(self.offsets):
+            g[self.parts["place"].start + j, :d] = ones @ np.multiply(around[k + o : len(line) - k + o], inner, out=product)
+        pull = self.shifted("total", sent, spread, [-o for o in self.offsets])[k : k + len(line)]
+        for j in range(d):  # the last token stands for what is beyond a document's ends
+            g[: self.tokens, j] = np.bincount(line, weights=pull[:, j], minlength=self.tokens + 1)[: self.tokens]
         g /= n
-        memory += g * g
-        w -= rate * g / np.sqrt(memory + 1e-8)
+        square = self.room("square", w, *w.shape)
+        memory += np.multiply(g, g, out=square)
+        np.sqrt(np.add(memory, 1e-8, out=square), out=square)
+        g *= rate
+        w -= np.divide(g, square, out=g)
 
 
 class _Train:
@@ -264,10 +336,10 @@ class _Train:
             yield from self.done()
 
     def learn(self, documents: list[np.ndarray]) -> None:
-        target, context = self.network.contexts(documents)
-        for k in range(0, len(target), self.batch):
-            self.network.step(self.w, self.memory, target[k : k + self.batch], context[k : k + self.batch], self.rate)
-        self.seen += len(target)
+        line, at = self.network.line(documents)
+        for part, here in self.network.parted(line, at, self.batch):
+            self.network.learn(self.w, self.memory, part, here, self.rate)
+        self.seen += len(at)
 
     def done(self):
         w, seen = self.w, self.seen
@@ -282,6 +354,8 @@ class _Score:
 
     def __call__(self, batch) -> dict:
         ids = [np.frombuffer(x, "<u2") for x in batch.column(1).to_pylist()]
+        net, w = self.network, self.weights.value
+        spread, large = net.spread(w), net.large(w)
         total, size = np.zeros(len(ids)), np.array([len(x) for x in ids], np.int64)
         at = 0
         while at < len(ids):
@@ -289,11 +363,9 @@ class _Score:
             while end < len(ids) and held < 1 << 16:
                 held += len(ids[end])
                 end += 1
-            target, context = self.network.contexts(ids[at:end])
-            doc = np.repeat(np.arange(at, end), size[at:end])
-            for k in range(0, len(target), 1 << 13):  # each token with its whole window, wherever pieces end
-                part = slice(k, k + (1 << 13))
-                total += np.bincount(doc[part], weights=self.network.log_probabilities(self.weights.value, target[part], context[part]), minlength=len(ids))
+            doc, said = np.repeat(np.arange(end - at), size[at:end]), [np.zeros(0)]
+            said += [net.likelihoods(w, line, here, spread, large) for line, here in net.parted(*net.line(ids[at:end]), 1 << 13)]
+            total[at:end] = np.bincount(doc, weights=np.concatenate(said), minlength=end - at)
             at = end
         return {"doc_id": batch.column(0), "n_tokens": size, "total": total, "rid": batch.column(2)}
 

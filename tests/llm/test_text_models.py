@@ -259,3 +259,69 @@ def test_masked_steps_work_in_the_same_arrays():
         assert np.array_equal(own, other)
         assert np.array_equal(used.log_probabilities(own, target, context), maskedlm.Network(64, 64, 16, 2).log_probabilities(own, target, context))
     assert peak < 2 * 8192 * 64 * 4  # two arrays of logits
+
+
+def _written(rng):
+    """Documents of token numbers: empty ones, one shorter than a window, and some longer than a batch."""
+    return [rng.integers(0, 4096, n).astype("<u2") for n in (0, 1, 700, 3, 0, 1500, 2, 4, 900, 1)]
+
+
+def test_masked_documents_as_a_line_are_their_tokens_windows():
+    """Learning and scoring along a line of documents give what single windows around each token give."""
+    rng = np.random.default_rng(5)
+    net, docs = maskedlm.Network(64, 64, 16, 2), _written(rng)
+    target, context = net.contexts(docs)
+    flat = [(k, i) for k, d in enumerate(docs) for i in range(len(d))]
+    assert target.tolist() == [docs[k][i] for k, i in flat]
+    assert context.tolist() == [[docs[k][i + o] if 0 <= i + o < len(docs[k]) else 4096 for o in (-2, -1, 1, 2)] for k, i in flat]
+    along = net.start(np.bincount(target, minlength=4096).astype(float)).astype(float)
+    single, memory, other = along.copy(), np.full_like(along, 1e-6), np.full_like(along, 1e-6)
+    for k, (line, at) in enumerate(net.parted(*net.line(docs), 512)):
+        net.learn(along, memory, line, at, 0.2)
+        net.step(single, other, target[512 * k : 512 * k + 512], context[512 * k : 512 * k + 512], 0.2)
+    assert np.abs(along - single).max() < 1e-9 and np.abs(along - net.start(np.ones(4096))).max() > 0.1
+    got = np.concatenate([net.likelihoods(along, line, at, net.spread(along), net.large(along)) for line, at in net.parted(*net.line(docs), 512)])
+    assert len(got) == len(target) and np.abs(got - net.log_probabilities(along, target, context)).max() < 1e-9
+
+
+def test_masked_training_looks_every_token_up_once(monkeypatch):
+    """Neither the rows that a step gathers nor what lies ready for a piece grows with the tokens around a target."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    net = maskedlm.Network(64, 64, 16, 2)
+    train = maskedlm._Train(net, SimpleNamespace(value=net.start(np.ones(4096))), 8192, 0.2)
+    train.w, train.seen = train.start.value.copy(), 0
+    train.memory = np.full_like(train.w, 1e-6)
+    rng = np.random.default_rng(2)
+    train.learn([rng.integers(0, 4096, 9000).astype("<u2")])  # the arrays that steps share
+    docs, gathered, take = [rng.integers(0, 4096, 500).astype("<u2") for _ in range(400)], [0], np.take
+
+    def counted(*args, **named):
+        out = take(*args, **named)
+        gathered[0] += out.size
+        return out
+
+    monkeypatch.setattr(np, "take", counted)
+    tracemalloc.start()
+    train.learn(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert train.seen == 209_000 and gathered[0] < 200_000 * 40 and peak < 200_000 * 60
+
+
+def test_masked_logits_beyond_single_precision():
+    """Weights so large that a plain exponent overflows: probabilities still sum to one and a step stays finite."""
+    net = maskedlm.Network(4, 4, 5, 2)
+    w = net.start(np.arange(16.0))
+    w += np.random.default_rng(0).normal(0, 100, w.shape).astype(np.float32)
+    context = np.tile([1, 2, 16, 3], (16, 1))
+    assert net.large(w) and not net.large(net.start(np.arange(16.0)))
+    assert abs(np.exp(net.log_probabilities(w, np.arange(16), context)).sum() - 1) < 1e-4
+    net.step(w, np.full_like(w, 1e-6), np.arange(16), context, 0.2)
+    assert np.isfinite(w).all()
+
+
+def test_masked_blank_texts_only(spark):
+    rows = maskedlm.score(spark.createDataFrame([(1, None), (2, ""), (3, " \n")], "doc_id long, text string"), classes=2, size=2, buckets=1).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["log_likelihood"], r["mean_log_likelihood"]) for r in rows) == [(k, 0, 0.0, None) for k in (1, 2, 3)]
