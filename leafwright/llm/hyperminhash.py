@@ -316,7 +316,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: i
     few = few.select("band", F.col("cid").alias("a"), "comp", "grp")
     other = few.select("band", F.col("a").alias("b"), F.col("comp").alias("b_comp"), F.col("grp").alias("b_grp"))
     pairs = few.join(other, "band").where("a < b and comp <> b_comp and not coalesce(grp = b_grp, false)").select("a", "b").distinct()
-    more = _verified(_estimated(pairs, heads, percent), packed, words, percent)
+    # Written, as a task that verifies and reduces its links to stars would hold two Python workers, and these outlive the stage.
+    more = table(_verified(_estimated(pairs, heads, percent), packed, words, percent), "links")
     roots = components(links.unionByName(more))
 
     # The least place of each component goes back to the rows through their set.

@@ -92,3 +92,30 @@ def test_unique_is_the_brute_force_rule(spark):
     frame = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(3)
     kept = sorted(r["doc_id"] for r in cp.unique(spark, frame, SF).collect())
     assert kept == [d for d in ids if find(d) == d] and len(kept) < len(ids)
+
+
+def test_no_task_holds_two_python_workers(spark, monkeypatch):
+    """Workers outlive their stage, so one task with two Python steps doubles what an executor holds from then on."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, write = [], DataFrameWriter.parquet
+
+    def parquet(self, *args, **settings):
+        plans.append(self._df)
+        return write(self, *args, **settings)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    plans.append(cp.run(spark, SF))
+    steps = 0
+    for frame in plans:
+        above = []  # depth of each operator on the way down, and whether a Python step is open in its task
+        for line in frame._jdf.queryExecution().executedPlan().toString().splitlines():
+            name = re.search(r"[A-Z].*", line)
+            if not name:
+                continue
+            above = [x for x in above if x[0] < name.start()]
+            python = bool(re.match("MapInArrow|FlatMapGroupsInArrow", name[0]))
+            assert not (python and above and above[-1][1]), frame._jdf.queryExecution().executedPlan().toString()
+            steps += python
+            above.append((name.start(), python or bool(above) and above[-1][1] and "Exchange" not in name[0]))
+    assert len(plans) > 10 and steps > 10
